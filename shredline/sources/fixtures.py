@@ -97,6 +97,38 @@ FIXTURES: dict[str, tuple[str, list[str]]] = {
         "concat('int_model_', p_partkey % 17) AS downstream_model",
         "CAST(1 + p_size % 3 AS bigint) AS hops",
     ]),
+    # Manual declarations as they arrive from users: valid and invalid ones, repeats per resource.
+    "declarations": ("supplier", [
+        "s_suppkey AS decl_id",
+        "CASE WHEN s_suppkey % 17 = 0 THEN '' ELSE concat('tenant-', s_suppkey % 3) END AS tenant_id",
+        "CASE WHEN s_suppkey % 13 = 0 THEN concat('BigQuery:', s_name) "
+        "WHEN s_suppkey % 2 = 0 THEN concat('bigquery:proj.ds.table_', s_suppkey % 25) "
+        "ELSE concat('bigquery:proj.crm.', CASE WHEN s_suppkey % 4 = 1 THEN 'mart_' ELSE '' END, 'contacts_', "
+        "s_suppkey % 25) END AS resource_id",
+        "CASE s_suppkey % 9 WHEN 0 THEN 'snowflake' WHEN 1 THEN 'mainframe' ELSE 'bigquery' END AS system",
+        "CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'RAW' WHEN 2 THEN 'MART' WHEN 3 THEN 'STAGING' "
+        "WHEN 4 THEN 'GOLD' ELSE 'SAAS' END AS resource_layer",
+        "CASE WHEN s_suppkey % 10 = 3 THEN 'PUBLIC' END AS visibility",
+        "CASE s_suppkey % 8 WHEN 0 THEN 'user_id' WHEN 1 THEN NULL ELSE 'tenant_id' END AS tenant_id_column",
+        "CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE 'user_id' END AS user_id_column",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 'updated_at' END AS updated_at_column",
+        "CASE s_suppkey % 5 WHEN 0 THEN 'MANUAL_REVIEW' WHEN 1 THEN 'DELETE_ROWS' WHEN 2 THEN NULL "
+        "ELSE 'CRYPTO_SHRED' END AS deletion_strategy",
+        "CASE s_suppkey % 7 WHEN 0 THEN 'REDACT_IN_PLACE' WHEN 1 THEN 'NONE' WHEN 2 THEN 'SHADOW_COPY' "
+        "WHEN 3 THEN 'ERASE' END AS source_redaction_strategy",
+        "CASE s_suppkey % 11 WHEN 0 THEN 'ENCRYPTED_COPY' WHEN 1 THEN 'REDACT_IN_PLACE,ENCRYPTED_COPY' "
+        "WHEN 2 THEN 'NONE' WHEN 3 THEN '' END AS source_redaction_strategies",
+        "CASE WHEN s_suppkey % 12 = 0 THEN 'ARCHIVED' WHEN s_suppkey % 3 = 0 THEN 'APPROVED' END AS status",
+        "CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE concat('email:', CASE WHEN s_suppkey % 4 = 0 "
+        "THEN 'DIRECT_IDENTIFIER' ELSE 'CONTACT' END, ':', CASE s_suppkey % 3 WHEN 0 THEN 'ENCRYPT' "
+        "WHEN 1 THEN 'MANUAL_REVIEW' ELSE 'TOKENIZE' END, ';phone:', CASE WHEN s_suppkey % 14 = 0 THEN 'PHONE' "
+        "ELSE 'CONTACT' END, ':ENCRYPT') END AS fields_spec",
+        "s_suppkey % 4 <> 1 AS scan_enabled",
+        "CASE WHEN s_suppkey % 15 = 0 THEN 'ALWAYS' END AS scan_mode",
+        "CAST(concat('2026-08-', lpad(CAST(1 + s_suppkey % 28 AS string), 2, '0'), ' 00:00:00') AS timestamp) "
+        "AS declared_at",
+        "CASE WHEN s_suppkey % 9 = 4 THEN NULL ELSE concat('analyst-', s_suppkey % 4, '@example.com') END AS actor",
+    ]),
 }
 
 
@@ -111,6 +143,14 @@ def fixture_sql(name: str) -> str:
     return f"SELECT {', '.join(exprs)} FROM {table}"
 
 
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations with parsed field specs and strategy arrays (for the registry operators)."""
+    from shredline.operators.registry import parse_fields, parse_strategies
+    d = fixture(spark, sf_dir, "declarations")
+    return (d.withColumn("fields", parse_fields("fields_spec"))
+            .withColumn("source_redaction_strategies", parse_strategies("source_redaction_strategies")))
+
+
 def tenant_keys(users: DataFrame) -> DataFrame:
     """Test key material per tenant, derived from the tenants present in the data.
 
