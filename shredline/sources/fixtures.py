@@ -155,11 +155,12 @@ def tenant_keys(users: DataFrame) -> DataFrame:
     """Test key material per tenant, derived from the tenants present in the data.
 
     Production tenant keys come from a key service; for compared queries a
-    tenant's key-encryption key and token key are SHA-256 of a seed string.
+    tenant's key-encryption, token and signing keys are SHA-256 of a seed string.
     """
     return (users.select("tenant_id").distinct()
             .withColumn("kek", F.unhex(F.sha2(F.concat(F.lit("kek-"), F.col("tenant_id")), 256)))
-            .withColumn("token_key", F.unhex(F.sha2(F.concat(F.lit("token-"), F.col("tenant_id")), 256))))
+            .withColumn("token_key", F.unhex(F.sha2(F.concat(F.lit("token-"), F.col("tenant_id")), 256)))
+            .withColumn("sign_key", F.unhex(F.sha2(F.concat(F.lit("sign-"), F.col("tenant_id")), 256))))
 
 
 def shred_requests(users: DataFrame) -> DataFrame:
