@@ -14,6 +14,9 @@ Formats (fixed, they must equal the reference's on-disk forms):
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,11 +197,8 @@ def random_dek() -> Column:
     Nondeterministic: results must be written and read back before a second
     use, or a retried task would hand out different keys.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.BinaryType())
     def _rand(seed: pd.Series) -> pd.Series:
-        import os
         return pd.Series([os.urandom(KEY_SIZE) for _ in range(len(seed))])
 
     return _rand.asNondeterministic()(F.lit(0))

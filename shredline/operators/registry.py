@@ -427,3 +427,37 @@ def advance_watermarks(reg: DataFrame, marks: DataFrame) -> DataFrame:
     j = reg.join(m, ["tenant_id", "resource_id"], "left")
     return conform(j.withColumn("last_synced_at", F.greatest("last_synced_at", "_s"))
                    .withColumn("last_sync_attempt_at", F.greatest("last_sync_attempt_at", "_a")))
+
+
+# --- JOIN-09 / SET-06 / VAL-07: checks against the real table ---------------------------------
+
+def missing_columns(decls: DataFrame, schema_rows: DataFrame) -> DataFrame:
+    """Declared columns (user, tenant, fields) that the real table lacks, all of them, plus the real names.
+
+    ``schema_rows``: (resource_id, column_name). A resource with no known
+    columns is skipped (nothing to check against).
+    """
+    real = schema_rows.groupBy("resource_id").agg(F.array_sort(F.collect_set("column_name")).alias("real_columns"))
+    declared = F.array_distinct(F.array_compact(F.concat(
+        F.array(F.col("user_id_column"), F.col("tenant_id_column")),
+        F.transform(F.coalesce(F.col("fields"), F.array()), lambda f: f["name"]))))
+    j = decls.join(real, "resource_id", "inner")
+    return j.select("decl_id", "tenant_id", "resource_id",
+                    F.array_sort(F.array_except(declared, F.col("real_columns"))).alias("missing_columns"),
+                    "real_columns").where(F.size("missing_columns") > 0)
+
+
+def view_conflicts(decls: DataFrame, table_types: DataFrame) -> DataFrame:
+    """VAL-07: REDACT_IN_PLACE (in the resolved strategy set) declared on a view is rejected.
+
+    ``table_types``: (resource_id, table_type in BASE TABLE / VIEW / MISSING); unknown types pass.
+    """
+    legacy = F.col("source_redaction_strategy")
+    resolved = F.coalesce(F.col("source_redaction_strategies"),
+                          F.when(legacy.isNotNull() & (legacy != "NONE"), F.array(legacy)),
+                          F.array().cast("array<string>"))
+    return (decls.join(table_types, "resource_id", "inner")
+            .where((F.col("table_type") == "VIEW") & F.array_contains(resolved, "REDACT_IN_PLACE"))
+            .select("decl_id", "tenant_id", "resource_id",
+                    F.lit("REDACT_IN_PLACE cannot be declared on a view; use SHADOW_COPY or ENCRYPTED_COPY.")
+                    .alias("error")))
