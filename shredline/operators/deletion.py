@@ -198,8 +198,8 @@ def cascade(requests: DataFrame, tasks: DataFrame, resources: DataFrame, wipes:
     """
     req = requests.select("deletion_request_id", *KEYS)
     planned_tasks = req.join(tasks.select(*KEYS, "destination"), KEYS)
-    planned_res = req.join(resources.select("tenant_id", F.concat("resource_id", F.lit("::"), "strategy")
-                                            .alias("destination")), "tenant_id")
+    res = resources.select("tenant_id", F.concat("resource_id", F.lit("::"), "strategy").alias("destination"))
+    planned_res = req.join(res, "tenant_id")  # AQE: broadcast by measured size, skew split otherwise
     planned = planned_tasks.unionByName(planned_res.select("deletion_request_id", *KEYS, "destination")).distinct()
     latest = latest_wipes(wipes).select("deletion_request_id", "destination", "status")
     pj = planned.join(latest, ["deletion_request_id", "destination"], "left")

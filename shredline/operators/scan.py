@@ -37,11 +37,13 @@ def scan_columns(df: DataFrame, resource_id: str, columns: list[str], patterns:
     aggs = []
     for c in columns:
         for p in pats:
-            rx = PATTERNS[p]
-            hit = F.coalesce(F.col(c).rlike(rx), F.lit(False))
-            aggs.append(F.count_if(hit).alias(f"{c}__{p}__rows"))
-            aggs.append(F.sum(F.coalesce(F.regexp_count(F.col(c), F.lit(rx)), F.lit(0))).alias(f"{c}__{p}__matches"))
-    wide = src.agg(*aggs)
+            n = F.col(f"_{c}__{p}")
+            aggs.append(F.count_if(n > 0).alias(f"{c}__{p}__rows"))
+            aggs.append(F.sum(n).alias(f"{c}__{p}__matches"))
+    # each regex runs once per value: the match count feeds both aggregates
+    counts = src.select(*[F.coalesce(F.regexp_count(F.col(c), F.lit(PATTERNS[p])), F.lit(0)).alias(f"_{c}__{p}")
+                          for c in columns for p in pats])
+    wide = counts.agg(*aggs)
     stacks = []
     for c in columns:
         for p in pats:

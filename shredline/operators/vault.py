@@ -153,3 +153,21 @@ def reencrypt(vault: DataFrame, kv: DataFrame) -> DataFrame:
         "synced_at")
     kept = dv.where(F.coalesce(current, F.lit(False)) | F.col("value").isNull()).select(*VAULT_COLS)
     return kept.unionByName(moved)
+
+
+def sync_increment(source: DataFrame, fields: list[str], resource_id: str, vault: DataFrame, kv: DataFrame,
+                   tenant_keys: DataFrame, synced_at: Column, updated_at_col: str | None = None,
+                   last_synced_at=None) -> DataFrame:
+    """EXT-03: encrypt only what changed since the watermark and is not in the vault yet.
+
+    Rows newer than ``last_synced_at`` (all rows without a watermark column or
+    value: a full sync) are unpivoted, tokenised and anti-joined with the
+    vault on (tenant, user, resource, field, token), so re-running a sync or
+    re-sending unchanged values appends nothing.
+    """
+    from shredline.operators.sync_runs import incremental_rows
+    rows = incremental_rows(source, updated_at_col, last_synced_at)
+    enc = encrypt_table(rows, fields, resource_id, kv, tenant_keys, synced_at)
+    have = vault.where(F.col("resource_id") == resource_id).select(
+        "tenant_id", "user_id", "resource_id", "field_name", "token").distinct()
+    return enc.join(have, ["tenant_id", "user_id", "resource_id", "field_name", "token"], "left_anti")

@@ -311,3 +311,41 @@ def decrypt_column(registry, tenant_keys, rows):
     code = (F.when(version.isNull(), 400).when(F.col("dek_map").isNull() | dek.isNull(), 404)
             .when(pt.isNull(), 400).otherwise(200))
     return j.select("tenant_id", "user_id", code.alias("status_code"), F.when(code == 200, pt).alias("plaintext"))
+
+
+# --- STA-10 redact in place --------------------------------------------------------------------------
+
+@register("sta10_redact_in_place", with_fixtures(["users"], f"""
+SELECT o_orderkey, concat('user-', o_custkey) AS user_id,
+  CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat('raw-', o_custkey, '@example.com') END AS email, o_totalprice
+FROM orders"""))
+def redact_in_place(spark, sf_dir):
+    """Null the declared PII column of every shredded user's rows in an orders-derived source table."""
+    from shredline.operators import redaction as RR
+    src = (spark.read.parquet(f"{sf_dir}/orders.parquet")
+           .select("o_orderkey", F.concat(F.lit("tenant-"), F.col("o_custkey") % 3).alias("tenant_id"),
+                   F.concat(F.lit("user-"), F.col("o_custkey")).alias("user_id"),
+                   F.concat(F.lit("raw-"), F.col("o_custkey"), F.lit("@example.com")).alias("email"), "o_totalprice"))
+    users = FX.shred_requests(FX.fixture(spark, sf_dir, "users"))
+    out = RR.redact_in_place(src, ["email"], users, user_col="user_id", tenant_col="tenant_id")
+    return out.table.select("o_orderkey", "user_id", "email", "o_totalprice")
+
+
+# --- EXT-03 incremental vault sync ----------------------------------------------------------------------
+
+@register("ext03_incremental_sync", with_fixtures(["users"], f"""
+SELECT tenant_id, user_id, 'email' AS field_name, 'new.' || email AS value
+FROM users WHERE custkey % 10 >= 5 AND {LIVE}"""))
+def incremental_sync(spark, sf_dir):
+    """Users changed after the watermark are re-synced; unchanged values and keyless users add nothing."""
+    s = SC.build(spark, sf_dir)
+    src = s.users.select(
+        "tenant_id", "user_id",
+        F.when(F.col("custkey") % 10 >= 5, F.concat(F.lit("new."), F.col("email"))).otherwise(F.col("email")).alias("email"),
+        "phone",
+        (F.to_timestamp(F.lit("2026-01-01 00:00:00")) + F.make_interval(days=(F.col("custkey") % 10).cast("int")))
+        .alias("updated_at"))
+    kv = s.key_versions()
+    new = V.sync_increment(src, ["email", "phone"], SC.VAULT_RESOURCE, s.vault, kv, s.tenant_keys,
+                           FX.ts(FX.NOW_TS), "updated_at", "2026-01-03 00:00:00")
+    return V.decrypt_vault(new, kv).select("tenant_id", "user_id", "field_name", "value")

@@ -472,3 +472,20 @@ def sync_watermarks(spark, sf_dir):
     marks = marks.join(incremental.select("tenant_id", "resource_id"), ["tenant_id", "resource_id"], "left_semi")
     out = REG.advance_watermarks(reg, marks)
     return out.select("tenant_id", "resource_id", iso("last_synced_at").alias("last_synced_at"))
+
+
+# --- FIL-04 ------------------------------------------------------------------------------------------
+
+@register("fil04_entries_by_destination", with_fixtures(["registry_rows", "lineage_events", "declarations"], """
+SELECT DISTINCT e.destination, m.tenant_id, m.resource_id
+FROM (SELECT DISTINCT destination FROM lineage_events) e JOIN manual0 m ON m.resource_id = e.destination
+UNION
+SELECT DISTINCT e.destination, NULL, r.resource_id
+FROM (SELECT DISTINCT destination FROM lineage_events) e JOIN registry_rows r ON r.resource_id = e.destination""",
+    [("decl_checked", DECL_CHECK_SQL), ("manual0", MANUAL_SQL)]))
+def entries_by_destination(spark, sf_dir):
+    """Registry entries matching each lineage destination (by lineage destination or resource id)."""
+    dests = FX.fixture(spark, sf_dir, "lineage_events").select("destination").distinct()
+    reg = REG.compose(REG.conform(spark.createDataFrame([], REG.schemas.REGISTRY_ENTRY)),
+                      dbt_registry(spark, sf_dir), manual_entries(spark, sf_dir))
+    return REG.by_lineage_destination(dests, reg).select("destination", "tenant_id", "resource_id")

@@ -52,8 +52,8 @@ def ingest_lineage(spark, sf_dir):
     p = ING.dedup(p.unionByName(_payloads(stream_table(spark, sf_dir, "events"))))
     root = scratch(spark, "ingest")
 
-    def body(batch, _bid):
-        ING.ingest_batch(batch, f"{root}/events", f"{root}/rejects", f"{root}/quarantine")
+    def body(batch, bid):
+        ING.ingest_batch(batch, f"{root}/events", f"{root}/rejects", f"{root}/quarantine", batch_id=bid)
         return spark.createDataFrame([], "x int")
 
     run_available(p, "ingest", batch_fn=body)

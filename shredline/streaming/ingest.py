@@ -29,24 +29,33 @@ def dedup(payloads: DataFrame, id_col: str = "delivery_id", time_col: str = "rec
 
 
 def ingest_batch(batch: DataFrame, events_path: str, rejects_path: str, quarantine_path: str,
-                 now=None) -> None:
-    """foreachBatch body: append normalised valid events, rejects aside; quarantine on sink failure."""
-    v = validated(batch)
+                 now=None, batch_id: int | None = None) -> None:
+    """foreachBatch body: normalised valid events, rejects aside; quarantine on sink failure.
+
+    With a ``batch_id`` every output goes to its own ``batch=<id>`` folder in
+    overwrite mode, so a micro-batch replayed after a failure does not
+    duplicate events. The validated batch is persisted so both outputs reuse
+    one evaluation of the validation rules.
+    """
+    v = validated(batch).persist()
     good = LIN.normalise(v.where(F.size("errors") == 0).drop("errors"), now)
     bad = v.where(F.size("errors") > 0)
+    part = "" if batch_id is None else f"/batch={batch_id}"
+    mode = "append" if batch_id is None else "overwrite"
     try:
-        good.write.mode("append").parquet(events_path)
+        good.write.mode(mode).parquet(events_path + part)
     except Exception:  # SRC-07: keep the events, let the stream go on
-        good.write.mode("append").json(quarantine_path)
-    bad.write.mode("append").parquet(rejects_path)
+        good.write.mode(mode).json(quarantine_path + part)
+    bad.write.mode(mode).parquet(rejects_path + part)
+    v.unpersist()
 
 
 def ingest_lineage(payloads: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
     """STR-01: start the ingestion stream; returns the StreamingQuery."""
     events, rejects, quarantine = (os.path.join(root, p) for p in ("events", "rejects", "quarantine"))
 
-    def body(batch, _batch_id):
-        ingest_batch(batch, events, rejects, quarantine)
+    def body(batch, batch_id):
+        ingest_batch(batch, events, rejects, quarantine, batch_id=batch_id)
 
     w = payloads.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

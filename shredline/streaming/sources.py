@@ -38,15 +38,15 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append", batch_f
     before it is appended (used for MERGE-like sinks). Output rows carry
     ``_batch_id`` so callers can pick the latest state per key.
     """
-    from pyspark.sql import functions as F
-
     spark = df.sparkSession
     root = scratch(spark, "streams", name)
     out, ck = os.path.join(root, "out"), os.path.join(root, "checkpoint")
 
     def sink(batch, batch_id):
+        # One folder per micro-batch, overwritten: a batch re-run after a failure replaces its own
+        # output instead of appending it twice (idempotent sink).
         b = batch_fn(batch, batch_id) if batch_fn else batch
-        b.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+        b.write.mode("overwrite").parquet(f"{out}/_batch_id={batch_id}")
 
     q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
