@@ -57,34 +57,34 @@ def generate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now:
     ``v1``; a shredded user gets a fresh key document (``regenerated``).
     ``dek_fn(user_col)`` makes the DEK; the default is the OS CSPRNG, whose
     output must be written before any value is encrypted with it.
+    One full outer join of the registry with the requests: the registry is
+    read and shuffled once, and every row of the new state comes out of it.
     """
     dek_fn = dek_fn or (lambda _u: C.random_dek())
-    reg = registry.alias("r")
-    req = _requests(users).alias("q")
-    j = req.join(reg, KEYS, "left")
-    ok = usable()
-    outcome = j.select(*KEYS,
-                       F.when(ok, "EXISTS").otherwise("GENERATED").alias("outcome"),
-                       (F.col("status").isNotNull() & ~ok).alias("regenerated"))
+    req = _requests(users).withColumn("_req", F.lit(True))
     kek = bounded_broadcast(tenant_keys.select("tenant_id", "kek"))
-    fresh = (j.where(~ok).select(*KEYS, "destinations")
-             .join(kek, "tenant_id", "left")
-             .select(
-                 *KEYS,
-                 F.create_map(F.lit("v1"), C.wrap_key(dek_fn(F.col("user_id")), F.col("kek"))).alias("deks"),
-                 F.lit("v1").alias("active_dek_id"),
-                 F.lit("ACTIVE").alias("status"),
-                 now.alias("created_at"),
-                 F.lit(None).cast("timestamp").alias("shred_at"),
-                 F.lit(None).cast("timestamp").alias("rotated_at"),
-                 F.lit(encryption_version).alias("encryption_version"),
-                 F.lit(TOKEN_ALGORITHM).alias("token_algorithm"),
-                 F.lit(token_key_id).alias("token_key_id"),
-                 F.lit(None).cast("string").alias("deletion_request_id"),
-                 F.coalesce(F.col("destinations"), F.array().cast("array<string>")).alias("destinations"),
-             ))
-    kept = registry.join(fresh.select(*KEYS), KEYS, "left_anti")
-    return StateChange(kept.unionByName(fresh), outcome)
+    j = registry.join(req, KEYS, "full_outer").join(kek, "tenant_id", "left")
+    ok = usable()
+    fresh = F.coalesce(F.col("_req"), F.lit(False)) & ~ok
+    existed = F.col("status").isNotNull()
+    state = j.select(
+        *KEYS,
+        F.when(fresh, F.create_map(F.lit("v1"), C.wrap_key(dek_fn(F.col("user_id")), F.col("kek"))))
+         .otherwise(F.col("deks")).alias("deks"),
+        F.when(fresh, F.lit("v1")).otherwise(F.col("active_dek_id")).alias("active_dek_id"),
+        F.when(fresh, F.lit("ACTIVE")).otherwise(F.col("status")).alias("status"),
+        F.when(fresh, now).otherwise(F.col("created_at")).alias("created_at"),
+        F.when(fresh, F.lit(None).cast("timestamp")).otherwise(F.col("shred_at")).alias("shred_at"),
+        F.when(fresh, F.lit(None).cast("timestamp")).otherwise(F.col("rotated_at")).alias("rotated_at"),
+        F.when(fresh, F.lit(encryption_version)).otherwise(F.col("encryption_version")).alias("encryption_version"),
+        F.when(fresh, F.lit(TOKEN_ALGORITHM)).otherwise(F.col("token_algorithm")).alias("token_algorithm"),
+        F.when(fresh, F.lit(token_key_id)).otherwise(F.col("token_key_id")).alias("token_key_id"),
+        F.when(fresh, F.lit(None).cast("string")).otherwise(F.col("deletion_request_id")).alias("deletion_request_id"),
+        F.coalesce(F.col("destinations"), F.array().cast("array<string>")).alias("destinations"),
+    )
+    outcome = j.where(F.col("_req")).select(*KEYS, F.when(ok, "EXISTS").otherwise("GENERATED").alias("outcome"),
+                                            (existed & ~ok).alias("regenerated"))
+    return StateChange(state, outcome)
 
 
 def rotate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now: Column,

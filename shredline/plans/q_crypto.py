@@ -278,7 +278,7 @@ def encrypt_deterministic(spark, sf_dir):
     """Audit-shaped output: lengths only, no plaintext (the bundle itself is checked by QRY-13)."""
     s = SC.build(spark, sf_dir)
     out = encrypt_column(s.registry, s.tenant_keys, _det_input(spark, sf_dir))
-    return out.select("tenant_id", "user_id", F.length("plaintext").alias("plaintext_length"), "status_code",
+    return out.select("tenant_id", "user_id", F.length("plaintext").cast("bigint").alias("plaintext_length"), "status_code",
                       F.length("ciphertext").cast("bigint").alias("ciphertext_length"))
 
 

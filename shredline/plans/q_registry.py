@@ -130,11 +130,12 @@ def _sens_case(c: str) -> str:
     for subs, w in TX.SENSITIVITY_RULES:
         cond = " OR ".join(f"contains(lower({c}), '{s}')" for s in subs)
         parts.append(f"WHEN {cond} THEN {w}")
-    return "CASE " + " ".join(parts) + f" ELSE {TX.DEFAULT_SENSITIVITY} END"
+    return "CAST(CASE " + " ".join(parts) + f" ELSE {TX.DEFAULT_SENSITIVITY} END AS DOUBLE)"
 
 
 def _field_sens_case(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN {c} = '{k}' THEN {w}" for k, w in TX.FIELD_SENSITIVITY.items()) + " ELSE 1.0 END"
+    return ("CAST(CASE " + " ".join(f"WHEN {c} = '{k}' THEN {w}" for k, w in TX.FIELD_SENSITIVITY.items())
+            + " ELSE 1.0 END AS DOUBLE)")
 
 
 DBT_FIELDS_SQL = f"""SELECT resource_id, resource_layer, field_name, classification, handling,
@@ -142,7 +143,7 @@ DBT_FIELDS_SQL = f"""SELECT resource_id, resource_layer, field_name, classificat
   (handling IN ('ENCRYPT', 'TOKENIZE') OR (classification = 'SYSTEM_IDENTIFIER' AND handling = 'HASH_SURROGATE')) AS safe
 FROM registry_rows"""
 
-DBT_ENT_SQL = """SELECT resource_id, min(resource_layer) AS layer, greatest(0.5, sum(sens)) AS weight,
+DBT_ENT_SQL = """SELECT resource_id, min(resource_layer) AS layer, greatest(CAST(0.5 AS DOUBLE), sum(sens)) AS weight,
   bool_or(NOT safe) AS any_weak,
   string_agg(CASE WHEN NOT safe THEN field_name || '=' || handling END, ', ' ORDER BY field_name) AS weak_text,
   bool_or(classification = 'DIRECT_IDENTIFIER' AND handling <> 'ALLOW_AGGREGATE_ONLY') AS any_direct,
@@ -347,7 +348,8 @@ SELECT resource_id, 'bigquery' AS system,
 FROM dbt_status
 UNION ALL
 SELECT resource_id, system, 'EXPOSED',
-  greatest(1.0, coalesce(list_sum(list_transform(CAST(new_columns AS VARCHAR[]), lambda c: {_sens_case('c')})), 0.0)),
+  greatest(CAST(1.0 AS DOUBLE), coalesce(list_sum(list_transform(CAST(new_columns AS VARCHAR[]), lambda c: {_sens_case('c')})),
+                                       CAST(0.0 AS DOUBLE))),
   CASE WHEN registry_status = 'DRIFTED' THEN 'schema drift vs registry' ELSE 'discovered but undeclared' END
 FROM disc WHERE resource_id NOT IN (SELECT resource_id FROM registry_rows)"""
 

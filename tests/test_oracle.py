@@ -38,6 +38,9 @@ def duck():
 
 NAMES = sorted(E.queries())
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "binary": "BLOB"}
+
 
 def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) == set(E.queries())
@@ -54,6 +57,8 @@ def test_query_matches_oracle(spark, duck, name):
     cur = duck.execute(sql)
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == cols
+    stypes = dict(df.dtypes)
+    assert {d[0]: str(d[1]) for d in cur.description} == {c: SPARK_TO_DUCK.get(t, t) for c, t in stypes.items()}
     idx = [dcols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert got == want
