@@ -180,11 +180,8 @@ SELECT resource_id, 'UNREGISTERED' AS registry_status,
 FROM (VALUES """ + ", ".join(f"('{_resource(t)}')" for t, _ in SCAN_TARGETS) + ") r(resource_id)")
 def warehouse_crawl(spark, sf_dir):
     """Crawl the raw text tables: inventory from their schemas, PII columns from the scan, against the registry."""
-    inv = None
-    for t, _c in SCAN_TARGETS:
-        df = read_table(spark, sf_dir, t)
-        rows = spark.createDataFrame([(_resource(t), f.name, f.dataType.simpleString()) for f in df.schema.fields],
-                                     "resource_id string, column_name string, data_type string")
-        inv = rows if inv is None else inv.unionByName(rows)
+    from shredline.sources.tables import schema_rows
+    inv = schema_rows(spark, {_resource(t): read_table(spark, sf_dir, t) for t, _c in SCAN_TARGETS}) \
+        .select(F.col("table_name").alias("resource_id"), "column_name", "data_type")
     findings = SCN.crawl(inv, None, QR.composed_registry(spark, sf_dir), _scan(spark, sf_dir))
     return findings.select("resource_id", "registry_status", F.array_join("undeclared_pii", ",").alias("undeclared_pii"))
