@@ -21,6 +21,7 @@ from shredline.operators import connectors as CN
 from shredline.operators import deletion as D
 from shredline.operators import keys as K
 from shredline.operators import lineage as LIN
+from shredline.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -73,7 +74,10 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
     # 2. plan and execute connector wipes (hot-path destinations with a connector)
     hot = LIN.add_destinations(reg, events)
     tasks = LIN.cleanup_plan(ids, hot).join(ids, ["tenant_id", "user_id"])
-    results = CN.run_wipes(tasks, connectors)
+    # External calls happen exactly once: the results are checkpointed to the shared checkpoint
+    # folder before the three consumers below (a task retry re-runs only its own, idempotent wipes).
+    ensure_checkpoint_dir(spark)
+    results = CN.run_wipes(tasks, connectors).checkpoint(eager=True)
     wipes = results.select("deletion_request_id", "destination", "status", "attempts", "records_found",
                            F.lit(None).cast("bigint").alias("rows_affected"), "error", now.alias("updated_at"))
     if previous_wipes is not None:
