@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shredline import schemas
 from shredline.functions import text as TX
 from shredline.operators.util import literal_table
+from shredline.session import ensure_checkpoint_dir
 
 KEYS = ["tenant_id", "user_id"]
 RETRY_LIMIT = 3
@@ -129,13 +130,15 @@ def _advance(state: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new_state, decisions
 
 
-def advance(state: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def advance(state: DataFrame, moves: DataFrame, checkpoint_every: int = 4) -> tuple[DataFrame, DataFrame]:
     """STA-07 for batches with several moves per request: applied in ``at`` order, one round per move.
 
     Each round takes the next pending move of every request (a window pick,
     never a collected list), so memory per task stays bounded however many
     moves one request has. The number of rounds is the largest number of
-    moves any request has in the batch.
+    moves any request has in the batch. Every ``checkpoint_every`` rounds the
+    state and decisions are checkpointed (reliable checkpoint in the shared
+    folder) so the plan does not grow with the number of rounds.
     """
     w = Window.partitionBy("deletion_request_id").orderBy("at", "operation_id", "to_status")
     pending = moves.withColumn("_seq", F.row_number().over(w))
@@ -144,6 +147,9 @@ def advance(state: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     for r in range(1, rounds + 1):
         state, dec = _advance(state, pending.where(F.col("_seq") == r).drop("_seq"))
         all_decisions = all_decisions.unionByName(dec)
+        if r % checkpoint_every == 0 and r < rounds:
+            ensure_checkpoint_dir(state.sparkSession)
+            state, all_decisions = state.checkpoint(), all_decisions.checkpoint()
     return state, all_decisions
 
 

@@ -112,3 +112,13 @@ def test_requests_by_requester_keyset_page(spark):
     assert len(page) == 50 and max(r.rank for r in page) == 50
     nxt = D.by_requester(st, 50, F.lit(T + dt.timedelta(days=10))).collect()
     assert len(nxt) == 10 and {r.deletion_request_id for r in nxt} == {f"r{i}" for i in range(10)}
+
+
+def test_many_rounds_cut_lineage(spark):
+    state = _state(spark, [("r1", "t", "u", "CASCADE_PARTIAL_FAILURE", T, None)])
+    seq = ["CASCADE_IN_PROGRESS", "CASCADE_PARTIAL_FAILURE"] * 5
+    moves = spark.createDataFrame([("r1", s, f"op{i}", T + dt.timedelta(hours=i + 1)) for i, s in enumerate(seq)],
+                                  "deletion_request_id string, to_status string, operation_id string, at timestamp")
+    new, dec = D.advance(state, moves, checkpoint_every=3)
+    assert dec.where("accepted").count() == 10 and new.collect()[0].status == "CASCADE_PARTIAL_FAILURE"
+    assert len(new.collect()[0].status_history) == 10
