@@ -16,7 +16,8 @@ def spark():
     from shredline.session import build_session, ensure_checkpoint_dir
 
     s = build_session("local[4]", 4, app_name="shredline-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="shredline-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="shredline-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="shredline-test-wh-")})
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
