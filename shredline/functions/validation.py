@@ -20,6 +20,28 @@ SOURCE_MAX = 128
 LINEAGE_CLASSIFICATIONS = ["PII", "ENCRYPTED_ONLY", "UNSTRUCTURED_CACHE", "GHOST_DATA", "AUDIT_TRAIL",
                            "METADATA", "UNKNOWN"]
 RETENTION_POLICIES = ["DELETE", "REDACT", "IMMUTABLE"]
+# Request validation messages.
+MESSAGES = {
+    "user_pattern": "{name} must contain only alphanumeric characters, hyphens, and underscores",
+    "user_min": "{name} must be at least 1 character",
+    "user_max": "{name} must not exceed 64 characters",
+    "user_required": "{name} is required",
+    "user_alias": "one of userId or user_id is required",
+    "plaintext_required": "plaintext is required",
+    "plaintext_empty": "Plaintext cannot be empty",
+    "plaintext_max": "Plaintext must not exceed 10KB",
+    "ciphertext_required": "ciphertext is required",
+    "ciphertext_format": "Ciphertext must be in format v{version}:{base64}",
+    "source_required": "source is required",
+    "source_empty": "Source cannot be empty",
+    "source_max": "Source must not exceed 128 characters",
+    "destination_required": "destination is required",
+    "destination_empty": "Destination cannot be empty",
+    "destination_max": "Destination must not exceed 128 characters",
+    "classification": "dataClassification must be one of the allowed values",
+    "retention": "retentionPolicy must be one of DELETE, REDACT, IMMUTABLE",
+    "timestamp": "{name} must be a valid timestamp",
+}
 
 
 def _c(x) -> Column:
@@ -38,12 +60,12 @@ def user_id_rules(col, required: bool = True, name: str = "userId") -> list[tupl
     c = _c(col)
     rules = [
         (c.isNotNull() & (F.length(c) >= 1) & ~c.rlike(USER_ID_PATTERN),
-         f"{name} must contain only alphanumeric characters, hyphens, and underscores"),
-        (c.isNotNull() & (F.length(c) < 1), f"{name} must be at least 1 character"),
-        (c.isNotNull() & (F.length(c) > USER_ID_MAX), f"{name} must not exceed {USER_ID_MAX} characters"),
+         MESSAGES["user_pattern"].format(name=name)),
+        (c.isNotNull() & (F.length(c) < 1), MESSAGES["user_min"].format(name=name)),
+        (c.isNotNull() & (F.length(c) > USER_ID_MAX), MESSAGES["user_max"].format(name=name)),
     ]
     if required:
-        rules.insert(0, (c.isNull(), f"{name} is required"))
+        rules.insert(0, (c.isNull(), MESSAGES["user_required"].format(name=name)))
     return rules
 
 
@@ -51,17 +73,17 @@ def plaintext_rules(col) -> list[tuple[Column, str]]:
     """VAL-02."""
     c = _c(col)
     return [
-        (c.isNull(), "plaintext is required"),
-        (F.length(c) < 1, "Plaintext cannot be empty"),
-        (F.length(c) > PLAINTEXT_MAX, "Plaintext must not exceed 10KB"),
+        (c.isNull(), MESSAGES["plaintext_required"]),
+        (F.length(c) < 1, MESSAGES["plaintext_empty"]),
+        (F.length(c) > PLAINTEXT_MAX, MESSAGES["plaintext_max"]),
     ]
 
 
 def bundle_rules(col) -> list[tuple[Column, str]]:
     """VAL-03."""
     c = _c(col)
-    return [(c.isNull(), "ciphertext is required"),
-            (c.isNotNull() & ~c.rlike(DETERMINISTIC_BUNDLE), "Ciphertext must be in format v{version}:{base64}")]
+    return [(c.isNull(), MESSAGES["ciphertext_required"]),
+            (c.isNotNull() & ~c.rlike(DETERMINISTIC_BUNDLE), MESSAGES["ciphertext_format"])]
 
 
 def lineage_event_rules(df: DataFrame) -> list[tuple[Column, str]]:
@@ -74,17 +96,17 @@ def lineage_event_rules(df: DataFrame) -> list[tuple[Column, str]]:
     source, dest = col("source"), col("destination")
     cls_ = col("dataClassification", "data_classification")
     ret = col("retentionPolicy", "retention_policy")
-    rules = [(user.isNull(), "one of userId or user_id is required")]
+    rules = [(user.isNull(), MESSAGES["user_alias"])]
     rules += user_id_rules(user, required=False)
     rules += [
-        (source.isNull(), "source is required"),
-        (source.isNotNull() & (F.length(source) < 1), "Source cannot be empty"),
-        (F.length(source) > SOURCE_MAX, "Source must not exceed 128 characters"),
-        (dest.isNull(), "destination is required"),
-        (dest.isNotNull() & (F.length(dest) < 1), "Destination cannot be empty"),
-        (F.length(dest) > SOURCE_MAX, "Destination must not exceed 128 characters"),
-        (cls_.isNotNull() & ~cls_.isin(*LINEAGE_CLASSIFICATIONS), "dataClassification must be one of the allowed values"),
-        (ret.isNotNull() & ~ret.isin(*RETENTION_POLICIES), "retentionPolicy must be one of DELETE, REDACT, IMMUTABLE"),
+        (source.isNull(), MESSAGES["source_required"]),
+        (source.isNotNull() & (F.length(source) < 1), MESSAGES["source_empty"]),
+        (F.length(source) > SOURCE_MAX, MESSAGES["source_max"]),
+        (dest.isNull(), MESSAGES["destination_required"]),
+        (dest.isNotNull() & (F.length(dest) < 1), MESSAGES["destination_empty"]),
+        (F.length(dest) > SOURCE_MAX, MESSAGES["destination_max"]),
+        (cls_.isNotNull() & ~cls_.isin(*LINEAGE_CLASSIFICATIONS), MESSAGES["classification"]),
+        (ret.isNotNull() & ~ret.isin(*RETENTION_POLICIES), MESSAGES["retention"]),
     ]
     return rules
 
@@ -92,7 +114,7 @@ def lineage_event_rules(df: DataFrame) -> list[tuple[Column, str]]:
 def timestamp_rules(col, name: str = "syncedAt") -> list[tuple[Column, str]]:
     """VAL-09: value must parse as a timestamp."""
     c = _c(col)
-    return [(c.isNotNull() & F.try_to_timestamp(c).isNull(), f"{name} must be a valid timestamp")]
+    return [(c.isNotNull() & F.try_to_timestamp(c).isNull(), MESSAGES["timestamp"].format(name=name))]
 
 
 def split_valid(df: DataFrame, rules: list[tuple[Column, str]], keep: list[str] | None = None):

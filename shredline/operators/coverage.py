@@ -14,6 +14,18 @@ from shredline.operators import policy as P
 
 STATE_ORDER = {"EXPOSED": 0, "PARTIAL": 1, "PROTECTED": 2}
 
+# Coverage reason texts (wording equals the reference's).
+REASONS = {
+    "weak": "not key-reversible: ",
+    "no_fields": "no fields",
+    "strategy": "deletion strategy is {strategy}, not CRYPTO_SHRED",
+    "no_user": "no user identity link (userIdColumn) — no per-user key",
+    "warn": "policy WARNs",
+    "fail": "policy evaluation FAILs",
+    "drift": "schema drift vs registry",
+    "undeclared": "discovered but undeclared",
+}
+
 
 def entry_weight() -> Column:
     """FN-13: Σ field sensitivity (unknown classification → 1), at least 0.5."""
@@ -41,18 +53,19 @@ def classify() -> tuple[Column, Column]:
     reversible = (F.size(fields) > 0) & (F.size(weak) == 0)
     weak_text = F.array_join(F.transform(weak, lambda f: F.concat(f["name"], F.lit("="), f["handling"])), ", ")
     reasons = F.array_compact(F.array(
-        F.when(~reversible, F.concat(F.lit("not key-reversible: "),
-                                     F.when(F.length(weak_text) > 0, weak_text).otherwise(F.lit("no fields")))),
+        F.when(~reversible, F.concat(F.lit(REASONS["weak"]),
+                                     F.when(F.length(weak_text) > 0, weak_text).otherwise(F.lit(REASONS["no_fields"])))),
         F.when(F.coalesce(F.col("deletion_strategy"), F.lit("")) != "CRYPTO_SHRED",
-               F.concat(F.lit("deletion strategy is "), F.coalesce(F.col("deletion_strategy"), F.lit("undefined")),
-                        F.lit(", not CRYPTO_SHRED"))),
+               F.concat(F.lit(REASONS["strategy"].split("{strategy}")[0]),
+                        F.coalesce(F.col("deletion_strategy"), F.lit("undefined")),
+                        F.lit(REASONS["strategy"].split("{strategy}")[1]))),
         F.when(F.col("user_id_column").isNull() | (F.col("user_id_column") == ""),
-               F.lit("no user identity link (userIdColumn) — no per-user key")),
-        F.when(F.col("policy_status") == "WARN", F.lit("policy WARNs")),
+               F.lit(REASONS["no_user"])),
+        F.when(F.col("policy_status") == "WARN", F.lit(REASONS["warn"])),
     ))
     fail = F.col("policy_status") == "FAIL"
     state = F.when(fail, "EXPOSED").when(F.size(reasons) == 0, "PROTECTED").otherwise("PARTIAL")
-    return state, F.when(fail, F.array(F.lit("policy evaluation FAILs"))).otherwise(reasons)
+    return state, F.when(fail, F.array(F.lit(REASONS["fail"]))).otherwise(reasons)
 
 
 def items(entries: DataFrame, findings: DataFrame) -> DataFrame:
@@ -64,8 +77,8 @@ def items(entries: DataFrame, findings: DataFrame) -> DataFrame:
     ids = entries.select("resource_id").distinct()
     und = findings.join(ids, "resource_id", "left_anti").select(
         "resource_id", "system", F.lit("EXPOSED").alias("state"), discovery_weight().alias("weight"),
-        F.array(F.when(F.col("registry_status") == "DRIFTED", "schema drift vs registry")
-                .otherwise("discovered but undeclared")).alias("reasons"), F.lit(1).alias("kind"))
+        F.array(F.when(F.col("registry_status") == "DRIFTED", F.lit(REASONS["drift"]))
+                .otherwise(F.lit(REASONS["undeclared"]))).alias("reasons"), F.lit(1).alias("kind"))
     return declared.unionByName(und)
 
 

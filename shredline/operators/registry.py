@@ -35,6 +35,23 @@ DEFAULT_SCAN_PATTERNS = ["EMAIL", "PHONE", "NAME"]
 CLASSIFICATION_SEVERITY = ["DIRECT_IDENTIFIER", "SENSITIVE", "CONTACT", "QUASI_IDENTIFIER", "BEHAVIORAL",
                            "SYSTEM_IDENTIFIER"]
 
+# Declaration error messages (wording equals the reference's; {…} are filled in).
+DECLARATION_MESSAGES = {
+    "tenant": "tenantId is required (pass it via the x-tenant-id header).",
+    "resource": "resourceId is required.",
+    "resource_shape": 'resourceId must be a URI-like value such as "bigquery:project.dataset.table" or "gcs:bucket/prefix".',
+    "one_of": "{field} must be one of: {values}.",
+    "array_item": ("sourceRedactionStrategies[{i}] must be one of: {values} "
+                   "('NONE' is not valid inside the array -- send an empty array for none)."),
+    "user_column": ("userIdColumn is required when sourceRedactionStrategies is non-empty "
+                    "(REDACT_IN_PLACE, SHADOW_COPY, and ENCRYPTED_COPY all need it)."),
+    "same_column": "userIdColumn and tenantIdColumn cannot be the same column.",
+    "no_fields": "piiFields must contain at least one field.",
+    "field_name": "piiFields[{i}].name is required.",
+    "field_one_of": "piiFields[{i}].{attr} must be one of: {values}.",
+    "view_redaction": "REDACT_IN_PLACE cannot be declared on a view; use SHADOW_COPY or ENCRYPTED_COPY.",
+}
+
 ENTRY_COLS = schemas.REGISTRY_ENTRY.fieldNames()
 
 
@@ -278,6 +295,16 @@ def _one_of(c: Column, allowed: list[str]) -> Column:
     return c.isNotNull() & ~c.isin(*allowed)
 
 
+def _one_of_msg(field: str, values: list[str]) -> str:
+    return DECLARATION_MESSAGES["one_of"].format(field=field, values=", ".join(values))
+
+
+def _indexed(template: str, i: Column, **kw) -> Column:
+    """A message with the field/array index (a column) spliced in at ``{i}``."""
+    head, tail = template.format(i="\0", **kw).split("\0")
+    return F.concat(F.lit(head), i.cast("string"), F.lit(tail))
+
+
 def declaration_errors(d: DataFrame) -> Column:
     """VAL-05: every rule, collected in order; per-field messages carry the field index.
 
@@ -286,50 +313,43 @@ def declaration_errors(d: DataFrame) -> Column:
     source_redaction_strategies (array or NULL), status, fields (array of
     struct(name, classification, handling)), scan_mode.
     """
+    m = DECLARATION_MESSAGES
     strat_arr = F.col("source_redaction_strategies")
     legacy = F.col("source_redaction_strategy")
     resolved = F.coalesce(strat_arr, F.when(legacy.isNotNull() & (legacy != "NONE"), F.array(legacy)),
                           F.array().cast("array<string>"))
     rules = [
-        (blank("tenant_id"), "tenantId is required (pass it via the x-tenant-id header)."),
-        (blank("resource_id"), "resourceId is required."),
-        (~blank("resource_id") & ~TX.is_resource_id("resource_id"),
-         'resourceId must be a URI-like value such as "bigquery:project.dataset.table" or "gcs:bucket/prefix".'),
-        (F.col("system").isNull() | ~F.col("system").isin(*SYSTEMS), f"system must be one of: {', '.join(SYSTEMS)}."),
-        (_one_of(F.col("resource_layer"), LAYERS), f"resourceLayer must be one of: {', '.join(LAYERS)}."),
-        (_one_of(F.col("visibility"), VISIBILITIES), f"visibility must be one of: {', '.join(VISIBILITIES)}."),
-        (_one_of(F.col("deletion_strategy"), DELETION_STRATEGIES),
-         f"deletionStrategy must be one of: {', '.join(DELETION_STRATEGIES)}."),
+        (blank("tenant_id"), m["tenant"]),
+        (blank("resource_id"), m["resource"]),
+        (~blank("resource_id") & ~TX.is_resource_id("resource_id"), m["resource_shape"]),
+        (F.col("system").isNull() | ~F.col("system").isin(*SYSTEMS), _one_of_msg("system", SYSTEMS)),
+        (_one_of(F.col("resource_layer"), LAYERS), _one_of_msg("resourceLayer", LAYERS)),
+        (_one_of(F.col("visibility"), VISIBILITIES), _one_of_msg("visibility", VISIBILITIES)),
+        (_one_of(F.col("deletion_strategy"), DELETION_STRATEGIES), _one_of_msg("deletionStrategy", DELETION_STRATEGIES)),
         (_one_of(legacy, SOURCE_REDACTION_STRATEGIES),
-         f"sourceRedactionStrategy must be one of: {', '.join(SOURCE_REDACTION_STRATEGIES)}."),
+         _one_of_msg("sourceRedactionStrategy", SOURCE_REDACTION_STRATEGIES)),
     ]
     base = VAL.errors(rules)
     bad_array = F.array_compact(F.transform(
         F.coalesce(strat_arr, F.array().cast("array<string>")),
-        lambda v, i: F.when(~v.isin(*SOURCE_REDACTION_ARRAY_STRATEGIES), F.concat(
-            F.lit("sourceRedactionStrategies["), i.cast("string"),
-            F.lit(f"] must be one of: {', '.join(SOURCE_REDACTION_ARRAY_STRATEGIES)} "
-                  "('NONE' is not valid inside the array -- send an empty array for none).")))))
+        lambda v, i: F.when(~v.isin(*SOURCE_REDACTION_ARRAY_STRATEGIES),
+                            _indexed(m["array_item"], i, values=", ".join(SOURCE_REDACTION_ARRAY_STRATEGIES)))))
     tail_rules = [
-        ((F.size(resolved) > 0) & blank("user_id_column"),
-         "userIdColumn is required when sourceRedactionStrategies is non-empty "
-         "(REDACT_IN_PLACE, SHADOW_COPY, and ENCRYPTED_COPY all need it)."),
+        ((F.size(resolved) > 0) & blank("user_id_column"), m["user_column"]),
         (~blank("user_id_column") & ~blank("tenant_id_column") & (F.col("user_id_column") == F.col("tenant_id_column")),
-         "userIdColumn and tenantIdColumn cannot be the same column."),
-        (_one_of(F.col("status"), STATUSES), f"status must be one of: {', '.join(STATUSES)}."),
-        (F.coalesce(F.size("fields"), F.lit(0)) <= 0, "piiFields must contain at least one field."),
+         m["same_column"]),
+        (_one_of(F.col("status"), STATUSES), _one_of_msg("status", STATUSES)),
+        (F.coalesce(F.size("fields"), F.lit(0)) <= 0, m["no_fields"]),
     ]
     fields_idx = F.transform(F.coalesce(F.col("fields"), F.array()), lambda f, i: F.struct(f.alias("f"), i.alias("i")))
     per_field = F.flatten(F.transform(fields_idx, lambda x: F.array_compact(F.array(
-        F.when(blank(x["f"]["name"]), F.concat(F.lit("piiFields["), x["i"].cast("string"), F.lit("].name is required."))),
+        F.when(blank(x["f"]["name"]), _indexed(m["field_name"], x["i"])),
         F.when(x["f"]["classification"].isNull() | ~x["f"]["classification"].isin(*CLASSIFICATIONS),
-               F.concat(F.lit("piiFields["), x["i"].cast("string"),
-                        F.lit(f"].classification must be one of: {', '.join(CLASSIFICATIONS)}."))),
+               _indexed(m["field_one_of"], x["i"], attr="classification", values=", ".join(CLASSIFICATIONS))),
         F.when(x["f"]["handling"].isNull() | ~x["f"]["handling"].isin(*HANDLINGS),
-               F.concat(F.lit("piiFields["), x["i"].cast("string"),
-                        F.lit(f"].handling must be one of: {', '.join(HANDLINGS)}."))),
+               _indexed(m["field_one_of"], x["i"], attr="handling", values=", ".join(HANDLINGS))),
     ))))
-    scan = [(_one_of(F.col("scan_mode"), SCAN_MODES), f"ghostDataScan.scanMode must be one of: {', '.join(SCAN_MODES)}.")]
+    scan = [(_one_of(F.col("scan_mode"), SCAN_MODES), _one_of_msg("ghostDataScan.scanMode", SCAN_MODES))]
     return F.concat(base, bad_array, VAL.errors(tail_rules), per_field, VAL.errors(scan))
 
 
@@ -459,5 +479,4 @@ def view_conflicts(decls: DataFrame, table_types: DataFrame) -> DataFrame:
     return (decls.join(table_types, "resource_id", "inner")
             .where((F.col("table_type") == "VIEW") & F.array_contains(resolved, "REDACT_IN_PLACE"))
             .select("decl_id", "tenant_id", "resource_id",
-                    F.lit("REDACT_IN_PLACE cannot be declared on a view; use SHADOW_COPY or ENCRYPTED_COPY.")
-                    .alias("error")))
+                    F.lit(DECLARATION_MESSAGES["view_redaction"]).alias("error")))

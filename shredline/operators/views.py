@@ -19,6 +19,17 @@ CATALOG_SCHEMA = ("tenant_id string, view_name string, fields array<string>, jus
                   "revoked_at timestamp, revoked_by string")
 
 
+# View declaration rule messages.
+VIEW_MESSAGES = {
+    "name": "View name must be a valid identifier: letters, numbers, underscores, not starting with a number.",
+    "justification": "businessJustification is required.",
+    "fields": "At least one declared field is required.",
+    "unsynced": "Some declared fields have no synced rows in the vault for this tenant.",
+    "exists": "Decrypted view already exists for tenant.",
+    "duplicate": "Duplicate declaration in batch.",
+}
+
+
 def empty_catalog(spark) -> DataFrame:
     return spark.createDataFrame([], CATALOG_SCHEMA)
 
@@ -41,14 +52,12 @@ def declare(catalog: DataFrame, decls: DataFrame, available: DataFrame, now: Col
     active = catalog.where(F.col("status") == "active").select("tenant_id", "view_name", F.lit(True).alias("_active"))
     d = d.join(missing, ["tenant_id", "view_name", "_n"], "left").join(active, ["tenant_id", "view_name"], "left")
     errs = VAL.errors([
-        (~TX.is_safe_identifier("view_name"),
-         "View name must be a valid identifier: letters, numbers, underscores, not starting with a number."),
-        (F.col("justification").isNull() | (F.length(F.trim("justification")) == 0), "businessJustification is required."),
-        (F.coalesce(F.size("fields"), F.lit(0)) <= 0, "At least one declared field is required."),
-        (F.size(F.coalesce("_missing", F.array().cast("array<string>"))) > 0,
-         "Some declared fields have no synced rows in the vault for this tenant."),
-        (F.col("_active").isNotNull(), "Decrypted view already exists for tenant."),
-        (F.col("_n") > 1, "Duplicate declaration in batch."),
+        (~TX.is_safe_identifier("view_name"), VIEW_MESSAGES["name"]),
+        (F.col("justification").isNull() | (F.length(F.trim("justification")) == 0), VIEW_MESSAGES["justification"]),
+        (F.coalesce(F.size("fields"), F.lit(0)) <= 0, VIEW_MESSAGES["fields"]),
+        (F.size(F.coalesce("_missing", F.array().cast("array<string>"))) > 0, VIEW_MESSAGES["unsynced"]),
+        (F.col("_active").isNotNull(), VIEW_MESSAGES["exists"]),
+        (F.col("_n") > 1, VIEW_MESSAGES["duplicate"]),
     ])
     d = d.withColumn("errors", errs)
     ok = d.where(F.size("errors") == 0)
