@@ -356,42 +356,61 @@ def declaration_errors(d: DataFrame) -> Column:
 def build_entries(decls: DataFrame, existing: DataFrame | None, now: Column) -> tuple[DataFrame, DataFrame]:
     """VAL-05 + VAL-06 + STA-12: validate declarations and build canonical manual entries.
 
-    Several declarations of one (tenant, resource) in a batch apply in
-    ``declared_at`` order (then ``decl_id``): the last one wins, as repeated
-    upserts would. ``existing`` entries of the same tenant keep their
-    ``created_at`` and ``declared_by``; ``last_modified_by`` is the actor of
-    this write (NULL if none); ``updated_at_column`` cleared → watermark cleared.
+    Several valid declarations of one (tenant, resource) apply in
+    ``declared_at`` order (then ``decl_id``), as repeated upserts into a
+    merging store would:
+
+    * fields with defaults (visibility, strategy, status, scan policy, fields)
+      come from the last declaration;
+    * optional fields left empty keep their earlier value — the last non-empty
+      one in the batch, else the stored entry's (resource_layer, tenant and user
+      columns);
+    * ``updated_at_column`` is always the last declaration's, and the sync
+      watermark survives only if no declaration cleared that column;
+      ``last_sync_attempt_at`` is never touched;
+    * ``created_at`` / ``declared_by`` come from the stored entry, else the first
+      declaration (first non-empty actor); ``last_modified_by`` is the last
+      declaration's actor, empty included.
     Returns (entries, rejects).
     """
     checked = decls.withColumn("errors", declaration_errors(decls))
     rejects = checked.where(F.size("errors") > 0).select("decl_id", "tenant_id", "resource_id", "errors")
     ok = checked.where(F.size("errors") == 0)
-    w = Window.partitionBy("tenant_id", "resource_id").orderBy(F.col("declared_at").desc(), F.col("decl_id").desc())
-    first_w = Window.partitionBy("tenant_id", "resource_id").orderBy(F.col("declared_at").asc(), F.col("decl_id").asc())
-    ok = (ok.withColumn("_first_at", F.first("declared_at").over(first_w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-          .withColumn("_first_by", F.first("actor", ignorenulls=True).over(first_w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    keys = ["tenant_id", "resource_id"]
+    w = Window.partitionBy(*keys).orderBy(F.col("declared_at").desc(), F.col("decl_id").desc())
+    seq = Window.partitionBy(*keys).orderBy("declared_at", "decl_id").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    ok = (ok.withColumn("_first_at", F.first("declared_at").over(seq))
+          .withColumn("_first_by", F.first("actor", ignorenulls=True).over(seq))
+          .withColumn("_m_layer", F.last("resource_layer", ignorenulls=True).over(seq))
+          .withColumn("_m_tcol", F.last("tenant_id_column", ignorenulls=True).over(seq))
+          .withColumn("_m_ucol", F.last("user_id_column", ignorenulls=True).over(seq))
+          .withColumn("_all_upcol", F.min(F.col("updated_at_column").isNotNull().cast("int")).over(seq))
           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn"))
     legacy = F.col("source_redaction_strategy")
     resolved = F.coalesce(F.col("source_redaction_strategies"),
                           F.when(legacy.isNotNull() & (legacy != "NONE"), F.array(legacy)),
                           F.array().cast("array<string>"))
+    ex_cols = {"_ex_created": ("created_at", "timestamp"), "_ex_by": ("declared_by", "string"),
+               "_ex_synced": ("last_synced_at", "timestamp"), "_ex_attempt": ("last_sync_attempt_at", "timestamp"),
+               "_ex_layer": ("resource_layer", "string"), "_ex_tcol": ("tenant_id_column", "string"),
+               "_ex_ucol": ("user_id_column", "string")}
     if existing is not None:
         ex = existing.where(F.col("owner_connector") == MANUAL).select(
-            "tenant_id", "resource_id", F.col("created_at").alias("_ex_created"),
-            F.col("declared_by").alias("_ex_by"), F.col("last_synced_at").alias("_ex_synced"),
-            F.col("last_sync_attempt_at").alias("_ex_attempt"), F.col("updated_at_column").alias("_ex_upcol"))
-        ok = ok.join(ex, ["tenant_id", "resource_id"], "left")
+            *keys, *[F.col(src).alias(alias) for alias, (src, _t) in ex_cols.items()])
+        ok = ok.join(ex, keys, "left")
     else:
-        ok = (ok.withColumn("_ex_created", _null("timestamp")).withColumn("_ex_by", _null("string"))
-              .withColumn("_ex_synced", _null("timestamp")).withColumn("_ex_attempt", _null("timestamp"))
-              .withColumn("_ex_upcol", _null("string")))
-    keep_watermark = F.col("updated_at_column").isNotNull()
+        for alias, (_src, t) in ex_cols.items():
+            ok = ok.withColumn(alias, _null(t))
+    keep_watermark = F.col("updated_at_column").isNotNull() & (F.col("_all_upcol") == 1)
     entries = ok.select(
-        F.date_format(now, "yyyy-MM-dd").alias("registry_version"), "resource_id", "system", "resource_layer",
+        F.date_format(now, "yyyy-MM-dd").alias("registry_version"), "resource_id", "system",
+        F.coalesce("_m_layer", "_ex_layer").alias("resource_layer"),
         F.coalesce(F.col("visibility"), F.lit("CUSTOMER_FACING")).alias("visibility"),
-        "tenant_id_column", "user_id_column", "updated_at_column",
+        F.coalesce("_m_tcol", "_ex_tcol").alias("tenant_id_column"),
+        F.coalesce("_m_ucol", "_ex_ucol").alias("user_id_column"), "updated_at_column",
         F.when(keep_watermark, F.col("_ex_synced")).alias("last_synced_at"),
-        F.when(keep_watermark, F.col("_ex_attempt")).alias("last_sync_attempt_at"),
+        F.col("_ex_attempt").alias("last_sync_attempt_at"),
         F.transform("fields", lambda f: F.struct(
             f["name"].alias("name"), f["classification"].alias("classification"), f["handling"].alias("handling"),
             F.lit(False).alias("required_in_mart"), F.lit("DECLARED").alias("confidence"),

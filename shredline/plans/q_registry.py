@@ -96,7 +96,11 @@ FROM declarations"""
 MANUAL_SQL = """SELECT tenant_id, resource_id,
   arg_max(decl_id, (declared_at, decl_id)) AS decl_id,
   min(declared_at) AS created_at, max(declared_at) AS updated_at,
-  first(actor ORDER BY declared_at, decl_id) FILTER (WHERE actor IS NOT NULL) AS declared_by
+  first(actor ORDER BY declared_at, decl_id) FILTER (WHERE actor IS NOT NULL) AS declared_by,
+  arg_max(resource_layer, (declared_at, decl_id)) FILTER (WHERE resource_layer IS NOT NULL) AS m_layer,
+  arg_max(tenant_id_column, (declared_at, decl_id)) FILTER (WHERE tenant_id_column IS NOT NULL) AS m_tcol,
+  arg_max(user_id_column, (declared_at, decl_id)) FILTER (WHERE user_id_column IS NOT NULL) AS m_ucol,
+  bool_and(updated_at_column IS NOT NULL) AS all_upcol
 FROM decl_checked WHERE n_errors = 0 GROUP BY tenant_id, resource_id"""
 
 MANUAL_FULL_SQL = """SELECT m.tenant_id, m.resource_id, m.created_at, m.updated_at, m.declared_by, d.actor AS last_modified_by,
@@ -106,7 +110,8 @@ MANUAL_FULL_SQL = """SELECT m.tenant_id, m.resource_id, m.created_at, m.updated_
        WHEN d.source_redaction_strategy IS NOT NULL AND d.source_redaction_strategy <> 'NONE' THEN d.source_redaction_strategy
        ELSE '' END AS strategies,
   coalesce(d.scan_enabled, true) AS scan_enabled, coalesce(d.scan_mode, 'SAMPLED') AS scan_mode,
-  d.updated_at_column, d.user_id_column, d.tenant_id_column, d.system, d.fields_spec
+  d.updated_at_column, m.m_ucol AS user_id_column, m.m_tcol AS tenant_id_column, m.m_layer AS resource_layer,
+  m.all_upcol, d.system, d.fields_spec
 FROM manual0 m JOIN decl_checked d ON d.decl_id = m.decl_id"""
 
 DISCOVERY_SQL = """SELECT * FROM (
@@ -195,7 +200,8 @@ def declaration_errors(spark, sf_dir):
 @register("sta12_upsert_declarations", with_fixtures(["declarations"], f"""
 SELECT tenant_id, resource_id, {duck_iso('created_at')} AS created_at, {duck_iso('updated_at')} AS updated_at,
   declared_by, last_modified_by, deletion_strategy, visibility, status, source_redaction_strategy, strategies,
-  scan_enabled, scan_mode, updated_at_column, CAST(len(string_split(fields_spec, ';')) AS BIGINT) AS n_fields
+  scan_enabled, scan_mode, updated_at_column, CAST(len(string_split(fields_spec, ';')) AS BIGINT) AS n_fields,
+  resource_layer, tenant_id_column, user_id_column
 FROM manual""", [("decl_checked", DECL_CHECK_SQL), ("manual0", MANUAL_SQL), ("manual", MANUAL_FULL_SQL)]))
 def upsert_declarations(spark, sf_dir):
     e = manual_entries(spark, sf_dir)
@@ -205,7 +211,8 @@ def upsert_declarations(spark, sf_dir):
                     F.array_join("source_redaction_strategies", ",").alias("strategies"),
                     F.col("ghost_data_scan.enabled").alias("scan_enabled"),
                     F.col("ghost_data_scan.scan_mode").alias("scan_mode"), "updated_at_column",
-                    F.size("pii_fields").cast("bigint").alias("n_fields"))
+                    F.size("pii_fields").cast("bigint").alias("n_fields"),
+                    "resource_layer", "tenant_id_column", "user_id_column")
 
 
 # --- SET-01 / SET-02 composition ----------------------------------------------------------------------

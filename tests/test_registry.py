@@ -169,3 +169,34 @@ def test_watermarks_only_move_forward(spark):
     assert str(r.last_synced_at).startswith("2026-06-01") and r.last_sync_attempt_at is None
     older = marks.where("synced_at < '2026-05'")
     assert str(REG.advance_watermarks(e, older).collect()[0].last_synced_at).startswith("2026-05-01")
+
+
+def test_upsert_merges_like_repeated_writes(spark):
+    import datetime as dt
+    base = {"tenant_id": "t", "resource_id": "bigquery:p.d.c", "system": "bigquery", "visibility": None,
+            "tenant_id_column": "tenant_id", "deletion_strategy": None, "source_redaction_strategy": None,
+            "status": None, "scan_mode": None, "fields_spec": "email:CONTACT:ENCRYPT"}
+    rows = [dict(base, decl_id=1, resource_layer="RAW", user_id_column="uid", updated_at_column="updated_at",
+                 actor="a@x", declared_at=dt.datetime(2026, 8, 1)),
+            dict(base, decl_id=2, resource_layer=None, user_id_column=None, updated_at_column="updated_at",
+                 actor=None, declared_at=dt.datetime(2026, 8, 2))]
+    keys = sorted(rows[0])
+    types = {"decl_id": "int", "declared_at": "timestamp"}
+    d = spark.createDataFrame([tuple(r[k] for k in keys) for r in rows],
+                              ", ".join(f"{k} {types.get(k, 'string')}" for k in keys))
+    d = d.withColumn("fields", REG.parse_fields("fields_spec")) \
+        .withColumn("source_redaction_strategies", F.lit(None).cast("array<string>")) \
+        .withColumn("scan_enabled", F.lit(True))
+    stored = REG.conform(spark.createDataFrame(
+        [("t", "bigquery:p.d.c", "manual", dt.datetime(2026, 1, 1), "first@x", dt.datetime(2026, 7, 1),
+          dt.datetime(2026, 7, 2))],
+        "tenant_id string, resource_id string, owner_connector string, created_at timestamp, declared_by string, "
+        "last_synced_at timestamp, last_sync_attempt_at timestamp"))
+    e = REG.build_entries(d, stored, F.lit(dt.datetime(2026, 9, 1)))[0].collect()[0]
+    assert e.resource_layer == "RAW" and e.user_id_column == "uid"          # empty fields keep earlier values
+    assert e.last_modified_by is None and e.declared_by == "first@x"        # actor cleared; first declarer kept
+    assert str(e.created_at).startswith("2026-01-01") and str(e.last_synced_at).startswith("2026-07-01")
+    cleared = d.withColumn("updated_at_column", F.when(F.col("decl_id") == 1, F.lit(None)).otherwise(F.col("updated_at_column")))
+    e2 = REG.build_entries(cleared, stored, F.lit(dt.datetime(2026, 9, 1)))[0].collect()[0]
+    assert e2.updated_at_column == "updated_at" and e2.last_synced_at is None   # watermark cleared on the way
+    assert str(e2.last_sync_attempt_at).startswith("2026-07-02")
