@@ -176,11 +176,11 @@ def key_status(registry: DataFrame) -> DataFrame:
 def encryption_contexts(registry: DataFrame, users: DataFrame) -> DataFrame:
     """FIL-12: per requested user, the wrapped DEK and key id, or an error row.
 
-    404 when there is no key or it is shredded/deleted, 500 when the active
-    version's material is missing, 200 otherwise.
+    404 when there is no key or it is shredded/deleted, 500 when a live key
+    row has no material for its active version, 200 otherwise.
     """
     j = _requests(users).join(registry, KEYS, "left")
-    dead = F.col("status").isNull() | F.col("status").isin(*DEAD) | (F.coalesce(F.size("deks"), F.lit(0)) == 0)
+    dead = F.col("status").isNull() | F.col("status").isin(*DEAD)
     material = F.try_element_at("deks", F.col("active_dek_id"))
     code = F.when(dead, 404).when(F.col("active_dek_id").isNull() | material.isNull(), 500).otherwise(200)
     return j.select(
@@ -192,6 +192,7 @@ def encryption_contexts(registry: DataFrame, users: DataFrame) -> DataFrame:
         F.when(code == 200, F.lit("AES-256-GCM")).alias("algorithm"),
         F.when(code == 200, F.col("token_algorithm")).alias("token_algorithm"),
         F.when(code == 200, F.col("token_key_id")).alias("token_key_id"),
+        F.when(code == 200, F.col("encryption_version")).alias("encryption_version"),
     )
 
 

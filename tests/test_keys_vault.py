@@ -77,6 +77,9 @@ def test_encryption_contexts_codes(spark):
     ok = {r.user_id: r.status_code for r in K.encryption_contexts(reg, req).collect()}
     assert ok == {"u1": 200, "u2": 404, "u3": 404}
     assert {r.user_id: r.status_code for r in K.encryption_contexts(broken, req).collect()}["u1"] == 500
+    empty = reg.withColumn("deks", F.when(F.col("user_id") == "u1", F.create_map().cast("map<string,binary>"))
+                           .otherwise(F.col("deks")))
+    assert {r.user_id: r.status_code for r in K.encryption_contexts(empty, req).collect()}["u1"] == 500
 
 
 def test_pivot_prefers_newest_decryptable_and_cross_tenant_isolation(spark):
