@@ -36,20 +36,31 @@ class ErasureRun:
     events: DataFrame
 
 
+# Janitor event types.
+WIPE_STARTED = "SaaS_WIPE_STARTED"
+WIPE_COMPLETED = "SaaS_WIPE_COMPLETED"
+
+
 def janitor_events(results: DataFrame, now: Column) -> DataFrame:
-    """STA-18 events: one STARTED and one COMPLETED/FAILED lineage event per wipe task (no personal data)."""
+    """STA-18 events: a STARTED event per attempt and a COMPLETED event (final status) per task."""
     base = results.select("tenant_id", "user_id", "destination", "status", "attempts", "deletion_request_id")
-    started = base.select("tenant_id", "user_id", "destination", F.lit("JANITOR_TASK_STARTED").alias("event_type"),
-                          "deletion_request_id", "attempts")
-    done = base.select("tenant_id", "user_id", "destination",
-                       F.when(F.col("status") == "SUCCEEDED", "JANITOR_TASK_COMPLETED").otherwise("JANITOR_TASK_FAILED")
-                       .alias("event_type"), "deletion_request_id", "attempts")
+    started = (base.where(F.col("attempts") > 0)
+               .select("tenant_id", "user_id", "destination",
+                       F.explode(F.sequence(F.lit(1), F.col("attempts").cast("int"))).alias("attempt"))
+               .select("tenant_id", "user_id", "destination", F.lit(WIPE_STARTED).alias("event_type"),
+                       F.to_json(F.struct(F.col("destination").alias("destination_system"), "attempt")).alias("context")))
+    done = base.select(
+        "tenant_id", "user_id", "destination", F.lit(WIPE_COMPLETED).alias("event_type"),
+        F.to_json(F.struct(F.col("destination").alias("destination_system"),
+                           F.when(F.col("status") == "SUCCEEDED", "COMPLETE").otherwise("FAILED").alias("status")))
+        .alias("context"))
     ev = started.unionByName(done)
     return ev.select(
-        F.expr("uuid()").alias("event_id"), "tenant_id", "user_id", F.lit("janitor").alias("source"), "destination",
-        now.alias("timestamp"),
-        F.to_json(F.struct("event_type", "deletion_request_id", "attempts")).alias("context"),
-        F.lit(None).cast("string").alias("metadata"), F.lit("AUDIT_TRAIL").alias("data_classification"))
+        F.expr("uuid()").alias("event_id"), "tenant_id", "user_id", F.lit("janitor-service").alias("source"),
+        "destination", now.alias("timestamp"),
+        F.to_json(F.map_concat(F.create_map(F.lit("event_type"), F.col("event_type")),
+                               F.from_json("context", "map<string,string>"))).alias("context"),
+        F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("data_classification"))
 
 
 def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resources: DataFrame,
