@@ -35,11 +35,13 @@ def encrypt_table(df: DataFrame, fields: list[str], resource_id: str, kv: DataFr
     without a usable key produce no rows (see ``encrypt_rejects``).
     The output is nondeterministic (random IVs): write it before reuse.
     """
-    long = (df.select(F.col(tenant_col).alias("tenant_id"), F.col(user_col).alias("user_id"),
-                      *[F.col(f).cast("string").alias(f) for f in fields])
-            .unpivot(KEYS, fields, "field_name", "value")
-            .where(F.col("value").isNotNull()))
-    keyed = long.join(kv.select(*KEYS, "active_dek_id", "dek_map"), KEYS, "inner")
+    # Join the keys on the narrow source rows first, unpivot after: the shuffle carries one row per
+    # source row, not one per (row, field).
+    narrow = df.select(F.col(tenant_col).alias("tenant_id"), F.col(user_col).alias("user_id"),
+                       *[F.col(f).cast("string").alias(f) for f in fields])
+    keyed = (narrow.join(kv.select(*KEYS, "active_dek_id", "dek_map"), KEYS, "inner")
+             .unpivot([*KEYS, "active_dek_id", "dek_map"], fields, "field_name", "value")
+             .where(F.col("value").isNotNull()))
     pads = bounded_broadcast(token_pads(tenant_keys))
     keyed = keyed.join(pads, "tenant_id", "left")
     dek = F.try_element_at("dek_map", F.col("active_dek_id"))
@@ -99,13 +101,19 @@ def decrypted_pivot(vault: DataFrame, kv: DataFrame, fields: list[str], tenant:
 
 
 def latest_ciphertext(vault: DataFrame, kv: DataFrame) -> DataFrame:
-    """WIN-03: newest row per (tenant, user, resource, field), decryptable or not."""
-    j = vault.join(kv.select(*KEYS, "dek_map"), KEYS, "left")
+    """WIN-03: newest row per (tenant, user, resource, field), decryptable or not.
+
+    The vault is hash partitioned once on (tenant_id, user_id): the window
+    (finer keys) and the key join (same keys) both reuse that partitioning,
+    and the window sorts vault rows before the key maps are attached.
+    """
+    v = vault.repartition("tenant_id", "user_id")
     w = Window.partitionBy("tenant_id", "user_id", "resource_id", "field_name").orderBy(
         F.col("synced_at").desc(), F.col("key_id").desc(), F.col("encrypted_value").desc())
-    latest = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    latest = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    j = latest.join(kv.select(*KEYS, "dek_map"), KEYS, "left")
     dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("encrypted_value")))
-    return latest.withColumn("value", C.decrypt_bundle(F.col("encrypted_value"), F.col("user_id"), dek)).drop("dek_map")
+    return j.withColumn("value", C.decrypt_bundle(F.col("encrypted_value"), F.col("user_id"), dek)).drop("dek_map")
 
 
 def adhoc_decrypt(requests: DataFrame, vault: DataFrame, kv: DataFrame) -> tuple[DataFrame, DataFrame]:
