@@ -152,7 +152,9 @@ def reencrypt(vault: DataFrame, kv: DataFrame) -> DataFrame:
     decrypt (shredded users, corrupt bundles) are kept unchanged, so the row
     count before and after the rewrite is equal.
     """
-    dv = decrypt_vault(vault, kv).join(kv.select(*KEYS, "active_dek_id", "dek_map"), KEYS, "left")
+    dv = vault.join(kv.select(*KEYS, "active_dek_id", "dek_map"), KEYS, "left")
+    old_dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("encrypted_value")))
+    dv = dv.withColumn("value", C.decrypt_bundle(F.col("encrypted_value"), F.col("user_id"), old_dek))
     current = C.bundle_key_id(F.col("encrypted_value")) == F.col("active_dek_id")
     dek = F.try_element_at("dek_map", F.col("active_dek_id"))
     moved = dv.where(~current & F.col("value").isNotNull()).select(
