@@ -138,9 +138,13 @@ def available_fields(vault: DataFrame) -> DataFrame:
     return vault.select("tenant_id", "field_name").distinct()
 
 
-def synced_tenants(vault: DataFrame, limit: int = 5) -> DataFrame:
-    """FIL-14: first ``limit`` synced tenant ids (diagnostic for tenant mismatch)."""
-    return vault.select("tenant_id").distinct().orderBy("tenant_id").limit(limit)
+def synced_tenants(vault: DataFrame, limit: int = 5, exclude: str | None = None) -> DataFrame:
+    """FIL-14: first ``limit`` synced tenant ids, other than ``exclude`` (diagnostic for a tenant
+    mismatch: a tenant with no synced fields is shown which tenants do have data)."""
+    t = vault.select("tenant_id").distinct()
+    if exclude is not None:
+        t = t.where(F.col("tenant_id") != exclude)
+    return t.orderBy("tenant_id").limit(limit)
 
 
 def reencrypt(vault: DataFrame, kv: DataFrame) -> DataFrame:
