@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shredline.operators import keys as K
 from shredline.operators import lineage as LIN
 from shredline.operators.util import iso, join_sorted
 from shredline.plans import scenario as SC
