@@ -67,3 +67,42 @@ def test_latest_ciphertext_shares_one_vault_shuffle(spark, stored, no_broadcast)
     assert plan.count("REPARTITION_BY_COL") == 1
     window_side = plan.split("SortMergeJoin")[1]
     assert window_side.index("Window") < window_side.index("REPARTITION_BY_COL")
+
+
+def test_hot_user_partition_is_split_by_aqe(spark, tmp_dir):
+    """One user holds a third of the vault: AQE splits that partition of the join; the answer stays whole."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from shredline.functions import crypto as C
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        tk = spark.createDataFrame([("A",)], "tenant_id string").withColumn("kek", F.unhex(F.sha2(F.lit("k"), 256))) \
+            .withColumn("token_key", F.unhex(F.sha2(F.lit("t"), 256)))
+        users = spark.range(1000).select(F.lit("A").alias("tenant_id"), F.concat(F.lit("u"), F.col("id")).alias("user_id"))
+        t0 = F.lit(dt.datetime(2026, 1, 1))
+        kv = K.key_versions(K.generate(K.empty_registry(spark), users, tk, t0, dek_fn=C.seeded_dek).state, tk)
+        rows = spark.range(15000).select(
+            F.lit("A").alias("tenant_id"),
+            F.when(F.col("id") < 5000, F.lit("u0")).otherwise(F.concat(F.lit("u"), F.col("id") % 1000)).alias("user_id"),
+            F.concat(F.lit("v"), F.col("id")).alias("email"))
+        V.encrypt_table(rows, ["email"], "r", kv, tk, t0).write.parquet(f"{tmp_dir}/vault")
+        df = V.decrypted_pivot(spark.read.parquet(f"{tmp_dir}/vault"), kv, ["email"])
+        out = df.collect()
+        assert len(out) == 1000 and all(r.email is not None for r in out)
+        assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
