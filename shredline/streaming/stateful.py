@@ -2,8 +2,11 @@
 
 All three use ``applyInPandasWithState``: the state per key is a handful of
 scalars (counts, status, chain head), so it stays O(1) per key however long
-the stream runs. Inside a micro-batch a key's rows arrive as an iterator of
-Arrow chunks and are applied chunk by chunk in event-time order.
+the stream runs. Inside a micro-batch a key's rows can arrive split over
+several Arrow chunks; they are put in event-time order across the whole
+micro-batch before the fold (a key's rows in one trigger, bounded by the
+source's trigger limit such as ``maxFilesPerTrigger``). Across micro-batches
+messages apply in arrival order, as a live system would.
 """
 
 from __future__ import annotations
@@ -22,23 +25,29 @@ PROGRESS_OUT = ("run_id string, status string, chunks_total long, chunks_complet
 PROGRESS_STATE = "chunks_total long, chunks_completed long, chunks_failed long, completed_at timestamp"
 
 
+def _in_order(chunks, by: list[str]) -> pd.DataFrame:
+    """All of a key's rows in this micro-batch, in event-time order."""
+    parts = list(chunks)
+    pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+    return pdf.sort_values(by, kind="stable", na_position="first")
+
+
 def _progress(key, chunks, state):
     (run_id,) = key
     if state.exists:
         total, done, failed, completed_at = state.get
     else:
         total, done, failed, completed_at = None, 0, 0, None
-    for pdf in chunks:
-        pdf = pdf.sort_values(["at", "chunk_id"], kind="stable", na_position="first")
-        for kind, n, outcome, at in zip(pdf["kind"], pdf["chunks_total"], pdf["outcome"], pdf["at"]):
-            if kind == "total":
-                total = int(n)
-            elif outcome == "completed":
-                done += 1
-            elif outcome == "failed":
-                failed += 1
-            if completed_at is None and total is not None and done >= total:
-                completed_at = at
+    pdf = _in_order(chunks, ["at", "chunk_id"])
+    for kind, n, outcome, at in zip(pdf["kind"], pdf["chunks_total"], pdf["outcome"], pdf["at"]):
+        if kind == "total":
+            total = int(n)
+        elif outcome == "completed":
+            done += 1
+        elif outcome == "failed":
+            failed += 1
+        if completed_at is None and total is not None and done >= total:
+            completed_at = at
     state.update((total, done, failed, completed_at))
     status = "enumerating" if total is None else ("complete" if done >= total else "running")
     yield pd.DataFrame({"run_id": [run_id], "status": [status], "chunks_total": [total],
@@ -62,18 +71,18 @@ def _status(key, rows, state):
     (rid,) = key
     status = state.get[0] if state.exists else None
     out = []
-    for pdf in rows:
-        # snapshots first, then moves in time order
-        pdf = pdf.assign(_snap=(pdf["kind"] != "snapshot")).sort_values(
-            ["_snap", "at", "operation_id", "to_status"], kind="stable")
-        for kind, to, at in zip(pdf["kind"], pdf["to_status"], pdf["at"]):
-            if kind == "snapshot":
-                status = to
-                continue
-            ok = status is not None and to in schemas.TRANSITIONS.get(status, [])
-            out.append((rid, status, to, ok, at, "move"))
-            if ok:
-                status = to
+    pdf = _in_order(rows, ["at"])
+    # snapshots first, then moves in time order
+    pdf = pdf.assign(_snap=(pdf["kind"] != "snapshot")).sort_values(
+        ["_snap", "at", "operation_id", "to_status"], kind="stable")
+    for kind, to, at in zip(pdf["kind"], pdf["to_status"], pdf["at"]):
+        if kind == "snapshot":
+            status = to
+            continue
+        ok = status is not None and to in schemas.TRANSITIONS.get(status, [])
+        out.append((rid, status, to, ok, at, "move"))
+        if ok:
+            status = to
     if status is not None:
         state.update((status,))
     yield pd.DataFrame(out, columns=["deletion_request_id", "from_status", "to_status", "accepted", "at", "kind"])
@@ -97,21 +106,20 @@ CHAIN_STATE = "sequence long, last_hash string"
 def _chain(key, rows, state):
     (tenant,) = key
     seq, last = state.get if state.exists else (0, None)
-    for pdf in rows:
-        pdf = pdf.sort_values(["created_at", "deletion_request_id"], kind="stable")
-        out = {k: [] for k in ("tenant_id", "sequence", "deletion_request_id", "user_id", "previous_hash",
-                               "certificate_hash", "certificate")}
-        for rid, uid, cj, k in zip(pdf["deletion_request_id"], pdf["user_id"], pdf["claims_json"], pdf["sign_key"]):
-            seq += 1
-            prev = "null" if last is None else f'"{last}"'
-            token, h = CERT._sign_and_hash(cj[:-1] + f',"previous_certificate_hash":{prev},"chain_sequence":{seq}}}',
-                                           bytes(k))
-            for col, v in (("tenant_id", tenant), ("sequence", seq), ("deletion_request_id", rid), ("user_id", uid),
-                           ("previous_hash", last), ("certificate_hash", h), ("certificate", token)):
-                out[col].append(v)
-            last = h
-        yield pd.DataFrame(out)
+    pdf = _in_order(rows, ["created_at", "deletion_request_id"])
+    out = {k: [] for k in ("tenant_id", "sequence", "deletion_request_id", "user_id", "previous_hash",
+                           "certificate_hash", "certificate")}
+    for rid, uid, cj, k in zip(pdf["deletion_request_id"], pdf["user_id"], pdf["claims_json"], pdf["sign_key"]):
+        seq += 1
+        prev = "null" if last is None else f'"{last}"'
+        token, h = CERT._sign_and_hash(cj[:-1] + f',"previous_certificate_hash":{prev},"chain_sequence":{seq}}}',
+                                       bytes(k))
+        for col, v in (("tenant_id", tenant), ("sequence", seq), ("deletion_request_id", rid), ("user_id", uid),
+                       ("previous_hash", last), ("certificate_hash", h), ("certificate", token)):
+            out[col].append(v)
+        last = h
     state.update((seq, last))
+    yield pd.DataFrame(out)
 
 
 def chain(claims: DataFrame) -> DataFrame:
