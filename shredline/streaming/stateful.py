@@ -25,11 +25,25 @@ PROGRESS_OUT = ("run_id string, status string, chunks_total long, chunks_complet
 PROGRESS_STATE = "chunks_total long, chunks_completed long, chunks_failed long, completed_at timestamp"
 
 
-def _in_order(chunks, by: list[str]) -> pd.DataFrame:
-    """All of a key's rows in this micro-batch, in event-time order."""
-    parts = list(chunks)
-    pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-    return pdf.sort_values(by, kind="stable", na_position="first")
+def _in_order(chunks, cols: list[str], order: list[str]) -> list[tuple]:
+    """All of a key's rows in this micro-batch as tuples of ``cols``, sorted by ``order`` (NULLs first).
+
+    Plain tuples, not pandas operations: groups are small and this runs once per key.
+    """
+    rows = []
+    for pdf in chunks:
+        rows.extend(zip(*(pdf[c].tolist() for c in cols)))
+    idx = [cols.index(c) for c in order]
+
+    def key(r):
+        return tuple((0, 0) if _missing(r[i]) else (1, r[i]) for i in idx)
+
+    rows.sort(key=key)
+    return rows
+
+
+def _missing(v) -> bool:
+    return v is None or (isinstance(v, float) and v != v) or v is pd.NaT
 
 
 def _progress(key, chunks, state):
@@ -38,8 +52,8 @@ def _progress(key, chunks, state):
         total, done, failed, completed_at = state.get
     else:
         total, done, failed, completed_at = None, 0, 0, None
-    pdf = _in_order(chunks, ["at", "chunk_id"])
-    for kind, n, outcome, at in zip(pdf["kind"], pdf["chunks_total"], pdf["outcome"], pdf["at"]):
+    for kind, n, outcome, at, _cid in _in_order(chunks, ["kind", "chunks_total", "outcome", "at", "chunk_id"],
+                                                ["at", "chunk_id"]):
         if kind == "total":
             total = int(n)
         elif outcome == "completed":
@@ -71,11 +85,10 @@ def _status(key, rows, state):
     (rid,) = key
     status = state.get[0] if state.exists else None
     out = []
-    pdf = _in_order(rows, ["at"])
+    msgs = _in_order(rows, ["kind", "to_status", "at", "operation_id"], ["at", "operation_id", "to_status"])
     # snapshots first, then moves in time order
-    pdf = pdf.assign(_snap=(pdf["kind"] != "snapshot")).sort_values(
-        ["_snap", "at", "operation_id", "to_status"], kind="stable")
-    for kind, to, at in zip(pdf["kind"], pdf["to_status"], pdf["at"]):
+    msgs.sort(key=lambda r: r[0] != "snapshot")
+    for kind, to, at, _op in msgs:
         if kind == "snapshot":
             status = to
             continue
@@ -106,10 +119,10 @@ CHAIN_STATE = "sequence long, last_hash string"
 def _chain(key, rows, state):
     (tenant,) = key
     seq, last = state.get if state.exists else (0, None)
-    pdf = _in_order(rows, ["created_at", "deletion_request_id"])
     out = {k: [] for k in ("tenant_id", "sequence", "deletion_request_id", "user_id", "previous_hash",
                            "certificate_hash", "certificate")}
-    for rid, uid, cj, k in zip(pdf["deletion_request_id"], pdf["user_id"], pdf["claims_json"], pdf["sign_key"]):
+    for _ts, rid, uid, cj, k in _in_order(rows, ["created_at", "deletion_request_id", "user_id", "claims_json",
+                                                 "sign_key"], ["created_at", "deletion_request_id"]):
         seq += 1
         prev = "null" if last is None else f'"{last}"'
         token, h = CERT._sign_and_hash(cj[:-1] + f',"previous_certificate_hash":{prev},"chain_sequence":{seq}}}',
