@@ -66,3 +66,19 @@ def test_hot_path_and_dead_letters_streams(spark, tmp_dir):
                                        [("r2", "hubspot", "FAILED", T)]], schema)
     dl = run_available(ING.dead_letters(w), "t_dlq")
     assert sorted(r.deletion_request_id for r in dl.collect()) == ["r1", "r2"]
+
+
+def test_ingest_quarantines_events_when_the_sink_fails(spark, tmp_dir):
+    """SRC-07: a failing event write diverts the batch to the quarantine folder; rejects still land."""
+    import os
+
+    payloads = spark.createDataFrame([("u1", "api", "hubspot", None), ("bad user!", "api", "crm", None)],
+                                     "user_id string, source string, destination string, context string")
+    events = f"{tmp_dir}/events"
+    with open(events, "w") as fh:            # a plain file where the events folder should be: the write fails
+        fh.write("not a folder")
+    ING.ingest_batch(payloads, events, f"{tmp_dir}/rejects", f"{tmp_dir}/quarantine", batch_id=0)
+    q = spark.read.json(f"{tmp_dir}/quarantine")
+    assert [r.user_id for r in q.collect()] == ["u1"]
+    assert spark.read.parquet(f"{tmp_dir}/rejects").count() == 1
+    assert os.path.isfile(events)
