@@ -153,3 +153,18 @@ def test_audit_events_and_paging(spark):
     page = AU.by_actor(ev, 2, "a@x").collect()
     assert [r.resource_id for r in sorted(page, key=lambda r: r.rank)] == ["u9", "r1"]
     assert AU.page_size("abc") == 50 and AU.page_size(-1) == 50 and AU.page_size(500) == 200 and AU.page_size("7") == 7
+
+
+def test_scan_and_crawl_events_feed_the_lineage_readers(spark):
+    docs = spark.createDataFrame([(f"contact {i} at p{i}@example.com",) for i in range(200)], "text string")
+    full = SCN.scan_columns(docs, "bigquery:p.raw.docs", ["text"])
+    sampled = SCN.scan_columns(docs, "bigquery:p.raw.docs", ["text"], mode="SAMPLED", fraction=0.2)
+    f, s = full.collect()[0], sampled.collect()[0]
+    assert f.rows_matched == 200 and 0 < s.rows_matched < 200 and s.scan_mode == "SAMPLED"
+    ghosts = LIN.ghost_groups(SCN.ghost_events(full, F.lit(T), "A")).collect()
+    assert len(ghosts) == 1 and ghosts[0].user_id == "UNKNOWN" and ghosts[0].finding_count == 200
+    inv = spark.createDataFrame([("bigquery:p.raw.docs", "text", "string")], "resource_id string, column_name string, data_type string")
+    reg = spark.createDataFrame([], "resource_id string, pii_fields array<struct<name:string>>")
+    crawl = SCN.crawl(inv, None, reg, full)
+    disc = LIN.discovery_findings(SCN.crawl_events(crawl, F.lit(T), "A")).collect()
+    assert [(d.resource_id, d.registry_status, d.columns) for d in disc] == [("bigquery:p.raw.docs", "UNREGISTERED", ["text"])]
