@@ -63,10 +63,13 @@ def write_version(df: DataFrame, root: str, purge: bool = True, partition_by: li
     Writing completes before the pointer moves, so readers never see a
     partial table; a failed job leaves the previous version current. The
     DataFrame is fully computed by the write, so nondeterministic columns
-    (fresh keys, random IVs) are fixed from here on.
+    (fresh keys, random IVs) are fixed from here on. A write that fails leaves
+    the pointer where it was.
     """
     spark = df.sparkSession
-    n = (current_version(spark, root) or 0) + 1
+    # Skip every existing version folder, also one a failed earlier write left behind (it is
+    # never current and is removed by the purge once this write has moved the pointer).
+    n = max([current_version(spark, root) or 0, *versions(spark, root)]) + 1
     target = f"{root}/v={n}"
     w = df.write.mode("errorifexists")
     if partition_by:

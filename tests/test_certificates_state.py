@@ -84,3 +84,19 @@ def test_shred_purges_old_key_versions_from_storage(spark, tmp_dir):
     assert wrapped not in blobs
     cur = {r.user_id: r.status for r in state.read_current(spark, root).collect()}
     assert cur == {"u1": "SHREDDED", "u2": "ACTIVE"}
+
+
+def test_failed_write_keeps_the_current_version(spark, tmp_dir):
+    root = f"{tmp_dir}/table"
+    state.write_version(spark.range(3).toDF("x"), root)
+    bad = spark.range(3).toDF("x").select(F.when(F.col("x") == 2, F.raise_error(F.lit("boom"))).otherwise(F.col("x"))
+                                          .alias("x"))
+    try:
+        state.write_version(bad, root)
+        raise AssertionError("the failing write should raise")
+    except Exception as exc:  # noqa: BLE001
+        assert "boom" in str(exc)
+    assert state.current_version(spark, root) == 1 and state.read_current(spark, root).count() == 3
+    n = state.write_version(spark.range(5).toDF("x"), root)      # the next write still goes through
+    assert state.current_version(spark, root) == n and state.read_current(spark, root).count() == 5
+    assert state.versions(spark, root) == [n]
