@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shredline.llm import decontamination, lm_scoring, packing, simhash
+from shredline.llm import (decontamination, language_id, license_scan, lm_scoring, packing, pii, quality, sharding,
+                           simhash, url_filter)
 from shredline.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,13 +30,24 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.judge(decontamination.match_benchmark(docs, table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-                        "contaminated", "longest")
+                        "contaminated")
 
 
 @query
@@ -47,3 +59,95 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.NAMES)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    ensure_checkpoint_dir(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+#: DuckDB words of a text column t: lower-cased A-Z, ASCII letters and digits and everything beyond ASCII.
+_WORDS = ("regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+i AS (SELECT DISTINCT item_id, {_WORDS.format(t="text")} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS width, array_to_string(w[j : j + least(13, len(w)) - 1], ' ') AS gram
+       FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS j FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, width, p, array_to_string(w[p : p + width - 1], ' ') AS gram
+       FROM (SELECT doc_id, w, width, unnest(generate_series(1, len(w) - width + 1)) AS p
+             FROM d, (SELECT DISTINCT width FROM iw) WHERE len(w) >= width)),
+m AS (SELECT doc_id, item_id, p, width FROM dw JOIN iw USING (width, gram)),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit
+      FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + width - 1)) AS x FROM m) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
+
+
+ORACLES["op2_license_scan"] = f"""
+WITH t AS (SELECT t, label, string_split(body, ' ') AS w, base FROM (VALUES {_values(
+    [(i, label, body, base) for i, (label, body, base) in enumerate(
+        [(a, b, True) for a, b in license_scan.BASE] + [(a, b, False) for a, b in license_scan.NOTICES])]
+)}) AS v(t, label, body, base)),
+g AS (SELECT t, label, base, len(w) - 1 AS grams, p, w[p + 1] AS w1, w[p + 2] AS w2
+      FROM (SELECT *, unnest(generate_series(0, len(w) - 2)) AS p FROM t)),
+d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+x AS (SELECT doc_id, q, w[q + 1] AS w1, w[q + 2] AS w2
+      FROM (SELECT *, unnest(generate_series(0, len(w) - 2)) AS q FROM d WHERE len(w) > 1)),
+v AS (SELECT doc_id, t, label, base, grams, q - p AS diagonal, min(q) AS first, max(q) AS last, count(*) AS votes,
+             bit_or(1::BIGINT << p::INTEGER) AS mask
+      FROM x JOIN g USING (w1, w2) GROUP BY ALL),
+n AS (SELECT *, CASE WHEN base OR lag(diagonal) OVER near IS NULL OR abs(diagonal - lag(diagonal) OVER near) > 3
+                       OR first > lag(last) OVER near + 5 THEN 1 ELSE 0 END AS new
+      FROM v WINDOW near AS (PARTITION BY doc_id, t ORDER BY first, diagonal)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
+c AS (SELECT doc_id, t, label, base, grams, span, bit_count(bit_or(mask)) AS found, min(first) AS a, max(last) + 2 AS b,
+             bool_or(votes = grams) AS whole
+      FROM s GROUP BY ALL),
+k AS (SELECT *, found / grams::DOUBLE AS share,
+             CASE WHEN base THEN whole ELSE found / grams::DOUBLE >= 0.6 AND b - a <= ceil(1.5 * (grams + 1)) END AS counts
+      FROM c),
+r AS (SELECT doc_id, count(*) FILTER (counts AND base) AS n_base, min(a) FILTER (counts AND base) AS first_word,
+             max(a) FILTER (counts AND base) AS last_word, max(share) AS score,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counts AND base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counts) AS labels
+      FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -1,0 +1,13 @@
+import pytest
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture()
+def frame(spark):
+    """Documents with clashing extra columns from (doc_id, text) pairs."""
+    def make(rows, kind="long"):
+        extra = [(i, t, "x", 1, "y", 0.5, "z") for i, t in rows]
+        return spark.createDataFrame(
+            extra, f"doc_id {kind}, text string, fp string, n_words int, grp string, score double, items string")
+    return make
