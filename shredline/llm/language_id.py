@@ -83,7 +83,7 @@ class BackoffModel:
         return self.langs[top], float(1.0 / np.exp(np.minimum(total - total[top], 0.0)).sum())
 
 
-def fit(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int = 1500) -> BackoffModel:
+def fit(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int = 600) -> BackoffModel:
     """The model from a bounded sample of the rows that are not held out."""
     learn = docs.select("doc_id", "text", "lang").where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)
@@ -91,30 +91,31 @@ def fit(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     own = (learn.select("doc_id", "lang").withColumn("at", F.row_number().over(first))
            .where(F.col("at") <= train_rows).select("doc_id", "lang").distinct())
-    sample = learn.join(F.broadcast(own), ["doc_id", "lang"], "left_semi")     # at most train_rows ids of each language
+    sample = learn.join(F.broadcast(own), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")   # at most train_rows ids of each language
 
     def count(batches):
-        found: Counter = Counter()
+        words: Counter = Counter()
 
         def batch():
+            found: Counter = Counter()
+            for (lang, word), times in words.items():
+                found[lang, 0, word] += times
+                for n in range(1, LONGEST + 1):
+                    for g in grams(word, n):
+                        found[lang, n, g] += times
+            words.clear()
             keys = list(found)
-            out = pa.RecordBatch.from_arrays([
+            return pa.RecordBatch.from_arrays([
                 pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
                 pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())],
                 names=["lang", "n", "item", "count"])
-            found.clear()
-            return out
 
         for part in batches:
             for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                for word, times in Counter(words_of(text)).items():
-                    found[lang, 0, word] += times
-                    for n in range(1, LONGEST + 1):
-                        for g in grams(word, n):
-                            found[lang, n, g] += times
-                if len(found) > 200_000:
+                words.update((lang, w) for w in words_of(text))
+                if len(words) > 100_000:
                     yield batch()
-        if found:
+        if words:
             yield batch()
 
     counted = (sample.mapInArrow(count, "lang string, n int, item string, count long")
@@ -147,7 +148,7 @@ def predict(docs: DataFrame, model: BackoffModel, keep: int = 200_000) -> DataFr
     return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int = 600) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     found = predict(docs, fit(docs, hold_mod, hold_rest, train_rows))
     return found.select("doc_id", (remainder(F.col("doc_id"), hold_mod) == hold_rest).alias("held_out"),

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from shredline.llm.common import binary_column, counter_index, number, text_slices
@@ -193,7 +194,7 @@ def judge(docs: DataFrame, labels: DataFrame, model=None, content: float = 0.5)
     model = model or fit(docs, labels)
     docs = docs.select(*[c for c in docs.columns if c not in NAMES])
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-    schema = docs.schema
+    schema = StructType(list(docs.schema))
     for name, kind in zip(NAMES, ["long"] * 5 + ["boolean"] * 2 + ["double"]):
         schema = schema.add(name, kind)
 

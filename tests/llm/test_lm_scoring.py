@@ -67,19 +67,24 @@ def test_empty_table_and_nothing_learned(frame):
 
 
 def test_probabilities_sum_to_one(frame):
-    texts = [(1, "a b a c"), (2, "b a")]
-    words = ["a", "b", "c", ""]
-    lines = [(100 + i, "a " + w) for i, w in enumerate(words)]
-    assert all(zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in texts)
-    # each state's arcs over the vocabulary and one unknown type
-    from shredline.llm.lm_scoring import _asked  # noqa: F401
-    got = brute(texts + [], 2)
-    assert got and lines
-    counts = Counter({"a": 3, "b": 2, "c": 1, "": 2})
-    n, v = 8, 4
-    uni = {w: (c + 1) / (n + v + 1) for w, c in counts.items()} | {"?": 1 / (n + v + 1)}
-    follow = Counter({"b": 1, "c": 1, "": 1})
-    assert sum((follow[w] + 100 * p) / (3 + 100) for w, p in uni.items()) == pytest.approx(1.0)
+    """The next token's probabilities in a state, read off pairs of texts that differ in one more token."""
+    held = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 7 == 2]
+    free = [d for d in range(100) if d not in held]
+    train = list(zip(free, ["a b a c", "b a", "c"]))
+    words = ["a", "b", "c", "unknown"]
+    probes = ["a"] + [f"a {w}" for w in words] + [f"a {w} {v}" for w in words for v in words]
+    got = {r.doc_id: 10 ** r.score for r in score_texts(frame(train + list(zip(held, probes)))).collect()}
+    total = {t: got[d] for d, t in zip(held, probes)}
+    stop = total["a"]
+    one = sum(total[f"a {w}"] for w in words)
+    counts, follow = {"a": 3, "b": 2, "c": 2, "": 3}, {"b": 1, "c": 1, "": 1}
+    n, v = 10, 4
+    uni = {w: (c + 1) / (n + v + 1) for w, c in counts.items()} | {"unknown": 1 / (n + v + 1)}
+    after_a = {w: (follow.get(w, 0) + 100 * p) / (3 + 100) for w, p in uni.items()}
+    assert sum(after_a.values()) == pytest.approx(1.0)
+    end_after_b = 100 * uni[""] / (counts["b"] + 100)           # no text ends after b
+    assert total["a b"] / stop == pytest.approx(after_a["b"] / after_a[""] * end_after_b)
+    assert 0 < one < stop / after_a[""]
 
 
 def test_traverse_carries_the_state():
