@@ -49,22 +49,23 @@ def events(entries: DataFrame, requests: DataFrame) -> DataFrame:
     return registry_events(entries).unionByName(deletion_events(requests))
 
 
-def _page(ev: DataFrame, key: str, size) -> DataFrame:
-    n = page_size(size)
-    w = Window.partitionBy(key).orderBy(F.col("timestamp").desc(), "type", "resource_id",
-                                        F.col("tenant_id").asc_nulls_first(), "actor_email")
-    return ev.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def _ranked(ev: DataFrame, key: str, page, after) -> DataFrame:
+    newest = [F.col("timestamp").desc(), "type", "resource_id", "actor_email"]
+    ranked = ev.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id", key).orderBy(*newest)))
+    if page is None:
+        return ranked if not after else ranked.where(F.col("rank") > after)
+    return ranked.where((F.col("rank") > after) & (F.col("rank") <= after + page_size(page)))
 
 
-def by_actor(ev: DataFrame, size=None, actor: str | None = None) -> DataFrame:
-    """QRY-09 actor view: newest first, one page per actor (all actors when none given)."""
-    if actor is not None:
-        ev = ev.where(F.col("actor_email") == actor)
-    return _page(ev, "actor_email", size)
+def by_actor(ev: DataFrame, actor: str | None = None, page=None, after: int = 0) -> DataFrame:
+    """QRY-09 actor view: every actor's events within a tenant, newest first by ``rank``.
 
+    ``page`` asks for one page of each list (clamped, see ``page_size``), ``after`` is the cursor: the last rank seen.
+    """
+    return _ranked(ev if actor is None else ev.where(F.col("actor_email") == actor), "actor_email", page, after)
 
-def by_resource(ev: DataFrame, size=None, resource_id: str | None = None) -> DataFrame:
-    """QRY-09 resource view."""
-    if resource_id is not None:
-        ev = ev.where(F.col("resource_id") == resource_id)
-    return _page(ev, "resource_id", size)
+
+def by_resource(entries: DataFrame, resource_id: str | None = None, page=None, after: int = 0) -> DataFrame:
+    """QRY-09 resource view: the registry events of every resource within a tenant, newest first by ``rank``."""
+    ev = registry_events(entries)
+    return _ranked(ev if resource_id is None else ev.where(F.col("resource_id") == resource_id), "resource_id", page, after)

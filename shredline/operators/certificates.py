@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shredline import schemas
 from shredline.operators import deletion as D
 from shredline.operators import lineage as LIN
-from shredline.operators.util import bounded_broadcast, iso
+from shredline.operators.util import iso
 
 # Fixed token header (HMAC-SHA256 signed; RSA signing is not built).
 TOKEN_HEADER = '{"alg":"HS256","typ":"JWT"}'
@@ -33,8 +33,7 @@ def b64url_text(s: str) -> str:
     return base64.urlsafe_b64encode(s.encode("utf-8")).decode("ascii").rstrip("=")
 
 
-def _q(c: Column) -> Column:
-    return F.concat(F.lit('"'), c, F.lit('"'))
+ITEMS = "array<struct<system:string,status:string,timestamp:string>>"
 
 
 def wipe_label() -> Column:
@@ -43,10 +42,10 @@ def wipe_label() -> Column:
 
 
 def lineage_summary(latest_wipes: DataFrame) -> DataFrame:
-    """Per request: SUCCEEDED destinations as JSON objects (sorted), checked and succeeded counts (AGG-11)."""
+    """Per request: SUCCEEDED destinations (sorted; the time is NULL where none was recorded), checked and succeeded counts (AGG-11)."""
     w = latest_wipes
-    item = F.concat(F.lit('{"system":'), _q(F.col("destination")), F.lit(',"status":'), _q(wipe_label()),
-                    F.lit(',"timestamp":'), _q(iso("updated_at")), F.lit("}"))
+    item = F.struct(F.col("destination").alias("system"), wipe_label().alias("status"),
+                    iso("updated_at").alias("timestamp"))
     return w.groupBy("deletion_request_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("status") == "SUCCEEDED", item))).alias("_items"),
         F.count(F.lit(1)).alias("destinations_checked"),
@@ -57,52 +56,46 @@ def eligible(requests: DataFrame, key_registry: DataFrame) -> DataFrame:
     """Requests whose cascade completed and whose user's key is shredded (the issuing gate)."""
     keys = key_registry.where(F.col("status").isin("SHREDDED", "DELETED")).select(
         "tenant_id", "user_id", "shred_at")
+    updated = F.col("updated_at") if "updated_at" in requests.columns else F.lit(None).cast("timestamp")
     return (requests.where(F.col("status").isin(*schemas.COMPLETED_REQUEST_STATES))
-            .join(keys, ["tenant_id", "user_id"], "inner"))
+            .withColumn("request_updated_at", updated).join(keys, ["tenant_id", "user_id"], "inner"))
 
 
 def claims(requests: DataFrame, key_registry: DataFrame, wipes: DataFrame, events: DataFrame,
-           issued_at: Column, issuer: str = DEFAULT_ISSUER) -> DataFrame:
+           issued_at: Column, issuer: str = DEFAULT_ISSUER, connectors=schemas.CONNECTORS) -> DataFrame:
     """JOIN-06 / FN-23: claims JSON per eligible request (without chain fields).
 
     Lineage comes only from the request's recorded wipes (latest per
-    destination); ghost findings are counted exactly as in the deletion plan.
+    destination); ghost findings are counted exactly as in the deletion plan. The
+    JSON is made by ``to_json``, so ids may hold any character. A key without a
+    shred time takes the request's last change, else its creation, as shred date.
+    ``connectors`` are the names that are registered.
     """
     el = eligible(requests, key_registry)
     summ = lineage_summary(D.latest_wipes(wipes.join(el.select("deletion_request_id"), "deletion_request_id",
                                                      "left_semi")))
-    ghost = _ghost_counts(el.select("tenant_id", "user_id"), events)
+    ghost = LIN.ghost_counts(el.select("tenant_id", "user_id"), events)
     j = el.join(summ, "deletion_request_id", "left").join(ghost, ["tenant_id", "user_id"], "left")
-    known = ",".join(f'"{c}"' for c in schemas.CONNECTORS)
-    js = F.concat(
-        F.lit('{"iss":'), _q(F.lit(issuer)), F.lit(',"sub":'), _q(F.col("user_id")),
-        F.lit(',"tenant_id":'), _q(F.col("tenant_id")), F.lit(',"user_id":'), _q(F.col("user_id")),
-        F.lit(',"deletion_request_id":'), _q(F.col("deletion_request_id")),
-        F.lit(',"key_destruction_status":"COMPLETE","key_destruction_method":"DEK_ERASURE"'),
-        F.lit(',"warehouse_data":"CRYPTOGRAPHICALLY UNREADABLE","shred_date":'), _q(iso("shred_at")),
-        F.lit(',"lineage_summary":['), F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ","),
-        F.lit('],"lineage_coverage":{"destinations_checked":'),
-        F.coalesce("destinations_checked", F.lit(0)).cast("string"),
-        F.lit(',"destinations_succeeded":'), F.coalesce("destinations_succeeded", F.lit(0)).cast("string"),
-        F.lit(f',"known_destination_types":[{known}]}},"ghost_findings":'),
-        F.coalesce("ghost_findings", F.lit(0)).cast("string"),
-        F.lit(',"iat":'), F.unix_timestamp(issued_at).cast("string"), F.lit("}"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    body = F.struct(
+        F.lit(issuer).alias("iss"), F.col("user_id").alias("sub"),
+        F.concat(F.lit("cert-"), F.col("deletion_request_id")).alias("jti"), "tenant_id", "user_id",
+        "deletion_request_id", F.lit("COMPLETE").alias("key_destruction_status"),
+        F.lit("DEK_ERASURE").alias("key_destruction_method"),
+        F.lit("CRYPTOGRAPHICALLY UNREADABLE").alias("warehouse_data"),
+        iso(F.coalesce("shred_at", "request_updated_at", "created_at")).alias("shred_date"),
+        F.coalesce("_items", F.array().cast(ITEMS)).alias("lineage_summary"),
+        F.struct(zero("destinations_checked").alias("destinations_checked"),
+                 zero("destinations_succeeded").alias("destinations_succeeded"),
+                 F.array(*[F.lit(c) for c in sorted(connectors)]).alias("known_destination_types")).alias("lineage_coverage"),
+        zero("ghost_findings").alias("ghost_findings"), F.unix_timestamp(issued_at).alias("iat"))
+    js = F.to_json(body)
     return j.select("tenant_id", "user_id", "deletion_request_id", "created_at",
                     F.coalesce("destinations_checked", F.lit(0)).alias("destinations_checked"),
                     F.coalesce("destinations_succeeded", F.lit(0)).alias("destinations_succeeded"),
                     js.alias("claims_json"))
 
 
-def _ghost_counts(users: DataFrame, events: DataFrame, top: int = LIN.GHOST_TOP) -> DataFrame:
-    g = LIN.ghost_groups(events)
-    own = g.where(F.col("user_id") != "UNKNOWN").groupBy("tenant_id", "user_id").agg(F.count(F.lit(1)).alias("_own"))
-    shared = g.where(F.col("user_id") == "UNKNOWN").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_shared"))
-    u = users.dropDuplicates(["tenant_id", "user_id"]).join(own, ["tenant_id", "user_id"], "left") \
-        .join(shared, "tenant_id", "left")
-    return u.select("tenant_id", "user_id", F.least(F.lit(top), F.coalesce("_own", F.lit(0))
-                                                     + F.coalesce("_shared", F.lit(0))).alias("ghost_findings"))
-
-
 # --- STA-09 / WIN-07 chain ---------------------------------------------------------------------
 
 def _sign_and_hash(payload: str, key: bytes) -> tuple[str, str]:
@@ -152,7 +145,7 @@ def append_chain(claims_df: DataFrame, sign_keys: DataFrame, heads: DataFrame |
     spark = claims_df.sparkSession
     if heads is None:
         heads = spark.createDataFrame([], "tenant_id string, head_sequence long, head_hash string")
-    keys = bounded_broadcast(sign_keys.select("tenant_id", "sign_key"))
+    keys = sign_keys.select("tenant_id", "sign_key")
     x = (claims_df.select("tenant_id", "deletion_request_id", "user_id", "created_at", "claims_json")
          .join(keys, "tenant_id", "left")
          .join(heads.select("tenant_id", "head_sequence", "head_hash"), "tenant_id", "left"))

@@ -6,7 +6,7 @@ the roll-up is a single conditional aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shredline.functions import text as TX
@@ -69,16 +69,20 @@ def classify() -> tuple[Column, Column]:
 
 
 def items(entries: DataFrame, findings: DataFrame) -> DataFrame:
-    """SET-03: declared entries (classified) ∪ findings not already declared (always EXPOSED)."""
+    """SET-03: declared entries (classified) and findings that no entry visible to their tenant declares (EXPOSED).
+
+    Entries without a tenant are visible to all: their items come once, with a NULL ``tenant_id``.
+    """
     ev = P.evaluate(entries)
     state, reasons = classify()
-    declared = ev.select("resource_id", "system", state.alias("state"), entry_weight().alias("weight"),
+    declared = ev.select("tenant_id", "resource_id", "system", state.alias("state"), entry_weight().alias("weight"),
                          reasons.alias("reasons"), F.lit(0).alias("kind"))
-    ids = entries.select("resource_id").distinct()
-    und = findings.join(ids, "resource_id", "left_anti").select(
-        "resource_id", "system", F.lit("EXPOSED").alias("state"), discovery_weight().alias("weight"),
+    own = entries.where("tenant_id is not null").select("tenant_id", "resource_id")
+    shared = entries.where("tenant_id is null").select("resource_id")
+    und = (findings.join(own, ["tenant_id", "resource_id"], "left_anti").join(shared, "resource_id", "left_anti").select(
+        "tenant_id", "resource_id", "system", F.lit("EXPOSED").alias("state"), discovery_weight().alias("weight"),
         F.array(F.when(F.col("registry_status") == "DRIFTED", F.lit(REASONS["drift"]))
-                .otherwise(F.lit(REASONS["undeclared"]))).alias("reasons"), F.lit(1).alias("kind"))
+                .otherwise(F.lit(REASONS["undeclared"]))).alias("reasons"), F.lit(1).alias("kind")))
     return declared.unionByName(und)
 
 
@@ -86,25 +90,26 @@ def state_rank() -> Column:
     return F.when(F.col("state") == "EXPOSED", 0).when(F.col("state") == "PARTIAL", 1).otherwise(2)
 
 
-def sorted_items(it: DataFrame) -> DataFrame:
-    """SRT-01: EXPOSED, PARTIAL, PROTECTED; then weight descending; ties by kind and resource id."""
-    return it.orderBy(state_rank(), F.col("weight").desc(), "kind", "resource_id")
+def ranked_items(it: DataFrame) -> DataFrame:
+    """SRT-01: rank within a tenant: EXPOSED, PARTIAL, PROTECTED; then weight descending; ties by kind and resource id."""
+    order = Window.partitionBy("tenant_id").orderBy(state_rank(), F.col("weight").desc(), "kind", "resource_id")
+    return it.withColumn("rank", F.row_number().over(order))
 
 
 def report(it: DataFrame) -> DataFrame:
-    """AGG-05: counts, weights and score = round(100·(protected + ½·partial)/total); 100 when empty."""
-    def w(s):
-        return F.sum(F.when(F.col("state") == s, F.col("weight")).otherwise(0.0))
-
-    def n(s):
-        return F.count_if(F.col("state") == s)
-
-    agg = it.agg(n("PROTECTED").alias("n_protected"), n("PARTIAL").alias("n_partial"),
-                 n("EXPOSED").alias("n_exposed"), F.count(F.lit(1)).alias("n_total"),
-                 F.coalesce(w("PROTECTED"), F.lit(0.0)).alias("w_protected"),
-                 F.coalesce(w("PARTIAL"), F.lit(0.0)).alias("w_partial"),
-                 F.coalesce(w("EXPOSED"), F.lit(0.0)).alias("w_exposed"),
-                 F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w_total"))
+    """AGG-05: per tenant, the counts, weights and score = round(100·(protected + ½·partial)/total); 100 when empty.
+
+    Items of all tenants (NULL tenant) count for each tenant; they have a row of their own too.
+    """
+    states = ("PROTECTED", "PARTIAL", "EXPOSED")
+    sums = [F.count_if(F.col("state") == s).alias(f"n_{s.lower()}") for s in states]
+    sums += [F.coalesce(F.sum(F.when(F.col("state") == s, F.col("weight"))), F.lit(0.0)).alias(f"w_{s.lower()}") for s in states]
+    by_tenant = it.groupBy("tenant_id").agg(*sums, F.count(F.lit(1)).alias("n_total"), F.sum("weight").alias("w_total"))
+    names = [c for c in by_tenant.columns if c != "tenant_id"]
+    shared = by_tenant.where("tenant_id is null").select(F.lit(True).alias("_own"), *[F.col(c).alias(f"_{c}") for c in names])
+    both = by_tenant.withColumn("_own", F.col("tenant_id").isNotNull()).join(shared, "_own", "left")   # one row
+    both = both.select("tenant_id", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0).cast(by_tenant.schema[c].dataType)))
+                                      .alias(c) for c in names])
     score = F.when(F.col("w_total") == 0, F.lit(100)).otherwise(
-        F.floor((F.col("w_protected") + 0.5 * F.col("w_partial")) / F.col("w_total") * 100 + 0.5).cast("int"))
-    return agg.withColumn("score", score.cast("int"))
+        F.floor((F.col("w_protected") + 0.5 * F.col("w_partial")) / F.col("w_total") * 100 + 0.5))
+    return both.withColumn("score", score.cast("int"))

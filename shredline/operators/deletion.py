@@ -50,25 +50,29 @@ def create(state: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame,
     * else a user with an active request gets it back (``already_existed``);
     * else a new SHRED_REQUESTED request with id = operation id. Several new
       requests of one user in a batch: the first (by operation id) creates,
-      the rest get it back.
-    Returns (new state, outcome).
+      the rest get it back;
+    * one new id under several users in a batch: it belongs to the first by
+      (tenant, user), the others are error rows.
+    Every batch row is answered. Returns (new state, outcome).
     """
-    b = batch.dropDuplicates(["operation_id"])
+    owner = F.struct("tenant_id", "user_id")
+    same_id = Window.partitionBy("operation_id")
+    b = batch.withColumn("_first_owner", F.min(owner).over(same_id)).withColumn(
+        "_again", F.row_number().over(Window.partitionBy("operation_id", *KEYS).orderBy("requested_by")) > 1)
     by_id = state.select(F.col("deletion_request_id").alias("operation_id"),
-                         F.col("tenant_id").alias("_id_tenant"), F.col("user_id").alias("_id_user"))
+                         F.struct(F.col("tenant_id").alias("tenant_id"), F.col("user_id").alias("user_id")).alias("_stored"))
     b = b.join(by_id, "operation_id", "left")
     active = active_requests(state).select(*KEYS, F.col("deletion_request_id").alias("_active_id"))
     b = b.join(active, KEYS, "left")
-    w = Window.partitionBy(*KEYS).orderBy("operation_id")
-    b = b.withColumn("_first_op", F.first("operation_id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    id_hit = F.col("_id_user").isNotNull()
-    mismatch = id_hit & ((F.col("_id_user") != F.col("user_id")) | (F.col("_id_tenant") != F.col("tenant_id")))
-    fresh = ~id_hit & F.col("_active_id").isNull() & (F.col("_first_op") == F.col("operation_id"))
+    mismatch = F.coalesce("_stored", "_first_owner") != owner
+    stored = F.col("_stored").isNotNull() & ~mismatch
+    candidate = ~mismatch & ~stored & F.col("_active_id").isNull()
+    b = b.withColumn("_first_op", F.min(F.when(candidate, F.col("operation_id"))).over(Window.partitionBy(*KEYS)))
+    fresh = candidate & (F.col("_first_op") == F.col("operation_id")) & ~F.col("_again")
     outcome = b.select(
         "operation_id", *KEYS,
-        F.when(mismatch, F.lit(None)).when(id_hit, F.col("operation_id"))
-         .when(F.col("_active_id").isNotNull(), F.col("_active_id"))
-         .otherwise(F.col("_first_op")).alias("deletion_request_id"),
+        F.when(mismatch, F.lit(None)).when(stored, F.col("operation_id"))
+         .otherwise(F.coalesce("_active_id", "_first_op")).alias("deletion_request_id"),
         (~fresh & ~mismatch).alias("already_existed"),
         F.when(mismatch, F.lit("Operation id belongs to another user or tenant")).alias("error"))
     new_rows = b.where(fresh).select(
@@ -135,14 +139,17 @@ def advance(state: DataFrame, moves: DataFrame, checkpoint_every: int = 4) -> tu
 
     Each round takes the next pending move of every request (a window pick,
     never a collected list), so memory per task stays bounded however many
-    moves one request has. The number of rounds is the largest number of
-    moves any request has in the batch. Every ``checkpoint_every`` rounds the
+    moves one request has; only requests with moves go through the rounds. The number of
+    rounds is the largest number of moves any request has in the batch. Every ``checkpoint_every`` rounds the
     state and decisions are checkpointed (reliable checkpoint in the shared
     folder) so the plan does not grow with the number of rounds.
     """
     w = Window.partitionBy("deletion_request_id").orderBy("at", "operation_id", "to_status")
     pending = moves.withColumn("_seq", F.row_number().over(w))
     rounds = pending.agg(F.max("_seq").alias("n")).first()["n"] or 0
+    ids = moves.select("deletion_request_id").distinct()
+    rest = state.join(ids, "deletion_request_id", "left_anti")
+    state = state.join(ids, "deletion_request_id", "left_semi")
     all_decisions = _advance(state, moves.limit(0))[1]
     for r in range(1, rounds + 1):
         state, dec = _advance(state, pending.where(F.col("_seq") == r).drop("_seq"))
@@ -150,7 +157,7 @@ def advance(state: DataFrame, moves: DataFrame, checkpoint_every: int = 4) -> tu
         if r % checkpoint_every == 0 and r < rounds:
             ensure_checkpoint_dir(state.sparkSession)
             state, all_decisions = state.checkpoint(), all_decisions.checkpoint()
-    return state, all_decisions
+    return rest.unionByName(state), all_decisions
 
 
 advance_once = _advance
@@ -203,17 +210,26 @@ def cascade(requests: DataFrame, tasks: DataFrame, resources: DataFrame, wipes:
     everything, as the reference does.
     """
     req = requests.select("deletion_request_id", *KEYS)
-    planned_tasks = req.join(tasks.select(*KEYS, "destination"), KEYS)
-    res = resources.select("tenant_id", F.concat("resource_id", F.lit("::"), "strategy").alias("destination"))
-    planned_res = req.join(res, "tenant_id")  # AQE: broadcast by measured size, skew split otherwise
-    planned = planned_tasks.unionByName(planned_res.select("deletion_request_id", *KEYS, "destination")).distinct()
-    latest = latest_wipes(wipes).select("deletion_request_id", "destination", "status")
-    pj = planned.join(latest, ["deletion_request_id", "destination"], "left")
-    agg = pj.groupBy("deletion_request_id").agg(
-        F.count(F.lit(1)).alias("n_planned"),
-        F.count_if(F.col("status").isNull()).alias("n_open"),
-        F.count_if(F.col("status") == "FAILED").alias("n_failed"),
+    own = req.join(tasks.select(*KEYS, "destination"), KEYS).select("deletion_request_id", "destination").distinct()
+    res = resources.select("tenant_id", F.concat("resource_id", F.lit("::"), "strategy").alias("destination")).distinct()
+    # Planned resources are counted by tenant, recorded outcomes are matched with plans: no request meets a resource
+    # that it has no outcome for.
+    n_own = own.groupBy("deletion_request_id").agg(F.count(F.lit(1)).alias("n_own"))
+    n_res = res.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_res"))
+    recorded = (latest_wipes(wipes).select("deletion_request_id", "destination", "status")
+                .join(req.select("deletion_request_id", "tenant_id"), "deletion_request_id"))
+    done = (recorded.join(res, ["tenant_id", "destination"], "left_semi")
+            .unionByName(recorded.join(own, ["deletion_request_id", "destination"], "left_semi"))
+            .dropDuplicates(["deletion_request_id", "destination"]))
+    outcomes = done.groupBy("deletion_request_id").agg(
+        F.count(F.lit(1)).alias("n_done"), F.count_if(F.col("status") == "FAILED").alias("n_failed"),
         F.array_sort(F.collect_list(F.when(F.col("status") == "FAILED", F.col("destination")))).alias("failed_destinations"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    agg = (req.join(n_own, "deletion_request_id", "left").join(n_res, "tenant_id", "left")
+           .join(outcomes, "deletion_request_id", "left")
+           .select("deletion_request_id", (zero("n_own") + zero("n_res")).alias("n_planned"),
+                   (zero("n_own") + zero("n_res") - zero("n_done")).alias("n_open"), zero("n_failed").alias("n_failed"),
+                   "failed_destinations"))
     out = req.join(agg, "deletion_request_id", "left")
     n = F.coalesce("n_planned", F.lit(0))
     return out.select(

@@ -66,24 +66,37 @@ def janitor_events(results: DataFrame, now: Column) -> DataFrame:
 def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resources: DataFrame,
           connectors: list, tenant_keys: DataFrame, now: Column, heads: DataFrame | None = None,
           previous_wipes: DataFrame | None = None) -> ErasureRun:
-    """Run the cascade for every request in SHRED_REQUESTED.
+    """Run the cascade for every request that is due: new ones, failed ones again, certificates still missing.
+
+    * SHRED_REQUESTED: the key is destroyed, then the cascade runs;
+    * CASCADE_PARTIAL_FAILURE: the cascade runs again over the whole plan;
+    * CASCADE_COMPLETE: only the certificate is still to be issued.
 
     ``resources``: (tenant_id, resource_id, strategy) of source-side redaction
     targets with their recorded outcomes supplied in ``previous_wipes``
-    (redaction jobs write them); connector wipes are executed here.
+    (redaction jobs write them); connector wipes are executed here. A request becomes
+    CERTIFICATE_ISSUED only with its row in the chain; one whose claims can't be made
+    stays CASCADE_COMPLETE and is taken up by the next run.
     """
     spark = requests.sparkSession
-    todo = requests.where(F.col("status") == "SHRED_REQUESTED")
-    ids = todo.select("deletion_request_id", "tenant_id", "user_id")
+    due = requests.where(F.col("status").isin("SHRED_REQUESTED", "CASCADE_PARTIAL_FAILURE"))
+    ids = due.select("deletion_request_id", "tenant_id", "user_id")
+    fresh = requests.where(F.col("status") == "SHRED_REQUESTED").select("deletion_request_id", "tenant_id", "user_id")
+    again = requests.where(F.col("status") == "CASCADE_PARTIAL_FAILURE").select("deletion_request_id")
+
+    def moves(rows, to, seconds):
+        to = F.lit(to) if isinstance(to, str) else to
+        return rows.select("deletion_request_id", to.alias("to_status"), F.lit("erasure").alias("operation_id"),
+                           (now + F.make_interval(secs=F.lit(seconds))).alias("at"))
 
     # 1. destroy keys
-    reg = K.shred(key_registry, ids, now).state
-    moves = ids.select("deletion_request_id", F.lit("KEY_DESTROYED").alias("to_status"),
-                       F.lit("erasure").alias("operation_id"), now.alias("at"))
-    state, dec1 = D.advance_once(requests, moves)
+    reg = K.shred(key_registry, fresh, now).state
+    state, dec1 = D.advance_once(requests, moves(fresh, "KEY_DESTROYED", 0).unionByName(
+        moves(again, "CASCADE_IN_PROGRESS", 0)))
 
     # 2. plan and execute connector wipes (hot-path destinations with a connector)
-    hot = LIN.add_destinations(reg, events)
+    hot = LIN.add_destinations(reg.join(ids.select("tenant_id", "user_id").distinct(), ["tenant_id", "user_id"], "left_semi"),
+                               events)
     tasks = LIN.cleanup_plan(ids, hot).join(ids, ["tenant_id", "user_id"])
     # External calls happen exactly once: the results are checkpointed to the shared checkpoint
     # folder before the three consumers below (a task retry re-runs only its own, idempotent wipes).
@@ -97,24 +110,19 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
 
     # 3. decide: nothing planned → COMPLETE at once; all recorded → AGG-10; else still in progress
     outcome = D.cascade(ids, tasks.select("tenant_id", "user_id", "destination"), resources, wipes)
-    pending = outcome.select("deletion_request_id", F.lit("CASCADE_PENDING").alias("to_status"),
-                             F.lit("erasure").alias("operation_id"), now.alias("at"))
-    nxt = outcome.where(F.col("next_status") != "CASCADE_IN_PROGRESS").select(
-        "deletion_request_id", F.col("next_status").alias("to_status"), F.lit("erasure").alias("operation_id"),
-        (now + F.expr("INTERVAL 1 SECOND")).alias("at"))
-    cert_moves = outcome.where(F.col("next_status") == "CASCADE_COMPLETE").select(
-        "deletion_request_id", F.lit("CERTIFICATE_ISSUED").alias("to_status"), F.lit("erasure").alias("operation_id"),
-        (now + F.expr("INTERVAL 2 SECONDS")).alias("at"))
-    in_progress = outcome.where(F.col("next_status") == "CASCADE_IN_PROGRESS").select(
-        "deletion_request_id", F.lit("CASCADE_IN_PROGRESS").alias("to_status"), F.lit("erasure").alias("operation_id"),
-        (now + F.expr("INTERVAL 1 SECOND")).alias("at"))
-    state, dec2 = D.advance(state, pending.unionByName(nxt).unionByName(cert_moves).unionByName(in_progress))
-
-    # 4. certificates for requests that completed (claims read the recorded wipes and the shredded keys)
-    done = state.where(F.col("status") == "CERTIFICATE_ISSUED").join(ids.select("deletion_request_id"),
-                                                                      "deletion_request_id", "left_semi")
-    claims = CERT.claims(done, reg, wipes, events, now)
-    chain = CERT.append_chain(claims, tenant_keys, heads)
+    started = outcome.join(fresh.select("deletion_request_id"), "deletion_request_id", "left_semi")
+    open_again = (F.col("next_status") == "CASCADE_IN_PROGRESS") & ~F.col("_fresh")
+    known = outcome.join(fresh.select("deletion_request_id", F.lit(True).alias("_fresh")), "deletion_request_id", "left") \
+        .withColumn("_fresh", F.coalesce("_fresh", F.lit(False)))
+    state, dec2 = D.advance(state, moves(started, "CASCADE_PENDING", 1).unionByName(
+        moves(known.where(~open_again), F.col("next_status"), 2)))
+
+    # 4. certificates (claims read the recorded wipes and the shredded keys), then the status of those that have one
+    done = state.where(F.col("status") == "CASCADE_COMPLETE")
+    claims = CERT.claims(done, reg, wipes, events, now, connectors=[c.name.lower() for c in connectors])
+    chain = CERT.append_chain(claims, tenant_keys, heads).checkpoint(eager=True)
+    state, dec3 = D.advance_once(state, moves(chain, "CERTIFICATE_ISSUED", 3))
+    dec2 = dec2.unionByName(dec3)
     new_heads = CERT.chain_heads(chain)
     if heads is not None:
         new_heads = heads.join(new_heads.select("tenant_id"), "tenant_id", "left_anti").unionByName(new_heads)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shredline import schemas
 from shredline.functions import crypto as C
-from shredline.operators.util import bounded_broadcast, iso
+from shredline.operators.util import iso
 
 KEYS = ["tenant_id", "user_id"]
 DEAD = ["SHREDDED", "DELETED"]
@@ -44,6 +44,9 @@ def usable(reg_prefix: str = "") -> Column:
             & F.try_element_at(deks, F.col(f"{p}active_dek_id")).isNotNull())
 
 
+NO_TENANT_KEY = "Tenant has no wrapping key"
+
+
 def _requests(users: DataFrame) -> DataFrame:
     return users.select(*KEYS).dropDuplicates(KEYS)
 
@@ -54,7 +57,8 @@ def generate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now:
     """STA-01: give every requested user a usable key, idempotently.
 
     ``EXISTS`` when a usable key is present, else ``GENERATED`` with version
-    ``v1``; a shredded user gets a fresh key document (``regenerated``).
+    ``v1``; a shredded user gets a fresh key document (``regenerated``). Without a key
+    of the tenant to wrap it with, no key is made and the outcome is ``ERROR``.
     ``dek_fn(user_col)`` makes the DEK; the default is the OS CSPRNG, whose
     output must be written before any value is encrypted with it.
     One full outer join of the registry with the requests: the registry is
@@ -62,10 +66,10 @@ def generate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now:
     """
     dek_fn = dek_fn or (lambda _u: C.random_dek())
     req = _requests(users).withColumn("_req", F.lit(True))
-    kek = bounded_broadcast(tenant_keys.select("tenant_id", "kek"))
+    kek = tenant_keys.select("tenant_id", "kek")
     j = registry.join(req, KEYS, "full_outer").join(kek, "tenant_id", "left")
     ok = usable()
-    fresh = F.coalesce(F.col("_req"), F.lit(False)) & ~ok
+    fresh = F.coalesce(F.col("_req"), F.lit(False)) & ~ok & F.col("kek").isNotNull()
     existed = F.col("status").isNotNull()
     state = j.select(
         *KEYS,
@@ -82,9 +86,10 @@ def generate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now:
         F.when(fresh, F.lit(None).cast("string")).otherwise(F.col("deletion_request_id")).alias("deletion_request_id"),
         F.coalesce(F.col("destinations"), F.array().cast("array<string>")).alias("destinations"),
     )
-    outcome = j.where(F.col("_req")).select(*KEYS, F.when(ok, "EXISTS").otherwise("GENERATED").alias("outcome"),
-                                            (existed & ~ok).alias("regenerated"))
-    return StateChange(state, outcome)
+    outcome = j.where(F.col("_req")).select(
+        *KEYS, F.when(ok, "EXISTS").when(fresh, "GENERATED").otherwise("ERROR").alias("outcome"),
+        (existed & fresh).alias("regenerated"), F.when(~ok & ~fresh, NO_TENANT_KEY).alias("error"))
+    return StateChange(state.where(F.col("status").isNotNull()), outcome)
 
 
 def rotate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now: Column,
@@ -96,9 +101,10 @@ def rotate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now: C
     dek_fn = dek_fn or (lambda _u: C.random_dek())
     req = _requests(users).withColumn("_req", F.lit(True))
     j = registry.join(req, KEYS, "full_outer")
-    can = F.col("_req") & F.col("status").isNotNull() & (F.col("status") != "SHREDDED") & F.col("active_dek_id").isNotNull()
+    live = F.col("status").isNotNull() & (F.col("status") != "SHREDDED") & F.col("active_dek_id").isNotNull()
+    can = F.col("_req") & live & F.col("kek").isNotNull()
     new_version = F.concat(F.lit("v"), (F.size("deks") + 1).cast("string"))
-    kek = bounded_broadcast(tenant_keys.select("tenant_id", "kek"))
+    kek = tenant_keys.select("tenant_id", "kek")
     j = j.join(kek, "tenant_id", "left")
     rotated = j.select(
         *KEYS,
@@ -109,7 +115,7 @@ def rotate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now: C
         "created_at", "shred_at",
         F.when(can, now).otherwise(F.col("rotated_at")).alias("rotated_at"),
         "encryption_version", "token_algorithm", "token_key_id", "deletion_request_id", "destinations",
-        F.col("_req"), can.alias("_ok"), new_version.alias("_newv"),
+        F.col("_req"), can.alias("_ok"), live.alias("_live"), new_version.alias("_newv"),
     )
     state = rotated.where(F.col("status").isNotNull()).select(*schemas.KEY_REGISTRY.fieldNames())
     outcome = rotated.where(F.col("_req")).select(
@@ -117,7 +123,7 @@ def rotate(registry: DataFrame, users: DataFrame, tenant_keys: DataFrame, now: C
         F.when(F.col("_ok"), "ROTATED").otherwise("ERROR").alias("outcome"),
         F.when(F.col("_ok"), F.col("_newv")).alias("new_version"),
         F.when(~F.col("_ok"), F.when(F.col("status").isNull(), "User key not found for rotation")
-               .otherwise("Cannot rotate a shredded key")).alias("error"),
+               .when(F.col("_live"), NO_TENANT_KEY).otherwise("Cannot rotate a shredded key")).alias("error"),
     )
     return StateChange(state, outcome)
 
@@ -156,7 +162,7 @@ def key_versions(registry: DataFrame, tenant_keys: DataFrame) -> DataFrame:
     Shredded / deleted users have no row, so every join against this yields
     a NULL key and every decrypt yields NULL.
     """
-    kek = bounded_broadcast(tenant_keys.select("tenant_id", "kek"))
+    kek = tenant_keys.select("tenant_id", "kek")
     live = registry.where(usable()).select(*KEYS, "active_dek_id", "deks")
     return (live.join(kek, "tenant_id", "inner")
             .select(*KEYS, "active_dek_id",

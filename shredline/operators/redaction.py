@@ -1,8 +1,7 @@
 """Source-table redaction strategies (QRY-02, QRY-03, SRC-17, WIN-02, STA-10, STA-11).
 
-Requested users are a (tenant, user) DataFrame. It is broadcast only after a
-bounded size check; beyond the bound the join is a normal shuffle join, so a
-large erasure batch still works. Row rewrites are copy-on-write: the caller
+Requested users are a (tenant, user) DataFrame; whether it is broadcast is left
+to the size that AQE measures, so a large erasure batch still works. Row rewrites are copy-on-write: the caller
 writes the returned DataFrame as the new version of the table.
 """
 
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shredline.functions.text import assert_safe_identifiers
-from shredline.operators.util import bounded_broadcast
 
 
 @dataclass
@@ -29,7 +27,7 @@ def _targets(users: DataFrame, user_col: str, tenant_col: str | None) -> tuple[D
     if tenant_col:
         cols.append(F.col("tenant_id").alias(tenant_col))
         on.append(tenant_col)
-    return bounded_broadcast(users.select(*cols).dropDuplicates(on).withColumn("_hit", F.lit(True))), on
+    return users.select(*cols).dropDuplicates(on).withColumn("_hit", F.lit(True)), on
 
 
 def shadow_copy(source: DataFrame, fields: list[str], pivot: DataFrame, user_col: str,
@@ -61,9 +59,14 @@ def widen(raw: DataFrame, schema_df: DataFrame) -> DataFrame:
     return raw.unionByName(schema_df, allowMissingColumns=True)
 
 
-def encrypted_copy_view(raw: DataFrame, user_col: str) -> DataFrame:
-    """WIN-02: dedup view of the raw copy, newest ``synced_at`` per user."""
-    w = Window.partitionBy(user_col).orderBy(F.col("synced_at").desc_nulls_last())
+def encrypted_copy_view(raw: DataFrame, user_col: str, tenant_col: str | None = None) -> DataFrame:
+    """WIN-02: dedup view of the raw copy, newest ``synced_at`` per user (per tenant and user with a tenant column).
+
+    Rows of the same time are told apart by their other columns, so the choice is fixed.
+    """
+    keys = [c for c in (tenant_col, user_col) if c]
+    rest = sorted(c for c in raw.columns if c not in (*keys, "synced_at"))
+    w = Window.partitionBy(*keys).orderBy(F.col("synced_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest])
     return raw.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -89,3 +92,31 @@ def delete_users(table: DataFrame, users: DataFrame, user_col: str, tenant_col:
     out = table.join(targets.drop("_hit"), on, "left_anti")
     affected = table.join(targets.drop("_hit"), on, "left_semi").agg(F.count(F.lit(1)).alias("rows_affected"))
     return Rewrite(out, affected)
+
+
+def erase_stored(spark, path: str, partition_by: str, users: DataFrame, user_col: str, tenant_col: str | None = None,
+                 fields: list[str] | None = None) -> int:
+    """STA-10 / STA-11 on a stored table: NULL the ``fields`` of the users' rows, or remove the rows without ``fields``.
+
+    Only the partitions (of ``partition_by``, e.g. a bucket of the user id) that hold a requested user are
+    rewritten, by dynamic partition overwrite; all other partitions keep their files. A partition that loses
+    all its rows is removed. Returns the number of rows affected. Counting reads the key columns alone.
+    """
+    table = spark.read.parquet(path)
+    targets, on = _targets(users, user_col, tenant_col)
+    hit = (table.join(targets, on, "left").groupBy(partition_by)
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hit")).alias("hits")).where("hits > 0").collect())
+    if not hit:
+        return 0
+    gone = [r for r in hit if not fields and r["hits"] == r["n"]]
+    left = [r[partition_by] for r in hit if r not in gone]
+    if left:
+        own = table.where(F.col(partition_by).isin(left))
+        new = (redact_in_place(own, fields, users, user_col, tenant_col) if fields
+               else delete_users(own, users, user_col, tenant_col)).table
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{partition_by}={r[partition_by]}"), True)
+    return sum(r["hits"] for r in hit)

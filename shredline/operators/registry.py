@@ -130,7 +130,7 @@ def compose(connector: DataFrame, dbt: DataFrame, manual: DataFrame | None = Non
     entries carry a tenant, so they coexist with global entries of the same id.
     """
     dbt_present = not dbt.isEmpty()
-    platform = connector.where(F.col("owner_connector") != "dbt") if dbt_present else connector
+    platform = connector.where(~F.col("owner_connector").eqNullSafe("dbt")) if dbt_present else connector
     parts = [conform(platform).withColumn("_rank", F.lit(0))]
     if dbt_present:
         parts.append(conform(dbt).withColumn("_rank", F.lit(1)))
@@ -439,7 +439,7 @@ def upsert(reg: DataFrame, entries: DataFrame) -> DataFrame:
     keys = entries.select("tenant_id", "resource_id").withColumn("_new", F.lit(True))
     manual = reg.where(F.col("owner_connector") == MANUAL).join(keys, ["tenant_id", "resource_id"], "left") \
         .where(F.col("_new").isNull()).drop("_new")
-    return conform(reg.where(F.col("owner_connector") != MANUAL).unionByName(conform(manual)).unionByName(conform(entries)))
+    return conform(reg.where(~F.col("owner_connector").eqNullSafe(MANUAL)).unionByName(conform(manual)).unionByName(conform(entries)))
 
 
 def remove(reg: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,21 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound of rows for a side we hint as broadcast. Sides above it are left
-# to the planner (sort-merge / shuffled hash join, AQE may still broadcast by
-# measured size).
-BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``), so it stops early
-    on a big input. Beyond the bound the DataFrame is returned unhinted.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def literal_table(spark, rows, schema: str) -> DataFrame:
     """A fixed lookup table (connector names, transition matrix): constant size, safe to broadcast."""

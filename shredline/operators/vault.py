@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shredline.functions import crypto as C
-from shredline.operators.util import bounded_broadcast
 
 KEYS = ["tenant_id", "user_id"]
 VAULT_COLS = ["tenant_id", "user_id", "resource_id", "field_name", "key_id", "token", "encrypted_value", "synced_at"]
@@ -35,23 +34,33 @@ def encrypt_table(df: DataFrame, fields: list[str], resource_id: str, kv: DataFr
     without a usable key produce no rows (see ``encrypt_rejects``).
     The output is nondeterministic (random IVs): write it before reuse.
     """
-    # Join the keys on the narrow source rows first, unpivot after: the shuffle carries one row per
-    # source row, not one per (row, field).
+    return encrypted(tokenised(df, fields, resource_id, kv, tenant_keys, tenant_col, user_col), synced_at)
+
+
+def tokenised(df: DataFrame, fields: list[str], resource_id: str, kv: DataFrame, tenant_keys: DataFrame,
+              tenant_col: str = "tenant_id", user_col: str = "user_id") -> DataFrame:
+    """One row per (user, field) with a value: its token and the user's keys, not yet encrypted.
+
+    The keys are joined to the narrow source rows and unpivoted after: the shuffle
+    carries one row per source row, not one per (row, field).
+    """
     narrow = df.select(F.col(tenant_col).alias("tenant_id"), F.col(user_col).alias("user_id"),
                        *[F.col(f).cast("string").alias(f) for f in fields])
     keyed = (narrow.join(kv.select(*KEYS, "active_dek_id", "dek_map"), KEYS, "inner")
              .unpivot([*KEYS, "active_dek_id", "dek_map"], fields, "field_name", "value")
-             .where(F.col("value").isNotNull()))
-    pads = bounded_broadcast(token_pads(tenant_keys))
-    keyed = keyed.join(pads, "tenant_id", "left")
+             .where(F.col("value").isNotNull())
+             .join(token_pads(tenant_keys), "tenant_id", "left"))
+    return keyed.select(*KEYS, F.lit(resource_id).alias("resource_id"), "field_name", "value", "active_dek_id", "dek_map",
+                        C.hmac_sha256_hex(F.col("value"), F.col("ipad"), F.col("opad")).alias("token"))
+
+
+def encrypted(rows: DataFrame, synced_at: Column) -> DataFrame:
+    """Vault rows of tokenised values, encrypted under the user's active key."""
     dek = F.try_element_at("dek_map", F.col("active_dek_id"))
-    return keyed.select(
-        *KEYS, F.lit(resource_id).alias("resource_id"), "field_name",
-        F.col("active_dek_id").alias("key_id"),
-        C.hmac_sha256_hex(F.col("value"), F.col("ipad"), F.col("opad")).alias("token"),
+    return rows.select(
+        *KEYS, "resource_id", "field_name", F.col("active_dek_id").alias("key_id"), "token",
         C.encrypt_random(F.col("value"), F.col("user_id"), dek, F.col("active_dek_id")).alias("encrypted_value"),
-        synced_at.alias("synced_at"),
-    )
+        synced_at.alias("synced_at"))
 
 
 def encrypt_rejects(df: DataFrame, kv: DataFrame, tenant_col: str = "tenant_id",
@@ -91,6 +100,7 @@ def decrypted_pivot(vault: DataFrame, kv: DataFrame, fields: list[str], tenant:
     NULL values are skipped, so an older good value wins over a newer
     undecryptable one; ties on ``synced_at`` break by key_id, then resource_id.
     """
+    kv = kv if tenant is None else kv.where(F.col("tenant_id") == tenant)
     dv = decrypt_vault(_scope(vault, tenant, fields, resource_id), kv)
     order = F.struct("synced_at", "key_id", "resource_id")
     aggs = []
@@ -103,14 +113,13 @@ def decrypted_pivot(vault: DataFrame, kv: DataFrame, fields: list[str], tenant:
 def latest_ciphertext(vault: DataFrame, kv: DataFrame) -> DataFrame:
     """WIN-03: newest row per (tenant, user, resource, field), decryptable or not.
 
-    The vault is hash partitioned once on (tenant_id, user_id): the window
-    (finer keys) and the key join (same keys) both reuse that partitioning,
-    and the window sorts vault rows before the key maps are attached.
+    A ``max_by`` aggregate: partial results meet, so one row per field and task is
+    shuffled, not the history.
     """
-    v = vault.repartition("tenant_id", "user_id")
-    w = Window.partitionBy("tenant_id", "user_id", "resource_id", "field_name").orderBy(
-        F.col("synced_at").desc(), F.col("key_id").desc(), F.col("encrypted_value").desc())
-    latest = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    newest = F.max_by(F.struct("key_id", "token", "encrypted_value", "synced_at"),
+                      F.struct("synced_at", "key_id", "encrypted_value"))
+    latest = (vault.groupBy("tenant_id", "user_id", "resource_id", "field_name").agg(newest.alias("_v"))
+              .select("tenant_id", "user_id", "resource_id", "field_name", "_v.*"))
     j = latest.join(kv.select(*KEYS, "dek_map"), KEYS, "left")
     dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("encrypted_value")))
     return j.withColumn("value", C.decrypt_bundle(F.col("encrypted_value"), F.col("user_id"), dek)).drop("dek_map")
@@ -138,13 +147,15 @@ def available_fields(vault: DataFrame) -> DataFrame:
     return vault.select("tenant_id", "field_name").distinct()
 
 
-def synced_tenants(vault: DataFrame, limit: int = 5, exclude: str | None = None) -> DataFrame:
-    """FIL-14: first ``limit`` synced tenant ids, other than ``exclude`` (diagnostic for a tenant
-    mismatch: a tenant with no synced fields is shown which tenants do have data)."""
-    t = vault.select("tenant_id").distinct()
-    if exclude is not None:
-        t = t.where(F.col("tenant_id") != exclude)
-    return t.orderBy("tenant_id").limit(limit)
+def synced_tenants(vault: DataFrame, tenant: str, page: int | None = None) -> DataFrame:
+    """FIL-14: the other tenants with synced fields, shown to ``tenant`` only when it has none itself.
+
+    All of them by default; ``page`` keeps the first by name (the reference shows 5).
+    """
+    names = vault.select("tenant_id").distinct()
+    if not names.where(F.col("tenant_id") == tenant).isEmpty():
+        return names.limit(0)
+    return names if page is None else names.orderBy("tenant_id").limit(page)
 
 
 def reencrypt(vault: DataFrame, kv: DataFrame) -> DataFrame:
@@ -159,14 +170,12 @@ def reencrypt(vault: DataFrame, kv: DataFrame) -> DataFrame:
     dv = vault.join(kv.select(*KEYS, "active_dek_id", "dek_map"), KEYS, "left")
     old_dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("encrypted_value")))
     dv = dv.withColumn("value", C.decrypt_bundle(F.col("encrypted_value"), F.col("user_id"), old_dek))
-    current = C.bundle_key_id(F.col("encrypted_value")) == F.col("active_dek_id")
+    old = F.coalesce(C.bundle_key_id(F.col("encrypted_value")) != F.col("active_dek_id"), F.lit(False))
+    moves = old & F.col("value").isNotNull()
     dek = F.try_element_at("dek_map", F.col("active_dek_id"))
-    moved = dv.where(~current & F.col("value").isNotNull()).select(
-        *KEYS, "resource_id", "field_name", F.col("active_dek_id").alias("key_id"), "token",
-        C.encrypt_random(F.col("value"), F.col("user_id"), dek, F.col("active_dek_id")).alias("encrypted_value"),
-        "synced_at")
-    kept = dv.where(F.coalesce(current, F.lit(False)) | F.col("value").isNull()).select(*VAULT_COLS)
-    return kept.unionByName(moved)
+    fresh = C.encrypt_random(F.col("value"), F.col("user_id"), dek, F.col("active_dek_id"))
+    return dv.select(*KEYS, "resource_id", "field_name", F.when(moves, F.col("active_dek_id")).otherwise(F.col("key_id")).alias("key_id"),
+                     "token", F.when(moves, fresh).otherwise(F.col("encrypted_value")).alias("encrypted_value"), "synced_at")
 
 
 def sync_increment(source: DataFrame, fields: list[str], resource_id: str, vault: DataFrame, kv: DataFrame,
@@ -175,13 +184,18 @@ def sync_increment(source: DataFrame, fields: list[str], resource_id: str, vault
     """EXT-03: encrypt only what changed since the watermark and is not in the vault yet.
 
     Rows newer than ``last_synced_at`` (all rows without a watermark column or
-    value: a full sync) are unpivoted, tokenised and anti-joined with the
-    vault on (tenant, user, resource, field, token), so re-running a sync or
-    re-sending unchanged values appends nothing.
+    value: a full sync) are unpivoted, tokenised and compared with the newest
+    vault row of their (tenant, user, resource, field). A value is unchanged only
+    if that row has its token and still decrypts under the user's keys, so a value
+    that returns to a former one is appended, and so is one of a user who was
+    shredded and got a new key. Values are encrypted after the comparison.
     """
     from shredline.operators.sync_runs import incremental_rows
-    rows = incremental_rows(source, updated_at_col, last_synced_at)
-    enc = encrypt_table(rows, fields, resource_id, kv, tenant_keys, synced_at)
-    have = vault.where(F.col("resource_id") == resource_id).select(
-        "tenant_id", "user_id", "resource_id", "field_name", "token").distinct()
-    return enc.join(have, ["tenant_id", "user_id", "resource_id", "field_name", "token"], "left_anti")
+    rows = tokenised(incremental_rows(source, updated_at_col, last_synced_at), fields, resource_id, kv, tenant_keys)
+    newest = (vault.where(F.col("resource_id") == resource_id).groupBy(*KEYS, "field_name")
+              .agg(F.max_by(F.struct("token", "encrypted_value"), F.struct("synced_at", "key_id", "encrypted_value")).alias("_last")))
+    both = rows.join(newest, [*KEYS, "field_name"], "left")
+    old_dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("_last.encrypted_value")))
+    readable = C.decrypt_bundle(F.col("_last.encrypted_value"), F.col("user_id"), old_dek).isNotNull()
+    same = F.coalesce((F.col("_last.token") == F.col("token")) & readable, F.lit(False))
+    return encrypted(both.where(~same), synced_at)

@@ -7,6 +7,8 @@ a temporary view ``{tenant}_{view}`` when asked for.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,13 +88,15 @@ def list_views(catalog: DataFrame, tenant: str | None = None) -> DataFrame:
 
 
 def view_id(tenant: str, view_name: str) -> str:
+    """A catalogue name that no other (tenant, view) has: the readable part may be shared, the digest isn't."""
     TX.assert_safe_identifiers([view_name])
-    return f"{tenant}_{view_name}".replace("-", "_")
+    digest = hashlib.sha256(f"{tenant}\0{view_name}".encode()).hexdigest()[:16]
+    return f"{tenant}_{view_name}_{digest}".replace("-", "_")
 
 
 def materialise(vault: DataFrame, kv: DataFrame, tenant: str, view_name: str, fields: list[str],
                 register: bool = True) -> DataFrame:
-    """SRC-18 / QRY-01: the decrypted view as a DataFrame, optionally as temp view ``{tenant}_{view}``."""
+    """SRC-18 / QRY-01: the decrypted view as a DataFrame, optionally as the temp view ``view_id``."""
     TX.assert_safe_identifiers(fields)
     df = V.decrypted_pivot(vault, kv, fields, tenant=tenant)
     if register:

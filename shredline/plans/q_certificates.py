@@ -42,14 +42,14 @@ _ITEM = ("'{\"system\":\"' || destination || '\",\"status\":\"' || "
 
 _CLAIMS = f"""SELECT el.deletion_request_id, el.tenant_id, el.user_id, el.created_at,
   coalesce(s.checked, 0) AS destinations_checked, coalesce(s.succeeded, 0) AS destinations_succeeded,
-  '{{"iss":"{CERT.DEFAULT_ISSUER}","sub":"' || el.user_id || '","tenant_id":"' || el.tenant_id || '","user_id":"' || el.user_id
+  '{{"iss":"{CERT.DEFAULT_ISSUER}","sub":"' || el.user_id || '","jti":"cert-' || el.deletion_request_id || '","tenant_id":"' || el.tenant_id || '","user_id":"' || el.user_id
   || '","deletion_request_id":"' || el.deletion_request_id
   || '","key_destruction_status":"COMPLETE","key_destruction_method":"DEK_ERASURE"'
   || ',"warehouse_data":"CRYPTOGRAPHICALLY UNREADABLE","shred_date":"' || {duck_iso("TIMESTAMP '" + FX.SHRED_TS + "'")}
   || '","lineage_summary":[' || coalesce(s.items, '') || '],"lineage_coverage":{{"destinations_checked":'
   || CAST(coalesce(s.checked, 0) AS VARCHAR) || ',"destinations_succeeded":' || CAST(coalesce(s.succeeded, 0) AS VARCHAR)
   || ',"known_destination_types":["hubspot","salesforce"]}},"ghost_findings":'
-  || CAST(least(50, coalesce(o.n, 0) + coalesce(sh.n, 0)) AS VARCHAR) || ',"iat":'
+  || CAST(coalesce(o.n, 0) + coalesce(sh.n, 0) AS VARCHAR) || ',"iat":'
   || CAST(CAST(epoch(TIMESTAMP '{FX.NOW_TS}') AS BIGINT) AS VARCHAR) || '}}'
   AS claims_json
 FROM el

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shredline.functions import crypto as C
+from shredline.functions.sql import register_functions
 from shredline.operators import keys as K
 from shredline.operators import redaction as R
 from shredline.operators import vault as V
@@ -108,7 +109,7 @@ def encrypted_copy(spark, sf_dir):
     raw = R.widen(R.encrypted_copy_schema(src, fields), sync(FX.SYNC_OLD_TS).unionByName(sync(FX.SYNC_NEW_TS)))
     shredded = FX.shred_requests(s.users)
     raw = R.delete_users(raw, shredded, user_col="user_id", tenant_col="tenant_id").table
-    view = R.encrypted_copy_view(raw, "user_id")
+    view = R.encrypted_copy_view(raw, "user_id", "tenant_id")
     kv = s.key_versions()
     dec = view.join(kv.select("tenant_id", "user_id", "dek_map"), ["tenant_id", "user_id"], "left")
     dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("email")))
@@ -125,9 +126,10 @@ def available_fields(spark, sf_dir):
 
 
 @register("fil14_synced_tenants", with_fixtures(["users"], """
-SELECT DISTINCT tenant_id FROM users ORDER BY tenant_id LIMIT 5"""))
+SELECT tenant_id FROM (SELECT DISTINCT tenant_id FROM users) WHERE tenant_id <> 'tenant-unsynced'"""))
 def synced_tenants(spark, sf_dir):
-    return V.synced_tenants(SC.build(spark, sf_dir).vault, 5)
+    """What a tenant without synced fields is shown: all tenants that have some."""
+    return V.synced_tenants(SC.build(spark, sf_dir).vault, "tenant-unsynced")
 
 
 # --- QRY-04 ad-hoc decrypt --------------------------------------------------------------------------
@@ -154,26 +156,35 @@ def adhoc_decrypt(spark, sf_dir):
 @register("sta01_generate_keys", with_fixtures(["users", "lineage_events"], f"""
 SELECT q.tenant_id, q.user_id,
        CASE WHEN u.custkey IS NOT NULL AND u.{LIVE} THEN 'EXISTS' ELSE 'GENERATED' END AS outcome,
-       (u.custkey IS NOT NULL AND NOT (u.{LIVE})) AS regenerated
-FROM ({KEY_REQUESTS_SQL}) q LEFT JOIN users u ON u.user_id = q.user_id AND u.tenant_id = q.tenant_id"""))
+       (u.custkey IS NOT NULL AND NOT (u.{LIVE})) AS regenerated, CAST(NULL AS VARCHAR) AS error
+FROM ({KEY_REQUESTS_SQL}) q LEFT JOIN users u ON u.user_id = q.user_id AND u.tenant_id = q.tenant_id
+UNION ALL
+SELECT 'keyless-' || tenant_id, user_id, 'ERROR', false, 'Tenant has no wrapping key' FROM users WHERE custkey % 9 = 0"""))
 def generate_keys(spark, sf_dir):
-    """Key generation over the post-shred registry: shredded users get a fresh key."""
+    """Key generation over the post-shred registry: shredded users get a fresh key, tenants without a key an error."""
     s = SC.build(spark, sf_dir)
-    return K.generate(s.registry, _key_requests(spark, sf_dir), s.tenant_keys, FX.ts(FX.NOW_TS),
-                      dek_fn=SC.seeded).outcome
+    keyless = s.users.where("custkey % 9 = 0").select(F.concat(F.lit("keyless-"), "tenant_id").alias("tenant_id"), "user_id")
+    requests = _key_requests(spark, sf_dir).select("tenant_id", "user_id").unionByName(keyless)
+    return K.generate(s.registry, requests, s.tenant_keys, FX.ts(FX.NOW_TS), dek_fn=SC.seeded).outcome
 
 
 @register("sta02_rotate_keys", with_fixtures(["users"], f"""
 SELECT tenant_id, user_id,
        CASE WHEN {LIVE} THEN 'ROTATED' ELSE 'ERROR' END AS outcome,
        CASE WHEN {LIVE} THEN 'v2' END AS new_version,
-       CASE WHEN NOT ({LIVE}) THEN 'Cannot rotate a shredded key' END AS error
+       CASE WHEN NOT ({LIVE}) THEN 'Cannot rotate a shredded key' END AS error,
+       CASE WHEN {LIVE} THEN 'v1,v2' ELSE '' END AS versions
 FROM users WHERE custkey % 5 = 0"""))
 def rotate_keys(spark, sf_dir):
-    """Every 5th customer rotates; shredded ones get an error row."""
+    """Every 5th customer rotates (shredded ones get an error row); with the versions that unwrap afterwards."""
     s = SC.build(spark, sf_dir)
     req = s.users.where(F.col("custkey") % 5 == 0)
-    return K.rotate(s.registry, req, s.tenant_keys, FX.ts(FX.NOW_TS), dek_fn=SC.seeded).outcome
+    change = K.rotate(s.registry, req, s.tenant_keys, FX.ts(FX.NOW_TS), dek_fn=SC.seeded)
+    after = K.key_versions(change.state, s.tenant_keys)
+    held = F.filter(F.map_keys("dek_map"), lambda k: F.try_element_at("dek_map", k).isNotNull())
+    return (change.outcome.join(after.select("tenant_id", "user_id", join_sorted(held).alias("versions")),
+                                ["tenant_id", "user_id"], "left")
+            .withColumn("versions", F.coalesce("versions", F.lit(""))))
 
 
 @register("fil11_key_status", with_fixtures(["users"], f"""
@@ -334,18 +345,43 @@ def redact_in_place(spark, sf_dir):
 # --- EXT-03 incremental vault sync ----------------------------------------------------------------------
 
 @register("ext03_incremental_sync", with_fixtures(["users"], f"""
-SELECT tenant_id, user_id, 'email' AS field_name, 'new.' || email AS value
-FROM users WHERE custkey % 10 >= 5 AND {LIVE}"""))
+SELECT tenant_id, user_id, 'email' AS field_name,
+  CASE WHEN custkey % 10 = 9 THEN 'old.' || email WHEN custkey % 10 >= 5 THEN 'new.' || email ELSE email END AS value
+FROM users WHERE custkey % 10 >= 5 OR (custkey % 10 >= 3 AND ({JUNK} OR NOT ({LIVE})))
+UNION ALL
+SELECT tenant_id, user_id, 'phone', phone FROM users WHERE custkey % 10 >= 3 AND ({JUNK} OR NOT ({LIVE}))"""))
 def incremental_sync(spark, sf_dir):
-    """Users changed after the watermark are re-synced; unchanged values and keyless users add nothing."""
+    """Changed values are synced, also one that returns to a former value; so is what no key of now decrypts any more.
+
+    Shredded users have got a new key since; rows whose newest ciphertext is corrupt are written again.
+    """
     s = SC.build(spark, sf_dir)
+    day = F.col("custkey") % 10
     src = s.users.select(
         "tenant_id", "user_id",
-        F.when(F.col("custkey") % 10 >= 5, F.concat(F.lit("new."), F.col("email"))).otherwise(F.col("email")).alias("email"),
-        "phone",
-        (F.to_timestamp(F.lit("2026-01-01 00:00:00")) + F.make_interval(days=(F.col("custkey") % 10).cast("int")))
-        .alias("updated_at"))
-    kv = s.key_versions()
+        F.when(day == 9, F.concat(F.lit("old."), "email")).when(day >= 5, F.concat(F.lit("new."), "email"))
+         .otherwise(F.col("email")).alias("email"), "phone",
+        (F.to_timestamp(F.lit("2026-01-01 00:00:00")) + F.make_interval(days=day.cast("int"))).alias("updated_at"))
+    again = K.generate(s.registry, s.users, s.tenant_keys, FX.ts(FX.NOW_TS),
+                       dek_fn=lambda user: SC.seeded(F.concat(F.lit("again-"), user))).state
+    kv = K.key_versions(again, s.tenant_keys)
     new = V.sync_increment(src, ["email", "phone"], SC.VAULT_RESOURCE, s.vault, kv, s.tenant_keys,
                            FX.ts(FX.NOW_TS), "updated_at", "2026-01-03 00:00:00")
     return V.decrypt_vault(new, kv).select("tenant_id", "user_id", "field_name", "value")
+
+
+# --- UDF-01: the SQL functions over the vault ------------------------------------------------------------
+
+@register("udf01_sql_decrypt", with_fixtures(["users"], f"""
+SELECT tenant_id, user_id, 'phone' AS field_name, 'v1' AS key_id, phone AS value FROM users WHERE {LIVE}
+UNION ALL SELECT tenant_id, user_id, 'phone', 'v1', 'old.' || phone FROM users WHERE {LIVE}
+UNION ALL SELECT tenant_id, user_id, 'phone', 'v1', NULL FROM users WHERE {LIVE} AND {JUNK}"""))
+def sql_decrypt(spark, sf_dir):
+    """Every phone row of the vault through ``decrypt_value`` and ``bundle_key_id`` in SQL."""
+    register_functions(spark)
+    s = SC.build(spark, sf_dir)
+    keyed = (s.vault.where(F.col("field_name") == "phone")
+             .join(s.key_versions().select("tenant_id", "user_id", "dek_map"), ["tenant_id", "user_id"]))
+    return keyed.selectExpr("tenant_id", "user_id", "field_name", "bundle_key_id(encrypted_value) AS key_id",
+                            "decrypt_value(encrypted_value, user_id, try_element_at(dek_map, bundle_key_id(encrypted_value))) "
+                            "AS value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shredline import schemas
+from shredline.operators import connectors as CN
 from shredline.operators import deletion as D
 from shredline.operators import lineage as LIN
 from shredline.operators import registry as REG
@@ -58,22 +59,47 @@ def latest_completed(spark, sf_dir):
 
 # --- STA-06 -----------------------------------------------------------------------------------------------
 
-@register("sta06_create_requests", with_fixtures(["users", "deletion_requests"], f"""
-SELECT 'op-' || u.custkey AS operation_id, u.tenant_id, u.user_id,
-  coalesce(a.deletion_request_id, 'op-' || u.custkey) AS deletion_request_id,
-  a.deletion_request_id IS NOT NULL AS already_existed, CAST(NULL AS VARCHAR) AS error
-FROM users u LEFT JOIN active a ON a.tenant_id = u.tenant_id AND a.user_id = u.user_id
-UNION ALL
-SELECT deletion_request_id, tenant_id, user_id, deletion_request_id, true, NULL FROM deletion_requests""",
-    [("active", _latest_sql(schemas.ACTIVE_REQUEST_STATES))]))
+_BATCH_SQL = """SELECT 'op-' || custkey AS op, tenant_id, user_id FROM users WHERE custkey % 3 = 0
+UNION ALL SELECT 'z-' || custkey, tenant_id, user_id FROM users
+UNION ALL SELECT 'pair-' || (custkey // 2), tenant_id, user_id FROM users WHERE custkey % 4 >= 2
+UNION ALL SELECT deletion_request_id, tenant_id, user_id FROM deletion_requests
+UNION ALL SELECT deletion_request_id, tenant_id, user_id || '9' FROM deletion_requests WHERE orderkey % 2 = 0
+UNION ALL SELECT 'a-' || deletion_request_id, tenant_id, user_id FROM deletion_requests WHERE orderkey % 5 = 0"""
+
+
+@register("sta06_create_requests", with_fixtures(["users", "deletion_requests"], """
+SELECT op AS operation_id, tenant_id, user_id,
+  CASE WHEN verdict = 'refused' THEN NULL WHEN verdict = 'stored' THEN op
+       WHEN active_id IS NOT NULL THEN active_id ELSE opener END AS deletion_request_id,
+  verdict = 'stored' OR (verdict = 'new' AND NOT (active_id IS NULL AND op = opener)) AS already_existed,
+  CASE WHEN verdict = 'refused' THEN 'Operation id belongs to another user or tenant' END AS error
+FROM (SELECT j.*, o.opener FROM judged j LEFT JOIN
+        (SELECT tenant_id, user_id, min(op) AS opener FROM judged WHERE verdict = 'new' AND active_id IS NULL GROUP BY ALL) o
+      USING (tenant_id, user_id))""",
+    [("active", _latest_sql(schemas.ACTIVE_REQUEST_STATES)), ("batch", _BATCH_SQL),
+     ("holder", """SELECT op, min(tenant_id || chr(1) || user_id) AS who FROM batch
+        WHERE op NOT IN (SELECT deletion_request_id FROM deletion_requests) GROUP BY op
+      UNION ALL SELECT deletion_request_id, tenant_id || chr(1) || user_id FROM deletion_requests"""),
+     ("judged", """SELECT b.op, b.tenant_id, b.user_id, a.deletion_request_id AS active_id,
+        CASE WHEN h.who <> b.tenant_id || chr(1) || b.user_id THEN 'refused'
+             WHEN b.op IN (SELECT deletion_request_id FROM deletion_requests) THEN 'stored' ELSE 'new' END AS verdict
+      FROM batch b JOIN holder h USING (op) LEFT JOIN active a USING (tenant_id, user_id)""")]))
 def create_requests(spark, sf_dir):
-    """Every customer asks for erasure; every existing request is re-submitted under its own id (idempotent)."""
+    """One batch with new ids, one id under two users, finished ids sent again (by their user and by others)."""
     users = FX.fixture(spark, sf_dir, "users")
-    a = users.select(F.concat(F.lit("op-"), F.col("custkey")).alias("operation_id"), "tenant_id", "user_id",
-                     F.lit("dpo@example.com").alias("requested_by"))
     reqs = FX.fixture(spark, sf_dir, "deletion_requests")
-    b = reqs.select(F.col("deletion_request_id").alias("operation_id"), "tenant_id", "user_id", "requested_by")
-    _state, outcome = D.create(requests_state(spark, sf_dir), a.unionByName(b), FX.ts(FX.NOW_TS))
+    by = F.lit("dpo@example.com").alias("requested_by")
+
+    def some(df, op, user="user_id"):
+        return df.select(F.expr(op).alias("operation_id"), "tenant_id", F.expr(user).alias("user_id"), by)
+
+    batch = (some(users.where("custkey % 3 = 0"), "concat('op-', custkey)")
+             .unionByName(some(users, "concat('z-', custkey)"))
+             .unionByName(some(users.where("custkey % 4 >= 2"), "concat('pair-', custkey div 2)"))
+             .unionByName(some(reqs, "deletion_request_id"))
+             .unionByName(some(reqs.where("orderkey % 2 = 0"), "deletion_request_id", "concat(user_id, '9')"))
+             .unionByName(some(reqs.where("orderkey % 5 = 0"), "concat('a-', deletion_request_id)")))
+    _state, outcome = D.create(requests_state(spark, sf_dir), batch, FX.ts(FX.NOW_TS))
     return outcome
 
 
@@ -238,3 +264,37 @@ def requests_by_actor(spark, sf_dir):
     r = D.by_requester(requests_state(spark, sf_dir), 50)
     return r.select("tenant_id", "requested_by", "deletion_request_id", iso("created_at").alias("created_at"),
                     F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- UDF-02 / STA-18: wipes executed by connectors -----------------------------------------------------------------
+
+class _ByUser:
+    """A connector of the fixture: every 5th user's wipes fail for good, every 7th user's until the calls run out."""
+
+    def __init__(self, name):
+        self.name = name
+
+    def wipe(self, user_id, tenant_id):
+        n = int(user_id.rsplit("-", 1)[1])
+        if n % 5 == 0:
+            return {"status": "FAILED", "error": "HTTP 404"}
+        if n % 7 == 0:
+            raise RuntimeError("HTTP 500")
+        return {"status": "SUCCEEDED", "records_found": n % 3}
+
+
+@register("udf02_run_wipes", with_fixtures(["deletion_requests"], """
+SELECT deletion_request_id, destination,
+  CASE WHEN destination = 'fax' OR n % 5 = 0 OR n % 7 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+  CAST(CASE WHEN destination = 'fax' THEN 0 WHEN n % 5 = 0 THEN 1 WHEN n % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts,
+  CAST(CASE WHEN destination <> 'fax' AND n % 5 <> 0 AND n % 7 <> 0 THEN n % 3 END AS BIGINT) AS records_found,
+  CASE WHEN destination = 'fax' THEN 'No connector registered' WHEN n % 5 = 0 THEN 'HTTP 404' WHEN n % 7 = 0 THEN 'HTTP 500' END
+    AS error
+FROM (SELECT deletion_request_id, CAST(split_part(user_id, '-', 2) AS INTEGER) AS n,
+        ['hubspot', 'HubSpot', 'fax'][orderkey % 3 + 1] AS destination FROM deletion_requests)"""))
+def run_wipes(spark, sf_dir):
+    """A wipe for every deletion request: names in any case, retries, failures for good, an unknown destination."""
+    r = FX.fixture(spark, sf_dir, "deletion_requests")
+    to = F.element_at(F.array(F.lit("hubspot"), F.lit("HubSpot"), F.lit("fax")), (F.col("orderkey") % 3 + 1).cast("int"))
+    out = CN.run_wipes(r.withColumn("destination", to), [_ByUser("hubspot")])
+    return out.select("deletion_request_id", "destination", "status", "attempts", "records_found", "error")

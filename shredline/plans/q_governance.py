@@ -37,10 +37,10 @@ def _audit_events(spark, sf_dir):
     return AU.events(QR.manual_entries(spark, sf_dir), QD.requests_state(spark, sf_dir))
 
 
-def _audit_sql(key):
+def _audit_sql(key, kinds="true"):
     return f"""SELECT type, resource_id, actor_email, tenant_id, {duck_iso('ts')} AS timestamp,
-  row_number() OVER (PARTITION BY {key} ORDER BY ts DESC, type, resource_id, tenant_id NULLS FIRST, actor_email) AS rank
-FROM ev QUALIFY rank <= 50"""
+  row_number() OVER (PARTITION BY tenant_id, {key} ORDER BY ts DESC, type, resource_id, actor_email) AS rank
+FROM ev WHERE {kinds}"""
 
 
 def _audit_out(df):
@@ -50,13 +50,15 @@ def _audit_out(df):
 
 @register("qry09_actor_audit", with_fixtures(["declarations", "deletion_requests"], _audit_sql("actor_email"), _AUDIT_CTES))
 def actor_audit(spark, sf_dir):
-    """First page (default 50, newest first) of every actor's registry and deletion events."""
+    """Every actor's registry and deletion events in each tenant, newest first."""
     return _audit_out(AU.by_actor(_audit_events(spark, sf_dir)))
 
 
-@register("qry09_resource_audit", with_fixtures(["declarations", "deletion_requests"], _audit_sql("resource_id"), _AUDIT_CTES))
+@register("qry09_resource_audit", with_fixtures(["declarations", "deletion_requests"],
+                                                _audit_sql("resource_id", "type LIKE 'PII_REGISTRY%'"), _AUDIT_CTES))
 def resource_audit(spark, sf_dir):
-    return _audit_out(AU.by_resource(_audit_events(spark, sf_dir)))
+    """The registry events of every resource in each tenant, newest first."""
+    return _audit_out(AU.by_resource(QR.manual_entries(spark, sf_dir)))
 
 
 # --- decrypted-view catalogue -------------------------------------------------------------------------

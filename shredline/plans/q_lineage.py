@@ -11,18 +11,15 @@ from shredline.plans.catalog import register
 from shredline.plans.oracle import duck_iso, with_fixtures
 from shredline.sources import fixtures as FX
 
-GHOST_SQL = """SELECT tenant_id, user_id, source, destination,
-  coalesce(json_extract_string(context, '$.resource_id'), json_extract_string(metadata, '$.resource_id'), destination) AS resource_id,
-  coalesce(json_extract_string(context, '$.system'), json_extract_string(metadata, '$.system'), split_part(destination, ':', 1)) AS system,
-  coalesce(json_extract_string(context, '$.column'), json_extract_string(metadata, '$.column')) AS column_name,
-  coalesce(json_extract_string(context, '$.pattern'), json_extract_string(metadata, '$.pattern')) AS pattern,
-  TRY_CAST(coalesce(json_extract_string(context, '$.count'), json_extract_string(metadata, '$.count')) AS BIGINT) AS finding_count,
-  TRY_CAST(coalesce(json_extract_string(context, '$.confidence'), json_extract_string(metadata, '$.confidence')) AS DOUBLE) AS confidence,
-  coalesce(json_extract_string(context, '$.scanner'), json_extract_string(metadata, '$.scanner'), source) AS scanner,
-  max(timestamp) AS last_seen
-FROM lineage_events
-WHERE coalesce(data_classification, json_extract_string(context, '$.data_classification')) = 'GHOST_DATA'
-GROUP BY ALL"""
+# From the events themselves: an error event is a scan finding in its table, of no known user for even ids.
+GHOST_SQL = """SELECT tenant, who AS user_id, scan AS source, place AS destination, place AS resource_id, 'bigquery' AS system,
+  'email' AS column_name, 'EMAIL' AS pattern, n AS finding_count, CAST(0.9 AS DOUBLE) AS confidence, scan AS scanner,
+  max(seen) AS last_seen, tenant AS tenant_id
+FROM (SELECT concat('tenant-', user_id % 3) AS tenant, if(user_id % 2 = 0, 'UNKNOWN', concat('user-', user_id)) AS who,
+        'ghost-data-scanner' AS scan, concat('bigquery:proj.ds.table_', event_id % 20) AS place,
+        CAST(event_id % 5 AS BIGINT) AS n, CAST(ts AS TIMESTAMP) AS seen
+      FROM events WHERE event_type = 'error')
+GROUP BY tenant, who, scan, place, n"""
 
 HOT_SQL = """SELECT tenant_id, user_id, list_sort(list(DISTINCT destination)) AS destinations
 FROM lineage_events
@@ -54,38 +51,34 @@ def user_lineage(spark, sf_dir):
 
 
 @register("srt04_lineage_recent", with_fixtures(["lineage_events"], f"""
-SELECT tenant_id, user_id, destination, {duck_iso('last_seen')} AS last_seen FROM (
+SELECT tenant_id, user_id, destination, {duck_iso('last_seen')} AS last_seen,
+  row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY last_seen DESC, destination) AS rank FROM (
   SELECT tenant_id, user_id, destination, max(timestamp) AS last_seen FROM lineage_events
-  GROUP BY tenant_id, user_id, destination)
-QUALIFY row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY last_seen DESC, destination) = 1"""))
+  GROUP BY tenant_id, user_id, destination)"""))
 def lineage_recent(spark, sf_dir):
-    """Most recent destination per user (the head of the newest-first list)."""
+    """Every user's destinations, newest first."""
     from pyspark.sql import Window
     ul = LIN.user_lineage(_events(spark, sf_dir))
     w = Window.partitionBy("tenant_id", "user_id").orderBy(F.col("last_seen").desc(), "destination")
-    top = ul.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    return top.select("tenant_id", "user_id", "destination", iso("last_seen").alias("last_seen"))
+    return ul.select("tenant_id", "user_id", "destination", iso("last_seen").alias("last_seen"),
+                     F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 # --- AGG-02 + WIN-06 ------------------------------------------------------------------------------
 
 @register("agg02_ghost_findings", with_fixtures(["lineage_events"], f"""
-SELECT q.tenant_id, q.user_id AS req_user_id,
-  CASE WHEN g.user_id = 'UNKNOWN' THEN 'RESOURCE_LEVEL' ELSE 'USER_LINKED' END AS scope,
-  coalesce(nullif(g.resource_id, ''), g.destination) AS resource_id, coalesce(nullif(g.system, ''), g.destination) AS system,
-  g.column_name, g.pattern, g.finding_count, g.confidence, g.scanner, {duck_iso('g.last_seen')} AS last_seen
-FROM (SELECT DISTINCT tenant_id, user_id FROM lineage_events WHERE user_id <> 'UNKNOWN') q
-JOIN ghost g ON g.tenant_id = q.tenant_id AND (g.user_id = q.user_id OR g.user_id = 'UNKNOWN')
-QUALIFY row_number() OVER (PARTITION BY q.tenant_id, q.user_id ORDER BY g.last_seen DESC, g.user_id NULLS FIRST,
-  g.source NULLS FIRST, g.destination NULLS FIRST, g.resource_id NULLS FIRST, g.system NULLS FIRST,
-  g.column_name NULLS FIRST, g.pattern NULLS FIRST, g.finding_count NULLS FIRST, g.confidence NULLS FIRST,
-  g.scanner NULLS FIRST) <= 50""", [("ghost", GHOST_SQL)]))
+SELECT tenant_id, nullif(user_id, 'UNKNOWN') AS req_user_id,
+  CASE WHEN user_id = 'UNKNOWN' THEN 'RESOURCE_LEVEL' ELSE 'USER_LINKED' END AS scope,
+  resource_id, system, column_name, pattern, finding_count, confidence, scanner, {duck_iso('last_seen')} AS last_seen,
+  row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY last_seen DESC, destination, finding_count) AS rank
+FROM ghost g WHERE user_id <> 'UNKNOWN'
+  OR tenant_id IN (SELECT tenant_id FROM lineage_events WHERE user_id <> 'UNKNOWN')""", [("ghost", GHOST_SQL)]))
 def ghost_findings(spark, sf_dir):
-    """Every user seen in lineage: own findings plus the tenant's resource-level ones, newest 50."""
+    """Every user seen in lineage: all its own findings, and those of each tenant's resources once."""
     ev = _events(spark, sf_dir)
     req = ev.where(F.col("user_id") != "UNKNOWN").select("tenant_id", "user_id")
     g = LIN.ghost_findings(req, ev)
-    return g.withColumn("last_seen", iso("last_seen"))
+    return g.withColumn("last_seen", iso("last_seen")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # --- FIL-15 / STA-05 ----------------------------------------------------------------------------------
@@ -118,11 +111,18 @@ def cleanup_plan(spark, sf_dir):
 @register("qry10_user_lineage_fallback", with_fixtures(["users", "lineage_events"], f"""
 SELECT e.tenant_id, e.user_id, e.destination, {duck_iso('max(e.timestamp)')} AS last_seen, 'warehouse' AS read_model
 FROM lineage_events e JOIN users u ON u.tenant_id = e.tenant_id AND u.user_id = e.user_id
-GROUP BY e.tenant_id, e.user_id, e.destination"""))
+WHERE e.source = 'api-ingestion' GROUP BY e.tenant_id, e.user_id, e.destination
+UNION ALL
+SELECT h.tenant_id, h.user_id, unnest(h.destinations), CASE WHEN u.custkey % 7 = 0 THEN {duck_iso("TIMESTAMP '" + FX.SHRED_TS + "'")}
+  ELSE {duck_iso("TIMESTAMP '" + FX.KEYGEN_TS + "'")} END, 'hot-path'
+FROM hot h JOIN users u ON u.tenant_id = h.tenant_id AND u.user_id = h.user_id
+WHERE NOT EXISTS (SELECT 1 FROM lineage_events e WHERE e.tenant_id = h.tenant_id AND e.user_id = h.user_id
+                  AND e.source = 'api-ingestion')""", [("hot", HOT_SQL)]))
 def lineage_fallback(spark, sf_dir):
-    """Lineage of every customer: warehouse events, else the hot-path destinations on the key row."""
+    """Lineage of every customer from a warehouse that holds API events only; the others' destinations from their key row."""
     s = SC.build(spark, sf_dir)
-    out = LIN.lineage_with_fallback(s.users, _events(spark, sf_dir), _hot_registry(spark, sf_dir))
+    warehouse = _events(spark, sf_dir).where(F.col("source") == "api-ingestion")
+    out = LIN.lineage_with_fallback(s.users, warehouse, _hot_registry(spark, sf_dir))
     return out.select("tenant_id", "user_id", "destination", iso("last_seen").alias("last_seen"), "read_model")
 
 
@@ -132,8 +132,8 @@ def lineage_fallback(spark, sf_dir):
 SELECT r.tenant_id, r.user_id,
   coalesce(array_to_string(list_sort(list(DISTINCT e.destination) FILTER (WHERE e.destination IS NOT NULL)), ','), '')
     AS impacted_destinations,
-  CAST(least(50, coalesce(min(o.n), 0) + coalesce(min(s.n), 0)) AS INTEGER) AS ghost_findings,
-  (count(e.destination) > 0 OR least(50, coalesce(min(o.n), 0) + coalesce(min(s.n), 0)) > 0) AS found
+  CAST(coalesce(min(o.n), 0) + coalesce(min(s.n), 0) AS BIGINT) AS ghost_findings,
+  (count(e.destination) > 0 OR coalesce(min(o.n), 0) + coalesce(min(s.n), 0) > 0) AS found
 FROM (""" + REQ_SQL + """) r
 LEFT JOIN lineage_events e ON e.tenant_id = r.tenant_id AND e.user_id = r.user_id
 LEFT JOIN (SELECT tenant_id, user_id, count(*) AS n FROM ghost WHERE user_id <> 'UNKNOWN' GROUP BY 1, 2) o
@@ -145,7 +145,7 @@ def deletion_plan(spark, sf_dir):
     req = FX.fixture(spark, sf_dir, "deletion_requests")
     plan = LIN.deletion_plan(req, _events(spark, sf_dir), _hot_registry(spark, sf_dir))
     return plan.select("tenant_id", "user_id", F.array_join("impacted_destinations", ",").alias("impacted_destinations"),
-                       F.col("ghost_findings").cast("int").alias("ghost_findings"), "found")
+                       F.col("ghost_findings").cast("bigint").alias("ghost_findings"), "found")
 
 
 # --- FN-16 / VAL-04 normalisation ------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from shredline.operators.util import iso
 from shredline.plans.catalog import register
 from shredline.plans.oracle import duck_iso, with_fixtures
 from shredline.sources import fixtures as FX
+from shredline.sources.tables import read_table
 
 
 # --- shared Spark inputs ------------------------------------------------------------------
@@ -114,20 +115,14 @@ MANUAL_FULL_SQL = """SELECT m.tenant_id, m.resource_id, m.created_at, m.updated_
   m.all_upcol, d.system, d.fields_spec
 FROM manual0 m JOIN decl_checked d ON d.decl_id = m.decl_id"""
 
-DISCOVERY_SQL = """SELECT * FROM (
-  SELECT * FROM (
-    SELECT tenant_id, event_id,
-      coalesce(json_extract_string(context, '$.resource_id'), json_extract_string(metadata, '$.resource_id'), destination) AS resource_id,
-      coalesce(json_extract_string(context, '$.system'), json_extract_string(metadata, '$.system'), 'bigquery') AS system,
-      coalesce(json_extract_string(context, '$.registry_status'), json_extract_string(metadata, '$.registry_status')) AS registry_status,
-      coalesce(json_extract(context, '$.new_columns'), json_extract(metadata, '$.new_columns')) AS new_columns,
-      timestamp
-    FROM lineage_events
-    WHERE coalesce(json_extract_string(context, '$.event_type'), json_extract_string(metadata, '$.event_type'))
-          = 'WAREHOUSE_METADATA_DISCOVERED'
-  ) QUALIFY row_number() OVER (PARTITION BY tenant_id, resource_id ORDER BY timestamp DESC, event_id DESC) = 1
-) WHERE registry_status IN ('UNREGISTERED', 'DRIFTED')
-QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, resource_id) <= 100"""
+# From the events themselves: a view event reports its table's status and columns.
+DISCOVERY_SQL = """SELECT tenant_id, resource_id, 'bigquery' AS system, arg_max(state, (t, n)) AS registry_status,
+  arg_max(cols, (t, n)) AS new_columns, max(t) AS timestamp
+FROM (SELECT concat('tenant-', user_id % 3) AS tenant_id, concat('bigquery:proj.ds.table_', event_id % 20) AS resource_id,
+        ['UNREGISTERED', 'DRIFTED', 'REGISTERED'][event_id % 3 + 1] AS state, ['email', concat('col_', event_id % 4)] AS cols,
+        CAST(ts AS TIMESTAMP) AS t, concat('ev-', event_id) AS n
+      FROM events WHERE event_type = 'view')
+GROUP BY tenant_id, resource_id HAVING registry_status <> 'REGISTERED'"""
 
 
 def _sens_case(c: str) -> str:
@@ -198,14 +193,25 @@ def declaration_errors(spark, sf_dir):
 
 
 @register("sta12_upsert_declarations", with_fixtures(["declarations"], f"""
-SELECT tenant_id, resource_id, {duck_iso('created_at')} AS created_at, {duck_iso('updated_at')} AS updated_at,
+SELECT 'someone' AS owner, NULL AS tenant_id, 'kept:' || decl_id AS resource_id, NULL AS created_at, NULL AS updated_at,
+  NULL AS declared_by, NULL AS last_modified_by, NULL AS deletion_strategy, NULL AS visibility, NULL AS status,
+  NULL AS source_redaction_strategy, NULL AS strategies, NULL AS scan_enabled, NULL AS scan_mode, NULL AS updated_at_column,
+  NULL AS n_fields, NULL AS resource_layer, NULL AS tenant_id_column, NULL AS user_id_column
+FROM declarations WHERE decl_id % 4 = 0
+UNION ALL
+SELECT 'manual', tenant_id, resource_id, {duck_iso('created_at')} AS created_at, {duck_iso('updated_at')} AS updated_at,
   declared_by, last_modified_by, deletion_strategy, visibility, status, source_redaction_strategy, strategies,
   scan_enabled, scan_mode, updated_at_column, CAST(len(string_split(fields_spec, ';')) AS BIGINT) AS n_fields,
   resource_layer, tenant_id_column, user_id_column
 FROM manual""", [("decl_checked", DECL_CHECK_SQL), ("manual0", MANUAL_SQL), ("manual", MANUAL_FULL_SQL)]))
 def upsert_declarations(spark, sf_dir):
+    """Declarations stored twice over a registry that has entries without an owner and older manual entries."""
     e = manual_entries(spark, sf_dir)
-    return e.select("tenant_id", "resource_id", iso("created_at").alias("created_at"),
+    ownerless = REG.conform(FX.fixture(spark, sf_dir, "declarations").where(F.col("decl_id") % 4 == 0)
+                            .select(F.concat(F.lit("kept:"), F.col("decl_id")).alias("resource_id")))
+    stale = REG.conform(e.withColumn("status", F.lit("OLD")))
+    e = REG.upsert(REG.upsert(ownerless, stale), e)
+    return e.select(F.when(F.col("owner_connector").isNull(), "someone").otherwise("manual").alias("owner"), "tenant_id", "resource_id", iso("created_at").alias("created_at"),
                     iso("updated_at").alias("updated_at"), "declared_by", "last_modified_by", "deletion_strategy",
                     "visibility", "status", "source_redaction_strategy",
                     F.array_join("source_redaction_strategies", ",").alias("strategies"),
@@ -344,7 +350,7 @@ def policy_assertions(spark, sf_dir):
 # --- FN-12..15 / SET-03 / AGG-05 / SRT-01 / QRY-06 ----------------------------------------------------------
 
 _COVERAGE_ITEMS_SQL = f"""
-SELECT resource_id, 'bigquery' AS system,
+SELECT CAST(NULL AS VARCHAR) AS tenant_id, resource_id, 'bigquery' AS system,
   CASE WHEN pstatus = 'FAIL' THEN 'EXPOSED' WHEN any_weak OR layer = 'MART' OR pstatus = 'WARN' THEN 'PARTIAL'
        ELSE 'PROTECTED' END AS state,
   weight,
@@ -354,7 +360,7 @@ SELECT resource_id, 'bigquery' AS system,
                       CASE WHEN pstatus = 'WARN' THEN 'policy WARNs' END) END AS reasons
 FROM dbt_status
 UNION ALL
-SELECT resource_id, system, 'EXPOSED',
+SELECT tenant_id, resource_id, system, 'EXPOSED',
   greatest(CAST(1.0 AS DOUBLE), coalesce(list_sum(list_transform(CAST(new_columns AS VARCHAR[]), lambda c: {_sens_case('c')})),
                                        CAST(0.0 AS DOUBLE))),
   CASE WHEN registry_status = 'DRIFTED' THEN 'schema drift vs registry' ELSE 'discovered but undeclared' END
@@ -371,29 +377,32 @@ def _coverage_items(spark, sf_dir):
 @register("qry06_coverage_items", with_fixtures(["registry_rows", "lineage_events"], "SELECT * FROM items", _COV_CTES))
 def coverage_items(spark, sf_dir):
     it = _coverage_items(spark, sf_dir)
-    return it.select("resource_id", "system", "state", "weight", F.array_join("reasons", " | ").alias("reasons"))
+    return it.select("tenant_id", "resource_id", "system", "state", "weight", F.array_join("reasons", " | ").alias("reasons"))
 
 
 @register("agg05_coverage_report", with_fixtures(["registry_rows", "lineage_events"], """
-SELECT n_protected, n_partial, n_exposed, n_total, w_protected, w_partial, w_exposed, w_total,
-  CASE WHEN w_total = 0 THEN 100 ELSE CAST(floor((w_protected + 0.5 * w_partial) / w_total * 100 + 0.5) AS INTEGER) END AS score
-FROM (SELECT count(*) FILTER (WHERE state = 'PROTECTED') AS n_protected, count(*) FILTER (WHERE state = 'PARTIAL') AS n_partial,
+SELECT *, CASE WHEN w_total = 0 THEN 100 ELSE CAST(floor((w_protected + 0.5 * w_partial) / w_total * 100 + 0.5) AS INTEGER) END AS score
+FROM (SELECT t.tenant_id, count(*) FILTER (WHERE state = 'PROTECTED') AS n_protected, count(*) FILTER (WHERE state = 'PARTIAL') AS n_partial,
   count(*) FILTER (WHERE state = 'EXPOSED') AS n_exposed, count(*) AS n_total,
   coalesce(sum(weight) FILTER (WHERE state = 'PROTECTED'), 0.0) AS w_protected,
   coalesce(sum(weight) FILTER (WHERE state = 'PARTIAL'), 0.0) AS w_partial,
-  coalesce(sum(weight) FILTER (WHERE state = 'EXPOSED'), 0.0) AS w_exposed, coalesce(sum(weight), 0.0) AS w_total FROM items)""",
-    _COV_CTES))
+  coalesce(sum(weight) FILTER (WHERE state = 'EXPOSED'), 0.0) AS w_exposed, coalesce(sum(weight), 0.0) AS w_total
+  FROM (SELECT DISTINCT tenant_id FROM items) t JOIN items i ON i.tenant_id IS NULL OR i.tenant_id = t.tenant_id
+  GROUP BY t.tenant_id)""", _COV_CTES))
 def coverage_report(spark, sf_dir):
+    """Score of every tenant over its own items and the shared ones; the row without a tenant has the shared ones alone."""
     return COV.report(_coverage_items(spark, sf_dir))
 
 
 @register("srt01_coverage_top", with_fixtures(["registry_rows", "lineage_events"], """
-SELECT resource_id, state, weight FROM items
-ORDER BY CASE state WHEN 'EXPOSED' THEN 0 WHEN 'PARTIAL' THEN 1 ELSE 2 END, weight DESC,
-  CASE WHEN resource_id IN (SELECT resource_id FROM registry_rows) THEN 0 ELSE 1 END, resource_id LIMIT 20""", _COV_CTES))
-def coverage_top(spark, sf_dir):
-    """The 20 riskiest coverage items (a top-k report: the limit is the feature)."""
-    return COV.sorted_items(_coverage_items(spark, sf_dir)).select("resource_id", "state", "weight").limit(20)
+SELECT tenant_id, resource_id, state, weight, row_number() OVER (PARTITION BY tenant_id
+  ORDER BY CASE state WHEN 'EXPOSED' THEN 0 WHEN 'PARTIAL' THEN 1 ELSE 2 END, weight DESC,
+  CASE WHEN resource_id IN (SELECT resource_id FROM registry_rows) THEN 0 ELSE 1 END, resource_id) AS rank
+FROM items""", _COV_CTES))
+def coverage_ranked(spark, sf_dir):
+    """All coverage items with their rank in the tenant, the riskiest first."""
+    return COV.ranked_items(_coverage_items(spark, sf_dir)).select("tenant_id", "resource_id", "state", "weight",
+                                                                   F.col("rank").cast("bigint").alias("rank"))
 
 
 # --- WIN-01 / JOIN-05 / QRY-08 ---------------------------------------------------------------------------------
@@ -480,6 +489,9 @@ def sync_watermarks(spark, sf_dir):
     incremental = reg.where(F.col("updated_at_column").isNotNull())
     marks = marks.join(incremental.select("tenant_id", "resource_id"), ["tenant_id", "resource_id"], "left_semi")
     out = REG.advance_watermarks(reg, marks)
+    # a second round of older and unreadable marks (VAL-09) moves nothing back
+    worse = marks.withColumn("synced_at", F.when(F.col("synced_at") > "2026-09-14", "2020-01-01 00:00:00").otherwise("last Tuesday"))
+    out = REG.advance_watermarks(out, worse.withColumn("attempt_at", F.lit("soon")))
     return out.select("tenant_id", "resource_id", iso("last_synced_at").alias("last_synced_at"))
 
 
@@ -498,3 +510,45 @@ def entries_by_destination(spark, sf_dir):
     reg = REG.compose(REG.conform(spark.createDataFrame([], REG.schemas.REGISTRY_ENTRY)),
                       dbt_registry(spark, sf_dir), manual_entries(spark, sf_dir))
     return REG.by_lineage_destination(dests, reg).select("destination", "tenant_id", "resource_id")
+
+
+# --- JOIN-09 / SET-06 / VAL-07: declarations against the real tables ----------------------------------------------
+
+def _real_tables(spark, sf_dir):
+    """One table or view for each of the suppliers' resources, with the columns it really has."""
+    n = F.col("s_suppkey") % 25
+    return (read_table(spark, sf_dir, "supplier").select("s_suppkey").select(
+        F.concat(F.lit("bigquery:proj.ds.table_"), n).alias("resource_id"),
+        F.when(n % 2 == 0, "VIEW").otherwise("BASE TABLE").alias("table_type"),
+        F.when(n % 3 == 0, F.array(F.lit("user_id"), F.lit("email"))).otherwise(
+            F.array(F.lit("user_id"), F.lit("tenant_id"), F.lit("email"), F.lit("phone"))).alias("columns")).distinct())
+
+
+@register("join09_missing_columns", with_fixtures(["declarations"], """
+SELECT decl_id, tenant_id, resource_id, list_aggregate(list_sort(list_filter(list_distinct(declared),
+    lambda c: NOT list_contains(real, c))), 'string_agg', ',') AS missing_columns
+FROM (SELECT decl_id, tenant_id, resource_id,
+        list_filter([user_id_column, tenant_id_column] || CASE WHEN fields_spec = '' THEN [] ELSE ['email', 'phone'] END,
+                    lambda c: c IS NOT NULL) AS declared,
+        CASE WHEN CAST(split_part(resource_id, 'table_', 2) AS INTEGER) % 3 = 0 THEN ['user_id', 'email']
+             ELSE ['user_id', 'tenant_id', 'email', 'phone'] END AS real
+      FROM declarations WHERE resource_id LIKE 'bigquery:proj.ds.table\\_%' ESCAPE '\\'
+        AND resource_id IN (SELECT 'bigquery:proj.ds.table_' || (s_suppkey % 25) FROM supplier))
+WHERE missing_columns IS NOT NULL"""))
+def missing_columns(spark, sf_dir):
+    """Declared columns that the real table lacks; resources without a known table are skipped."""
+    schema = _real_tables(spark, sf_dir).select("resource_id", F.explode("columns").alias("column_name"))
+    out = REG.missing_columns(FX.declarations(spark, sf_dir), schema)
+    return out.select("decl_id", "tenant_id", "resource_id", F.array_join("missing_columns", ",").alias("missing_columns"))
+
+
+@register("val07_view_conflicts", with_fixtures(["declarations"], """
+SELECT decl_id, tenant_id, resource_id FROM declarations
+WHERE resource_id LIKE 'bigquery:proj.ds.table\\_%' ESCAPE '\\' AND CAST(split_part(resource_id, 'table_', 2) AS INTEGER) % 2 = 0
+  AND resource_id IN (SELECT 'bigquery:proj.ds.table_' || (s_suppkey % 25) FROM supplier)
+  AND list_contains(CASE WHEN source_redaction_strategies IS NOT NULL THEN string_split(source_redaction_strategies, ',')
+                         WHEN source_redaction_strategy <> 'NONE' THEN [source_redaction_strategy] ELSE [] END, 'REDACT_IN_PLACE')"""))
+def view_conflicts(spark, sf_dir):
+    """Declarations that would redact a view in place."""
+    out = REG.view_conflicts(FX.declarations(spark, sf_dir), _real_tables(spark, sf_dir).select("resource_id", "table_type"))
+    return out.select("decl_id", "tenant_id", "resource_id")

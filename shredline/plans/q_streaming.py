@@ -46,12 +46,12 @@ FROM events WHERE user_id % 13 <> 0 AND event_id % 97 <> 0""")
 def ingest_lineage(spark, sf_dir):
     """Payload stream delivered twice (redelivery), deduplicated, validated, normalised and appended."""
     raw = stream_table(spark, sf_dir, "events")
-    p = _payloads(raw)
-    p = ING.dedup(p.unionByName(_payloads(stream_table(spark, sf_dir, "events"))))
+    p = _payloads(raw).unionByName(_payloads(stream_table(spark, sf_dir, "events")))
     root = scratch(spark, "ingest")
 
     def body(batch, bid):
-        ING.ingest_batch(batch, f"{root}/events", f"{root}/rejects", f"{root}/quarantine", batch_id=bid)
+        ING.ingest_batch(batch, f"{root}/events", f"{root}/rejects", f"{root}/quarantine", batch_id=bid,
+                         deliveries_path=f"{root}/deliveries")
         return spark.createDataFrame([], "x int")
 
     run_available(p, "ingest", batch_fn=body)
@@ -72,9 +72,9 @@ FROM hot h JOIN (SELECT tenant_id, user_id, max(timestamp) AS last_seen FROM lin
 def hot_path_stream(spark, sf_dir):
     """Running destination set and last-seen per user, maintained by a streaming aggregation."""
     agg = ING.hot_path(_fixture_stream(spark, sf_dir, "lineage_events"))
-    out = run_available(agg, "hot_path", output_mode="complete")
-    last = out.agg(F.max("_batch_id").alias("b")).first()["b"]
-    out = out.where(F.col("_batch_id") == last)
+    changed = run_available(agg, "hot_path", output_mode="update")
+    out = (changed.groupBy("tenant_id", "user_id")
+           .agg(F.max_by(F.struct("destinations", "last_seen"), "_batch_id").alias("s")).select("tenant_id", "user_id", "s.*"))
     return out.select("tenant_id", "user_id", join_sorted("destinations").alias("destinations"),
                       iso("last_seen").alias("last_seen"))
 
@@ -140,9 +140,8 @@ def chain_stream(spark, sf_dir):
     landing = scratch(spark, "claims")
     claims.write.mode("overwrite").parquet(landing)
     claims.write.mode("append").parquet(landing)  # a redelivery of the same completions
-    stream = (spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
-              .withColumn("arrived_at", F.current_timestamp()))
-    out = run_available(ST.chain(ST.dedup_requests(stream).drop("arrived_at")), "chain")
+    stream = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
+    out = run_available(ST.chain(ST.dedup_requests(stream)), "chain")
     return out.select("tenant_id", "sequence", "deletion_request_id", "previous_hash", "certificate_hash")
 
 

@@ -64,13 +64,15 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a scratch one only if unset."""
+    """Return the shared checkpoint folder; a scratch one is chosen only if unset, and only in local mode."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="shredline-ckpt-", dir=os.environ.get("SHREDLINE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path

@@ -1,14 +1,16 @@
 """Registry loading at job start (SRC-01, SRC-04, SRC-05, SRC-19, SET-02, UDF-03).
 
 Loaders are callables ``spark -> DataFrame`` (the warehouse-independent
-loader interface). Each slice is optional and failure-tolerant: a loader
-that raises contributes nothing, as a missing table means "no entries".
+loader interface). Each slice is optional: a table that doesn't exist means
+"no entries". Any other failure (permissions, a broken file, a bug) is raised:
+resources silently left out would be left out of redaction plans too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from shredline import schemas
 from shredline.operators import registry as REG
 from shredline.sources.tables import lowercase_columns, read_or_empty
 
+ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+
 Loader = Callable[[SparkSession], DataFrame]
 
 
@@ -41,7 +45,9 @@ def _safe(spark: SparkSession, loader: Loader | None) -> DataFrame:
         return empty
     try:
         return REG.conform(loader(spark))
-    except Exception:  # a slice that cannot be read contributes nothing
+    except AnalysisException as missing:
+        if missing.getCondition() not in ABSENT:
+            raise
         return empty
 
 

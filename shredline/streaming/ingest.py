@@ -1,7 +1,7 @@
 """Lineage ingestion stream (STR-01, STR-02, STR-03, STR-07, SRC-06, SRC-07).
 
 validate (VAL-04) → split valid / rejects → normalise (FN-16) → append.
-Redelivered payloads are dropped by their delivery id within a watermark
+Redelivered payloads are known by their stored delivery ids
 (STR-02); a failing sink write diverts the batch to a quarantine folder
 instead of failing the stream (SRC-07).
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,40 +24,59 @@ def validated(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("errors", VAL.errors(VAL.lineage_event_rules(payloads)))
 
 
-def dedup(payloads: DataFrame, id_col: str = "delivery_id", time_col: str = "received_at",
-          delay: str = "1 hour") -> DataFrame:
-    """STR-02: drop redelivered payloads (same delivery id) within the watermark delay."""
-    return payloads.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([id_col])
+def new_deliveries(batch: DataFrame, deliveries_path: str, batch_id: int | None, id_col: str = "delivery_id") -> DataFrame:
+    """STR-02: payloads whose delivery id neither an earlier batch nor this one has brought before.
+
+    The ids of all batches are kept in a table, so a redelivery is known however late
+    it comes, and a payload is never dropped for being late.
+    """
+    once = batch.dropDuplicates([id_col])
+    try:
+        known = batch.sparkSession.read.option("basePath", deliveries_path).parquet(deliveries_path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return once
+    if batch_id is not None:            # a batch that is run again replaces its own ids
+        known = known.where(F.col("batch") != batch_id)
+    return once.join(known.select(id_col), id_col, "left_anti")
 
 
 def ingest_batch(batch: DataFrame, events_path: str, rejects_path: str, quarantine_path: str,
-                 now=None, batch_id: int | None = None) -> None:
+                 now=None, batch_id: int | None = None, deliveries_path: str | None = None) -> None:
     """foreachBatch body: normalised valid events, rejects aside; quarantine on sink failure.
 
     With a ``batch_id`` every output goes to its own ``batch=<id>`` folder in
     overwrite mode, so a micro-batch replayed after a failure does not
-    duplicate events. The validated batch is persisted so both outputs reuse
-    one evaluation of the validation rules.
+    duplicate events. With ``deliveries_path`` redelivered payloads are left out. The
+    normalised batch is persisted, so a quarantined event is the very event that could not be written.
     """
+    if deliveries_path is not None:
+        batch = new_deliveries(batch, deliveries_path, batch_id)
     v = validated(batch).persist()
-    good = LIN.normalise(v.where(F.size("errors") == 0).drop("errors"), now)
+    good = LIN.normalise(v.where(F.size("errors") == 0).drop("errors"), now).persist()
     bad = v.where(F.size("errors") > 0)
     part = "" if batch_id is None else f"/batch={batch_id}"
     mode = "append" if batch_id is None else "overwrite"
+    good.count()                # an error in the rules or the data is not a sink failure
     try:
         good.write.mode(mode).parquet(events_path + part)
-    except Exception:  # SRC-07: keep the events, let the stream go on
+    except (Py4JJavaError, PySparkException):  # SRC-07: keep the events, let the stream go on
         good.write.mode(mode).json(quarantine_path + part)
     bad.write.mode(mode).parquet(rejects_path + part)
+    if deliveries_path is not None:         # last: a failure before this line brings the batch again
+        v.select("delivery_id").write.mode(mode).parquet(deliveries_path + part)
+    good.unpersist()
     v.unpersist()
 
 
 def ingest_lineage(payloads: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
     """STR-01: start the ingestion stream; returns the StreamingQuery."""
-    events, rejects, quarantine = (os.path.join(root, p) for p in ("events", "rejects", "quarantine"))
+    events, rejects, quarantine, seen = (os.path.join(root, p) for p in ("events", "rejects", "quarantine", "deliveries"))
 
     def body(batch, batch_id):
-        ingest_batch(batch, events, rejects, quarantine, batch_id=batch_id)
+        known = seen if "delivery_id" in batch.columns else None
+        ingest_batch(batch, events, rejects, quarantine, batch_id=batch_id, deliveries_path=known)
 
     w = payloads.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

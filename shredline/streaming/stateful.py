@@ -145,10 +145,9 @@ def chain(claims: DataFrame) -> DataFrame:
         _chain, CERT.CHAIN_SCHEMA, CHAIN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def dedup_requests(claims: DataFrame, time_col: str = "arrived_at", delay: str = "1 day") -> DataFrame:
-    """A request id is chained once, also when its completion is delivered twice.
+def dedup_requests(claims: DataFrame) -> DataFrame:
+    """A request id is chained once, however late its completion is delivered again.
 
-    The watermark runs on arrival time (not request creation time, which can
-    be far older than the completion that delivers it).
+    No watermark: the ids of all chained requests stay in the state store (one id for each certificate).
     """
-    return claims.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["deletion_request_id"])
+    return claims.dropDuplicates(["deletion_request_id"])

@@ -57,7 +57,7 @@ def test_wipe_labels(spark):
                               "rows_affected long, updated_at timestamp")
     s = CERT.lineage_summary(w).collect()[0]
     assert s.destinations_checked == 4 and s.destinations_succeeded == 3
-    labels = {x.split('"system":"')[1][0]: ("CONFIRMED_ABSENT" in x) for x in s._items}
+    labels = {x.system: x.status == "CONFIRMED_ABSENT" for x in s._items}
     assert labels == {"a": True, "b": False, "c": True}
 
 
@@ -100,3 +100,39 @@ def test_failed_write_keeps_the_current_version(spark, tmp_dir):
     n = state.write_version(spark.range(5).toDF("x"), root)      # the next write still goes through
     assert state.current_version(spark, root) == n and state.read_current(spark, root).count() == 5
     assert state.versions(spark, root) == [n]
+
+
+def test_a_failed_first_write_is_never_current(spark, tmp_dir):
+    root = f"{tmp_dir}/first"
+    bad = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).alias("x"))
+    try:
+        state.write_version(bad, root)
+        raise AssertionError("the failing write should raise")
+    except Exception as exc:  # noqa: BLE001
+        assert "boom" in str(exc)
+    assert state.current_version(spark, root) is None and state.read_current(spark, root) is None
+
+
+def test_erasing_touches_only_the_partitions_hit(spark, tmp_dir):
+    from shredline.operators import redaction as R
+
+    rows = spark.range(40).selectExpr("'t' AS tenant_id", "concat('u', id) AS user_id", "concat('mail', id) AS email",
+                                      "cast(id div 10 AS int) AS bucket")
+    for name, fields in (("redact", ["email"]), ("delete", None)):
+        path = f"{tmp_dir}/{name}"
+        rows.repartition(1).write.partitionBy("bucket").parquet(path)
+        files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+        before = files()
+        users = spark.createDataFrame([("t", "u3"), ("t", "u31"), ("x", "u12")], "tenant_id string, user_id string")
+        assert R.erase_stored(spark, path, "bucket", users, "user_id", "tenant_id", fields) == 2
+        after = files()
+        kept = {f for f in before if after.get(f) == before[f]}
+        assert {f.split("bucket=")[1][0] for f in kept} == {"1", "2"}
+        blobs = b"".join(open(f, "rb").read() for f in after)
+        back = spark.read.parquet(path)
+        assert back.count() == (40 if fields else 38) and back.where("email is null").count() == (2 if fields else 0)
+        assert b"mail31" not in blobs
+    whole = spark.createDataFrame([("t", f"u{i}") for i in range(10, 20)], "tenant_id string, user_id string")
+    assert R.erase_stored(spark, f"{tmp_dir}/delete", "bucket", whole, "user_id", "tenant_id") == 10
+    assert not os.path.exists(f"{tmp_dir}/delete/bucket=1") and R.erase_stored(
+        spark, f"{tmp_dir}/delete", "bucket", whole, "user_id", "tenant_id") == 0

@@ -51,3 +51,11 @@ def test_erase_batch(spark):
     piv = {(r.tenant_id, r.user_id): r.email for r in V.decrypted_pivot(vault, K.key_versions(run.key_registry, tk),
                                                                            ["email"]).collect()}
     assert piv == {("A", "alice"): None, ("A", "bob"): None, ("B", "alice"): "alice@b"}
+
+    # the failed request is taken up again; what is done stays as it is
+    sf.answers.clear()
+    second = ER.erase(run.requests, run.key_registry, events, resources, [hub, sf], tk, F.lit(T), run.heads, run.wipes)
+    st = {r.deletion_request_id: r.status for r in second.requests.collect()}
+    assert st == {"req-a": "CERTIFICATE_ISSUED", "req-b": "CERTIFICATE_ISSUED"}
+    again = second.certificates.collect()
+    assert [(c.deletion_request_id, c.sequence, c.previous_hash) for c in again] == [("req-b", 2, certs[0].certificate_hash)]

@@ -37,19 +37,21 @@ def test_normalise_aliases_defaults_and_caller_override(spark):
     assert c1["operation_id"] == ev["u1"].event_id
 
 
-def test_ghost_findings_top_n_per_request_without_pairing(spark):
+def test_ghost_findings_are_whole_and_not_paired_with_requests(spark):
     rows = [_ghost(f"e{i}", "A", "UNKNOWN", f"bigquery:p.d.t{i}", i, T + dt.timedelta(hours=i)) for i in range(60)]
     rows += [_ghost("mine", "A", "u1", "bigquery:p.d.mine", 1, T + dt.timedelta(days=30))]
     rows += [_ghost("other", "B", "UNKNOWN", "bigquery:p.d.b", 1, T)]
     ev = _events(spark, rows)
     req = spark.createDataFrame([("A", "u1"), ("A", "u2"), ("B", "u3")], "tenant_id string, user_id string")
-    g = LIN.ghost_findings(req, ev, top=50).collect()
     per = {}
-    for r in g:
-        per.setdefault(r.req_user_id, []).append(r)
-    assert len(per["u1"]) == 50 and len(per["u2"]) == 50 and len(per["u3"]) == 1
-    assert max(per["u1"], key=lambda r: r.last_seen).scope == "USER_LINKED"
-    assert all(r.scope == "RESOURCE_LEVEL" for r in per["u2"])
+    for r in LIN.ghost_findings(req, ev).collect():
+        per.setdefault((r.tenant_id, r.req_user_id), []).append(r)
+    assert {k: len(v) for k, v in per.items()} == {("A", "u1"): 1, ("A", None): 60, ("B", None): 1}
+    assert per["A", "u1"][0].scope == "USER_LINKED" and all(r.scope == "RESOURCE_LEVEL" for r in per["A", None])
+    assert sorted(r["rank"] for r in per["A", None]) == list(range(1, 61))
+    assert LIN.ghost_findings(req, ev, page=5).count() == 1 + 5 + 1
+    counts = {(r.tenant_id, r.user_id): r.ghost_findings for r in LIN.ghost_counts(req, ev).collect()}
+    assert counts == {("A", "u1"): 61, ("A", "u2"): 60, ("B", "u3"): 1}
 
 
 def test_discovery_latest_before_status_filter(spark):
@@ -150,8 +152,11 @@ def test_audit_events_and_paging(spark):
     got = sorted((r.type, r.resource_id, r.actor_email) for r in ev.collect())
     assert got == [("DELETION_REQUESTED", "u9", "a@x"), ("PII_REGISTRY_DECLARED", "r1", "a@x"),
                    ("PII_REGISTRY_DECLARED", "r2", "a@x"), ("PII_REGISTRY_MODIFIED", "r1", "b@x")]
-    page = AU.by_actor(ev, 2, "a@x").collect()
-    assert [r.resource_id for r in sorted(page, key=lambda r: r.rank)] == ["u9", "r1"]
+    page = AU.by_actor(ev, "a@x", page=2).collect()
+    assert [r.resource_id for r in sorted(page, key=lambda r: r["rank"])] == ["u9", "r1"]
+    assert [r.resource_id for r in AU.by_actor(ev, "a@x", page=2, after=2).collect()] == ["r2"]
+    assert AU.by_actor(ev).count() == 4 and AU.by_actor(ev.unionByName(ev.withColumn("tenant_id", F.lit("u")))).where("rank > 3").count() == 0
+    assert sorted(r.type for r in AU.by_resource(e, "r1").collect()) == ["PII_REGISTRY_DECLARED", "PII_REGISTRY_MODIFIED"]
     assert AU.page_size("abc") == 50 and AU.page_size(-1) == 50 and AU.page_size(500) == 200 and AU.page_size("7") == 7
 
 

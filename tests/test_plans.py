@@ -55,18 +55,22 @@ def test_filters_and_columns_reach_the_scan(spark, stored):
            "encrypted_value:string,synced_at:timestamp>" in plan
 
 
-def test_top_n_windows_are_limited_before_the_shuffle(spark, no_broadcast):
+def test_findings_are_grouped_before_the_shuffle(spark, no_broadcast):
     plan = _plan(QL.ghost_findings(spark, SF_SMALL))
-    assert plan.count("WindowGroupLimit") >= 4 and "Partial" in plan and "Final" in plan
     assert "partial_max(timestamp" in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_latest_ciphertext_shares_one_vault_shuffle(spark, stored, no_broadcast):
+def test_latest_ciphertext_is_aggregated_before_the_shuffle(spark, stored, no_broadcast):
     vault, reg, tk = stored
     plan = _plan(V.latest_ciphertext(vault, K.key_versions(reg, tk)))
-    assert plan.count("REPARTITION_BY_COL") == 1
-    window_side = plan.split("SortMergeJoin")[1]
-    assert window_side.index("Window") < window_side.index("REPARTITION_BY_COL")
+    assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_one_tenants_view_reads_one_tenants_keys(spark, stored):
+    vault, reg, tk = stored
+    plan = _plan(V.decrypted_pivot(vault, K.key_versions(reg, tk), ["email"], tenant="tenant-1"), "formatted")
+    assert "EqualTo(tenant_id,tenant-1)" in plan.split("registry")[-1] or plan.count("EqualTo(tenant_id,tenant-1)") >= 1
 
 
 def test_hot_user_partition_is_split_by_aqe(spark, tmp_dir):

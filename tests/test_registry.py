@@ -109,20 +109,22 @@ def test_policy_issues_and_status(spark):
 
 
 def test_coverage_score_matches_reference_example(spark):
-    items = spark.createDataFrame([("a", "bigquery", "PROTECTED", 3.0, ["x"]), ("b", "bigquery", "PARTIAL", 5.0, ["y"]),
-                                   ("c", "bigquery", "EXPOSED", 5.0, ["z"])],
-                                  "resource_id string, system string, state string, weight double, reasons array<string>")
-    r = COV.report(items).collect()[0]
-    assert r.score == 42 and r.n_total == 3 and r.w_total == 13.0
-    empty = COV.report(items.limit(0)).collect()[0]
-    assert empty.score == 100 and empty.n_total == 0
-    order = [x.resource_id for x in COV.sorted_items(items.withColumn("kind", F.lit(0))).collect()]
-    assert order == ["c", "b", "a"]
+    items = spark.createDataFrame([("t", "a", "bigquery", "PROTECTED", 3.0, ["x"]), (None, "b", "bigquery", "PARTIAL", 5.0, ["y"]),
+                                   ("t", "c", "bigquery", "EXPOSED", 5.0, ["z"]), ("u", "d", "bigquery", "PROTECTED", 1.0, ["z"])],
+                                  "tenant_id string, resource_id string, system string, state string, weight double, "
+                                  "reasons array<string>")
+    r = {x.tenant_id: x for x in COV.report(items).collect()}
+    assert r["t"].score == 42 and r["t"].n_total == 3 and r["t"].w_total == 13.0
+    assert (r["u"].n_total, r["u"].w_total, r["u"].score) == (2, 6.0, 58) and r[None].n_total == 1
+    assert COV.report(items.limit(0)).count() == 0
+    order = COV.ranked_items(items.withColumn("kind", F.lit(0))).where("tenant_id = 't'").orderBy("rank").collect()
+    assert [x.resource_id for x in order] == ["c", "a"]
 
 
 def test_classify_entry(spark):
-    findings = spark.createDataFrame([("bigquery:p.d.t", "bigquery", "DRIFTED", ["email", "paid", "description"])],
-                                     "resource_id string, system string, registry_status string, columns array<string>")
+    findings = spark.createDataFrame([("t", "bigquery:p.d.t", "bigquery", "DRIFTED", ["email", "paid", "description"])],
+                                     "tenant_id string, resource_id string, system string, registry_status string, "
+                                     "columns array<string>")
     entries = _entry(spark).unionByName(_entry(spark, resource_id="r2", deletion_strategy="DELETE_ROWS",
                                                fields=[("ip", "QUASI_IDENTIFIER", "REDACT")]))
     it = {r.resource_id: r for r in COV.items(entries, findings).collect()}

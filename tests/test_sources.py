@@ -37,6 +37,8 @@ def test_materialised_view_and_contexts_map(spark):
     kv = K.key_versions(reg, tk)
     vault = V.encrypt_table(users, ["email"], "r", kv, tk, F.lit(dt.datetime(2026, 1, 1))).cache()
     VW.materialise(vault, kv, "t-1", "support", ["email"])
-    assert spark.sql("SELECT email FROM t_1_support").collect()[0].email == "a@x"
+    assert spark.table(VW.view_id("t-1", "support")).collect()[0].email == "a@x"
+    same = [VW.view_id(t, v) for t, v in (("a-b", "c"), ("a_b", "c"), ("a", "b_c"), ("A", "b_c"))]
+    assert len({x.lower() for x in same}) == 4
     ctx = K.contexts_by_user(K.encryption_contexts(reg, users)).collect()[0]
     assert set(ctx.contexts) == {"u1"} and ctx.contexts["u1"].key_id == "v1"
