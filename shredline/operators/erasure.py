@@ -89,8 +89,10 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
         return rows.select("deletion_request_id", to.alias("to_status"), F.lit("erasure").alias("operation_id"),
                            (now + F.make_interval(secs=F.lit(seconds))).alias("at"))
 
+    ensure_checkpoint_dir(spark)
+
     # 1. destroy keys
-    reg = K.shred(key_registry, fresh, now).state
+    reg = K.shred(key_registry, fresh, now).state.checkpoint(eager=True)
     state, dec1 = D.advance_once(requests, moves(fresh, "KEY_DESTROYED", 0).unionByName(
         moves(again, "CASCADE_IN_PROGRESS", 0)))
 
@@ -100,7 +102,6 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
     tasks = LIN.cleanup_plan(ids, hot).join(ids, ["tenant_id", "user_id"])
     # External calls happen exactly once: the results are checkpointed to the shared checkpoint
     # folder before the three consumers below (a task retry re-runs only its own, idempotent wipes).
-    ensure_checkpoint_dir(spark)
     results = CN.run_wipes(tasks, connectors).checkpoint(eager=True)
     wipes = results.select("deletion_request_id", "destination", "status", "attempts", "records_found",
                            F.lit(None).cast("bigint").alias("rows_affected"), "error", now.alias("updated_at"))
@@ -109,19 +110,22 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
     state = D.record_wipes(state, wipes)
 
     # 3. decide: nothing planned → COMPLETE at once; all recorded → AGG-10; else still in progress
-    outcome = D.cascade(ids, tasks.select("tenant_id", "user_id", "destination"), resources, wipes)
+    # Written once: the decisions feed three branches, the new state the claims and the run after this one.
+    outcome = D.cascade(ids, tasks.select("tenant_id", "user_id", "destination"), resources, wipes).checkpoint(eager=True)
     started = outcome.join(fresh.select("deletion_request_id"), "deletion_request_id", "left_semi")
     open_again = (F.col("next_status") == "CASCADE_IN_PROGRESS") & ~F.col("_fresh")
     known = outcome.join(fresh.select("deletion_request_id", F.lit(True).alias("_fresh")), "deletion_request_id", "left") \
         .withColumn("_fresh", F.coalesce("_fresh", F.lit(False)))
     state, dec2 = D.advance(state, moves(started, "CASCADE_PENDING", 1).unionByName(
         moves(known.where(~open_again), F.col("next_status"), 2)))
+    state = state.checkpoint(eager=True)
 
     # 4. certificates (claims read the recorded wipes and the shredded keys), then the status of those that have one
     done = state.where(F.col("status") == "CASCADE_COMPLETE")
     claims = CERT.claims(done, reg, wipes, events, now, connectors=[c.name.lower() for c in connectors])
     chain = CERT.append_chain(claims, tenant_keys, heads).checkpoint(eager=True)
     state, dec3 = D.advance_once(state, moves(chain, "CERTIFICATE_ISSUED", 3))
+    state = state.checkpoint(eager=True)
     dec2 = dec2.unionByName(dec3)
     new_heads = CERT.chain_heads(chain)
     if heads is not None:
