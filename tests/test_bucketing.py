@@ -12,6 +12,7 @@ def test_bucketed_vault_and_keys_join_without_shuffle(spark):
     tk = spark.createDataFrame([("A",), ("B",)], "tenant_id string") \
         .withColumn("kek", F.unhex(F.sha2(F.concat(F.lit("kek-"), "tenant_id"), 256))) \
         .withColumn("token_key", F.unhex(F.sha2(F.lit("t"), 256)))
+    tk = F.broadcast(tk)                # two tenants; the vault and the key registry are what must not move
     users = spark.range(200).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("tenant_id"),
                                     F.concat(F.lit("u"), F.col("id")).alias("user_id"),
                                     F.concat(F.lit("e"), F.col("id"), F.lit("@x")).alias("email"))
