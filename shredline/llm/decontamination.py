@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from shredline.llm.common import alnum_words, binary_column, counter_index, number, text_slices
 
 SHARD_WORDS = 1 << 19
+ADDED = ("n_words", "n_hit", "hits", "items", "longest")
 
 
 def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
@@ -196,8 +197,7 @@ def match_benchmark(docs: DataFrame, items: DataFrame, window: int = 13, block_b
     ``n_hit``, ``hits`` (one packed bit for each word, null without a hit), ``items`` (ids as
     strings, sorted) and ``longest`` (words of the longest verbatim match).
     """
-    added = ("n_words", "n_hit", "hits", "items", "longest")
-    out = docs.select(*[c for c in docs.columns if c not in added], F.lit(0).cast("long").alias("n_words"),
+    out = docs.select(*[c for c in docs.columns if c not in ADDED], F.lit(0).cast("long").alias("n_words"),
                       F.lit(0).cast("long").alias("n_hit"),
                       F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"),
                       F.lit(0).cast("long").alias("longest"))
@@ -215,8 +215,10 @@ def judge(matches: DataFrame, share: int = 20) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    carried = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return (judge(match_benchmark(carried, items, window), share).where(~F.col("contaminated")).select("row.*"))
+    clash = {*ADDED, "n_items", "contaminated"} & set(docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), "text") if clash else docs
+    return (judge(match_benchmark(own, items, window), share).where(~F.col("contaminated"))
+            .select(*(["row.*"] if clash else docs.columns)))
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> dict:

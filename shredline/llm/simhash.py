@@ -235,22 +235,46 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links of 2 or fewer bits) of every row."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    prints = fingerprint_table(docs, k).checkpoint()
+def classes_of(prints: DataFrame) -> DataFrame:
+    """fp, root (the component's smallest linked fingerprint) and component_id of every distinct fingerprint."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(near_links(prints.select("fp").distinct()))
     rooted = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
               .select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lows, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(lows, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links of 2 or fewer bits) of every row."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints = fingerprint_table(docs, k).checkpoint()
+    return prints.join(classes_of(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
-    """One row of each component: that of its smallest doc_id (of rows repeating the id, one; all columns kept)."""
-    kept = (near_duplicates(docs, k).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    only = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return only.dropDuplicates(["doc_id"])
+    """One row of each component, with all its columns: that of the smallest doc_id.
+
+    Of rows that repeat this id one stays, whatever their texts. Of a component
+    whose rows all have a null id one row stays; null ids in other components go.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints = fingerprint_table(docs, k).checkpoint()
+    classes = classes_of(prints).checkpoint()
+    kept = prints.join(classes, "fp").where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if not prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])        # whole rows are shuffled for it, so only if ids do repeat
+    nameless = classes.where("component_id is null").select("fp", "root")
+    if nameless.isEmpty():
+        return named
+    texts = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "text")
+    row = texts.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for part in text_slices(batches):
+            fp = fingerprints(binary_column(part, "text"), k).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["row", "fp"])
+
+    alone = (texts.mapInArrow(run, f"row {row}, fp long").join(nameless, "fp").dropDuplicates(["root"]).select("row.*"))
+    return named.unionByName(alone)

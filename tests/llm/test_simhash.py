@@ -120,3 +120,9 @@ def test_keep_one(frame):
     left = S.keep_one(rows)
     assert left.columns == rows.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 9]
     assert S.keep_one(rows.limit(0)).count() == 0
+
+
+def test_keep_one_with_null_ids(frame):
+    rows = frame([(None, "a b c d"), (5, "a b c d"), (None, "only null ids have this"), (None, "only null ids have this"), (6, None)])
+    left = sorted(((r.doc_id, r.text) for r in S.keep_one(rows).collect()), key=str)
+    assert left == sorted([(5, "a b c d"), (6, None), (None, "only null ids have this")], key=str)
