@@ -70,7 +70,7 @@ class Positions:
         inner[self.first] = inner[self.last] = False
         word[self.first], word[self.last] = START, END
         word[inner] = hashes[np.concatenate(parts)] if parts else 0
-        self.doc = np.repeat(np.arange(len(texts)), n + 2)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), n + 2)
         self.start = np.zeros(total, dtype=bool)
         self.start[self.first] = True
         depth = np.arange(total) - self.first[self.doc]             # elements before, START included
@@ -100,12 +100,26 @@ def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[heads], np.add.reduceat(counts, heads)
 
 
-def _asked(slices, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _positions(part, order: int) -> tuple[Positions, np.ndarray]:
+    """The n-grams of a batch, and which of its texts are for training."""
+    held = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+    return Positions(binary_column(part, "text"), order), ~held
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the smallest width that holds them all; ``unpacked`` tells it from the length."""
+    top = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+
+
+def unpacked(block: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(block, np.dtype(f"u{len(block) // n}") if n else np.uint8).astype(np.int64)
+
+
+def _asked(positions, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys of a group, sorted, and their counts in its training texts."""
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for part in slices:
-        here = Positions(binary_column(part, "text"), order)
-        train = ~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+    for here, train in positions:
         both = np.unique(here.all_keys())
         learned, n = np.unique(here.all_keys(train), return_counts=True)
         count = np.zeros(len(both), dtype=np.int64)
@@ -141,14 +155,11 @@ def traverse(arcs: list[list], fails: list[list], n: int) -> float:
     return score
 
 
-def _scores(part, keys: np.ndarray, totals: np.ndarray, n_train: int, n_types: int, order: int, prior: float,
+def _scores(here: Positions, keys: np.ndarray, totals: np.ndarray, n_train: int, n_types: int, order: int, prior: float,
             floor: float):
     """n_tokens, n_known, base and model score of each row."""
-    here = Positions(binary_column(part, "text"), order)
-    at = {k: totals[np.searchsorted(keys, here.keys[k])] if len(keys) else np.zeros(len(here.doc), np.int64)
-          for k in [1]}
     token = ~here.start
-    known = at[1]
+    known = totals[np.searchsorted(keys, here.keys[1])]
     base = np.log10((known + 1) / (n_train + n_types + 1))
     p = (known + floor) / (n_train + floor * (n_types + 1))
     weight = {0: np.log10(p)}
@@ -205,27 +216,26 @@ def score_texts(docs: DataFrame, order: int = 2, prior: float = 100.0, floor: fl
             for g in np.unique(groups).tolist():
                 own = part if (groups == g).all() else pa.RecordBatch.from_struct_array(
                     part.to_struct_array().filter(pa.array(groups == g)))
-                by_group.setdefault(g, []).append(_asked([own], order))
+                by_group.setdefault(g, []).append(_asked([_positions(own, order)], order))
                 if len(by_group[g]) > 8:
                     by_group[g] = [merge_counts(*map(np.concatenate, zip(*by_group[g])))]
         for g, got in by_group.items():
             keys, counts = merge_counts(*map(np.concatenate, zip(*got)))
             cuts = np.append(np.searchsorted(keys, bounds), len(keys)).tolist()
-            counts = counts.astype(np.uint32)
             spans = [slice(cuts[i], cuts[i + 1]) for i in range(n)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(names, pa.int32()), pa.array([g] * n, pa.int32()),
                 pa.array([keys[s].tobytes() for s in spans], pa.binary()),
-                pa.array([counts[s].tobytes() for s in spans], pa.binary())], ["rng", "grp", "keys", "counts"])
+                pa.array([packed(counts[s]) for s in spans], pa.binary())], ["rng", "grp", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
-        counts = [np.frombuffer(b, np.uint32) for b in table["counts"].to_pylist()]
+        counts = [unpacked(b, len(k)) for b, k in zip(table["counts"].to_pylist(), keys)]
         sizes = np.cumsum([0] + [len(k) for k in keys]).tolist()
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
         tokens = (distinct & UNIGRAM) > 0
-        blocks = [totals[place[a:b]].tobytes() for a, b in zip(sizes, sizes[1:])]
+        blocks = [packed(totals[place[a:b]]) for a, b in zip(sizes, sizes[1:])]
         return pa.table({
             "grp": table["grp"], "rng": table["rng"], "totals": pa.array(blocks, pa.binary()),
             "n_types": pa.array([int((totals[tokens] > 0).sum())] * len(keys), pa.int64()),
@@ -233,15 +243,15 @@ def score_texts(docs: DataFrame, order: int = 2, prior: float = 100.0, floor: fl
 
     def walk(rows: pa.Table, got: pa.Table) -> pa.Table:
         place = {r: i for i, r in enumerate(names)}
-        answers = sorted(zip([place[r] for r in got["rng"].to_pylist()], got["totals"].to_pylist()))
-        totals = np.concatenate([np.frombuffer(b, np.int64) for _, b in answers])
-        del answers
         n_types, n_train = sum(got["n_types"].to_pylist()), sum(got["n_train"].to_pylist())
-        batches = [p for p in text_slices(rows.to_batches())]
-        keys, _ = _asked(batches, order)
+        positions = [_positions(part, order) for part in text_slices(rows.to_batches())]
+        keys, _ = _asked(positions, order)
+        sizes = np.diff(np.append(np.searchsorted(keys, bounds), len(keys))).tolist()
+        answers = sorted(zip([place[r] for r in got["rng"].to_pylist()], got["totals"].to_pylist()))
+        totals = np.concatenate([unpacked(b, sizes[i]) for i, b in answers])
         out = []
-        for part in batches:
-            out += _scores(part, keys, totals, n_train, n_types, order, prior, floor)
+        for here, _ in positions:
+            out += _scores(here, keys, totals, n_train, n_types, order, prior, floor)
         cols = list(zip(*out)) if out else [(), (), (), ()]
         return pa.table({
             "doc_id": rows["doc_id"], "held_out": rows["held_out"],
