@@ -1,6 +1,6 @@
-import pytest
+"""The documents fixture, imported by the tests that use it (a second conftest.py would hide the library's)."""
 
-SMALL = "/root/testdata/sf0.001"
+import pytest
 
 
 @pytest.fixture()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from frames import frame  # noqa: F401
 from shredline.llm import decontamination as D
 
 R = random.Random(5)

@@ -1,6 +1,7 @@
 import random
 import re
 
+from frames import frame  # noqa: F401
 from shredline.llm import license_scan as L
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from frames import frame  # noqa: F401
 from shredline.llm.lm_scoring import Positions, score_texts, traverse
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from frames import frame  # noqa: F401
 from shredline.llm import packing as P
 
 PATH = P.default_tokenizer()

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from frames import frame  # noqa: F401
 from shredline.llm import pii as P
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -5,6 +5,7 @@ import re
 import numpy as np
 from collections import Counter
 
+from frames import frame  # noqa: F401
 from shredline.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+from frames import frame  # noqa: F401
 from shredline.llm import sharding as S
 
 ROWS = [(i, f"text {i}") for i in range(300)] + [(1000 + i, "the same text") for i in range(150)]

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from frames import frame  # noqa: F401
 from shredline.llm import simhash as S
 
 
