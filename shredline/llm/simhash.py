@@ -76,16 +76,18 @@ def fingerprints(texts: list[bytes | None], k: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, fp (signed 64-bit) of every row."""
-    docs = docs.select("doc_id", "text")
+def fingerprint_table(docs: DataFrame, k: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry`` and fp (signed 64-bit) of every row."""
+    names = ["doc_id", *carry]
+    docs = docs.select(*names, "text")
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches):
         for part in text_slices(batches):
             fp = fingerprints(binary_column(part, "text"), k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp)], names=[*names, "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"{kinds}, fp long")
 
 
 def popcount_cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,26 +257,22 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id.
 
-    Of rows that repeat this id one stays, whatever their texts. Of a component
-    whose rows all have a null id one row stays; null ids in other components go.
+    Of rows of one component that repeat this id the text with the smallest hash
+    stays, and of rows that repeat this text too the one with the smallest hash. An
+    id on texts of several components stays once for each of them that it leads.
+    Of a component whose rows all have a null id one row stays, chosen likewise;
+    null ids in other components go.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    prints = fingerprint_table(docs, k).checkpoint()
-    classes = classes_of(prints).checkpoint()
-    kept = prints.join(classes, "fp").where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])        # whole rows are shuffled for it, so only if ids do repeat
-    nameless = classes.where("component_id is null").select("fp", "root")
-    if nameless.isEmpty():
-        return named
-    texts = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "text")
-    row = texts.schema["row"].dataType.simpleString()
-
-    def run(batches):
-        for part in text_slices(batches):
-            fp = fingerprints(binary_column(part, "text"), k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["row", "fp"])
-
-    alone = (texts.mapInArrow(run, f"row {row}, fp long").join(nameless, "fp").dropDuplicates(["root"]).select("row.*"))
-    return named.unionByName(alone)
+    key = F.xxhash64("text").alias("key")
+    prints = fingerprint_table(docs.select("doc_id", key, "text"), k, ("key",)).checkpoint()
+    leads = (prints.join(classes_of(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")))
+    kept = (leads.groupBy("root", "doc_id").agg(F.min("key").alias("key"), F.min_by("n", "key").alias("n"))
+            .select("root", F.col("doc_id").alias("lead"), F.col("key").alias("lead_key"), "n").checkpoint())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", key)
+    on = F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("key") == F.col("lead_key"))
+    if kept.where("n > 1").isEmpty():
+        return rows.join(kept, on, "left_semi").select("row.*")
+    whole = F.xxhash64(F.to_json("row"))                # whole rows are shuffled again, so only if leading rows do repeat
+    return rows.join(kept, on).groupBy("root").agg(F.min_by("row", whole).alias("row")).select("row.*")

@@ -127,3 +127,21 @@ def test_keep_one_with_null_ids(frame):
     rows = frame([(None, "a b c d"), (5, "a b c d"), (None, "only null ids have this"), (None, "only null ids have this"), (6, None)])
     left = sorted(((r.doc_id, r.text) for r in S.keep_one(rows).collect()), key=str)
     assert left == sorted([(5, "a b c d"), (6, None), (None, "only null ids have this")], key=str)
+
+
+def test_keep_one_with_an_id_on_several_texts(frame):
+    """Every component keeps one row, however its ids are shared and whatever the partitions."""
+    a, b, c = ("alpha beta gamma delta " * 3, "one two three four five six", "red green blue black white grey")
+    rows = [(5, a), (5, b), (6, a), (3, c), (5, c), (7, "seven eight nine ten"), (7, "seven eight nine ten"), (None, b)]
+    rows += [(8, "x y z"), (8, "X y z"), (9, "x y z"), (8, "x y z")]       # one component, one id, two texts
+    left = [sorted((r.doc_id, r.text) for r in S.keep_one(frame(order).repartition(n)).collect())
+            for order, n in ((rows, 1), (rows[::-1], 1), (rows, 7))]
+    assert [x for x in left[0] if x[0] != 8] == sorted([(3, c), (5, a), (5, b), (7, "seven eight nine ten")])
+    assert len([x for x in left[0] if x[0] == 8]) == 1 and left[0] == left[1] == left[2]
+
+
+def test_keep_one_of_equal_ids_and_texts_does_not_depend_on_partitions(spark):
+    rows = [(1, "a b c d", lang, n) for n, lang in enumerate(["en", "de", None, "fr"])] + [(2, "other words than these", "en", 9)]
+    docs = [spark.createDataFrame(r, "doc_id long, text string, lang string, n int").coalesce(1) for r in (rows, rows[::-1])]
+    left = [sorted(map(tuple, S.keep_one(d).collect())) for d in docs]
+    assert left[0] == left[1] and [r[0] for r in left[0]] == [1, 2]
