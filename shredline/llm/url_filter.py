@@ -116,10 +116,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, round
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     shares = both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     ranks = propagate(shares.checkpoint(), seeds, rounds)
-    value = lambda k: F.coalesce(F.round(F.sum(F.when(F.col("kind") == k, F.col("rank"))), 12), F.lit(0.0))
+    value = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
     hosts = ranks.groupBy("host").agg(value("allow").alias("trust"), value("block").alias("distrust"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    method = F.when(zero("distrust") > F.lit(threshold) * (zero("trust") + zero("distrust")), "block").otherwise("allow")
+    share = F.round(F.try_divide(zero("distrust"), zero("trust") + zero("distrust")), 8)   # ranks shrink with the number of seeds, their share doesn't
+    method = F.when(share > threshold, "block").otherwise("allow")
     judged = ruled.join(hosts, "host", "left").select(
         "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"),
         zero("trust").alias("trust"), zero("distrust").alias("distrust"))

@@ -47,6 +47,17 @@ def test_trust_and_distrust_spread(spark):
     assert got[2].trust > got[3].trust > 0 == got[2].distrust and got[5].distrust > got[6].distrust > 0 == got[5].trust
 
 
+def test_small_ranks_count(spark):
+    """A host that gets a thousandth of the distrust at each of five links has a rank of under 1e-15 and is blocked."""
+    link = lambda host, n=1: f'<a href="http://{host}/">x</a>' * n
+    chain = ["bad.net", "c1.org", "c2.org", "c3.org", "c4.org", "c5.org"]
+    rows = [(0, "x://bad.net/es/", None), (50, "x://good.com/", link("pal.org"))]
+    rows += [(i, f"x://{chain[i]}/", link(chain[i - 1])) for i in range(1, 6)]
+    rows += [(10 + i, f"x://noise{i}.org/", link(chain[i], 1000)) for i in range(5)]
+    got = {g.page_id: g for g in judge(spark, rows)}
+    assert 0 < got[5].distrust < 1e-15 and {got[i].verdict for i in range(6)} == {"block"} and got[50].verdict == "allow"
+
+
 def brute_rank(edges, seeds, rounds, damping):
     total = sum(seeds.values())
     start = {h: w / total for h, w in seeds.items()}
