@@ -12,8 +12,8 @@ and its parent domain both ways (a site's pages mostly link relatively, so
 subdomains are tied through their parent).
 
 All of it is joins and partial aggregates over (host, host) rows; rank tables
-are written to the checkpoint folder every other round. Rules are matched by a
-join on host suffixes, so the list may be long.
+are written to the checkpoint folder every few rounds, until no rank changes any
+more. Rules are matched by a join on host suffixes, so the list may be long.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule, and is allowed; null html has no links; repeated rows are returned as often as
@@ -32,6 +32,9 @@ from shredline.session import ensure_checkpoint_dir
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+BLOCK = 4      # rounds between two checkpoints
+FEW = 100_000  # edges and seeds up to which a round runs in one task
+
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 
@@ -78,30 +81,46 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85,
+              tolerance: float = 1e-9) -> DataFrame:
     """Personalised PageRank of each kind of seed (kind, host, weight): kind, host, rank.
 
-    ``edges`` (kind, src, dst, share) hold the share of src's rank that dst gets.
+    ``edges`` (kind, src, dst, share) hold the share of src's rank that dst gets. Without
+    ``rounds`` it goes on until, over the last ``BLOCK`` rounds, no host was newly reached and
+    no host's rank changed by more than ``tolerance`` of itself.
     """
+    few = edges.count() + seeds.count() <= FEW
+    own = (lambda d: d.coalesce(1)) if few else (lambda d: d)          # few rows: a task and no shuffle for a whole block
+    n = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = (own(edges) if few else edges.repartition(n, "kind", "src")).persist()     # lies as ranks are summed, so it moves once
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = (seeds.join(F.broadcast(total), "kind")          # one row for each kind
-             .select("kind", "host", (F.col("weight") / F.col("total")).alias("rank")).checkpoint())
-    ranks = start
-    for i in range(rounds):
-        moved = (ranks.withColumnRenamed("host", "src").join(edges, ["kind", "src"])
-                 .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")))
-        back = start.withColumn("rank", F.col("rank") * (1 - damping))
-        ranks = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 2:
-            ranks = ranks.checkpoint()
-    return ranks
-
-
-def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, rounds: int = 8) -> DataFrame:
+             .select("kind", "host", (F.col("weight") / F.col("total")).alias("rank")))
+    start = own(start).checkpoint()
+    back = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"), F.lit(0.0).alias("old"))
+    ranks, done, settled = start, 0, False
+    while not settled and done != rounds:
+        block = BLOCK if rounds is None else min(BLOCK, rounds - done)
+        old = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
+        for i in range(block):
+            moved = (ranks.select("kind", F.col("host").alias("src"), "rank").join(edges, ["kind", "src"])
+                     .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"),
+                             F.lit(0.0).alias("old")))
+            parts = moved.unionByName(back)
+            if i == block - 1:
+                parts = parts.unionByName(old)
+            ranks = own(parts).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
+        ranks, done = ranks.checkpoint(), done + block
+        settled = rounds is None and ranks.where(F.abs(F.col("rank") - F.col("old")) > F.col("rank") * tolerance).isEmpty()
+    edges.unpersist()
+    return ranks.select("kind", "host", "rank")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page.
 
     A page without a rule is blocked when distrust / (trust + distrust) of its host
-    is over ``threshold``; a host that neither reaches is allowed.
+    is over ``threshold``; a host that neither reaches is allowed. ``rounds`` None: until ranks are settled.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")

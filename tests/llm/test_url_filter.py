@@ -1,3 +1,5 @@
+import pytest
+
 from shredline.llm import url_filter as U
 
 
@@ -83,6 +85,29 @@ def test_propagation_equals_brute_force(spark):
     assert set(got) == {h for h, x in want.items()} and all(abs(got[h] - x) < 1e-12 for h, x in want.items())
 
 
+def test_seeds_reach_far_hosts(spark):
+    """Twelve links from the only seed, and ranks equal those of many rounds of brute force."""
+    chain = ["bad.net", *[f"c{i}.org" for i in range(1, 13)]]
+    rows = [(0, "x://bad.net/es/", None)] + [
+        (i, f"x://{chain[i]}/", f'<a href="http://{chain[i - 1]}/">x</a><a href="http://pal{i}.org/">x</a>') for i in range(1, 13)]
+    got = {g.page_id: g for g in judge(spark, rows)}
+    assert {g.verdict for g in got.values()} == {"block"}
+    edges = {(a, b): 1.0 for a, b in zip(chain, chain[1:])} | {(f"pal{i}.org", chain[i]): 1.0 for i in range(1, 13)}
+    want = brute_rank(edges, {"bad.net": 1.0}, 300, 0.85)
+    assert all(abs(g.distrust / want[g.host] - 1) < 1e-8 for g in got.values())
+
+
+@pytest.mark.parametrize("few", [0, U.FEW])
+def test_propagation_settles_in_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(U, "FEW", few)
+    edges = {("a", "b"): 1.0, ("b", "a"): 1.0, ("b", "c"): 2.0, ("c", "b"): 1.0}
+    frame = spark.createDataFrame([("allow", "a", "b", 1.0), ("allow", "b", "a", 1 / 3), ("allow", "b", "c", 2 / 3),
+                                   ("allow", "c", "b", 1.0)], "kind string, src string, dst string, share double")
+    got = {r.host: r["rank"] for r in U.propagate(frame, spark.createDataFrame([("allow", "a", 2.0)], "kind string, host string, weight double")).collect()}
+    want = brute_rank(edges, {"a": 1.0}, 300, 0.85)
+    assert set(got) == set(want) and all(abs(got[h] / want[h] - 1) < 1e-8 for h in want)
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     rules = spark.createDataFrame(U.RULES, "host string, path string, verdict string")
