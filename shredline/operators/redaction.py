@@ -104,19 +104,22 @@ def erase_stored(spark, path: str, partition_by: str, users: DataFrame, user_col
     """
     table = spark.read.parquet(path)
     targets, on = _targets(users, user_col, tenant_col)
-    hit = (table.join(targets, on, "left").groupBy(partition_by)
-           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hit")).alias("hits")).where("hits > 0").collect())
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    hit = (table.withColumn("_folder", folder).join(targets, on, "left").groupBy(partition_by)
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hit")).alias("hits"), F.collect_set("_folder").alias("folders"))
+           .where("hits > 0").collect())
     if not hit:
         return 0
     gone = [r for r in hit if not fields and r["hits"] == r["n"]]
     left = [r[partition_by] for r in hit if r not in gone]
     if left:
-        own = table.where(F.col(partition_by).isin(left))
+        match = F.col(partition_by).isin([v for v in left if v is not None])
+        own = table.where(match | F.col(partition_by).isNull() if None in left else match)
         new = (redact_in_place(own, fields, users, user_col, tenant_col) if fields
                else delete_users(own, users, user_col, tenant_col)).table
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in gone:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{partition_by}={r[partition_by]}"), True)
+    for name in (f for r in gone for f in r["folders"]):       # as URIs, so null and escaped values are found
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True):
+            raise OSError(f"partition {name} was not deleted")
     return sum(r["hits"] for r in hit)

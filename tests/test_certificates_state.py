@@ -136,3 +136,20 @@ def test_erasing_touches_only_the_partitions_hit(spark, tmp_dir):
     assert R.erase_stored(spark, f"{tmp_dir}/delete", "bucket", whole, "user_id", "tenant_id") == 10
     assert not os.path.exists(f"{tmp_dir}/delete/bucket=1") and R.erase_stored(
         spark, f"{tmp_dir}/delete", "bucket", whole, "user_id", "tenant_id") == 0
+
+
+def test_erasing_finds_null_and_escaped_partitions(spark, tmp_dir):
+    from shredline.operators import redaction as R
+
+    parts = [None, "a:b/c d", "plain"]
+    rows = spark.createDataFrame([("t", f"u{i}", f"mail{i}", parts[i % 3]) for i in range(9)],
+                                 "tenant_id string, user_id string, email string, part string")
+    blobs = lambda path: b"".join(open(f, "rb").read() for f in glob.glob(f"{path}/part=*/*.parquet"))
+    for name, fields, asked in (("redact", ["email"], [0, 1]), ("delete", None, [0, 1]), ("whole", None, [0, 3, 6, 1, 4, 7])):
+        path = f"{tmp_dir}/{name}"
+        rows.repartition(1).write.partitionBy("part").parquet(path)
+        users = spark.createDataFrame([("t", f"u{i}") for i in asked], "tenant_id string, user_id string")
+        assert R.erase_stored(spark, path, "part", users, "user_id", "tenant_id", fields) == len(asked)
+        back = {r.user_id: r.email for r in spark.read.parquet(path).collect()}
+        assert {u for u in back if back[u]} == {f"u{i}" for i in range(9) if i not in asked}
+        assert len(back) == (9 if fields else 9 - len(asked)) and not any(f"mail{i}".encode() in blobs(path) for i in asked)
