@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shredline.llm import (decontamination, language_id, license_scan, lm_scoring, packing, pii, quality, sharding,
+from shredline.llm import (bpe, decontamination, language_id, license_scan, lm_scoring, packing, pii, quality, sharding,
                            simhash, url_filter)
 from shredline.session import ensure_checkpoint_dir
 
@@ -82,6 +82,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = bpe.Bpe(bpe.read_ranks(bpe.default_ranks()))
+    ids = F.col("ids")
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(model.decode(ids), 256).alias("decoded_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
