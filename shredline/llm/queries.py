@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shredline.llm import (bpe, decontamination, language_id, license_scan, lm_scoring, packing, pii, quality, sharding,
-                           simhash, url_filter)
+from shredline.llm import (bpe, decontamination, fim, language_id, license_scan, lm_scoring, packing, pii, quality, sharding,
+                           simhash, trie, url_filter)
 from shredline.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,18 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(model.decode(ids), 256).alias("decoded_sha256"))
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -161,3 +173,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN r USING (doc_id)
 """
+
+ORACLES["op12_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+k AS (SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                  THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+             array_to_string(units[b + 1:n], '') AS suffix FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                          ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+r AS (SELECT *, CASE form WHEN 'plain' THEN output
+                          WHEN 'psm' THEN split_part(split_part(output, '<P>', 2), '<S>', 1) || split_part(output, '<M>', 2)
+                                          || split_part(split_part(output, '<S>', 2), '<M>', 1)
+                          ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2)
+                               || split_part(split_part(output, '<S>', 2), '<P>', 1) END AS restored FROM o)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(output) AS output_sha256, sha256(restored) AS restored_sha256
+FROM r
+"""
+
+ORACLES["op13_conversation_trie"] = """
+WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), s -> ord(s)::BIGINT),
+                    (crc, b) -> list_reduce([xor(crc, b)] || range(8), (v, i) -> xor(v >> 1, 3988292384 * (v & 1)))),
+                    4294967295) % 4 AS h FROM c),
+r AS (SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns
+      FROM h LEFT JOIN c AS b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS length, d, turns[1:d] AS seq FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+n AS (SELECT d, seq, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = d), '')) AS ends_sha256
+      FROM p GROUP BY d, seq),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(x.children, 0) AS n_children,
+             CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * len(regexp_extract_all(n.seq[n.d]['text'], '[^\\x20\\x09-\\x0D]+')) END AS own
+      FROM n LEFT JOIN n AS u ON u.d = n.d - 1 AND u.seq = n.seq[1:n.d - 1]
+      LEFT JOIN (SELECT d - 1 AS d, seq[1:d - 1] AS seq, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL) AS x
+             ON x.d = n.d AND x.seq = n.seq),
+s AS (SELECT a AS d, seq[1:a] AS seq, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved
+      FROM (SELECT *, unnest(range(d + 1)) AS a FROM k) GROUP BY ALL)
+SELECT k.conv_id, k.d::BIGINT AS depth, k.parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.seq = k.seq
+"""
