@@ -200,8 +200,8 @@ FROM r
 ORACLES["op13_conversation_trie"] = """
 WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), s -> ord(s)::BIGINT),
-                    (crc, b) -> list_reduce([xor(crc, b)] || range(8), (v, i) -> xor(v >> 1, 3988292384 * (v & 1)))),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT),
+                    lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))),
                     4294967295) % 4 AS h FROM c),
 r AS (SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns
       FROM h LEFT JOIN c AS b ON b.conv_id = h.conv_id - h.conv_id % 20),
