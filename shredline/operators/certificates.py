@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shredline import schemas
+from shredline.functions import crypto as C
 from shredline.operators import deletion as D
 from shredline.operators import lineage as LIN
 from shredline.operators.util import iso
@@ -160,21 +161,93 @@ def chain_heads(chain: DataFrame) -> DataFrame:
                                           F.max_by("certificate_hash", "sequence").alias("head_hash"))
 
 
-def verify_chain(chain: DataFrame) -> DataFrame:
-    """WIN-08: breaks in the chain, found by an equi-join of each entry to its predecessor.
+def b64url(binary: Column) -> Column:
+    return F.rtrim(F.translate(C.b64(binary), "+/", "-_"), F.lit("="))
 
-    The join on (tenant, sequence - 1) parallelises over entries (no
-    whole-tenant window). Reports a missing predecessor, a previous-hash
-    mismatch, and a certificate whose stored hash does not match its bytes.
+
+def from_b64url(text: Column) -> Column:
+    """URL-safe base64 without padding → binary; NULL if malformed."""
+    padded = F.concat(F.translate(text, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4))))
+    return C.unb64(padded)
+
+
+def sign(signing_input: Column, ipad: Column, opad: Column) -> Column:
+    """The signature part of a token, given the key's pads (``crypto.hmac_pads``)."""
+    return b64url(F.unhex(C.hmac_sha256_hex(signing_input, ipad, opad)))
+
+
+#: Claims that must say the same as the entry's columns.
+CLAIM_COLUMNS = ("tenant_id", "user_id", "deletion_request_id")
+
+# What is wrong with an entry, in the order in which `problem` names the first.
+PROBLEMS = ("HASH_MISMATCH", "MALFORMED", "BAD_SIGNATURE", "CLAIMS_MISMATCH", "FORK", "MISSING_PREDECESSOR", "BROKEN_LINK",
+            "HEAD_MISMATCH", "BEYOND_HEAD", "CUT_TAIL")
+
+
+def verify_chain(chain: DataFrame, sign_keys: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """WIN-08: proof of the chain; ``problems`` of every entry (empty: none) and ``problem``, the first of them.
+
+    * HASH_MISMATCH: the stored hash isn't that of the certificate's bytes;
+    * MALFORMED: no token of three parts with the fixed header and JSON claims;
+    * BAD_SIGNATURE (with ``sign_keys``): not signed by the tenant's key, or the tenant has none;
+    * CLAIMS_MISMATCH: the signed claims say another sequence or previous hash than the columns, or
+      (with ``sign_keys``) another tenant, user or request;
+    * FORK: several entries of one sequence; MISSING_PREDECESSOR, BROKEN_LINK: against the entry before;
+    * with ``heads`` (tenant_id, head_sequence, head_hash, stored apart from the chain): HEAD_MISMATCH, entries
+      BEYOND_HEAD, and a row of its own for a head that is no longer in the chain (CUT_TAIL).
+
+    Tokens are decoded and signed again in column expressions; links are equi-joins on (tenant,
+    sequence) and the hash, so a tenant of any size is verified by all tasks.
     """
-    p = chain.select(F.col("tenant_id").alias("_ptenant"), F.col("sequence").alias("_pseq"),
-                     F.col("certificate_hash").alias("_phash"))
-    j = chain.join(p, (F.col("tenant_id") == F.col("_ptenant")) & (F.col("sequence") - 1 == F.col("_pseq")), "left")
-    problem = (F.when(F.sha2(F.col("certificate"), 256) != F.col("certificate_hash"), "HASH_MISMATCH")
-               .when((F.col("sequence") > 1) & F.col("_pseq").isNull(), "MISSING_PREDECESSOR")
-               .when((F.col("sequence") > 1) & ~F.col("previous_hash").eqNullSafe(F.col("_phash")), "BROKEN_LINK")
-               .when((F.col("sequence") == 1) & F.col("previous_hash").isNotNull(), "BROKEN_LINK"))
-    return j.select("tenant_id", "sequence", "deletion_request_id", "certificate_hash", problem.alias("problem"))
+    e = chain.select(*CLAIM_COLUMNS, "sequence", "previous_hash", "certificate_hash", "certificate")
+    if sign_keys is not None:
+        ipad, opad = C.hmac_pads("sign_key")                 # once for each tenant
+        e = e.join(sign_keys.select("tenant_id", ipad.alias("_ipad"), opad.alias("_opad")), "tenant_id", "left")
+    if heads is not None:
+        e = e.join(heads.select("tenant_id", "head_sequence", "head_hash"), "tenant_id", "left")
+    counts = chain.groupBy("tenant_id", "sequence").agg(F.count(F.lit(1)).alias("_same"))
+    before = counts.select("tenant_id", (F.col("sequence") + 1).alias("sequence"), F.lit(True).alias("_before"))
+    link = chain.select("tenant_id", (F.col("sequence") + 1).alias("sequence"), F.col("certificate_hash").alias("previous_hash"),
+                        F.lit(True).alias("_linked")).distinct()
+    e = (e.join(counts, ["tenant_id", "sequence"]).join(before, ["tenant_id", "sequence"], "left")
+         .join(link, ["tenant_id", "sequence", "previous_hash"], "left"))
+
+    part = F.split("certificate", r"\.")
+    body = F.decode(from_b64url(F.get(part, F.lit(1))), "UTF-8")
+    e = e.withColumns({"_header": F.get(part, F.lit(0)), "_body": body, "_signature": F.get(part, F.lit(2)),
+                       "_input": F.substring_index("certificate", ".", 2), "_parts": F.size(part)})
+    said = lambda name: F.get_json_object("_body", f"$.{name}")
+    first = F.col("sequence") == 1
+    whole = (F.col("_parts") == 3) & (F.col("_header") == b64url_text(TOKEN_HEADER)) & said("chain_sequence").isNotNull()
+    own = ~(said("chain_sequence").eqNullSafe(F.col("sequence").cast("string"))
+            & said("previous_certificate_hash").eqNullSafe(F.col("previous_hash")))
+    if sign_keys is not None:
+        for c in CLAIM_COLUMNS:
+            own = own | ~said(c).eqNullSafe(F.col(c))
+    found = {
+        "HASH_MISMATCH": ~F.sha2("certificate", 256).eqNullSafe(F.col("certificate_hash")),
+        "MALFORMED": ~F.coalesce(whole, F.lit(False)),
+        "CLAIMS_MISMATCH": F.coalesce(whole, F.lit(False)) & own,
+        "FORK": F.col("_same") > 1,
+        "MISSING_PREDECESSOR": ~first & F.col("_before").isNull(),
+        "BROKEN_LINK": F.when(first, F.col("previous_hash").isNotNull())
+                        .otherwise(F.col("_before").isNotNull() & F.col("_linked").isNull()),
+    }
+    if sign_keys is not None:
+        found["BAD_SIGNATURE"] = ~sign(F.col("_input"), F.col("_ipad"), F.col("_opad")).eqNullSafe(F.col("_signature"))
+    if heads is not None:
+        at_head = F.col("sequence") == F.col("head_sequence")
+        found["HEAD_MISMATCH"] = at_head & ~F.col("certificate_hash").eqNullSafe(F.col("head_hash"))
+        found["BEYOND_HEAD"] = F.col("head_sequence").isNull() | (F.col("sequence") > F.col("head_sequence"))
+    problems = F.filter(F.array(*[F.when(found[p], p) for p in PROBLEMS if p in found]), lambda p: p.isNotNull())
+    out = e.select("tenant_id", "sequence", "deletion_request_id", "certificate_hash", problems.alias("problems"))
+    if heads is not None:
+        cut = heads.select("tenant_id", F.col("head_sequence").alias("sequence")).join(
+            counts, ["tenant_id", "sequence"], "left_anti").where("sequence > 0")
+        out = out.unionByName(cut.select("tenant_id", "sequence", F.lit(None).cast("string").alias("deletion_request_id"),
+                                         F.lit(None).cast("string").alias("certificate_hash"),
+                                         F.array(F.lit("CUT_TAIL")).alias("problems")))
+    return out.withColumn("problem", F.get("problems", F.lit(0)))
 
 
 def by_hash(hashes: DataFrame, chain: DataFrame, requests: DataFrame) -> DataFrame:

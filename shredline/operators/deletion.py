@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from shredline import schemas
 from shredline.functions import text as TX
+from shredline.operators.running import positions
 from shredline.operators.util import literal_table
-from shredline.session import ensure_checkpoint_dir
 
 KEYS = ["tenant_id", "user_id"]
 RETRY_LIMIT = 3
@@ -134,30 +134,80 @@ def _advance(state: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new_state, decisions
 
 
-def advance(state: DataFrame, moves: DataFrame, checkpoint_every: int = 4) -> tuple[DataFrame, DataFrame]:
-    """STA-07 for batches with several moves per request: applied in ``at`` order, one round per move.
+CHUNK = 512             # moves of one request that are applied in one row
 
-    Each round takes the next pending move of every request (a window pick,
-    never a collected list), so memory per task stays bounded however many
-    moves one request has; only requests with moves go through the rounds. The number of
-    rounds is the largest number of moves any request has in the batch. Every ``checkpoint_every`` rounds the
-    state and decisions are checkpointed (reliable checkpoint in the shared
-    folder) so the plan does not grow with the number of rounds.
+
+def _index(status: Column) -> Column:
+    """The place of a state in DELETION_STATES, from 0; null if it is none of them."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in schemas.DELETION_STATES]), status), F.lit(0)).cast("int") - 1
+
+
+def _step(state: Column, to: Column) -> Column:
+    """The state after a move: its target where the matrix allows it, else the state as it was (all as places)."""
+    after = F.array(*[F.array(*[F.lit(j if b in schemas.TRANSITIONS[a] else i) for i, a in enumerate(schemas.DELETION_STATES)])
+                      for j, b in enumerate(schemas.DELETION_STATES)])
+    return F.when(to.isNull(), state).otherwise(F.get(F.get(after, to), state))
+
+
+def _prefixes(moves: Column, start: Column, step) -> Column:
+    """The values before each move, in order, and the value after the last: a fold that keeps its way."""
+    return F.aggregate(moves, F.array(start), lambda way, m: F.concat(way, F.array(step(F.element_at(way, -1), m))))
+
+
+def advance(state: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """STA-07 for batches with several moves per request: applied in (at, operation_id, to_status) order.
+
+    A move is a map of the seven states to seven states, and maps compose: runs of at most CHUNK moves of a
+    request become one map each, the maps of a request's runs give every run its first state, and each run
+    then decides its own moves. So a request's number of moves changes neither the number of exchanges nor
+    what a row holds: moves are numbered by ``running.positions``, which spreads a long list over partitions,
+    and only the maps of a request's runs (seven numbers for CHUNK moves) meet in one row.
+    Requests without moves stay as they are; moves of unknown requests are ignored.
     """
-    w = Window.partitionBy("deletion_request_id").orderBy("at", "operation_id", "to_status")
-    pending = moves.withColumn("_seq", F.row_number().over(w))
-    rounds = pending.agg(F.max("_seq").alias("n")).first()["n"] or 0
-    ids = moves.select("deletion_request_id").distinct()
-    rest = state.join(ids, "deletion_request_id", "left_anti")
-    state = state.join(ids, "deletion_request_id", "left_semi")
-    all_decisions = _advance(state, moves.limit(0))[1]
-    for r in range(1, rounds + 1):
-        state, dec = _advance(state, pending.where(F.col("_seq") == r).drop("_seq"))
-        all_decisions = all_decisions.unionByName(dec)
-        if r % checkpoint_every == 0 and r < rounds:
-            ensure_checkpoint_dir(state.sparkSession)
-            state, all_decisions = state.checkpoint(), all_decisions.checkpoint()
-    return rest.unionByName(state), all_decisions
+    order = [F.col("at").asc(), F.col("operation_id").asc(), F.col("to_status").asc()]
+    m = moves.select("deletion_request_id", "to_status", "operation_id", "at")
+    numbered = positions(m, ["deletion_request_id"], order, "_seq")
+    item = F.struct("_seq", _index(F.col("to_status")).alias("to"), "to_status", "operation_id", "at")
+    runs = (numbered.groupBy("deletion_request_id", F.expr(f"(_seq - 1) div {CHUNK}").alias("_run"))
+            .agg(F.sort_array(F.collect_list(item)).alias("_moves")))                    # at most CHUNK
+    identity = F.array(*[F.lit(i) for i in range(len(schemas.DELETION_STATES))])
+    maps = runs.select("deletion_request_id", "_run", F.aggregate(
+        "_moves", identity, lambda f, x: F.transform(f, lambda i: _step(i, x["to"]))).alias("_map"))
+    per_request = maps.groupBy("deletion_request_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_run", "_map"))), lambda x: x["_map"]).alias("_maps"))
+    first = (state.select("deletion_request_id", *KEYS, "status", _index(F.col("status")).alias("_start"))
+             .join(per_request, "deletion_request_id")
+             .select("deletion_request_id", *KEYS, "status", F.posexplode(F.slice(
+                 _prefixes(F.col("_maps"), F.col("_start"), lambda i, f: F.get(f, i)), 1, F.size("_maps"))).alias("_run", "_first")))
+    decided = (runs.join(first, ["deletion_request_id", "_run"])
+               .withColumn("_way", _prefixes(F.col("_moves"), F.col("_first"), lambda i, x: _step(i, x["to"])))
+               .select("deletion_request_id", *KEYS, "status", F.inline(F.zip_with(
+                   "_moves", F.slice("_way", 1, F.size("_moves")), lambda x, i: F.struct(x.alias("_m"), i.alias("_from"))))))
+    names = F.array(*[F.lit(x) for x in schemas.DELETION_STATES])
+    before = F.coalesce(F.get(names, F.col("_from")), F.col("status"))
+    ok = F.coalesce(_step(F.col("_from"), F.col("_m.to")) != F.col("_from"), F.lit(False))
+    decisions = decided.select(
+        "deletion_request_id", *KEYS, before.alias("from_status"), F.col("_m.to_status").alias("to_status"), ok.alias("accepted"),
+        F.when(~ok, F.concat(F.lit("Invalid state transition from "), before, F.lit(" to "), F.col("_m.to_status"))).alias("error"),
+        F.col("_m.at").alias("at"), F.col("_m._seq").alias("_seq"), F.col("_m.operation_id").alias("_op"))
+    at_of = lambda *to: F.max_by(F.when(F.col("to_status").isin(*to), F.col("at")),
+                                 F.when(F.col("to_status").isin(*to), F.col("_seq")))
+    last = decisions.where("accepted").groupBy("deletion_request_id").agg(
+        F.max_by("to_status", "_seq").alias("_status"), F.max_by("at", "_seq").alias("_at"), F.max_by("_op", "_seq").alias("_op"),
+        F.transform(F.sort_array(F.collect_list(F.struct("_seq", F.col("to_status").alias("status"), "at", F.col("_op").alias("operation_id")))),
+                    lambda x: F.struct(x["status"].alias("status"), x["at"].alias("at"), x["operation_id"].alias("operation_id"))
+                    ).alias("_history"),
+        at_of("KEY_DESTROYED").alias("_destroyed"), at_of("CASCADE_PENDING", "CASCADE_IN_PROGRESS").alias("_initiated"),
+        at_of("CERTIFICATE_ISSUED").alias("_issued"))
+    hist_t = schemas.DELETION_REQUEST["status_history"].dataType
+    new = {"status": "_status", "updated_at": "_at", "operation_id": "_op", "key_destroyed_at": "_destroyed",
+           "cascade_initiated_at": "_initiated", "certificate_issued_at": "_issued"}
+    state_cols = [F.coalesce(new[f], f"s.{f}").alias(f) if f in new else
+                  F.when(F.col("_history").isNull(), F.col(f)).otherwise(
+                      F.concat(F.coalesce(f, F.array().cast(hist_t)), F.col("_history").cast(hist_t))).alias(f)
+                  if f == "status_history" else F.col(f) for f in schemas.DELETION_REQUEST.fieldNames()]
+    new_state = state.alias("s").join(last, "deletion_request_id", "left").select(*state_cols)
+    return new_state, decisions.drop("_seq", "_op")
 
 
 advance_once = _advance
@@ -227,13 +277,12 @@ def cascade(requests: DataFrame, tasks: DataFrame, resources: DataFrame, wipes:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     agg = (req.join(n_own, "deletion_request_id", "left").join(n_res, "tenant_id", "left")
            .join(outcomes, "deletion_request_id", "left")
-           .select("deletion_request_id", (zero("n_own") + zero("n_res")).alias("n_planned"),
+           .select("deletion_request_id", *KEYS, (zero("n_own") + zero("n_res")).alias("n_planned"),
                    (zero("n_own") + zero("n_res") - zero("n_done")).alias("n_open"), zero("n_failed").alias("n_failed"),
                    "failed_destinations"))
-    out = req.join(agg, "deletion_request_id", "left")
-    n = F.coalesce("n_planned", F.lit(0))
-    return out.select(
-        "deletion_request_id", *KEYS, n.alias("n_planned"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"),
+    n = F.col("n_planned")
+    return agg.select(
+        "deletion_request_id", *KEYS, n.alias("n_planned"), "n_failed",
         F.when(n == 0, "CASCADE_COMPLETE").when(F.col("n_open") > 0, "CASCADE_IN_PROGRESS")
          .when(F.col("n_failed") > 0, "CASCADE_PARTIAL_FAILURE").otherwise("CASCADE_COMPLETE").alias("next_status"),
         F.coalesce("failed_destinations", F.array().cast("array<string>")).alias("failed_destinations"))
@@ -269,10 +318,22 @@ def dead_letters(results: DataFrame, now: Column) -> DataFrame:
         F.lit("ERROR").alias("severity"), F.lit("janitor").alias("source"))
 
 
-def by_requester(requests: DataFrame, limit: int = 50, before: Column | None = None) -> DataFrame:
-    """SRT-02: per (tenant, requested_by), newest requests first, keyset cursor, first ``limit``."""
+def by_requester(requests: DataFrame, limit: int = 50, before: DataFrame | Column | tuple | None = None) -> DataFrame:
+    """SRT-02: per (tenant, requested_by), newest requests first, keyset cursor, first ``limit``.
+
+    The cursor is the last row of the page before: (created_at, deletion_request_id), so requests of one
+    moment are all reached. A DataFrame (tenant_id, requested_by, created_at, deletion_request_id) gives every
+    requester's own cursor, and requesters that have none start at the top. A time alone leaves out its whole moment.
+    """
     r = requests.where(F.col("requested_by").isNotNull())
-    if before is not None:
+    if isinstance(before, DataFrame):
+        at = before.select("tenant_id", "requested_by", F.struct("created_at", "deletion_request_id").alias("_cursor"))
+        r = (r.join(at, ["tenant_id", "requested_by"], "left")
+             .where(F.col("_cursor").isNull() | (F.struct("created_at", "deletion_request_id") < F.col("_cursor"))).drop("_cursor"))
+    elif isinstance(before, tuple):
+        at, last = before
+        r = r.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("deletion_request_id") < last)))
+    elif before is not None:
         r = r.where(F.col("created_at") < before)
     w = Window.partitionBy("tenant_id", "requested_by").orderBy(F.col("created_at").desc(),
                                                                 F.col("deletion_request_id").desc())

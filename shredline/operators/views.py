@@ -73,8 +73,11 @@ def declare(catalog: DataFrame, decls: DataFrame, available: DataFrame, now: Col
 
 
 def revoke(catalog: DataFrame, revokes: DataFrame, now: Column) -> DataFrame:
-    """STA-16: status flip to revoked (the record stays as audit trail)."""
-    r = revokes.select("tenant_id", "view_name", F.col("revoked_by").alias("_by"), F.lit(True).alias("_hit"))
+    """STA-16: status flip to revoked (the record stays as audit trail).
+
+    Several revokes of one view in a batch are one, by the first name in order.
+    """
+    r = revokes.groupBy("tenant_id", "view_name").agg(F.min("revoked_by").alias("_by")).withColumn("_hit", F.lit(True))
     j = catalog.join(r, ["tenant_id", "view_name"], "left")
     hit = F.coalesce("_hit", F.lit(False)) & (F.col("status") == "active")
     return j.select("tenant_id", "view_name", "fields", "justification", "created_by", "consumer",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shredline.functions import crypto as C
 from shredline.operators import certificates as CERT
 from shredline.plans import q_deletion as QD
 from shredline.plans import scenario as SC
@@ -135,14 +136,54 @@ FROM chain GROUP BY tenant_id""", _CHAIN_CTES))
 def verify_chain(spark, sf_dir):
     """Verify every chain link; report per tenant (a clean chain has no problems)."""
     chain = _chain(spark, sf_dir)
-    v = CERT.verify_chain(chain)
     heads = CERT.chain_heads(chain)
+    v = CERT.verify_chain(chain, FX.tenant_keys(FX.fixture(spark, sf_dir, "users")), heads)
     agg = v.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_certificates"),
                                      F.count("problem").alias("n_problems"))
     return agg.join(heads, "tenant_id").select("tenant_id", "n_certificates", "n_problems",
                                                F.col("head_sequence").alias("head_sequence"), "head_hash")
 
 
+_BROKEN = """SELECT 'tenant-0' AS tenant_id, max(seq) AS sequence, 'BAD_SIGNATURE,CLAIMS_MISMATCH,HEAD_MISMATCH' AS problems
+FROM certs WHERE tenant_id = 'tenant-0'
+UNION ALL SELECT 'tenant-1', 2, 'CLAIMS_MISMATCH'
+UNION ALL SELECT 'tenant-1', max(seq), 'CUT_TAIL' FROM certs WHERE tenant_id = 'tenant-1'
+UNION ALL SELECT 'tenant-2', 5, 'FORK' UNION ALL SELECT 'tenant-2', 5, 'BROKEN_LINK,CLAIMS_MISMATCH,FORK'
+UNION ALL SELECT 'tenant-2', 9, 'MISSING_PREDECESSOR'
+UNION ALL SELECT 'tenant-2', max(seq) + 1, 'BAD_SIGNATURE,BEYOND_HEAD,HASH_MISMATCH,MALFORMED' FROM certs WHERE tenant_id = 'tenant-2'"""
+
+
+@register("win08_broken_chains", with_fixtures(_FIX, "SELECT tenant_id, CAST(sequence AS BIGINT) AS sequence, problems FROM broken",
+                                               _CTES + [("certs", _CERTS), ("broken", _BROKEN)]))
+def broken_chains(spark, sf_dir):
+    """Every issued chain verified against its stored head after tampering.
+
+    tenant-0: the last certificate is signed by another key, for another user, its hash made to fit;
+    tenant-1: an entry names another request, the last three entries are gone;
+    tenant-2: a second entry 5 that follows entry 2, entry 8 is gone, an entry without a token beyond the head.
+    """
+    chain = _chain(spark, sf_dir)
+    keys = FX.tenant_keys(FX.fixture(spark, sf_dir, "users"))
+    heads = CERT.chain_heads(chain)
+    t, n, last = F.col("tenant_id"), F.col("sequence"), F.col("head_sequence")
+    c = chain.join(heads.select("tenant_id", "head_sequence"), "tenant_id").withColumn(
+        "forger", F.unhex(F.sha2(F.lit("forger"), 256)))
+    body = F.decode(CERT.from_b64url(F.get(F.split("certificate", r"\."), F.lit(1))), "UTF-8")
+    other = F.concat(F.lit(CERT.b64url_text(CERT.TOKEN_HEADER) + "."), CERT.b64url(F.encode(
+        F.replace(body, F.concat(F.lit('"user_id":"'), F.col("user_id")), F.lit('"user_id":"nobody')), "UTF-8")))
+    forged = c.withColumn("certificate", F.when((t == "tenant-0") & (n == last), F.concat(
+        other, F.lit("."), CERT.sign(other, *C.hmac_pads("forger")))).otherwise(F.col("certificate")))
+    forged = forged.withColumn("certificate_hash", F.sha2("certificate", 256)).withColumn(
+        "deletion_request_id", F.when((t == "tenant-1") & (n == 2), F.lit("req-other")).otherwise(F.col("deletion_request_id")))
+    kept = forged.where(~((t == "tenant-1") & (n > last - 3)) & ~((t == "tenant-2") & (n == 8))).select(*chain.columns)
+    second = c.where((t == "tenant-2") & (n == 3)).withColumn("sequence", F.lit(5).cast("long")).select(*chain.columns)
+    beyond = c.where((t == "tenant-2") & (n == last)).select(
+        t, (n + 1).alias("sequence"), "deletion_request_id", "user_id", F.col("certificate_hash").alias("previous_hash"),
+        F.lit("none").alias("certificate_hash"), F.lit("not.a.certificate").alias("certificate"))
+    found = CERT.verify_chain(kept.unionByName(second).unionByName(beyond), keys, heads).where("problem IS NOT NULL")
+    return found.select("tenant_id", "sequence", F.array_join(F.array_sort("problems"), ",").alias("problems"))
+
+
 @register("join07_certificate_by_hash", with_fixtures(_FIX, """
 SELECT c.certificate_hash, c.deletion_request_id, r.user_id, c.tenant_id, c.sequence, r.status
 FROM chain c JOIN deletion_requests r ON r.deletion_request_id = c.deletion_request_id""", _CHAIN_CTES))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,11 +115,54 @@ def test_requests_by_requester_keyset_page(spark):
     assert len(nxt) == 10 and {r.deletion_request_id for r in nxt} == {f"r{i}" for i in range(10)}
 
 
-def test_many_rounds_cut_lineage(spark):
-    state = _state(spark, [("r1", "t", "u", "CASCADE_PARTIAL_FAILURE", T, None)])
-    seq = ["CASCADE_IN_PROGRESS", "CASCADE_PARTIAL_FAILURE"] * 5
-    moves = spark.createDataFrame([("r1", s, f"op{i}", T + dt.timedelta(hours=i + 1)) for i, s in enumerate(seq)],
-                                  "deletion_request_id string, to_status string, operation_id string, at timestamp")
-    new, dec = D.advance(state, moves, checkpoint_every=3)
-    assert dec.where("accepted").count() == 10 and new.collect()[0].status == "CASCADE_PARTIAL_FAILURE"
-    assert len(new.collect()[0].status_history) == 10
+def test_a_thousand_moves_of_one_request(spark):
+    """Accepted and refused moves in turn over several runs; the number of exchanges doesn't follow the moves."""
+    state = _state(spark, [("r1", "t", "u", "CASCADE_PARTIAL_FAILURE", T, None), ("r2", "t", "v", "SHRED_REQUESTED", T, None),
+                           ("r3", "t", "w", "NO_SUCH_STATE", T, None), ("r4", "t", "x", "KEY_DESTROYED", T, None)])
+    seq = ["CASCADE_IN_PROGRESS", "CERTIFICATE_ISSUED", "CASCADE_PARTIAL_FAILURE", "NO_SUCH_STATE"] * 300
+    rows = [("r1", s, f"op{i:05}", T + dt.timedelta(hours=i + 1)) for i, s in enumerate(seq)]
+    rows += [("r2", "KEY_DESTROYED", "a", T), ("r2", "CASCADE_PENDING", "b", T), ("r3", "KEY_DESTROYED", "a", T),
+             ("r9", "KEY_DESTROYED", "a", T)]
+    schema = "deletion_request_id string, to_status string, operation_id string, at timestamp"
+    new, dec = D.advance(state, spark.createDataFrame(rows, schema))
+    after = {r.deletion_request_id: r for r in new.collect()}
+    got = [r for r in dec.orderBy("at").collect() if r.deletion_request_id == "r1"]
+    assert [r.accepted for r in got] == [True, False] * 600 and [r.to_status for r in got] == seq
+    assert [r.from_status for r in got] == ["CASCADE_PARTIAL_FAILURE", *["CASCADE_IN_PROGRESS"] * 2, "CASCADE_PARTIAL_FAILURE"] * 300
+    assert got[1].error == "Invalid state transition from CASCADE_IN_PROGRESS to CERTIFICATE_ISSUED"
+    assert after["r1"].status == "CASCADE_PARTIAL_FAILURE" and len(after["r1"].status_history) == 600
+    assert after["r1"].updated_at == T + dt.timedelta(hours=1199) and after["r1"].cascade_initiated_at == T + dt.timedelta(hours=1197)
+    assert after["r2"].status == "CASCADE_PENDING" and [h.operation_id for h in after["r2"].status_history] == ["a", "b"]
+    assert after["r2"].key_destroyed_at == T and after["r3"].status == "NO_SUCH_STATE" and after["r4"].status == "KEY_DESTROYED"
+    assert {(r.deletion_request_id, r.accepted) for r in dec.collect()} == {("r1", True), ("r1", False), ("r2", True), ("r3", False)}
+
+    def exchanges(moves):
+        plan = D.advance(state, moves)[1]._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange ")
+    assert exchanges(spark.createDataFrame(rows, schema)) == exchanges(spark.createDataFrame(rows[-4:], schema))
+
+
+def test_state_maps_equal_single_moves(spark):
+    r = random.Random(3)
+    state = _state(spark, [(f"r{i}", "t", f"u{i}", r.choice(schemas.DELETION_STATES), T, None) for i in range(40)])
+    moves = [(f"r{i}", r.choice(schemas.DELETION_STATES), f"op{j}", T + dt.timedelta(hours=j)) for i in range(40) for j in range(r.randrange(7))]
+    now = {x.deletion_request_id: x.status for x in state.collect()}
+    want = []
+    for rid, to, _, at in sorted(moves, key=lambda m: (m[0], m[3])):
+        ok = to in schemas.TRANSITIONS[now[rid]]
+        want.append((rid, at, now[rid], to, ok))
+        now[rid] = to if ok else now[rid]
+    new, dec = D.advance(state, spark.createDataFrame(moves, "deletion_request_id string, to_status string, operation_id string, at timestamp"))
+    got = [(x.deletion_request_id, x.at, x.from_status, x.to_status, x.accepted) for x in dec.collect()]
+    assert sorted(got) == sorted(want) and {x.deletion_request_id: x.status for x in new.collect()} == now
+
+
+def test_cursor_reaches_requests_of_one_moment(spark):
+    st = _state(spark, [(f"r{i:02}", "t", f"u{i}", "SHRED_REQUESTED", T, "a@x") for i in range(80)]
+                + [("q", "t", "u", "SHRED_REQUESTED", T, "b@x")])
+    page = D.by_requester(st.where("requested_by = 'a@x'"), 50).orderBy("rank").collect()
+    nxt = D.by_requester(st.where("requested_by = 'a@x'"), 50, (F.lit(T), F.lit(page[-1].deletion_request_id))).collect()
+    assert len(page) == 50 and {x.deletion_request_id for x in page + nxt} == {f"r{i:02}" for i in range(80)} and len(nxt) == 30
+    cursors = D.by_requester(st, 50).where("rank = 50")
+    own = D.by_requester(st, 50, cursors).collect()
+    assert sorted(x.deletion_request_id for x in own) == sorted(["q", *[x.deletion_request_id for x in nxt]])
