@@ -1,24 +1,25 @@
 """Byte-level BPE: encoding and decoding with column expressions.
 
 A text is split by the tokenizer's pattern; every match is encoded by itself. A
-match that is a token is that token. Any other is its bytes (as two hex digits
-each), and a fold joins, as long as some neighbours together are a token, the
-leftmost pair of the lowest rank. Beside the pieces the fold carries the ranks of
-all pairs, so a merge looks up two new pairs only. Ranks come from a literal: an
-array of small maps that XXH64 of the key indexes, so that a lookup costs the
-same for any vocabulary.
+match that is a token is that token. Any other starts as its bytes, and a fold
+joins, as long as some neighbours together are a token, the leftmost pair of the
+lowest rank. Tokens are written as single characters in the order of their ranks,
+so the pieces of a word are a string, and a second string holds the token that
+each pair would make: its least character is the next merge, which looks up two
+new pairs only. Ranks come from a literal: an array of small maps that XXH64 of
+the key indexes, so that a lookup costs the same for any vocabulary.
 
 Every distinct word is folded once if it is among the ``dictionary`` most
 frequent ones (at least two occurrences, at most ``WORD_BYTES`` bytes): their ids
-become a second literal of bounded size. The words beyond it are folded where
-they stand, so nothing depends on the dictionary but the time, and documents are
-never shuffled. Decoding joins the pieces of the ids; any ids give their bytes.
+become a second literal of bounded size, together with the tokens themselves. The
+words beyond it are folded where they stand, so nothing depends on the dictionary
+but the time, and documents are never shuffled. Decoding joins the pieces of the
+ids; any ids give their bytes.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded one
 by one; an empty table gives no rows; other columns are carried along, apart from
 one named like the result, which it replaces. The time for one match of the
-pattern grows with the square of its length: 16,000 random letters without a
-space take 45 s, 1,000 take 0.2 s.
+pattern grows with the square of its length.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from shredline.session import ensure_checkpoint_dir
 
-DICTIONARY = 100_000    # words whose ids are a literal
+DICTIONARY = 400_000    # words whose ids are a literal
 WORD_BYTES = 64         # longer words never enter the dictionary
 _SCALE = 8              # steps of the count histogram for each doubling
 
@@ -113,7 +114,7 @@ class Lookup:
     """A literal map from strings to values with constant-time lookups."""
 
     def __init__(self, entries: dict, value_type: str):
-        self.size = 1 << max(4, (len(entries) // 2).bit_length())
+        self.size = 1 << max(4, (len(entries) // 4).bit_length())
         maps: list[dict] = [{} for _ in range(self.size)]
         for k, v in entries.items():
             maps[xxhash.xxh64_intdigest(k.encode(), seed=42) & (self.size - 1)][k] = v
@@ -127,61 +128,77 @@ class Lookup:
         return bind(self.table, lambda table: body(get(table)))
 
 
-class Bpe:
-    """Ranks as literals, and the fold over them."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        if sorted(ranks.values()) != list(range(len(ranks))):
-            raise ValueError("ranks must count from 0 without gaps")
-        by_hex = {k.hex().upper(): v for k, v in ranks.items()}
-        self.ranks = Lookup(by_hex, "int")
-        self.pieces = F.from_json(F.lit(json.dumps(sorted(by_hex, key=by_hex.get), separators=(",", ":"))), "array<string>")
-
-    def encode(self, matches: Column, known: Lookup | None = None) -> Column:
-        """The ids of an array of matches of the pattern; those in ``known`` are looked up."""
-        def every(rank: Callable[[Column], Column], find: Callable[[Column], Column] | None = None) -> Column:
-            return F.flatten(F.transform(
-                matches, lambda w: F.coalesce(find(w), fold(w, rank)) if find else fold(w, rank)))
-        return self.ranks.bind(lambda rank: known.bind(lambda find: every(rank, find)) if known else every(rank))
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of the ids, joined."""
-        return bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), "")))
+_FIRST = 0x100          # the character of token 0; those below stand for bytes
+_NONE = chr(0x10FFFF)   # a pair that is no token, after all that are
 
 
-def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids of one match of the pattern."""
-    return bind(F.hex(F.encode(word, "UTF-8")), lambda digits: bind(rank(digits), lambda whole: F.when(
-        whole.isNotNull(), F.array(whole)).otherwise(F.transform(_merge(digits, rank), rank))))
+def _char(token: int) -> str:
+    """The character of a token, in the order of ranks; surrogates are left out."""
+    c = token + _FIRST
+    return chr(c if c < 0xD800 else c + 0x800)
 
 
-def _merge(digits: Column, rank: Callable[[Column], Column]) -> Column:
-    """The pieces that are left of a word's bytes when no two neighbours are a token."""
-    def state(p: Column, r: Column) -> Column:
-        """Pieces, ranks of their pairs, and where the leftmost pair of the lowest rank is (null: none is a token)."""
-        return bind(r, lambda r: F.struct(p.alias("p"), r.alias("r"),
-                                          F.array_position(r, F.array_min(r)).cast("int").alias("at")))
+def _ids(chars: Column) -> Column:
+    """The tokens of a string of their characters."""
+    def token(c: Column) -> Column:
+        return bind(F.ascii(c), lambda x: F.when(x < 0xD800, x - _FIRST).otherwise(x - _FIRST - 0x800))
+    return F.when(chars == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(chars, ""), token))
 
-    def start(p: Column) -> Column:
-        return state(p, F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)),
-                                   lambda a, b: rank(F.concat(a, b))))
 
-    def join(p: Column, r: Column, at: Column, piece: Column) -> Column:
-        none = F.slice(r, 1, 0)
-        before = F.when(at > 1, F.concat(F.slice(r, 1, at - 2), F.array(rank(F.concat(p[at - 2], piece))))).otherwise(none)
-        after = F.when(at + 1 < F.size(p), F.concat(F.array(rank(F.concat(piece, p[at + 1]))),
-                                                    F.slice(r, at + 2, F.size(r)))).otherwise(none)
-        return state(F.concat(F.slice(p, 1, at - 1), F.array(piece), F.slice(p, at + 2, F.size(p))),
-                     F.concat(before, after))
+class Bpe:
+    """Ranks as literals, and the fold over them."""
 
-    def step(s: Column, _) -> Column:
-        p, r, at = s["p"], s["r"], s["at"]
-        return F.when(at.isNull(), s).otherwise(
-            bind(F.concat(p[at - 1], p[at]), lambda piece: join(p, r, at, piece)))
+    def __init__(self, ranks: dict[bytes, int]):
+        if sorted(ranks.values()) != list(range(len(ranks))) or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must count from 0 without gaps and hold every byte")
+        self.pairs = Lookup({_char(ranks[t[:i]]) + _char(ranks[t[i:]]): _char(r) for t, r in ranks.items()
+                             for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}, "string")
+        self.bytes = "".join(_char(ranks[bytes([b])]) for b in range(256))
+        self.tokens = {}
+        for t, r in ranks.items():
+            try:
+                self.tokens[t.decode()] = _char(r)
+            except UnicodeDecodeError:      # part of a character: never a whole match
+                pass
+        self.pieces = F.from_json(F.lit(json.dumps([t.hex() for t in sorted(ranks, key=ranks.get)])), "array<string>")
+
+    def chars(self, matches: Column, known: dict[str, str] | None = None) -> Column:
+        """The tokens of an array of matches of the pattern, as characters; those in ``known`` are looked up."""
+        whole = Lookup(self.tokens | (known or {}), "string")
+        return self.pairs.bind(lambda rank: whole.bind(lambda find: F.array_join(F.transform(
+            matches, lambda w: F.coalesce(find(w), self.fold(w, rank))), "")))
+
+    def fold(self, word: Column, rank: Callable[[Column], Column]) -> Column:
+        """What is left of a word's bytes when no two neighbours are a token."""
+        def pair(p: Column) -> Column:
+            return F.coalesce(rank(p), F.lit(_NONE))
+
+        def merge(s: Column, r: Column, best: Column, at: Column) -> Column:
+            joined = F.overlay(s, best, at, F.lit(2))
+            return bind(joined, lambda s: F.struct(s.alias("s"), F.concat(
+                F.substring(r, F.lit(1), at - 2),
+                F.when(at > 1, pair(F.substring(s, at - 1, F.lit(2)))).otherwise(""),
+                F.when(at < F.length(s), pair(F.substring(s, at, F.lit(2)))).otherwise(""),
+                F.substring(r, at + 2, F.length(r))).alias("r")))
+
+        def step(x: Column, _) -> Column:
+            s, r = x["s"], x["r"]
+            least = F.array_min(F.split(r, ""))
+            return F.when(r == "", x).otherwise(bind(least, lambda best: F.when(
+                best == _NONE, F.struct(s.alias("s"), F.lit("").alias("r"))).otherwise(
+                    bind(F.instr(r, best), lambda at: merge(s, r, best, at)))))
+
+        def start(s: Column) -> Column:
+            pairs = F.regexp_extract_all(s, F.lit("(?s)(?=(..))"), F.lit(1))
+            return F.struct(s.alias("s"), F.array_join(F.transform(pairs, pair), "").alias("r"))
+
+        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        return bind(F.translate(latin, "".join(map(chr, range(256))), self.bytes), lambda s: F.aggregate(
+            F.sequence(F.lit(1), F.length(s)), start(s), step, lambda x: x["s"]))
 
-    units = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))
-    return F.when(F.length(digits) < 4, F.array(digits)).otherwise(bind(units, lambda u: F.aggregate(
-        F.sequence(F.lit(2), F.size(u)), start(u), step, lambda s: s["p"])))
+    def decode(self, ids: Column) -> Column:
+        """The bytes of the ids, joined."""
+        return bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), "")))
 
 
 def words(spark: SparkSession, text: Column, pattern: str) -> Column:
@@ -214,5 +231,6 @@ def encode(docs: DataFrame, model: Bpe | None = None, pattern: str | None = None
     known = {}
     if dictionary:
         often = frequent_words(docs.select(F.explode(split(F.col(text))).alias("w")), dictionary)
-        known = {r["w"]: r["ids"] for r in often.select("w", model.encode(F.array("w")).alias("ids")).collect()}
-    return docs.withColumn(out, model.encode(split(F.col(text)), Lookup(known, "array<int>") if known else None))
+        rows = often.select("w", model.chars(F.array("w")).alias("chars")).toArrow()           # at most `dictionary`
+        known = dict(zip(*(c.to_pylist() for c in rows.columns), strict=True))
+    return docs.withColumn(out, model.chars(split(F.col(text)), known)).withColumn(out, _ids(F.col(out)))

@@ -56,8 +56,22 @@ def test_ids_of_no_text_and_an_empty_table(spark, frame, model):  # noqa: F811
 
 
 def test_ranks_must_be_whole():
-    with pytest.raises(ValueError):
-        B.Bpe({b"a": 0, b"b": 2})
+    for bad in ({b"a": 0, b"b": 2}, {b"a": 0, b"b": 1}):
+        with pytest.raises(ValueError):
+            B.Bpe(bad)
+
+
+def test_more_tokens_than_plain_characters(frame):  # noqa: F811
+    """Ids beyond the surrogates keep their order and come back."""
+    tokens = [bytes([b]) for b in range(256)] + [b"%d" % i for i in range(10_000, 70_000)] + [b"ab", b"ba", b"aba"]
+    tokens += [bytes([a, b]) for a in b"0123456789" for b in b"0123456789"] + [b"%d" % i for i in range(100, 1000)]
+    ranks = {t: i for i, t in enumerate(tokens)}
+    own = tiktoken.Encoding("own", pat_str=B.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+    model = B.Bpe(ranks)
+    texts = ["ababa 69999 123456789012 5 x69998", "abab" * 5, "6999969999 12"]
+    for row in B.encode(frame(list(enumerate(texts))), model, dictionary=0).withColumn("b", model.decode(F.col("ids"))).collect():
+        assert row.ids == own.encode_ordinary(row.text) and bytes(row.b) == row.text.encode()
+    assert max(own.encode_ordinary("69999")) > 0xD800
 
 
 def test_dictionary_is_bounded_and_holds_the_most_frequent(spark):
