@@ -2,7 +2,7 @@
 
 SHRED_REQUESTED → KEY_DESTROYED (key material removed, old versions purged)
 → CASCADE_PENDING (plan: connector wipes + tenant redaction resources)
-→ wipes executed by connectors, outcomes recorded (suffix per strategy)
+→ stored tables redacted, wipes executed by connectors, outcomes recorded (suffix per strategy)
 → CASCADE_COMPLETE and CERTIFICATE_ISSUED (claims, chain), or
   CASCADE_PARTIAL_FAILURE (certificate withheld, failures dead-lettered).
 Every step is a DataFrame transformation; state tables are written by the
@@ -11,7 +11,9 @@ caller (``sources.state.write_version``) between runs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from shredline.operators import connectors as CN
 from shredline.operators import deletion as D
 from shredline.operators import keys as K
 from shredline.operators import lineage as LIN
+from shredline.operators import redaction as R
 from shredline.session import ensure_checkpoint_dir
 
 
@@ -63,9 +66,43 @@ def janitor_events(results: DataFrame, now: Column) -> DataFrame:
         F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("data_classification"))
 
 
+OUTCOME = ["deletion_request_id", "tenant_id", "user_id", "destination", "status", "attempts", "records_found", "rows_affected", "error"]
+
+
+def run_stored(tasks: DataFrame, stores: list[R.StoredTable]) -> DataFrame:
+    """Erase every task's user in the table that its ``store`` names, all users of a table in one job.
+
+    A table that fails leaves FAILED outcomes with the error's first line for its own tasks; the
+    others go on. A user without rows has a SUCCEEDED outcome of 0 rows. Tasks of other destinations have no outcome.
+    """
+    spark = tasks.sparkSession
+    out = []
+    for store in stores:
+        own = tasks.where(F.col("store") == store.destination)
+        users = own.select("tenant_id", "user_id").distinct()
+        if users.isEmpty():
+            continue
+        base = own.select("deletion_request_id", "tenant_id", "user_id", "destination")
+        try:
+            counts = R.erase_and_count(spark, store, users)
+        except Exception as failure:  # noqa: BLE001  a table of its own; the outcome says what happened
+            rows, error = base.withColumn("rows_affected", F.lit(None).cast("long")), str(failure).strip().splitlines()[0][:300]
+        else:
+            on = ["tenant_id", "user_id"] if store.tenant_col else ["user_id"]
+            rows, error = base.join(counts, on, "left").withColumn("rows_affected", F.coalesce("rows_affected", F.lit(0))), None
+        out.append(rows.select(
+            "deletion_request_id", "tenant_id", "user_id", "destination", F.lit("FAILED" if error else "SUCCEEDED").alias("status"),
+            F.lit(1).cast("long").alias("attempts"), F.col("rows_affected").alias("records_found"), "rows_affected",
+            F.lit(error).cast("string").alias("error")))
+    done = reduce(DataFrame.unionByName, out) if out else tasks.limit(0).select(
+        "deletion_request_id", "tenant_id", "user_id", "destination", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("status", "string"), ("attempts", "long"), ("records_found", "long"), ("rows_affected", "long"), ("error", "string"))])
+    return done.checkpoint()
+
+
 def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resources: DataFrame,
           connectors: list, tenant_keys: DataFrame, now: Column, heads: DataFrame | None = None,
-          previous_wipes: DataFrame | None = None) -> ErasureRun:
+          previous_wipes: DataFrame | None = None, stores: Sequence[R.StoredTable] = ()) -> ErasureRun:
     """Run the cascade for every request that is due: new ones, failed ones again, certificates still missing.
 
     * SHRED_REQUESTED: the key is destroyed, then the cascade runs;
@@ -73,8 +110,10 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
     * CASCADE_COMPLETE: only the certificate is still to be issued.
 
     ``resources``: (tenant_id, resource_id, strategy) of source-side redaction
-    targets with their recorded outcomes supplied in ``previous_wipes``
-    (redaction jobs write them); connector wipes are executed here. A request becomes
+    targets. Those (and hot-path destinations) that one of ``stores`` names are
+    erased here by ``run_stored``, except where ``previous_wipes`` has a SUCCEEDED
+    outcome already; the other hot-path destinations are wiped by
+    ``connectors``; outcomes of any other resource must be in ``previous_wipes``. A request becomes
     CERTIFICATE_ISSUED only with its row in the chain; one whose claims can't be made
     stays CASCADE_COMPLETE and is taken up by the next run.
     """
@@ -100,11 +139,21 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
     hot = LIN.add_destinations(reg.join(ids.select("tenant_id", "user_id").distinct(), ["tenant_id", "user_id"], "left_semi"),
                                events)
     tasks = LIN.cleanup_plan(ids, hot).join(ids, ["tenant_id", "user_id"])
+    held = [t.destination for t in stores]
+    planned = tasks.select(*OUTCOME[:4], F.lower("destination").alias("store")).where(F.col("store").isin(held))
+    planned = planned.unionByName(ids.join(resources.select(
+        "tenant_id", F.concat("resource_id", F.lit("::"), "strategy").alias("destination")).where(
+            F.col("destination").isin(held)).distinct(), "tenant_id").select(*OUTCOME[:4], F.col("destination").alias("store"))).distinct()
+    if previous_wipes is not None:
+        achieved = D.latest_wipes(previous_wipes).where(F.col("status") == "SUCCEEDED").select("deletion_request_id", "destination")
+        planned = planned.join(achieved, ["deletion_request_id", "destination"], "left_anti").select(*OUTCOME[:4], "store")
+    stored = run_stored(planned.checkpoint(), list(stores))
     # External calls happen exactly once: the results are checkpointed to the shared checkpoint
     # folder before the three consumers below (a task retry re-runs only its own, idempotent wipes).
-    results = CN.run_wipes(tasks, connectors).checkpoint(eager=True)
+    results = (CN.run_wipes(tasks.where(~F.lower("destination").isin(held)), connectors)
+               .withColumn("rows_affected", F.lit(None).cast("bigint")).select(*OUTCOME).checkpoint(eager=True).unionByName(stored))
     wipes = results.select("deletion_request_id", "destination", "status", "attempts", "records_found",
-                           F.lit(None).cast("bigint").alias("rows_affected"), "error", now.alias("updated_at"))
+                           "rows_affected", "error", now.alias("updated_at"))
     if previous_wipes is not None:
         wipes = previous_wipes.unionByName(wipes, allowMissingColumns=True)
     state = D.record_wipes(state, wipes)
@@ -122,7 +171,7 @@ def erase(requests: DataFrame, key_registry: DataFrame, events: DataFrame, resou
 
     # 4. certificates (claims read the recorded wipes and the shredded keys), then the status of those that have one
     done = state.where(F.col("status") == "CASCADE_COMPLETE")
-    claims = CERT.claims(done, reg, wipes, events, now, connectors=[c.name.lower() for c in connectors])
+    claims = CERT.claims(done, reg, wipes, events, now, connectors=[c.name.lower() for c in connectors] + [d for d in held if "::" not in d])
     chain = CERT.append_chain(claims, tenant_keys, heads).checkpoint(eager=True)
     state, dec3 = D.advance_once(state, moves(chain, "CERTIFICATE_ISSUED", 3))
     state = state.checkpoint(eager=True)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shredline.functions.text import assert_safe_identifiers
+from shredline.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -94,6 +95,35 @@ def delete_users(table: DataFrame, users: DataFrame, user_col: str, tenant_col:
     return Rewrite(out, affected)
 
 
+@dataclass
+class StoredTable:
+    """A stored table that holds users' data, as a destination of the cascade.
+
+    ``destination``: ``{resource_id}::{strategy}`` of a declared resource or the name of a system;
+    ``fields``: the columns to NULL; without them the users' rows are removed.
+    """
+    destination: str
+    path: str
+    partition_by: str
+    user_col: str
+    tenant_col: str | None = None
+    fields: list[str] | None = None
+
+
+def erase_and_count(spark, table: StoredTable, users: DataFrame) -> DataFrame:
+    """``erase_stored`` for a StoredTable; returns the rows affected of every user that had any.
+
+    The counts are checkpointed before a file changes.
+    """
+    ensure_checkpoint_dir(spark)
+    targets, on = _targets(users, table.user_col, table.tenant_col)
+    counts = (spark.read.parquet(table.path).join(targets, on).groupBy(*on).agg(F.count(F.lit(1)).alias("rows_affected"))
+              .withColumnsRenamed({table.user_col: "user_id"} | ({table.tenant_col: "tenant_id"} if table.tenant_col else {}))
+              .checkpoint())
+    erase_stored(spark, table.path, table.partition_by, users, table.user_col, table.tenant_col, table.fields)
+    return counts
+
+
 def erase_stored(spark, path: str, partition_by: str, users: DataFrame, user_col: str, tenant_col: str | None = None,
                  fields: list[str] | None = None) -> int:
     """STA-10 / STA-11 on a stored table: NULL the ``fields`` of the users' rows, or remove the rows without ``fields``.

@@ -11,6 +11,7 @@ from shredline.plans import scenario as SC
 from shredline.plans.catalog import register
 from shredline.plans.oracle import duck_hmac, duck_iso, with_fixtures
 from shredline.plans.q_lineage import GHOST_SQL
+from shredline.session import ensure_checkpoint_dir
 from shredline.sources import fixtures as FX
 
 # --- Spark side -------------------------------------------------------------------------------------
@@ -135,7 +136,8 @@ SELECT tenant_id, count(*) AS n_certificates, CAST(0 AS BIGINT) AS n_problems, m
 FROM chain GROUP BY tenant_id""", _CHAIN_CTES))
 def verify_chain(spark, sf_dir):
     """Verify every chain link; report per tenant (a clean chain has no problems)."""
-    chain = _chain(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    chain = _chain(spark, sf_dir).checkpoint()
     heads = CERT.chain_heads(chain)
     v = CERT.verify_chain(chain, FX.tenant_keys(FX.fixture(spark, sf_dir, "users")), heads)
     agg = v.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_certificates"),
@@ -162,7 +164,8 @@ def broken_chains(spark, sf_dir):
     tenant-1: an entry names another request, the last three entries are gone;
     tenant-2: a second entry 5 that follows entry 2, entry 8 is gone, an entry without a token beyond the head.
     """
-    chain = _chain(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    chain = _chain(spark, sf_dir).checkpoint()
     keys = FX.tenant_keys(FX.fixture(spark, sf_dir, "users"))
     heads = CERT.chain_heads(chain)
     t, n, last = F.col("tenant_id"), F.col("sequence"), F.col("head_sequence")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shredline import schemas
 from shredline.operators import connectors as CN
 from shredline.operators import deletion as D
+from shredline.operators import erasure as ER
 from shredline.operators import lineage as LIN
+from shredline.operators import redaction as R
 from shredline.operators import registry as REG
 from shredline.operators.util import iso
 from shredline.plans import q_registry as QR
@@ -15,6 +20,7 @@ from shredline.plans import scenario as SC
 from shredline.plans.catalog import register
 from shredline.plans.oracle import duck_iso, with_fixtures
 from shredline.plans.q_lineage import HOT_SQL
+from shredline.session import ensure_checkpoint_dir
 from shredline.sources import fixtures as FX
 
 
@@ -208,6 +214,91 @@ def cascade(spark, sf_dir):
     return out.select("deletion_request_id", "tenant_id", "user_id", "n_planned", "n_failed", "next_status")
 
 
+# --- STA-17 with STA-10 / STA-11: the erasure job over stored tables -----------------------------------------------
+
+_PLAN_SQL = """SELECT r.*, t.destination FROM due r JOIN (
+  SELECT tenant_id, user_id, unnest(destinations) AS destination FROM hot) t
+    ON t.tenant_id = r.tenant_id AND t.user_id = r.user_id
+  WHERE t.destination IN ('hubspot', 'salesforce') AND EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = r.tenant_id AND u.user_id = r.user_id)
+UNION ALL SELECT due.*, 'bigquery:proj.ds.users::REDACT_IN_PLACE' FROM due
+UNION ALL SELECT due.*, 'bigquery:proj.ds.users::ENCRYPTED_COPY' FROM due WHERE tenant_id = 'tenant-1'"""
+
+_RUN_SQL = """SELECT 'request' AS kind, r.deletion_request_id AS key,
+  CASE WHEN p.failed THEN 'CASCADE_PARTIAL_FAILURE ' ELSE '' END || CASE WHEN r.orderkey % 7 NOT IN (0, 4, 5) THEN r.status
+    WHEN r.custkey % 7 = 0 OR EXISTS (SELECT 1 FROM due d WHERE d.orderkey % 7 = 0 AND d.tenant_id = r.tenant_id AND d.user_id = r.user_id)
+    THEN 'CERTIFICATE_ISSUED' ELSE 'CASCADE_COMPLETE' END AS value
+FROM (SELECT d.*, CAST(split_part(user_id, '-', 2) AS BIGINT) AS custkey FROM deletion_requests d) r
+LEFT JOIN (SELECT deletion_request_id, bool_or(destination = 'salesforce') AS failed FROM plan GROUP BY 1) p USING (deletion_request_id)
+UNION ALL
+SELECT 'outcome', p.destination || ' ' || p.deletion_request_id,
+  'SUCCEEDED ' || CASE WHEN p.destination = 'hubspot' THEN (SELECT count(*) FROM users u WHERE u.tenant_id = p.tenant_id AND u.user_id = p.user_id AND u.custkey % 2 = 0)
+                       ELSE (SELECT count(*) FROM users u WHERE u.tenant_id = p.tenant_id AND u.user_id = p.user_id) END
+  || CASE WHEN p.destination = 'salesforce' THEN ' after a failure' ELSE '' END
+FROM plan p
+UNION ALL
+SELECT 'bucket', CAST(custkey % 64 AS VARCHAR),
+  CASE WHEN bool_or(EXISTS (SELECT 1 FROM due d WHERE d.tenant_id = u.tenant_id AND d.user_id = u.user_id)) THEN 'rewritten' ELSE 'same files' END
+FROM users u GROUP BY custkey % 64
+UNION ALL
+SELECT 'rows', 'bigquery:proj.ds.users', count(*) || ' with email ' ||
+  count(*) FILTER (NOT EXISTS (SELECT 1 FROM due d WHERE d.tenant_id = u.tenant_id AND d.user_id = u.user_id)) FROM users u
+UNION ALL
+SELECT 'rows', 'encrypted copy', CAST(count(*) FILTER (NOT (tenant_id = 'tenant-1'
+  AND EXISTS (SELECT 1 FROM due d WHERE d.tenant_id = u.tenant_id AND d.user_id = u.user_id))) AS VARCHAR) FROM users u"""
+
+
+@register("sta17_erasure_run", with_fixtures(["users", "lineage_events", "deletion_requests"], "SELECT * FROM run", [
+    ("hot", HOT_SQL), ("due", "SELECT * FROM deletion_requests WHERE orderkey % 7 IN (0, 4)"), ("plan", _PLAN_SQL), ("run", _RUN_SQL)]))
+def erasure_run(spark, sf_dir):
+    """The erasure job over all requests and stored tables, twice: one table fails at first and is there for the retry.
+
+    Rows: every request's state (after a first CASCADE_PARTIAL_FAILURE, if any), every planned destination's outcome,
+    whether each bucket of the redacted table kept its files, and what the tables hold in the end.
+    """
+    s = SC.build(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark)}/erasure-{uuid.uuid4().hex}"
+    rows = s.users.withColumn("bucket", (F.col("custkey") % 64).cast("int"))
+
+    def stored(name, destination, df, fields=None):
+        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{name}")
+        return R.StoredTable(destination, f"{root}/{name}", "bucket", "user_id", "tenant_id", fields)
+
+    def files():
+        return (spark.read.parquet(f"{root}/users").select("bucket", F.input_file_name().alias("file")).distinct()
+                .groupBy("bucket").agg(F.array_sort(F.collect_set("file")).alias("files")).checkpoint())
+
+    tables = [stored("users", "bigquery:proj.ds.users::REDACT_IN_PLACE", rows, ["email", "phone"]),
+              stored("copy", "bigquery:proj.ds.users::ENCRYPTED_COPY", rows),
+              stored("hubspot", "hubspot", rows.where("custkey % 2 = 0")),
+              R.StoredTable("salesforce", f"{root}/salesforce", "bucket", "user_id", "tenant_id")]        # not there yet
+    resources = s.tenant_keys.select("tenant_id", F.lit("bigquery:proj.ds.users").alias("resource_id"), F.explode(
+        F.array(F.lit("REDACT_IN_PLACE"), F.when(F.col("tenant_id") == "tenant-1", "ENCRYPTED_COPY"))).alias("strategy")
+    ).where("strategy IS NOT NULL")
+    events, before = FX.fixture(spark, sf_dir, "lineage_events"), files()
+    requests = requests_state(spark, sf_dir)
+    one = ER.erase(requests, s.registry, events, resources, [], s.tenant_keys, FX.ts(FX.NOW_TS), stores=tables)
+    stored("salesforce", "salesforce", rows)
+    two = ER.erase(one.requests, one.key_registry, events, resources, [], s.tenant_keys,
+                   FX.ts(FX.NOW_TS) + F.expr("INTERVAL 1 DAY"), one.heads, one.wipes, stores=tables)
+
+    key = F.col("deletion_request_id")
+    failed = one.requests.where("status = 'CASCADE_PARTIAL_FAILURE'").select(key, F.lit("CASCADE_PARTIAL_FAILURE ").alias("first"))
+    states = two.requests.join(failed, "deletion_request_id", "left").select(
+        F.lit("request").alias("kind"), key.alias("key"), F.concat(F.coalesce("first", F.lit("")), "status").alias("value"))
+    again = one.wipes.where("status = 'FAILED'").select(key, "destination", F.lit(" after a failure").alias("again"))
+    outcomes = D.latest_wipes(two.wipes).join(again, ["deletion_request_id", "destination"], "left").select(
+        F.lit("outcome").alias("kind"), F.concat_ws(" ", "destination", key).alias("key"),
+        F.concat(F.concat_ws(" ", "status", F.col("rows_affected").cast("string")), F.coalesce("again", F.lit(""))).alias("value"))
+    buckets = before.alias("a").join(files().alias("b"), "bucket").select(
+        F.lit("bucket").alias("kind"), F.col("bucket").cast("string").alias("key"),
+        F.when(F.col("a.files") == F.col("b.files"), "same files").otherwise("rewritten").alias("value"))
+    held = spark.read.parquet(f"{root}/users").agg(F.concat(F.count("*"), F.lit(" with email "), F.count("email")).alias("value"))
+    copy = spark.read.parquet(f"{root}/copy").agg(F.count("*").cast("string").alias("value"))
+    ends = [x.select(F.lit("rows").alias("kind"), F.lit(k).alias("key"), "value")
+            for k, x in (("bigquery:proj.ds.users", held), ("encrypted copy", copy))]
+    return reduce(lambda a, b: a.unionByName(b), [states, outcomes, buckets, *ends])
+
+
 # --- STA-18 / SRC-16 / FN-27 -------------------------------------------------------------------------------------
 
 def _attempts(spark, sf_dir):
