@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shredline.operators.running import positions
+
 # Fixed paging rules.
 DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200
@@ -50,8 +52,8 @@ def events(entries: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _ranked(ev: DataFrame, key: str, page, after) -> DataFrame:
-    newest = [F.col("timestamp").desc(), "type", "resource_id", "actor_email"]
-    ranked = ev.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id", key).orderBy(*newest)))
+    newest = [F.col("timestamp").desc(), *[F.col(c).asc() for c in ("type", "resource_id", "actor_email")]]
+    ranked = positions(ev, ["tenant_id", key], newest)
     if page is None:
         return ranked if not after else ranked.where(F.col("rank") > after)
     return ranked.where((F.col("rank") > after) & (F.col("rank") <= after + page_size(page)))

@@ -6,11 +6,12 @@ the roll-up is a single conditional aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shredline.functions import text as TX
 from shredline.operators import policy as P
+from shredline.operators.running import positions
 
 STATE_ORDER = {"EXPOSED": 0, "PARTIAL": 1, "PROTECTED": 2}
 
@@ -92,8 +93,7 @@ def state_rank() -> Column:
 
 def ranked_items(it: DataFrame) -> DataFrame:
     """SRT-01: rank within a tenant: EXPOSED, PARTIAL, PROTECTED; then weight descending; ties by kind and resource id."""
-    order = Window.partitionBy("tenant_id").orderBy(state_rank(), F.col("weight").desc(), "kind", "resource_id")
-    return it.withColumn("rank", F.row_number().over(order))
+    return positions(it, ["tenant_id"], [state_rank(), F.col("weight").desc(), F.col("kind").asc(), F.col("resource_id").asc()])
 
 
 def report(it: DataFrame) -> DataFrame:

@@ -57,10 +57,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     key = F.struct(*keys)
     edges = df.groupBy(PART).agg(F.min(key).alias("a"), F.max(key).alias("b"))
-    crossing = (edges.select(PART, F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
-                .groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))    # at most one for each part
-    of_key = reduce(lambda x, y: x & y, [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
-    totals = (df.alias("d").join(F.broadcast(crossing), of_key, "left_semi")
+    crossing = (edges.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("_key")).groupBy("_key")
+                .agg(F.count("*").alias("_n")).where("_n > 1")                              # at most one for each part
+                .select(*[F.col(f"_key.{k}").alias(f"c_{k}") for k in keys]))
+    of_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in keys])
+    totals = (df.join(F.broadcast(crossing), of_key, "left_semi")
               .groupBy(PART, *keys).agg(*[getattr(F, kind)(c).alias(n) for n, (kind, c) in values.items()]))
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     merged = {"count": "sum"}

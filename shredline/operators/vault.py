@@ -93,21 +93,38 @@ def _scope(vault: DataFrame, tenant: str | None, fields: list[str] | None, resou
     return v
 
 
+def rungs(vault: DataFrame, kv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ladder of AGG-03: the newest row of each (tenant, user, field), and the older rows where that one doesn't decrypt.
+
+    Both with their value. The newest is a ``max_by`` aggregate, so a history is neither shuffled nor
+    decrypted; older rows are read for those keys alone whose user has a key and whose newest bundle is
+    corrupt. Newest first by ``synced_at``, key_id, resource_id, bundle (``_at``).
+    """
+    keys = [*KEYS, "field_name"]
+    at = F.struct("synced_at", "key_id", "resource_id", "encrypted_value")
+    newest = vault.groupBy(*keys).agg(F.max(at).alias("_at")).withColumn("encrypted_value", F.col("_at.encrypted_value"))
+    first = decrypt_vault(newest, kv).select(*keys, "_at", "value")
+    failed = (first.where(F.col("value").isNull()).join(kv.select(*KEYS), KEYS, "left_semi")
+              .select(*keys, F.col("_at").alias("_failed")))
+    older = vault.join(failed, keys).where(at < F.col("_failed")).select(*keys, at.alias("_at"), "encrypted_value")
+    return first, decrypt_vault(older, kv).select(*keys, "_at", "value")
+
+
 def decrypted_pivot(vault: DataFrame, kv: DataFrame, fields: list[str], tenant: str | None = None,
                     resource_id: str | None = None) -> DataFrame:
     """AGG-03 / QRY-01: one column per field per user: the newest value that decrypts.
 
-    NULL values are skipped, so an older good value wins over a newer
-    undecryptable one; ties on ``synced_at`` break by key_id, then resource_id.
+    NULL values are skipped, so an older good value wins over a newer undecryptable one. Values are
+    never written: the newest of each field is decrypted at most twice (to see whether it is readable, and
+    as the value), the others only where it isn't.
     """
     kv = kv if tenant is None else kv.where(F.col("tenant_id") == tenant)
-    dv = decrypt_vault(_scope(vault, tenant, fields, resource_id), kv)
-    order = F.struct("synced_at", "key_id", "resource_id")
+    first, older = rungs(_scope(vault, tenant, fields, resource_id), kv)
     aggs = []
     for f in fields:
         hit = (F.col("field_name") == f) & F.col("value").isNotNull()
-        aggs.append(F.max_by(F.when(hit, F.col("value")), F.when(hit, order)).alias(f))
-    return dv.groupBy(*KEYS).agg(*aggs)
+        aggs.append(F.max_by(F.when(hit, F.col("value")), F.when(hit, F.col("_at"))).alias(f))
+    return first.unionByName(older).groupBy(*KEYS).agg(*aggs)
 
 
 def latest_ciphertext(vault: DataFrame, kv: DataFrame) -> DataFrame:

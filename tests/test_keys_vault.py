@@ -1,3 +1,5 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from shredline.functions import crypto as C
@@ -128,3 +130,26 @@ def test_redaction_strategies(spark):
         raise AssertionError("unsafe identifier accepted")
     except ValueError:
         pass
+
+
+def test_ladder_decrypts_older_versions_only_where_the_newest_is_corrupt(spark):
+    """A user with 1,000 versions: none of the older is read while the newest decrypts."""
+    tk = spark.createDataFrame([("A",)], "tenant_id string").withColumns(
+        {"kek": F.unhex(F.sha2(F.lit("kek"), 256)), "token_key": F.unhex(F.sha2(F.lit("tok"), 256))})
+    users = spark.createDataFrame([("A", "many"), ("A", "corrupt"), ("A", "gone")], "tenant_id string, user_id string")
+    reg = K.generate(K.empty_registry(spark), users, tk, F.lit(dt.datetime(2026, 1, 1)), dek_fn=C.seeded_dek).state
+    kv = K.key_versions(K.shred(reg, users.where("user_id = 'gone'"), F.lit(dt.datetime(2026, 1, 2))).state, tk)
+    all_keys = K.key_versions(reg, tk)
+    versions = users.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    plain = versions.withColumn("email", F.concat_ws("-", "user_id", "id"))
+    vault = V.encrypt_table(plain, ["email"], "r", all_keys, tk, F.lit(dt.datetime(2026, 1, 1))).checkpoint()
+    value = {r.encrypted_value: r.value for r in V.decrypt_vault(vault, all_keys).collect()}
+    number = spark.createDataFrame([(b, int(v.split("-")[1])) for b, v in value.items()], "encrypted_value string, n int")
+    vault = vault.join(number, "encrypted_value").withColumn(
+        "synced_at", F.timestamp_add("SECOND", F.col("n"), F.lit(dt.datetime(2026, 1, 1)))).withColumn(
+        "encrypted_value", F.when((F.col("user_id") == "corrupt") & (F.col("n") >= 997), F.lit("v1:bm90:bm90"))
+        .otherwise(F.col("encrypted_value"))).drop("n").checkpoint()
+    first, older = V.rungs(vault, kv)
+    assert first.count() == 3 and {r.user_id: r["count"] for r in older.groupBy("user_id").count().collect()} == {"corrupt": 999}
+    got = {r.user_id: r.email for r in V.decrypted_pivot(vault, kv, ["email"]).collect()}
+    assert got == {"many": "many-999", "corrupt": "corrupt-996", "gone": None}
