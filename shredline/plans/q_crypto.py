@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shredline.functions import crypto as C
@@ -13,6 +15,7 @@ from shredline.operators.util import iso, join_sorted
 from shredline.plans import scenario as SC
 from shredline.plans.catalog import register
 from shredline.plans.oracle import duck_hmac, duck_iso, with_fixtures
+from shredline.session import ensure_checkpoint_dir
 from shredline.sources import fixtures as FX
 
 LIVE = "custkey % 7 <> 0"
@@ -187,6 +190,44 @@ def rotate_keys(spark, sf_dir):
             .withColumn("versions", F.coalesce("versions", F.lit(""))))
 
 
+_DUE = "custkey % 32 IN (3, 17) AND custkey % 2 = 1 AND custkey % 3 = 0"
+
+
+@register("sta03_shred_stored", with_fixtures(["users"], f"""
+SELECT 'key' AS kind, tenant_id || '/' || user_id AS key, CASE WHEN {_DUE} THEN 'SHREDDED 0' ELSE 'ACTIVE 1' END AS value FROM users
+UNION ALL SELECT 'key', 'tenant-0/never-keyed-3', 'SHREDDED 0'
+UNION ALL SELECT 'bucket', CAST(custkey % 32 AS VARCHAR), CASE WHEN bool_or({_DUE}) OR custkey % 32 = 3 THEN 'rewritten' ELSE 'same files' END
+FROM users GROUP BY custkey % 32
+UNION ALL SELECT 'outcome', tenant_id || '/' || user_id, 'SHREDDED' FROM users WHERE {_DUE}
+UNION ALL SELECT 'outcome', 'tenant-0/never-keyed-3', 'SHREDDED'"""))
+def shred_stored(spark, sf_dir):
+    """Keys erased in a stored registry of 32 buckets: only the buckets of the requested users get new files.
+
+    Rows: every key's state and number of versions as stored in the end, every bucket, every request's outcome.
+    """
+    users = FX.fixture(spark, sf_dir, "users")
+    tenant_keys = FX.tenant_keys(users)
+    store = K.StoredRegistry(f"{ensure_checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}", 32,
+                             F.element_at(F.split("user_id", "-"), -1).cast("int") % 32)
+    store.create(K.generate(K.empty_registry(spark), users, tenant_keys, FX.ts(FX.KEYGEN_TS), dek_fn=SC.seeded).state)
+
+    def files():
+        return (spark.read.parquet(store.path).select("bucket", F.input_file_name().alias("file")).distinct()
+                .groupBy("bucket").agg(F.array_sort(F.collect_set("file")).alias("files")).checkpoint())
+
+    before = files()
+    due = users.where(_DUE).select("tenant_id", "user_id").unionByName(
+        users.limit(1).select(F.lit("tenant-0").alias("tenant_id"), F.lit("never-keyed-3").alias("user_id")))
+    outcome = store.shred(due, FX.ts(FX.SHRED_TS))
+    name = F.concat_ws("/", "tenant_id", "user_id").alias("key")
+    keys = store.read(spark).select(F.lit("key").alias("kind"), name, F.concat_ws(
+        " ", "status", F.size("deks").cast("string")).alias("value"))
+    buckets = before.alias("a").join(files().alias("b"), "bucket").select(
+        F.lit("bucket").alias("kind"), F.col("bucket").cast("string").alias("key"),
+        F.when(F.col("a.files") == F.col("b.files"), "same files").otherwise("rewritten").alias("value"))
+    return keys.unionByName(buckets).unionByName(outcome.select(F.lit("outcome").alias("kind"), name, F.col("outcome").alias("value")))
+
+
 @register("fil11_key_status", with_fixtures(["users"], f"""
 SELECT tenant_id, user_id,
        CASE WHEN {LIVE} THEN 'ACTIVE' ELSE 'SHREDDED' END AS status,

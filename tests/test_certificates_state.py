@@ -153,3 +153,32 @@ def test_erasing_finds_null_and_escaped_partitions(spark, tmp_dir):
         back = {r.user_id: r.email for r in spark.read.parquet(path).collect()}
         assert {u for u in back if back[u]} == {f"u{i}" for i in range(9) if i not in asked}
         assert len(back) == (9 if fields else 9 - len(asked)) and not any(f"mail{i}".encode() in blobs(path) for i in asked)
+
+
+def test_stored_registry_rewrites_hit_buckets_only(spark, tmp_dir):
+    """File names and bytes: the erased keys' bytes are in no file, the other buckets keep theirs; rotate and generate alike."""
+    tk = spark.createDataFrame([("A",)], "tenant_id string").withColumns(
+        {"kek": F.unhex(F.sha2(F.lit("k"), 256)), "token_key": F.unhex(F.sha2(F.lit("t"), 256))})
+    users = spark.createDataFrame([("A", f"u{i}") for i in range(60)], "tenant_id string, user_id string")
+    store = K.StoredRegistry(f"{tmp_dir}/keys", 16)
+    store.create(K.generate(K.empty_registry(spark), users, tk, F.lit(T)).state)
+    wrapped = {r.user_id: bytes(r.deks["v1"]) for r in store.read(spark).collect()}
+    state = lambda: {f: (os.stat(f).st_mtime_ns, os.path.getsize(f)) for f in glob.glob(f"{store.path}/bucket=*/*.parquet")}
+    bucket = {r.user_id: r.b for r in users.select("user_id", F.pmod(F.xxhash64("tenant_id", "user_id"), F.lit(16)).alias("b")).collect()}
+    due = ["u3", "u17"]
+    before = state()
+    outcome = store.shred(users.where(F.col("user_id").isin(due)), F.lit(T))
+    assert sorted(r.user_id for r in outcome.collect()) == sorted(due)
+    hit = {str(bucket[u]) for u in due}
+    changed = {f.split("bucket=")[1].split("/")[0] for f in set(before) ^ set(state())}
+    assert changed == hit and all(state()[f] == before[f] for f in before if f.split("bucket=")[1].split("/")[0] not in hit)
+    blobs = b"".join(open(f, "rb").read() for f in state())
+    after = {r.user_id: r for r in store.read(spark).collect()}
+    assert len(after) == 60 and {u for u, r in after.items() if r.status == "SHREDDED"} == set(due)
+    assert all((bytes(r.deks["v1"]) == wrapped[u]) for u, r in after.items() if u not in due)
+    assert not any(wrapped[u] in blobs for u in due)
+    assert {r.outcome for r in store.rotate(users.where("user_id in ('u1', 'u3')"), tk, F.lit(T)).collect()} == {"ROTATED", "ERROR"}
+    assert {(r.user_id, r.outcome) for r in store.generate(users.where("user_id in ('u1', 'u3')"), tk, F.lit(T)).collect()} == {
+        ("u1", "EXISTS"), ("u3", "GENERATED")}
+    assert sorted(r.active_dek_id for r in store.read(spark).where("user_id in ('u1', 'u3')").collect()) == ["v1", "v2"]
+    assert store.shred(users.limit(0), F.lit(T)).count() == 0 and store.read(spark).count() == 60
