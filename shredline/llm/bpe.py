@@ -9,8 +9,8 @@ each pair would make: its least character is the next merge, which looks up two
 new pairs only. Ranks come from a literal: an array of small maps that XXH64 of
 the key indexes, so that a lookup costs the same for any vocabulary.
 
-Every distinct word is folded once if it is among the ``dictionary`` most
-frequent ones (at least two occurrences, at most ``WORD_BYTES`` bytes): their ids
+Every distinct word is folded once if it is among the ``dictionary`` words that
+take most of the text (of at most ``WORD_BYTES`` bytes, twice at least): their ids
 become a second literal of bounded size, together with the tokens themselves. The
 words beyond it are folded where they stand, so nothing depends on the dictionary
 but the time, and documents are never shuffled. Decoding joins the pieces of the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from shredline.session import ensure_checkpoint_dir
 
-DICTIONARY = 400_000    # words whose ids are a literal
+DICTIONARY = 250_000    # words whose ids are a literal
 WORD_BYTES = 64         # longer words never enter the dictionary
 _SCALE = 8              # steps of the count histogram for each doubling
 
@@ -115,10 +115,15 @@ class Lookup:
 
     def __init__(self, entries: dict, value_type: str):
         self.size = 1 << max(4, (len(entries) // 4).bit_length())
-        maps: list[dict] = [{} for _ in range(self.size)]
-        for k, v in entries.items():
-            maps[xxhash.xxh64_intdigest(k.encode(), seed=42) & (self.size - 1)][k] = v
-        self.table = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{value_type}>>")
+        slots = sorted((xxhash.xxh64_intdigest(k.encode(), seed=42) & (self.size - 1), k) for k in entries)
+        text, at = [], 0
+        for slot in range(self.size):                      # slot by slot, so that no map is held here
+            own = {}
+            while at < len(slots) and slots[at][0] == slot:
+                own[slots[at][1]] = entries[slots[at][1]]
+                at += 1
+            text.append(json.dumps(own, ensure_ascii=False, separators=(",", ":")))
+        self.table = F.from_json(F.lit(f"[{','.join(text)}]"), f"array<map<string,{value_type}>>")
 
     def bind(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """body(get), where get(key) is the key's value, null if it has none."""
@@ -138,19 +143,13 @@ def _char(token: int) -> str:
     return chr(c if c < 0xD800 else c + 0x800)
 
 
-def _ids(chars: Column) -> Column:
-    """The tokens of a string of their characters."""
-    def token(c: Column) -> Column:
-        return bind(F.ascii(c), lambda x: F.when(x < 0xD800, x - _FIRST).otherwise(x - _FIRST - 0x800))
-    return F.when(chars == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(chars, ""), token))
-
-
 class Bpe:
     """Ranks as literals, and the fold over them."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if sorted(ranks.values()) != list(range(len(ranks))) or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks must count from 0 without gaps and hold every byte")
+        self.plain = len(ranks) + _FIRST <= 0xD800
         self.pairs = Lookup({_char(ranks[t[:i]]) + _char(ranks[t[i:]]): _char(r) for t, r in ranks.items()
                              for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}, "string")
         self.bytes = "".join(_char(ranks[bytes([b])]) for b in range(256))
@@ -196,6 +195,13 @@ class Bpe:
         return bind(F.translate(latin, "".join(map(chr, range(256))), self.bytes), lambda s: F.aggregate(
             F.sequence(F.lit(1), F.length(s)), start(s), step, lambda x: x["s"]))
 
+    def ids(self, chars: Column) -> Column:
+        """The tokens of a string of their characters."""
+        def token(c: Column) -> Column:
+            low = F.ascii(c) - _FIRST
+            return low if self.plain else F.when(c < "\ue000", low).otherwise(F.ascii(c) - _FIRST - 0x800)
+        return F.when(chars == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(chars, ""), token))
+
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids, joined."""
         return bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), "")))
@@ -206,13 +212,13 @@ def words(spark: SparkSession, text: Column, pattern: str) -> Column:
 
 
 def frequent_words(all_words: DataFrame, limit: int) -> DataFrame:
-    """The most frequent of the words in column w, at most ``limit``, without a sort.
+    """The words in column w that take most of the text (occurrences times bytes), at most ``limit``, without a sort.
 
-    A histogram of the counts on a logarithmic scale gives the least count to take.
+    A histogram on a logarithmic scale gives the least share to take.
     """
     ensure_checkpoint_dir(all_words.sparkSession)
     counts = (all_words.where(F.octet_length("w") <= WORD_BYTES).groupBy("w").agg(F.count("*").alias("n"))
-              .where("n > 1").withColumn("step", F.floor(F.log2("n") * _SCALE).cast("int")).checkpoint())
+              .where("n > 1").withColumn("step", F.floor(F.log2(F.col("n") * F.octet_length("w")) * _SCALE).cast("int")).checkpoint())
     least, taken = None, 0
     for r in sorted(counts.groupBy("step").count().collect(), reverse=True):     # at most 64 * _SCALE rows
         taken += r["count"]
@@ -233,4 +239,4 @@ def encode(docs: DataFrame, model: Bpe | None = None, pattern: str | None = None
         often = frequent_words(docs.select(F.explode(split(F.col(text))).alias("w")), dictionary)
         rows = often.select("w", model.chars(F.array("w")).alias("chars")).toArrow()           # at most `dictionary`
         known = dict(zip(*(c.to_pylist() for c in rows.columns), strict=True))
-    return docs.withColumn(out, model.chars(split(F.col(text)), known)).withColumn(out, _ids(F.col(out)))
+    return docs.withColumn(out, model.chars(split(F.col(text)), known)).withColumn(out, model.ids(F.col(out)))

@@ -5,9 +5,11 @@ back to character 4-grams (with its edges), those to 3-grams and so on; the
 longest length of which the model knows any n-gram decides. A text's language
 has the highest sum over its words; the score is its posterior share.
 
-The model is learned on at most ``train_rows`` documents of each language of
-at most 64 KB, chosen by hash of their id, so it is bounded and can be sent to
-every task. Counts are made in Spark; words and n-grams seen once are left out.
+The model is learned on at most ``train_rows`` documents and ``train_bytes`` bytes
+of each language (one document at least), so it is bounded and can be sent to every
+task. They are chosen by hash of their id, those of over ``short_bytes`` only where a
+language has too few others; a chosen text is learned whole. Counts are made in
+Spark; words and n-grams seen once are left out.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 as are all when nothing could be learned; ties go to the language with more
@@ -28,14 +30,19 @@ from pyspark.sql.window import Window
 
 from shredline.llm.common import counter_index, number, remainder
 
-TRAIN_BYTES = 64 << 10
 LONGEST = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters; numerals that aren't digits are no letters either."""
+    out = []
+    for run in _WORD.findall(text.lower()) if text else []:
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -83,15 +90,18 @@ class BackoffModel:
         return self.langs[top], float(1.0 / np.exp(np.minimum(total - total[top], 0.0)).sum())
 
 
-def fit(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int = 600) -> BackoffModel:
+def fit(docs: DataFrame, hold_mod: int = 4, hold_rest: int = 2, train_rows: int = 600, train_bytes: int = 8 << 20,
+        short_bytes: int = 64 << 10) -> BackoffModel:
     """The model from a bounded sample of the rows that are not held out."""
-    learn = docs.select("doc_id", "text", "lang").where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)
-        & (remainder(F.col("doc_id"), hold_mod) != hold_rest))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = (learn.select("doc_id", "lang").withColumn("at", F.row_number().over(first))
-           .where(F.col("at") <= train_rows).select("doc_id", "lang").distinct())
-    sample = learn.join(F.broadcast(own), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")   # at most train_rows ids of each language
+    learn = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("key"), F.octet_length("text").alias("size")).where(
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), hold_mod) != hold_rest))
+    first = Window.partitionBy("lang").orderBy(F.col("size") > short_bytes, F.xxhash64("doc_id"), "doc_id", "key")
+    own = (learn.select("doc_id", "lang", "key", "size").withColumn("at", F.row_number().over(first))
+           .where(F.col("at") <= train_rows).withColumn("upto", F.sum("size").over(first))
+           .where((F.col("at") == 1) | (F.col("upto") <= train_bytes)).select("doc_id", "lang", "key"))
+    # At most train_rows rows of each language; rows that are wholly equal are learned once.
+    sample = (learn.join(F.broadcast(own), ["doc_id", "lang", "key"], "left_semi").dropDuplicates(["doc_id", "lang", "key"])
+              .select("doc_id", "text", "lang"))
 
     def count(batches):
         words: Counter = Counter()

@@ -6,9 +6,9 @@ the content share, which decides whether the document stays. Two base rules
 
 The model has two labels, eleven features of a line and four transitions. It is
 fitted on the driver by gradient ascent on the conditional likelihood, on at
-most ``train_rows`` labelled documents of each quality, chosen by hash among
-those of at most 64 KB; a document's label is that of its lines. Only line
-features reach the driver. Without labels of both qualities the prior weights hold.
+most ``train_rows`` labelled documents and ``train_bytes`` bytes of each quality, chosen
+by hash (long ones only where there are too few others); a document's label is
+that of its lines. Only line features reach the driver. Without labels of both qualities the prior weights hold.
 
 Defined results: null and wordless texts have no words and fail the base rules;
 lines without a word are skipped; repeated rows are judged one by one; columns
@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from shredline.llm.common import binary_column, counter_index, number, text_slices
 
@@ -32,7 +32,6 @@ _LATER = bytes(range(0x80, 0xC0))                 # bytes that continue a code p
 _UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
 _SHOUT = bytes(c for c in range(256) if c not in b"!|~^=_")
-TRAIN_BYTES = 64 << 10
 FEATURES = 11
 #: Content score of a line before any training: bias, then features as in line_features.
 PRIOR = np.array([2.0, 0.5, -8.0, -3.0, 2.0, -4.0, -1.0, 0.5, 0.0, -6.0, -3.0])
@@ -118,13 +117,27 @@ def fit_crf(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: fl
     return w, t
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 1500):
-    """The model (weights, transitions) from a bounded sample of labelled documents."""
-    own = (labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-           .withColumn("at", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")))
-           .where(F.col("at") <= train_rows).select("doc_id", "quality"))
-    rows = (docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-            .join(F.broadcast(own), "doc_id").select("doc_id", "text", "quality"))      # at most 2 * train_rows ids
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 1500, train_bytes: int = 32 << 20, short_bytes: int = 64 << 10):
+    """The model (weights, transitions) from a bounded sample of labelled documents.
+
+    At most ``train_rows`` documents and ``train_bytes`` bytes of each quality (one document at least), chosen by
+    hash of their id; those of over ``short_bytes`` only where a quality has too few others.
+    """
+    marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = docs.where("text is not null").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).join(marks, "doc_id")
+    picked = []
+    for q in (0, 1):                                   # the first train_rows of each by a bounded top-n, no window
+        size = 0
+        for r in (known.where(F.col("quality") == q).orderBy(F.col("size") > short_bytes, F.xxhash64("doc_id"), "doc_id")
+                  .limit(train_rows).collect()):
+            size += r["size"]
+            if size > train_bytes and size > r["size"]:
+                break
+            picked.append((r["doc_id"], q))
+    own = docs.sparkSession.createDataFrame(picked, T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("quality", T.IntegerType())]))
+    rows = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id")
+            .select("doc_id", "text", "quality"))                                          # at most 2 * train_rows ids
 
     def run(batches):
         for part in batches:

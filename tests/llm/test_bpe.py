@@ -75,7 +75,7 @@ def test_more_tokens_than_plain_characters(frame):  # noqa: F811
 
 
 def test_dictionary_is_bounded_and_holds_the_most_frequent(spark):
-    words = spark.createDataFrame([(f"w{i}",) for i in range(40) for _ in range(1 + i)], "w string")
+    words = spark.createDataFrame([(f"w{i:02}",) for i in range(40) for _ in range(1 + i)], "w string")
     got = {r.w for r in B.frequent_words(words, 10).collect()}
     assert 0 < len(got) <= 10 and "w39" in got and min(int(w[1:]) for w in got) == 40 - len(got)
     assert not B.frequent_words(words.limit(0), 10).collect()

@@ -68,3 +68,25 @@ def test_backs_off_to_shorter_grams():
     assert model.word("quvq").tolist() == model.logs[2][0].tolist()
     assert model.word("qx").tolist() == model.logs[1][0].tolist()
     assert model.word("q").tolist() == [0.0, 0.0]
+
+
+def test_numerals_are_no_letters(spark):
+    rows, docs = rows_of(spark)
+    odd = [(1, "½ ² 12"), (2, "Ⅷ"), (3, "_ ፩"), (4, "½hund² katze"), (5, "日本")]
+    got = {r.doc_id: r for r in I.predict(spark.createDataFrame(odd, "doc_id long, text string"), I.fit(docs)).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (1, 2, 3)] == [("und", 0.0)] * 3
+    assert got[4].lang_pred == "de" and got[5].lang_pred != "und"
+    assert I.words_of("½hund² katze Ⅷ") == ["hund", "katze"]
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, "the cat and the dog sat there", "en") for i in range(30)]
+    rows += [(100 + i, "le chat est une bete rouge " * 4000, "fr") for i in range(3)]
+    docs = spark.createDataFrame([*rows, (900, "chat rouge", None), (901, "le chat", "fr"), (901, "le chat", "fr")],
+                                 "doc_id long, text string, lang string")
+    model = I.fit(docs)
+    assert model.langs == ["en", "fr"] and model.best(sum(model.word(w) for w in ("chat", "rouge")))[0] == "fr"
+    few = I.fit(docs.where("doc_id < 900"), train_rows=2, train_bytes=1)       # one document each, whole
+    assert few.langs == ["en", "fr"] and few.prior.tolist() == [2.0, 24000.0]     # words seen twice
+    once = I.fit(spark.createDataFrame([(901, "le chat", "fr")] * 50, "doc_id long, text string, lang string"))
+    assert once.prior.tolist() == [0.0] or once.prior.tolist() == []           # equal rows count once: nothing was seen twice

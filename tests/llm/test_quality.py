@@ -69,3 +69,18 @@ def test_clashing_columns_and_empty_tables(spark, frame):
     out = Q.judge(rows, labels(spark, [(1, 1, 0), (2, 0, 0), (None, None, None)]))
     assert set(out.columns) == set(rows.columns) | set(Q.NAMES) and out.count() == 2
     assert Q.judge(rows.limit(0), labels(spark)).count() == 0
+
+
+def test_long_labelled_documents_are_learned(spark):
+    """All bad documents over 64 KB: the model is fitted on them whole and doesn't fall back to the prior."""
+    good = [(i, "\n".join(f"This is line {j} of a text with plain words and a full stop." for j in range(30)), 1) for i in range(20)]
+    bad = [(100 + i, "\n".join(f"HOME | LOGIN | CART | {j}" for j in range(4000)), 0) for i in range(4)]
+    docs = spark.createDataFrame([r[:2] for r in good + bad] + [(7, None)], "doc_id long, text string")
+    assert min(len(t) for _, t, _ in bad) > 64 << 10
+    known = labels(spark, [(i, q, 0) for i, _, q in good + bad])
+    weights, stay = Q.fit(docs, known)
+    assert not np.allclose(weights, Q.PRIOR)
+    got = {r.doc_id: r.content_share for r in Q.judge(docs, known, (weights, stay)).where("n_words > 0").collect()}
+    assert all(got[i] >= 0.5 for i, _, _ in good) and all(got[i] < 0.5 for i, _, _ in bad)
+    one = Q.fit(docs, known, train_bytes=1)                     # one document of each quality at least
+    assert not np.allclose(one[0], Q.PRIOR)
