@@ -9,12 +9,12 @@ each pair would make: its least character is the next merge, which looks up two
 new pairs only. Ranks come from a literal: an array of small maps that XXH64 of
 the key indexes, so that a lookup costs the same for any vocabulary.
 
-Every distinct word is folded once if it is among the ``dictionary`` words that
-take most of the text (of at most ``WORD_BYTES`` bytes, twice at least): their ids
-become a second literal of bounded size, together with the tokens themselves. The
-words beyond it are folded where they stand, so nothing depends on the dictionary
-but the time, and documents are never shuffled. Decoding joins the pieces of the
-ids; any ids give their bytes.
+Every distinct word is folded once if it is among the ``dictionary`` most frequent
+(of at most ``WORD_BYTES`` bytes, twice at least): their ids become a second literal
+of bounded size, together with the tokens themselves. The words beyond it are
+folded where they stand, so nothing depends on the dictionary but the time, and
+documents are never shuffled. Decoding joins the pieces of the ids; any ids give
+their bytes.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded one
 by one; an empty table gives no rows; other columns are carried along, apart from
@@ -212,13 +212,13 @@ def words(spark: SparkSession, text: Column, pattern: str) -> Column:
 
 
 def frequent_words(all_words: DataFrame, limit: int) -> DataFrame:
-    """The words in column w that take most of the text (occurrences times bytes), at most ``limit``, without a sort.
+    """The most frequent of the words in column w, at most ``limit``, without a sort.
 
-    A histogram on a logarithmic scale gives the least share to take.
+    A histogram of the counts on a logarithmic scale gives the least count to take.
     """
     ensure_checkpoint_dir(all_words.sparkSession)
     counts = (all_words.where(F.octet_length("w") <= WORD_BYTES).groupBy("w").agg(F.count("*").alias("n"))
-              .where("n > 1").withColumn("step", F.floor(F.log2(F.col("n") * F.octet_length("w")) * _SCALE).cast("int")).checkpoint())
+              .where("n > 1").withColumn("step", F.floor(F.log2("n") * _SCALE).cast("int")).checkpoint())
     least, taken = None, 0
     for r in sorted(counts.groupBy("step").count().collect(), reverse=True):     # at most 64 * _SCALE rows
         taken += r["count"]

@@ -266,7 +266,7 @@ def subtree_sums(nodes: DataFrame, prefixes: DataFrame, limit: int = LIMIT) -> D
     root = nodes.where("depth = 0").select("conv_id").first()
     state = nodes.select(*NODE, "weight", *VALUES, F.lit(root["conv_id"] if root else None).cast("long").alias("top_conv"),
                          F.lit(0).cast("long").alias("top_depth"), *[F.lit(0).cast("long").alias(m) for m in more])
-    paths, done = None, []
+    state, paths, done = _stored(state), None, []
     columns = state.columns
     while True:
         parts = state.groupBy(*top).agg(F.count("*").alias("nodes"), F.max("weight").alias("total"))
