@@ -93,21 +93,28 @@ def _scope(vault: DataFrame, tenant: str | None, fields: list[str] | None, resou
     return v
 
 
-def rungs(vault: DataFrame, kv: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The ladder of AGG-03: the newest row of each (tenant, user, field), and the older rows where that one doesn't decrypt.
+def rungs(vault: DataFrame, kv: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The ladder of AGG-03: every user's newest row of each field, decrypted, and the older rows where that one fails.
 
-    Both with their value. The newest is a ``max_by`` aggregate, so a history is neither shuffled nor
-    decrypted; older rows are read for those keys alone whose user has a key and whose newest bundle is
-    corrupt. Newest first by ``synced_at``, key_id, resource_id, bundle (``_at``).
+    ``first`` has one row per user: ``_at<i>``, ``_value<i>`` of field i. The newest is a maximum by ``synced_at``,
+    key_id, resource_id, bundle, so neither shuffles nor decrypts a history. ``older`` has the rows of those
+    fields alone whose user has a key and whose newest bundle is corrupt.
     """
-    keys = [*KEYS, "field_name"]
     at = F.struct("synced_at", "key_id", "resource_id", "encrypted_value")
-    newest = vault.groupBy(*keys).agg(F.max(at).alias("_at")).withColumn("encrypted_value", F.col("_at.encrypted_value"))
-    first = decrypt_vault(newest, kv).select(*keys, "_at", "value")
-    failed = (first.where(F.col("value").isNull()).join(kv.select(*KEYS), KEYS, "left_semi")
-              .select(*keys, F.col("_at").alias("_failed")))
-    older = vault.join(failed, keys).where(at < F.col("_failed")).select(*keys, at.alias("_at"), "encrypted_value")
-    return first, decrypt_vault(older, kv).select(*keys, "_at", "value")
+    newest = vault.groupBy(*KEYS).agg(*[F.max(F.when(F.col("field_name") == f, at)).alias(f"_at{i}") for i, f in enumerate(fields)])
+
+    def opened(bundle: Column) -> Column:
+        return C.decrypt_bundle(bundle, F.col("user_id"), F.try_element_at("dek_map", C.bundle_key_id(bundle)))
+
+    first = newest.join(kv.select(*KEYS, "dek_map"), KEYS, "left").withColumns(
+        {f"_value{i}": opened(F.col(f"_at{i}.encrypted_value")) for i in range(len(fields))})
+    lost = F.array(*[F.when(F.col(f"_at{i}").isNotNull() & F.col(f"_value{i}").isNull(), F.struct(
+        F.lit(f).alias("field_name"), F.col(f"_at{i}").alias("at"))) for i, f in enumerate(fields)])
+    failed = (first.where(F.col("dek_map").isNotNull()).select(*KEYS, "dek_map", F.filter(lost, lambda x: x.isNotNull()).alias("_lost"))
+              .where(F.size("_lost") > 0))
+    before = F.exists("_lost", lambda x: (x["field_name"] == F.col("field_name")) & (at < x["at"]))
+    older = vault.join(failed, KEYS).where(before).select(*KEYS, "field_name", at.alias("_at"), opened(F.col("encrypted_value")).alias("value"))
+    return first.drop("dek_map"), older
 
 
 def decrypted_pivot(vault: DataFrame, kv: DataFrame, fields: list[str], tenant: str | None = None,
@@ -119,12 +126,12 @@ def decrypted_pivot(vault: DataFrame, kv: DataFrame, fields: list[str], tenant:
     as the value), the others only where it isn't.
     """
     kv = kv if tenant is None else kv.where(F.col("tenant_id") == tenant)
-    first, older = rungs(_scope(vault, tenant, fields, resource_id), kv)
-    aggs = []
-    for f in fields:
-        hit = (F.col("field_name") == f) & F.col("value").isNotNull()
-        aggs.append(F.max_by(F.when(hit, F.col("value")), F.when(hit, F.col("_at"))).alias(f))
-    return first.unionByName(older).groupBy(*KEYS).agg(*aggs)
+    first, older = rungs(_scope(vault, tenant, fields, resource_id), kv, fields)
+    hit = [(F.col("field_name") == f) & F.col("value").isNotNull() for f in fields]
+    second = older.groupBy(*KEYS).agg(*[F.max_by(F.when(h, F.col("value")), F.when(h, F.col("_at"))).alias(f"_older{i}")
+                                        for i, h in enumerate(hit)])
+    return first.join(second, KEYS, "left").select(
+        *KEYS, *[F.coalesce(f"_value{i}", f"_older{i}").alias(f) for i, f in enumerate(fields)])
 
 
 def latest_ciphertext(vault: DataFrame, kv: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def test_ladder_decrypts_older_versions_only_where_the_newest_is_corrupt(spark):
         "synced_at", F.timestamp_add("SECOND", F.col("n"), F.lit(dt.datetime(2026, 1, 1)))).withColumn(
         "encrypted_value", F.when((F.col("user_id") == "corrupt") & (F.col("n") >= 997), F.lit("v1:bm90:bm90"))
         .otherwise(F.col("encrypted_value"))).drop("n").checkpoint()
-    first, older = V.rungs(vault, kv)
+    first, older = V.rungs(vault, kv, ["email"])
     assert first.count() == 3 and {r.user_id: r["count"] for r in older.groupBy("user_id").count().collect()} == {"corrupt": 999}
     got = {r.user_id: r.email for r in V.decrypted_pivot(vault, kv, ["email"]).collect()}
     assert got == {"many": "many-999", "corrupt": "corrupt-996", "gone": None}
