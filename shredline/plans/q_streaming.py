@@ -48,13 +48,7 @@ def ingest_lineage(spark, sf_dir):
     raw = stream_table(spark, sf_dir, "events")
     p = _payloads(raw).unionByName(_payloads(stream_table(spark, sf_dir, "events")))
     root = scratch(spark, "ingest")
-
-    def body(batch, bid):
-        ING.ingest_batch(batch, f"{root}/events", f"{root}/rejects", f"{root}/quarantine", batch_id=bid,
-                         deliveries_path=f"{root}/deliveries")
-        return spark.createDataFrame([], "x int")
-
-    run_available(p, "ingest", batch_fn=body)
+    ING.ingest_lineage(p, root, f"{root}/checkpoint").awaitTermination()
     ev = spark.read.parquet(f"{root}/events")
     return ev.select("tenant_id", "user_id", "source", "destination",
                      F.get_json_object("context", "$.event_type").alias("event_type"),

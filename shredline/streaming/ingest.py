@@ -1,8 +1,8 @@
 """Lineage ingestion stream (STR-01, STR-02, STR-03, STR-07, SRC-06, SRC-07).
 
 validate (VAL-04) → split valid / rejects → normalise (FN-16) → append.
-Redelivered payloads are known by their stored delivery ids
-(STR-02); a failing sink write diverts the batch to a quarantine folder
+Redelivered payloads are known by their delivery ids, which the stream keeps in its
+state store (STR-02); a failing sink write diverts the batch to a quarantine folder
 instead of failing the stream (SRC-07).
 """
 
@@ -24,22 +24,33 @@ def validated(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("errors", VAL.errors(VAL.lineage_event_rules(payloads)))
 
 
+def once(payloads: DataFrame, id_col: str = "delivery_id") -> DataFrame:
+    """STR-02 on a stream: each delivery id once, however late it comes again.
+
+    The ids live in the state store (RocksDB with changelog checkpoints, see ``session``), hash-partitioned
+    by id: a micro-batch looks up and writes its own ids only, however many came before. No watermark, so none
+    is forgotten and no payload is dropped for being late. Payloads without an id are all kept.
+    """
+    return (payloads.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+            .unionByName(payloads.where(F.col(id_col).isNull())))
+
+
 def new_deliveries(batch: DataFrame, deliveries_path: str, batch_id: int | None, id_col: str = "delivery_id") -> DataFrame:
-    """STR-02: payloads whose delivery id neither an earlier batch nor this one has brought before.
+    """STR-02 for batch jobs without a stream: payloads whose delivery id no earlier batch nor this one has brought before.
 
     The ids of all batches are kept in a table, so a redelivery is known however late
-    it comes, and a payload is never dropped for being late.
+    it comes, and a payload is never dropped for being late. Every batch reads that table; a stream uses ``once``.
     """
-    once = batch.dropDuplicates([id_col])
+    first = once(batch, id_col)
     try:
         known = batch.sparkSession.read.option("basePath", deliveries_path).parquet(deliveries_path)
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return once
+        return first
     if batch_id is not None:            # a batch that is run again replaces its own ids
         known = known.where(F.col("batch") != batch_id)
-    return once.join(known.select(id_col), id_col, "left_anti")
+    return first.join(known.select(id_col), id_col, "left_anti")
 
 
 def ingest_batch(batch: DataFrame, events_path: str, rejects_path: str, quarantine_path: str,
@@ -72,13 +83,13 @@ def ingest_batch(batch: DataFrame, events_path: str, rejects_path: str, quaranti
 
 def ingest_lineage(payloads: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
     """STR-01: start the ingestion stream; returns the StreamingQuery."""
-    events, rejects, quarantine, seen = (os.path.join(root, p) for p in ("events", "rejects", "quarantine", "deliveries"))
+    events, rejects, quarantine = (os.path.join(root, p) for p in ("events", "rejects", "quarantine"))
 
     def body(batch, batch_id):
-        known = seen if "delivery_id" in batch.columns else None
-        ingest_batch(batch, events, rejects, quarantine, batch_id=batch_id, deliveries_path=known)
+        ingest_batch(batch, events, rejects, quarantine, batch_id=batch_id)
 
-    w = payloads.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    new = once(payloads) if "delivery_id" in payloads.columns else payloads
+    w = new.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
