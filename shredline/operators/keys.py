@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shredline import schemas
 from shredline.functions import crypto as C
 from shredline.operators.util import iso
 from shredline.session import ensure_checkpoint_dir
+from shredline.sources.buckets import BucketTable
 
 KEYS = ["tenant_id", "user_id"]
 DEAD = ["SHREDDED", "DELETED"]
@@ -215,44 +215,26 @@ def contexts_by_user(contexts: DataFrame) -> DataFrame:
 
 # --- the stored registry --------------------------------------------------------------------------------
 
-@dataclass
-class StoredRegistry:
-    """STA-01/02/03 on a stored registry: Parquet partitioned by a bucket of the user.
+class StoredRegistry(BucketTable):
+    """STA-01/02/03 on a stored registry, bucketed by user.
 
-    A change reads and rewrites only the buckets that hold a requested user, by dynamic partition
-    overwrite: their old files are deleted when the job commits, so the erased key bytes are gone from
-    storage, and every other bucket keeps its files. ``bucket`` is an expression over tenant_id and
-    user_id with values 0 to ``buckets`` - 1; it must stay the same for the life of the table.
+    A change rewrites only the buckets that hold a requested user: their old files are deleted when the
+    job commits, so the erased key bytes are gone from storage, and every other bucket keeps its files.
     """
-    path: str
-    buckets: int = 1024
-    bucket: Column | None = None
-
-    def _bucket(self) -> Column:
-        own = F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)) if self.bucket is None else self.bucket
-        return own.cast("int").alias("bucket")
-
-    def create(self, registry: DataFrame) -> None:
-        """Write the first content; a bucket is one file, or several if AQE splits it."""
-        names = schemas.KEY_REGISTRY.fieldNames()
-        registry.select(*names, self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(self.path)
 
-    def read(self, spark) -> DataFrame:
-        rows = spark.read.schema(_stored_schema()).parquet(self.path)
-        return rows.select(*schemas.KEY_REGISTRY.fieldNames())
+    def __init__(self, path: str, buckets: int = 1024, bucket: Column | None = None):
+        super().__init__(path, schemas.KEY_REGISTRY, buckets, bucket)
 
     def change(self, users: DataFrame, step: Callable[[DataFrame, DataFrame], StateChange]) -> DataFrame:
         """Apply ``step(registry, users)`` to the buckets of the users; returns its outcome, fixed before a file changes."""
         spark = users.sparkSession
         ensure_checkpoint_dir(spark)
         asked = users.checkpoint()
-        hit = [r["bucket"] for r in asked.select(self._bucket()).distinct().collect()]         # at most `buckets` numbers
-        rows = spark.read.schema(_stored_schema()).parquet(self.path).where(F.col("bucket").isin(hit))
-        done = step(rows.select(*schemas.KEY_REGISTRY.fieldNames()), asked)
+        hit = self.hit(asked)
+        done = step(self.read_buckets(spark, hit), asked)
         outcome = done.outcome.checkpoint()
         if hit:
-            (done.state.select(*schemas.KEY_REGISTRY.fieldNames(), self._bucket()).repartition("bucket")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path))
+            self.replace(done.state)
         return outcome
 
     def generate(self, users: DataFrame, tenant_keys: DataFrame, now: Column, **kw) -> DataFrame:
@@ -263,7 +245,3 @@ class StoredRegistry:
 
     def shred(self, requests: DataFrame, now: Column) -> DataFrame:
         return self.change(requests, lambda registry, asked: shred(registry, asked, now))
-
-
-def _stored_schema() -> T.StructType:
-    return T.StructType([*schemas.KEY_REGISTRY.fields, T.StructField("bucket", T.IntegerType())])

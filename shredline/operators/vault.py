@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shredline import schemas
 from shredline.functions import crypto as C
+from shredline.operators.sync_runs import incremental_rows
+from shredline.sources.buckets import BucketTable
 
 KEYS = ["tenant_id", "user_id"]
 VAULT_COLS = ["tenant_id", "user_id", "resource_id", "field_name", "key_id", "token", "encrypted_value", "synced_at"]
@@ -214,12 +217,52 @@ def sync_increment(source: DataFrame, fields: list[str], resource_id: str, vault
     that returns to a former one is appended, and so is one of a user who was
     shredded and got a new key. Values are encrypted after the comparison.
     """
-    from shredline.operators.sync_runs import incremental_rows
     rows = tokenised(incremental_rows(source, updated_at_col, last_synced_at), fields, resource_id, kv, tenant_keys)
-    newest = (vault.where(F.col("resource_id") == resource_id).groupBy(*KEYS, "field_name")
-              .agg(F.max_by(F.struct("token", "encrypted_value"), F.struct("synced_at", "key_id", "encrypted_value")).alias("_last")))
-    both = rows.join(newest, [*KEYS, "field_name"], "left")
-    old_dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("_last.encrypted_value")))
-    readable = C.decrypt_bundle(F.col("_last.encrypted_value"), F.col("user_id"), old_dek).isNotNull()
-    same = F.coalesce((F.col("_last.token") == F.col("token")) & readable, F.lit(False))
-    return encrypted(both.where(~same), synced_at)
+    newest = newest_tokens(vault.where(F.col("resource_id") == resource_id))
+    return encrypted(changed_rows(rows, newest), synced_at)
+
+
+def newest_tokens(vault: DataFrame) -> DataFrame:
+    """The newest vault row of each (tenant, user, resource, field): what the values of now are compared with."""
+    keys = ["resource_id", "field_name"]
+    last = F.max_by(F.struct("key_id", "token", "encrypted_value", "synced_at"), F.struct("synced_at", "key_id", "encrypted_value"))
+    return vault.groupBy(*KEYS, *keys).agg(last.alias("_l")).select(*KEYS, *keys, "_l.*").select(*VAULT_COLS)
+
+
+def changed_rows(rows: DataFrame, newest: DataFrame) -> DataFrame:
+    """Tokenised values that their newest vault row doesn't hold readably."""
+    keys = [*KEYS, "resource_id", "field_name"]
+    both = rows.join(newest.select(*keys, F.col("token").alias("_token"), F.col("encrypted_value").alias("_last")), keys, "left")
+    old_dek = F.try_element_at("dek_map", C.bundle_key_id(F.col("_last")))
+    readable = C.decrypt_bundle(F.col("_last"), F.col("user_id"), old_dek).isNotNull()
+    return both.where(~F.coalesce((F.col("_token") == F.col("token")) & readable, F.lit(False)))
+
+
+class CurrentTokens(BucketTable):
+    """EXT-03: the newest vault row of every (tenant, user, resource, field), maintained beside the vault.
+
+    An increment reads the buckets of its own users instead of aggregating the resource's vault.
+    """
+
+    def __init__(self, path: str, buckets: int = 1024, bucket: Column | None = None):
+        super().__init__(path, schemas.PII_VAULT, buckets, bucket)
+
+    def sync(self, source: DataFrame, fields: list[str], resource_id: str, vault_path: str, run_id: str, kv: DataFrame,
+             tenant_keys: DataFrame, synced_at: Column, updated_at_col: str | None = None, last_synced_at=None) -> DataFrame:
+        """Append what changed to the vault as ``run=<run_id>`` and bring the table up to date; returns the rows appended.
+
+        The values are encrypted once, by the write; only ciphertext and tokens are stored. A run that
+        failed half way is run again under its id and replaces what it wrote.
+        """
+        spark = source.sparkSession
+        new = incremental_rows(source, updated_at_col, last_synced_at)
+        hit = self.hit(new)
+        rows = tokenised(new, fields, resource_id, kv, tenant_keys)
+        now = self.read_buckets(spark, hit)
+        out = f"{vault_path}/run={run_id}"
+        encrypted(changed_rows(rows, now), synced_at).write.mode("overwrite").parquet(out)
+        added = spark.read.schema(self.schema).parquet(out)
+        if hit:
+            keys = [*KEYS, "resource_id", "field_name"]
+            self.replace(now.join(added.select(*keys), keys, "left_anti").unionByName(added))
+        return added

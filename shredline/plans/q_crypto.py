@@ -411,6 +411,54 @@ def incremental_sync(spark, sf_dir):
     return V.decrypt_vault(new, kv).select("tenant_id", "user_id", "field_name", "value")
 
 
+_TOUCHED = "custkey % 32 IN (3, 17)"
+
+
+@register("ext03_sync_stored", with_fixtures(["users"], f"""
+SELECT 'value' AS kind, tenant_id || '/' || user_id || '/email' AS key,
+  CASE WHEN {_TOUCHED} AND custkey % 3 = 0 THEN 'new.' ELSE '' END || email AS value FROM users
+UNION ALL SELECT 'value', tenant_id || '/' || user_id || '/phone', phone FROM users
+UNION ALL SELECT 'bucket', CAST(custkey % 32 AS VARCHAR), CASE WHEN custkey % 32 IN (3, 17) THEN 'rewritten' ELSE 'same files' END
+FROM users GROUP BY custkey % 32
+UNION ALL SELECT 'rows', 'first', CAST(2 * count(*) AS VARCHAR) FROM users
+UNION ALL SELECT 'rows', 'second', CAST(count(*) AS VARCHAR) FROM users WHERE {_TOUCHED} AND custkey % 3 = 0
+UNION ALL SELECT 'rows', 'second again', CAST(count(*) AS VARCHAR) FROM users WHERE {_TOUCHED} AND custkey % 3 = 0"""))
+def sync_stored(spark, sf_dir):
+    """A full sync, an increment of two of 32 buckets (a third of its rows changed), then values that change there and back."""
+    users = FX.fixture(spark, sf_dir, "users")
+    tk = FX.tenant_keys(users)
+    kv = K.key_versions(K.generate(K.empty_registry(spark), users, tk, FX.ts(FX.KEYGEN_TS), dek_fn=SC.seeded).state, tk)
+    root = f"{ensure_checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}"
+    tokens = V.CurrentTokens(f"{root}/current", 32, F.element_at(F.split("user_id", "-"), -1).cast("int") % 32)
+    tokens.create(spark.createDataFrame([], tokens.schema))
+
+    def files():
+        return (spark.read.parquet(tokens.path).select("bucket", F.input_file_name().alias("file")).distinct()
+                .groupBy("bucket").agg(F.array_sort(F.collect_set("file")).alias("files")).checkpoint())
+
+    def sync(run, source, at, since=None):
+        added = tokens.sync(source, SC.VAULT_FIELDS, SC.VAULT_RESOURCE, f"{root}/vault", run, kv, tk, FX.ts(at), "updated_at", since)
+        return added.agg(F.count("*").cast("string").alias("value")).select(F.lit("rows").alias("kind"), F.lit(run).alias("key"), "value")
+
+    first = users.withColumn("updated_at", FX.ts(FX.BASE_TS))
+    later = users.withColumns({
+        "email": F.when(F.expr(f"{_TOUCHED} AND custkey % 3 = 0"), F.concat(F.lit("new."), "email")).otherwise(F.col("email")),
+        "updated_at": F.when(F.expr(_TOUCHED), FX.ts(FX.SYNC_JUNK_TS)).otherwise(FX.ts(FX.BASE_TS))})
+    counts = [sync("first", first, FX.SYNC_OLD_TS)]
+    before = files()
+    counts.append(sync("second", later, FX.SYNC_JUNK_TS, FX.SYNC_NEW_TS))
+    after = files()
+    back = later.withColumn("email", F.when(F.col("email").startswith("new."), F.concat(F.lit("x."), "email")).otherwise(F.col("email")))
+    counts.append(sync("second again", back, FX.NOW_TS, FX.SYNC_NEW_TS))      # other values, then the ones of the increment
+    sync("third", later, "2026-06-02 00:00:00", FX.SYNC_NEW_TS)
+    values = V.decrypt_vault(tokens.read(spark), kv).select(
+        F.lit("value").alias("kind"), F.concat_ws("/", "tenant_id", "user_id", "field_name").alias("key"), "value")
+    buckets = before.alias("a").join(after.alias("b"), "bucket").select(
+        F.lit("bucket").alias("kind"), F.col("bucket").cast("string").alias("key"),
+        F.when(F.col("a.files") == F.col("b.files"), "same files").otherwise("rewritten").alias("value"))
+    return values.unionByName(buckets).unionByName(counts[0]).unionByName(counts[1]).unionByName(counts[2])
+
+
 # --- UDF-01: the SQL functions over the vault ------------------------------------------------------------
 
 @register("udf01_sql_decrypt", with_fixtures(["users"], f"""
