@@ -205,10 +205,14 @@ def encryption_contexts(registry: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def contexts_by_user(contexts: DataFrame) -> DataFrame:
-    """AGG-13: contexts indexed by user id, one map per tenant."""
+def contexts_by_user(contexts: DataFrame, parts: int = 1024) -> DataFrame:
+    """AGG-13: contexts indexed by user id: maps of at most about 1 / ``parts`` of a tenant's users each.
+
+    A user's context is in the map of part pmod(xxhash64(user_id), parts), so a tenant of any size has no row that holds it whole.
+    """
     ok = contexts.where(F.col("status_code") == 200)
-    return ok.groupBy("tenant_id").agg(
+    part = F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")
+    return ok.groupBy("tenant_id", part.alias("part")).agg(
         F.map_from_entries(F.collect_list(F.struct("user_id", F.struct("key_id", "wrapped_dek", "algorithm"))))
         .alias("contexts"))
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from shredline.functions import crypto as C
 from shredline.functions.sql import register_functions
+from shredline.operators import column_crypto as CC
 from shredline.operators import keys as K
 from shredline.operators import redaction as R
 from shredline.operators import vault as V
+from shredline.operators import views as VW
 from shredline.operators.util import iso, join_sorted
 from shredline.plans import scenario as SC
 from shredline.plans.catalog import register
@@ -302,22 +304,6 @@ def _det_input(spark, sf_dir):
     return users.unionByName(ev)
 
 
-def encrypt_column(registry, tenant_keys, rows):
-    """QRY-12: deterministic encryption under each user's active key; 404 row without a key."""
-    from shredline.functions import validation as VAL
-    kv = K.key_versions(registry, tenant_keys)
-    j = rows.join(kv, ["tenant_id", "user_id"], "left")
-    dek = F.try_element_at("dek_map", F.col("active_dek_id"))
-    errs = VAL.errors(VAL.user_id_rules("user_id") + VAL.plaintext_rules("plaintext"))
-    code = (F.when(F.size(errs) > 0, 400).when(dek.isNull(), 404).otherwise(200))
-    return j.select("tenant_id", "user_id", "plaintext", code.alias("status_code"),
-                    F.when(code == 200, C.deterministic_bundle(F.col("active_dek_id"),
-                                                               C.encrypt_deterministic("plaintext", "user_id", dek)))
-                    .alias("ciphertext"),
-                    F.when(code == 400, F.array_join(errs, "; ")).when(code == 404, "Key not found or shredded")
-                    .alias("error"))
-
-
 @register("qry12_encrypt_deterministic", with_fixtures(["users", "lineage_events"], f"""
 SELECT q.tenant_id, q.user_id, length(q.plaintext) AS plaintext_length,
        CASE WHEN u.custkey IS NOT NULL AND u.{LIVE} THEN 200 ELSE 404 END AS status_code,
@@ -329,7 +315,7 @@ LEFT JOIN users u ON u.user_id = q.user_id AND u.tenant_id = q.tenant_id"""))
 def encrypt_deterministic(spark, sf_dir):
     """Audit-shaped output: lengths only, no plaintext (the bundle itself is checked by QRY-13)."""
     s = SC.build(spark, sf_dir)
-    out = encrypt_column(s.registry, s.tenant_keys, _det_input(spark, sf_dir))
+    out = CC.encrypt_column(s.registry, s.tenant_keys, _det_input(spark, sf_dir)).rows
     return out.select("tenant_id", "user_id", F.length("plaintext").cast("bigint").alias("plaintext_length"), "status_code",
                       F.length("ciphertext").cast("bigint").alias("ciphertext_length"))
 
@@ -343,26 +329,123 @@ def decrypt_deterministic(spark, sf_dir):
     """Encrypt with the pre-shred keys, tamper every 13th bundle, decrypt with the current registry."""
     s = SC.build(spark, sf_dir)
     rows = s.users.select("tenant_id", "user_id", F.col("email").alias("plaintext"), "custkey")
-    enc = encrypt_column(s.registry_before_shred, s.tenant_keys, rows.drop("custkey"))
+    enc = CC.encrypt_column(s.registry_before_shred, s.tenant_keys, rows.drop("custkey")).rows
     enc = enc.join(rows.select("tenant_id", "user_id", "custkey"), ["tenant_id", "user_id"])
     # Change the first ciphertext character after "v1:": the tag no longer verifies.
     c = F.col("ciphertext")
     flipped = F.concat(F.substring(c, 1, 3), F.when(F.substring(c, 4, 1) == "A", "B").otherwise("A"),
                        F.substr(c, F.lit(5)))
     tampered = F.when(F.col("custkey") % 13 == 0, flipped).otherwise(c)
-    return decrypt_column(s.registry, s.tenant_keys, enc.select("tenant_id", "user_id", tampered.alias("bundle")))
-
-
-def decrypt_column(registry, tenant_keys, rows):
-    """QRY-13: bundles ``v{n}:ct`` decrypted with the version they name; 404 no key, 400 bad bundle/tag."""
-    kv = K.key_versions(registry, tenant_keys)
-    version, body = C.parse_deterministic_bundle(F.col("bundle"))
-    j = rows.join(kv.select("tenant_id", "user_id", "dek_map"), ["tenant_id", "user_id"], "left")
-    dek = F.try_element_at("dek_map", version)
-    pt = C.decrypt_deterministic(body, F.col("user_id"), dek)
-    code = (F.when(version.isNull(), 400).when(F.col("dek_map").isNull() | dek.isNull(), 404)
-            .when(pt.isNull(), 400).otherwise(200))
-    return j.select("tenant_id", "user_id", code.alias("status_code"), F.when(code == 200, pt).alias("plaintext"))
+    return CC.decrypt_column(s.registry, s.tenant_keys, enc.select("tenant_id", "user_id", tampered.alias("bundle"))).rows
+
+
+# --- QRY-12 / QRY-13 / QRY-04 audit events, VAL-02 -------------------------------------------------------------
+
+@register("qry12_column_audit", with_fixtures(["users"], f"""
+SELECT tenant_id, user_id, destination, context FROM (
+SELECT tenant_id, user_id, 'encryption-audit' AS destination, '{{"event_type":"ENCRYPTION_PERFORMED","operation":"ENCRYPT","plaintextLength":'
+  || length(email) || ',"analystEmail":' || CASE WHEN custkey % 4 = 0 THEN 'null' ELSE '"analyst-' || custkey % 4 || '@example.com"' END || '}}' AS context, custkey
+FROM users UNION ALL
+SELECT tenant_id, user_id, 'decryption-audit', '{{"event_type":"DECRYPTION_PERFORMED","operation":"DECRYPT","analystEmail":'
+  || CASE WHEN custkey % 4 = 0 THEN 'null' ELSE '"analyst-' || custkey % 4 || '@example.com"' END || '}}', custkey FROM users)
+WHERE {LIVE} AND NOT (destination = 'encryption-audit' AND custkey % 5 = 0)"""))
+def column_audit(spark, sf_dir):
+    """One event for every value encrypted or decrypted, by whom, with lengths at most; none for rejected and keyless rows."""
+    s = SC.build(spark, sf_dir)
+    who = F.when(F.col("custkey") % 4 != 0, F.concat(F.lit("analyst-"), F.col("custkey") % 4, F.lit("@example.com"))).alias("analyst_email")
+    rows = s.users.select("tenant_id", "user_id", F.when(F.col("custkey") % 5 == 0, F.lit("")).otherwise(F.col("email")).alias("plaintext"), who)
+    one = CC.encrypt_column(s.registry, s.tenant_keys, rows, FX.ts(FX.NOW_TS))
+    back = CC.encrypt_column(s.registry_before_shred, s.tenant_keys, rows.withColumn("plaintext", F.lit("x"))).rows
+    two = CC.decrypt_column(s.registry, s.tenant_keys, back.select("tenant_id", "user_id", F.col("ciphertext").alias("bundle"), "analyst_email"))
+    return one.audit.unionByName(two.audit).select("tenant_id", "user_id", "destination", "context")
+
+
+@register("val02_encrypt_rejects", with_fixtures(["users"], f"""
+SELECT tenant_id, uid AS user_id, kind, CASE WHEN kind = 'good' THEN CASE WHEN {LIVE} THEN 200 ELSE 404 END ELSE 400 END AS status_code,
+  CASE kind WHEN 'empty' THEN 'Plaintext cannot be empty' WHEN 'long' THEN 'Plaintext must not exceed 10KB'
+    WHEN 'none' THEN 'plaintext is required'
+    WHEN 'user' THEN 'userId must contain only alphanumeric characters, hyphens, and underscores; plaintext is required'
+    WHEN 'wide' THEN 'userId must not exceed 64 characters'
+    ELSE CASE WHEN NOT ({LIVE}) THEN 'Key not found or shredded' END END AS error
+FROM (SELECT *, ['good', 'empty', 'long', 'none', 'user', 'wide', 'edge'][custkey % 7 + 1] AS k FROM users),
+LATERAL (SELECT CASE k WHEN 'edge' THEN 'good' ELSE k END AS kind,
+  CASE k WHEN 'user' THEN user_id || ' ?' WHEN 'wide' THEN user_id || repeat('x', 64) ELSE user_id END AS uid)"""))
+def encrypt_rejects(spark, sf_dir):
+    """Values that must not be encrypted, every rule of theirs named; a value of exactly 10 KB still is."""
+    s = SC.build(spark, sf_dir)
+    k = F.element_at(F.array(*[F.lit(x) for x in ("good", "empty", "long", "none", "user", "wide", "edge")]), (F.col("custkey") % 7 + 1).cast("int"))
+    rows = s.users.select(
+        "tenant_id", F.when(k == "user", F.concat("user_id", F.lit(" ?"))).when(k == "wide", F.concat("user_id", F.repeat(F.lit("x"), 64)))
+        .otherwise(F.col("user_id")).alias("user_id"),
+        F.when(k == "empty", "").when(k == "long", F.repeat(F.lit("y"), 10241)).when(k == "edge", F.repeat(F.lit("y"), 10240))
+        .when(~k.isin("none", "user"), F.col("email")).alias("plaintext"), F.when(k == "edge", "good").otherwise(k).alias("kind"))
+    out = CC.encrypt_column(s.registry, s.tenant_keys, rows).rows
+    return out.select("tenant_id", "user_id", "kind", "status_code", "error")
+
+
+@register("qry04_adhoc_audit", with_fixtures(["users", "lineage_events"], f"""
+SELECT r.tenant_id, r.user_id, 'pii-vault' AS source, 'bigquery:proj.ds.users' AS destination,
+  '{{"event_type":"PII_VAULT_DECRYPT","resource_id":"bigquery:proj.ds.users","field_name":"phone","found":'
+  || CASE WHEN u.custkey IS NOT NULL AND u.{LIVE} AND NOT (u.{JUNK}) THEN 'true' ELSE 'false' END || '}}' AS context
+FROM (SELECT DISTINCT tenant_id, user_id FROM lineage_events WHERE user_id <> 'UNKNOWN') r
+LEFT JOIN users u ON u.user_id = r.user_id AND u.tenant_id = r.tenant_id"""))
+def adhoc_audit(spark, sf_dir):
+    """The audit event of every ad-hoc request, found or not, without a value."""
+    s = SC.build(spark, sf_dir)
+    req = (FX.fixture(spark, sf_dir, "lineage_events").where(F.col("user_id") != "UNKNOWN")
+           .select("tenant_id", "user_id", F.lit(SC.VAULT_RESOURCE).alias("resource_id"), F.lit("phone").alias("field_name")))
+    return V.adhoc_decrypt(req, s.vault, s.key_versions())[1].select("tenant_id", "user_id", "source", "destination", "context")
+
+
+# --- FN-08 random keys, AGG-13 contexts, SRC-18 views -----------------------------------------------------------
+
+@register("fn08_random_keys", with_fixtures(["users"], """
+SELECT tenant_id, count(*) AS n_users, count(*) AS n_keys, count(*) AS n_of_32_bytes, count(*) AS n_read_back FROM users GROUP BY tenant_id"""))
+def random_keys(spark, sf_dir):
+    """Keys from the system's random source, stored before use: all different, 32 bytes, and they decrypt what they encrypted."""
+    users = FX.fixture(spark, sf_dir, "users")
+    tk = FX.tenant_keys(users)
+    store = K.StoredRegistry(f"{ensure_checkpoint_dir(spark)}/random-{uuid.uuid4().hex}", 8)
+    store.create(K.generate(K.empty_registry(spark), users, tk, FX.ts(FX.KEYGEN_TS)).state)
+    kv = K.key_versions(store.read(spark), tk)
+    dek = F.try_element_at("dek_map", F.col("active_dek_id"))
+    rows = users.join(kv, ["tenant_id", "user_id"], "left").select(
+        "tenant_id", dek.alias("dek"), C.decrypt_bundle(C.encrypt_random(F.col("email"), F.col("user_id"), dek, F.col("active_dek_id")),
+                                                        F.col("user_id"), dek).alias("back"), "email")
+    return rows.groupBy("tenant_id").agg(
+        F.count("*").alias("n_users"), F.count_distinct("dek").alias("n_keys"), F.count_if(F.length("dek") == 32).alias("n_of_32_bytes"),
+        F.count_if(F.col("back") == F.col("email")).alias("n_read_back"))
+
+
+@register("agg13_contexts_by_user", with_fixtures(["users"], f"""
+SELECT tenant_id, user_id, 'v1' AS key_id, 'AES-256-GCM' AS algorithm FROM users WHERE {LIVE}"""))
+def contexts_by_user(spark, sf_dir):
+    """The maps from user id to encryption context, read through their keys."""
+    s = SC.build(spark, sf_dir)
+    maps = K.contexts_by_user(K.encryption_contexts(s.registry, s.users), 16)
+    one = maps.select("tenant_id", F.explode("contexts").alias("user_id", "c"))
+    return one.select("tenant_id", "user_id", "c.key_id", "c.algorithm")
+
+
+@register("src18_named_views", with_fixtures(["users"], f"""
+SELECT 'decrypted' AS view_kind, tenant_id, user_id, CASE WHEN {LIVE} THEN email END AS email FROM users
+UNION ALL SELECT 'deduplicated', tenant_id, user_id, CASE WHEN {LIVE} THEN phone END FROM users"""))
+def named_views(spark, sf_dir):
+    """Every tenant's decrypted view and the deduplicated raw copy, created and read by their names in SQL."""
+    s = SC.build(spark, sf_dir)
+    kv = s.key_versions()
+    names = {}
+    for r in s.tenant_keys.select("tenant_id").orderBy("tenant_id").collect():        # one view for each tenant, as declared
+        VW.materialise(s.vault, kv, r["tenant_id"], "contact_mail", ["email"])
+        names[r["tenant_id"]] = VW.view_id(r["tenant_id"], "contact_mail")
+    raw = s.vault.where("field_name = 'phone'").withColumnRenamed("encrypted_value", "phone")
+    R.encrypted_copy_view(raw.where(F.col("synced_at") < FX.ts(FX.SYNC_JUNK_TS)), "user_id", "tenant_id").createOrReplaceTempView("users_encrypted")
+    kv.createOrReplaceTempView("users_keys")
+    register_functions(spark)
+    views = " UNION ALL ".join(f"SELECT 'decrypted' AS view_kind, tenant_id, user_id, email FROM {n}" for n in names.values())
+    return spark.sql(f"""{views} UNION ALL
+        SELECT 'deduplicated', c.tenant_id, c.user_id, decrypt_value(c.phone, c.user_id, try_element_at(k.dek_map, bundle_key_id(c.phone)))
+        FROM users_encrypted c LEFT JOIN users_keys k USING (tenant_id, user_id)""")
 
 
 # --- STA-10 redact in place --------------------------------------------------------------------------
