@@ -11,6 +11,8 @@
   never NULL, so the inferred ``IS NOT NULL`` filters it would add buy nothing.
 * Stream state in RocksDB with changelog checkpoints: state may outgrow the
   heap, and a micro-batch uploads its own changes only.
+* Plan texts are cut at 1 MB: the driver keeps those of past queries, and a
+  literal table in a plan would be kept with each of them.
 * Checkpoints go to ``spark.checkpoint.dir`` as named by the cluster; a
   scratch folder is only chosen when nothing is configured (tests, bench).
 """
@@ -34,6 +36,7 @@ DEFAULT_CONF = {
     "spark.sql.legacy.chunkBase64String.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.maxPlanStringLength": "1000000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
