@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from shredline.session import ensure_checkpoint_dir
 
-DICTIONARY = 250_000    # words whose ids are a literal
+DICTIONARY = 350_000    # words whose ids are a literal
 WORD_BYTES = 64         # longer words never enter the dictionary
 _SCALE = 8              # steps of the count histogram for each doubling
 
@@ -182,8 +182,7 @@ class Bpe:
 
         def step(x: Column, _) -> Column:
             s, r = x["s"], x["r"]
-            least = F.array_min(F.split(r, ""))
-            return F.when(r == "", x).otherwise(bind(least, lambda best: F.when(
+            return F.when(r == "", x).otherwise(bind(F.array_min(F.split(r, "")), lambda best: F.when(
                 best == _NONE, F.struct(s.alias("s"), F.lit("").alias("r"))).otherwise(
                     bind(F.instr(r, best), lambda at: merge(s, r, best, at)))))
 
