@@ -273,9 +273,11 @@ def fetch(users: DataFrame, requests: DataFrame, key_registry: DataFrame, chain:
 
 
 def certificate_rows(chain: DataFrame, issued_at: Column) -> DataFrame:
-    """SRC-14 layout: one row per certificate with its storage path parts."""
+    """SRC-14 layout: one row per certificate with its storage path and that of its hash."""
+    folder = F.concat(F.lit("certificates/"), F.col("tenant_id"), F.lit("/"), F.date_format(issued_at, "yyyy/MM/dd"))
+    name = F.col("deletion_request_id")
     return chain.select(
         "tenant_id", F.date_format(issued_at, "yyyy-MM-dd").alias("issue_date"), "deletion_request_id", "user_id",
         "sequence", "previous_hash", "certificate_hash", "certificate",
-        F.concat(F.lit("certificates/"), F.col("tenant_id"), F.lit("/"), F.date_format(issued_at, "yyyy/MM/dd"),
-                 F.lit("/certificate-"), F.col("deletion_request_id"), F.lit(".json")).alias("path"))
+        F.concat(folder, F.lit("/certificate-"), name, F.lit(".json")).alias("path"),
+        F.concat(folder, F.lit("/audit-hash-"), name, F.lit(".txt")).alias("hash_path"))

@@ -23,5 +23,5 @@ def register(name: str, oracle: str | None):
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # Importing the modules fills QUERIES.
     from shredline.plans import (q_crypto, q_registry, q_lineage, q_deletion,  # noqa: F401
-                                 q_certificates, q_governance, q_streaming)
+                                 q_certificates, q_governance, q_streaming, q_sources)
     return QUERIES

@@ -23,11 +23,12 @@ def store_certificates(rows: DataFrame, root: str) -> None:
     """SRC-14: certificate JSON wrapper + hash, laid out by tenant and issue date.
 
     ``rows`` from ``certificates.certificate_rows``: the stored document is
-    the JSON object {certificate, hash, previous_hash, sequence, path}.
+    the JSON object {certificate, hash, previous_hash, sequence, path}; ``hash_path`` names the
+    hash kept beside it.
     """
     doc = F.to_json(F.struct(F.col("certificate"), F.col("certificate_hash").alias("hash"), "previous_hash",
                              F.col("sequence").alias("chain_sequence"), "deletion_request_id", "path"))
-    (rows.select("tenant_id", "issue_date", "deletion_request_id", "certificate_hash", "path", doc.alias("document"))
+    (rows.select("tenant_id", "issue_date", "deletion_request_id", "certificate_hash", "path", "hash_path", doc.alias("document"))
      .write.mode("append").partitionBy("tenant_id", "issue_date").parquet(root))
 
 
@@ -36,5 +37,5 @@ def read_certificates(spark: SparkSession, root: str, paths: DataFrame | None =
     df = spark.read.parquet(root)
     if paths is not None:
         df = df.join(paths.select("path"), "path", "left_semi")
-    return df.select("tenant_id", "issue_date", "deletion_request_id", "certificate_hash", "path",
+    return df.select("tenant_id", "issue_date", "deletion_request_id", "certificate_hash", "path", "hash_path",
                      F.get_json_object("document", "$.certificate").alias("certificate"), "document")

@@ -51,6 +51,16 @@ def table_type(spark: SparkSession, name: str) -> str:
     return "VIEW" if (t.tableType or "").upper() in ("VIEW", "TEMPORARY") or t.isTemporary else "BASE TABLE"
 
 
+def table_types(names: DataFrame, name_col: str = "table") -> DataFrame:
+    """SRC-11 for a table of names: each with its type, by a join with the catalogue's listing."""
+    spark = names.sparkSession
+    known = [(t.name.lower(), "VIEW" if t.isTemporary or (t.tableType or "").upper() in ("VIEW", "TEMPORARY") else "BASE TABLE")
+             for t in spark.catalog.listTables()]
+    listing = spark.createDataFrame(known, "_name string, table_type string").dropDuplicates(["_name"])
+    return (names.join(listing, F.lower(F.col(name_col)) == F.col("_name"), "left")
+            .withColumn("table_type", F.coalesce("table_type", F.lit("MISSING"))).drop("_name"))
+
+
 def parse_resource_id(col):
     """SRC-09: ``system:project.dataset.table`` → struct(system, project, dataset, table)."""
     pat = r"^([a-z]+):([^.]+)\.([^.]+)\.(.+)$"

@@ -81,9 +81,10 @@ def ingest_batch(batch: DataFrame, events_path: str, rejects_path: str, quaranti
     v.unpersist()
 
 
-def ingest_lineage(payloads: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
-    """STR-01: start the ingestion stream; returns the StreamingQuery."""
-    events, rejects, quarantine = (os.path.join(root, p) for p in ("events", "rejects", "quarantine"))
+def ingest_lineage(payloads: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, events: str | None = None):
+    """STR-01: start the ingestion stream; returns the StreamingQuery. ``events``: a sink folder outside of ``root``."""
+    events = events or os.path.join(root, "events")
+    rejects, quarantine = (os.path.join(root, p) for p in ("rejects", "quarantine"))
 
     def body(batch, batch_id):
         ingest_batch(batch, events, rejects, quarantine, batch_id=batch_id)
