@@ -220,3 +220,21 @@ SELECT k.conv_id, k.d::BIGINT AS depth, k.parent_conv_id, k.n_convs::BIGINT AS n
        s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends_sha256
 FROM k JOIN s ON s.d = k.d AND s.seq = k.seq
 """
+
+ORACLES["op1_lm_scoring"] = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda s: ord(s)::BIGINT),
+        lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 7 = 2 AS held_out,
+    [' '] || regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x20\\x09-\\x0D]+') || [''] AS seq FROM documents),
+t AS (SELECT row, held_out, seq[i] AS u, seq[i + 1] AS w FROM (SELECT *, unnest(range(1, len(seq))) AS i FROM d)),
+c1 AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT u, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, w),
+h AS (SELECT u, sum(c) AS c FROM c2 GROUP BY u UNION ALL SELECT '', c FROM c1 WHERE w = ''),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c1),
+p AS (SELECT t.row, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 1) / (n.n + n.v + 1)::DOUBLE AS p1, coalesce(c2.c, 0) AS c2, coalesce(h.c, 0) AS h
+      FROM t CROSS JOIN n LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.u = t.u AND c2.w = t.w LEFT JOIN h ON h.u = t.u),
+s AS (SELECT row, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(p1)) AS base_score,
+             sum(log10((c2 + 100 * p1) / (h + 100))) AS score FROM p GROUP BY row)
+SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, base_score, score FROM d JOIN s USING (row) CROSS JOIN n
+"""
