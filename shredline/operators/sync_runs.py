@@ -8,7 +8,7 @@ not depend on arrival order; the streaming form is in ``streaming``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,21 +21,24 @@ def progress(runs: DataFrame, messages: DataFrame) -> DataFrame:
     completed_at = the moment that first held (the later of the total message
     and the total-th completed chunk). Messages for unknown runs are ignored.
     """
-    m = messages.join(runs.select("run_id"), "run_id", "left_semi")
-    tot = (m.where(F.col("kind") == "total")
-           .groupBy("run_id").agg(F.max_by("chunks_total", "at").alias("chunks_total"),
-                                  F.max_by("at", "at").alias("_total_at")))
-    chunks = m.where(F.col("kind") == "chunk")
-    counts = chunks.groupBy("run_id").agg(F.count_if(F.col("outcome") == "completed").alias("chunks_completed"),
-                                          F.count_if(F.col("outcome") == "failed").alias("chunks_failed"))
-    w = Window.partitionBy("run_id").orderBy("at", "chunk_id")
-    ranked = chunks.where(F.col("outcome") == "completed").select("run_id", "at", "chunk_id") \
-        .withColumn("_k", F.row_number().over(w))
-    j = runs.join(tot, "run_id", "left").join(counts, "run_id", "left")
-    kth = ranked.join(j.select("run_id", "chunks_total"), "run_id") \
-        .where(F.col("_k") == F.greatest(F.col("chunks_total"), F.lit(1))) \
-        .select("run_id", F.col("at").alias("_kth_at"))
-    j = j.join(kth, "run_id", "left")
+    # One histogram of the outcomes by time, with partial sums, then one row per run: totals, counts and the
+    # completions as (time, number), in which the k-th is found by a running sum. A run of any number of chunks
+    # holds as many entries as there are different times.
+    kind, done = F.col("kind"), F.col("outcome") == "completed"
+    hist = messages.groupBy("run_id", "kind", "outcome", "at").agg(F.count(F.lit(1)).alias("n"), F.max("chunks_total").alias("total"))
+    is_total, is_chunk = kind == "total", kind == "chunk"
+    per_run = hist.groupBy("run_id").agg(
+        F.max_by(F.when(is_total, F.col("total")), F.when(is_total, F.col("at"))).alias("chunks_total"),
+        F.max(F.when(is_total, F.col("at"))).alias("_total_at"),
+        F.coalesce(F.sum(F.when(is_chunk & done, F.col("n"))), F.lit(0)).alias("chunks_completed"),
+        F.coalesce(F.sum(F.when(is_chunk & (F.col("outcome") == "failed"), F.col("n"))), F.lit(0)).alias("chunks_failed"),
+        F.sort_array(F.collect_list(F.when(is_chunk & done, F.struct("at", "n")))).alias("_times"))
+    k = F.greatest(F.col("chunks_total"), F.lit(1))
+    none = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("timestamp").alias("at"))
+    kth = F.aggregate("_times", none, lambda acc, x: F.struct(
+        (acc["seen"] + x["n"]).alias("seen"),
+        F.when((acc["seen"] < k) & (acc["seen"] + x["n"] >= k), x["at"]).otherwise(acc["at"]).alias("at")), lambda acc: acc["at"])
+    j = runs.join(per_run.withColumn("_kth_at", kth).drop("_times"), "run_id", "left")
     done = F.col("chunks_total").isNotNull() & (F.coalesce("chunks_completed", F.lit(0)) >= F.col("chunks_total"))
     return j.select(
         "run_id", "tenant_id", "resource_id", "started_at",
