@@ -25,10 +25,12 @@ pattern grows with the square of its length.
 from __future__ import annotations
 
 import base64
+import io
 import json
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,15 +117,16 @@ class Lookup:
 
     def __init__(self, entries: dict, value_type: str):
         self.size = 1 << max(4, (len(entries) // 4).bit_length())
-        slots = sorted((xxhash.xxh64_intdigest(k.encode(), seed=42) & (self.size - 1), k) for k in entries)
-        text, at = [], 0
-        for slot in range(self.size):                      # slot by slot, so that no map is held here
-            own = {}
-            while at < len(slots) and slots[at][0] == slot:
-                own[slots[at][1]] = entries[slots[at][1]]
-                at += 1
-            text.append(json.dumps(own, ensure_ascii=False, separators=(",", ":")))
-        self.table = F.from_json(F.lit(f"[{','.join(text)}]"), f"array<map<string,{value_type}>>")
+        keys = list(entries)
+        slot = np.fromiter((xxhash.xxh64_intdigest(k.encode(), seed=42) & (self.size - 1) for k in keys), np.int64, len(keys))
+        order = np.argsort(slot, kind="stable")
+        edges = np.searchsorted(slot[order], np.arange(self.size + 1))
+        text = io.StringIO()                               # slot by slot, so that no map is held here
+        for i in range(self.size):
+            own = {keys[k]: entries[keys[k]] for k in order[edges[i]:edges[i + 1]]}
+            text.write(("," if i else "[") + json.dumps(own, separators=(",", ":")))
+        text.write("]")
+        self.table = F.from_json(F.lit(text.getvalue()), f"array<map<string,{value_type}>>")
 
     def bind(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """body(get), where get(key) is the key's value, null if it has none."""
