@@ -2,11 +2,14 @@
 
 import datetime as dt
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
+from shredline import schemas
 from shredline.operators import certificates as CERT
 from shredline.streaming import ingest as ING
+from shredline.streaming import sources as SRC
 from shredline.streaming import stateful as ST
 from shredline.streaming.sources import run_available
 
@@ -60,6 +63,76 @@ def test_request_status_stream_rejects_invalid_moves(spark, tmp_dir):
                    ("CERTIFICATE_ISSUED", "CASCADE_PENDING", False)]
 
 
+def _run_fold(spark, tmp_dir, monkeypatch, make, batches, schema, name):
+    """A fold over several micro-batches with a full copy of the states after every second; no Python is called per key."""
+    monkeypatch.setattr(SRC, "FULL", 2)
+    plans = []
+    apply = SRC.Fold.apply
+
+    def watched(self, batch, batch_id, path):
+        out = apply(self, batch, batch_id, path)
+        plans.append(out._jdf.queryExecution().toString())
+        states = spark.read.parquet(f"{path}/_batch_id={batch_id}").collect()
+        if batch_id % 2 == 0:
+            assert len(states) == len({r[0] for b in batches[:batch_id + 1] for r in b})        # every key so far
+        return out
+
+    monkeypatch.setattr(SRC.Fold, "apply", watched)
+    out = run_available(make(_files_stream(spark, tmp_dir, batches, schema)), name, "update")
+    assert len(plans) == len(batches) and not any("Pandas" in p or "Python" in p for p in plans)
+    return out
+
+
+def test_sync_progress_equals_a_plain_fold(spark, tmp_dir, monkeypatch):
+    """Runs of any mix of messages, null ids and times among them, over micro-batches with and without a run's messages."""
+    r = random.Random(7)
+    at = lambda: None if r.random() < 0.03 else T + dt.timedelta(minutes=r.randrange(50))
+    batches = [[(r.choice([None, "r1", "r2", "r3", "r4", f"only{b}"]), "total", r.randrange(4), None, at(), None) if r.random() < 0.2 else
+                (r.choice([None, "r1", "r2", "r3", "r4"]), "chunk", None, r.choice(["completed", "failed", None]), at(), r.randrange(100))
+                for _ in range(15)] for b in range(4)]
+    out = _run_fold(spark, tmp_dir, monkeypatch, ST.sync_progress, batches,
+                    "run_id string, kind string, chunks_total long, outcome string, at timestamp, chunk_id int", "t_fold")
+    state, want = {}, set()
+    for i, rows in enumerate(batches):
+        for run in {x[0] for x in rows}:
+            total, done, failed, ended = state.get(run, (None, 0, 0, None))
+            closed = ended is not None
+            for _, kind, n, outcome, when, _id in sorted((x for x in rows if x[0] == run), key=lambda x: (
+                    x[4] is not None, x[4] or T, x[5] is not None, x[5] or 0, x[2] or 0)):
+                total = n if kind == "total" else total
+                done, failed = done + (outcome == "completed"), failed + (outcome == "failed")
+                if not closed and total is not None and done >= total:
+                    ended, closed = when, True
+            state[run] = total, done, failed, ended
+            status = "enumerating" if total is None else "complete" if done >= total else "running"
+            want.add((run, status, total, done, failed, ended, i))
+    assert {tuple(x) for x in out.collect()} == want and out.count() == len(want)
+
+
+def test_request_status_equals_a_plain_fold(spark, tmp_dir, monkeypatch):
+    """More moves of a request than are folded at once, unknown requests and states, a null id, late snapshots."""
+    r = random.Random(8)
+    states = [*schemas.DELETION_STATES, "NO_STATE", None]
+    batches = [[("long", "move", r.choice(states), f"o{i:05}", T + dt.timedelta(minutes=r.randrange(900))) for i in range(1500 * (b == 2))] +
+               [(r.choice([None, "q1", "q2", f"only{b}"]), r.choice(["snapshot", "move", "move", None]), r.choice(states), f"o{i}",
+                 T + dt.timedelta(minutes=r.randrange(50))) for i in range(15)] +
+               [("long", "snapshot", "SHRED_REQUESTED", "", T)] * (b < 2) for b in range(4)]
+    out = _run_fold(spark, tmp_dir, monkeypatch, ST.request_status, batches,
+                    "deletion_request_id string, kind string, to_status string, operation_id string, at timestamp", "t_moves")
+    state, want = {}, []
+    for i, rows in enumerate(batches):
+        for rid in {x[0] for x in rows}:
+            status = state.get(rid)
+            for _, kind, to, op, when in sorted((x for x in rows if x[0] == rid), key=lambda x: (x[1] != "snapshot", x[4], x[3], x[2] or "")):
+                ok = kind != "snapshot" and to in schemas.TRANSITIONS.get(status, [])
+                if kind != "snapshot":
+                    want.append((rid or "", status or "", to or "", ok, when, "move", i))
+                status = to if ok or kind == "snapshot" else status
+            state[rid] = status
+    got = [(x[0] or "", x[1] or "", x[2] or "", *x[3:]) for x in out.collect()]
+    assert sorted(got) == sorted(want) and len(want) > 1500
+
+
 def test_hot_path_and_dead_letters_streams(spark, tmp_dir):
     schema = "deletion_request_id string, destination string, status string, updated_at timestamp"
     w = _files_stream(spark, tmp_dir, [[("r1", "hubspot", "FAILED", T), ("r1", "salesforce", "SUCCEEDED", T)],
