@@ -119,3 +119,9 @@ def test_hot_user_partition_is_split_by_aqe(spark, tmp_dir):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_a_task_of_the_deletion_plan_holds_few_sorted_inputs(spark, no_broadcast):
+    """The joins of a deletion plan are all on (tenant, user): those of the key rows and of lineage are done and written before the last ones."""
+    plan = _plan(QL.deletion_plan(spark, SF_SMALL))
+    assert plan.count("SortMergeJoin") <= 5 and "FullOuter" not in plan
