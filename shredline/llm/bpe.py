@@ -124,7 +124,7 @@ class Lookup:
         text = io.StringIO()                               # slot by slot, so that no map is held here
         for i in range(self.size):
             own = {keys[k]: entries[keys[k]] for k in order[edges[i]:edges[i + 1]]}
-            text.write(("," if i else "[") + json.dumps(own, separators=(",", ":")))
+            text.write(("," if i else "[") + json.dumps(own, ensure_ascii=False, separators=(",", ":")))
         text.write("]")
         self.table = F.from_json(F.lit(text.getvalue()), f"array<map<string,{value_type}>>")
 
@@ -241,4 +241,5 @@ def encode(docs: DataFrame, model: Bpe | None = None, pattern: str | None = None
         often = frequent_words(docs.select(F.explode(split(F.col(text))).alias("w")), dictionary)
         rows = often.select("w", model.chars(F.array("w")).alias("chars")).toArrow()           # at most `dictionary`
         known = dict(zip(*(c.to_pylist() for c in rows.columns), strict=True))
+        del rows
     return docs.withColumn(out, model.chars(split(F.col(text)), known)).withColumn(out, model.ids(F.col(out)))
